@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import scoring  # noqa: F401
+from checks import extraction, graphs, scoring, texts_paths, upkeep  # noqa: F401

@@ -93,7 +93,7 @@ def last_line_like(numbered, start_line: str) -> Column:
 
     `start_line` is a pattern for the text of one numbered line.
     """
-    segment = rf"(?m)^\d++\t(?:{start_line})$(?:\n(?!\d++\t(?:{start_line})$)[^\n]*+)*+"
+    segment = rf"(?md)^\d++\t(?:{start_line})$(?:\n(?!\d++\t(?:{start_line})$)[^\n]*+)*+"
     segments = all_matches(numbered, segment)
     owned = F.flatten(
         F.transform(

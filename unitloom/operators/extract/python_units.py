@@ -42,17 +42,17 @@ def _body(indent_group: int) -> str:
 
 
 _DEF = r"(?:async[ \t]++)?def[ \t]++"
-DEF_BLOCK = rf"(?m)^(?=(\d++\t([ \t]*+){_DEF}{NAME}{_HEAD_REST}{_body(2)}))"
-CLASS_BLOCK = rf"(?m)^(?=(\d++\t([ \t]*+)class[ \t]++{NAME}{_HEAD_REST}{_body(2)}))"
+DEF_BLOCK = rf"(?md)^(?=(\d++\t([ \t]*+){_DEF}{NAME}{_HEAD_REST}{_body(2)}))"
+CLASS_BLOCK = rf"(?md)^(?=(\d++\t([ \t]*+)class[ \t]++{NAME}{_HEAD_REST}{_body(2)}))"
 _DECORATORS = (
     r"\d++\t([ \t]*+)@[^\n]*+\n(?:\d++\t(?:\x02[^\n]*+|[ \t]*+(?=\n)|\{g}@[^\n]*+)\n)*+"
 )
 # The run of decorators is consumed, so only its first line opens a unit.
 DECORATED_BLOCK = (
-    rf"(?m)^(?=({_DECORATORS.replace('{g}', '2')}\d++\t\2{_DEF}{NAME}{_HEAD_REST}{_body(2)}))"
+    rf"(?md)^(?=({_DECORATORS.replace('{g}', '2')}\d++\t\2{_DEF}{NAME}{_HEAD_REST}{_body(2)}))"
     + _DECORATORS.replace("{g}", "3")
 )
-_TO_DEF = rf"(?m)^\d++\t[ \t]*+{_DEF}(?s:.*)"
+_TO_DEF = rf"(?md)^\d++\t[ \t]*+{_DEF}(?s:.*)"
 
 CALL = (
     rf"(?<![\p{{L}}\p{{N}}_])(?<!\b(?:def|class)[ \t]{{1,8}})(?!(?:{KEYWORDS})\b)({NAME})[ \t]*+\("
@@ -85,7 +85,7 @@ def blank(text) -> Column:
 
 def clean(block) -> Column:
     """Block text without line numbers, continued lines joined."""
-    return F.regexp_replace(F.regexp_replace(_col(block), r"\n\d++\t\x02", " "), r"(?m)^\d++\t", "")
+    return F.regexp_replace(F.regexp_replace(_col(block), r"\n\d++\t\x02", " "), r"(?md)^\d++\t", "")
 
 
 def _span(block):

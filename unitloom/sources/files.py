@@ -8,12 +8,12 @@ from unitloom.functions import paths
 GLOB = "*.{[pP][yY],[rR][sS],[jJ][sS],[jJ][sS][xX],[tT][sS],[tT][sS][xX],[hH][tT][mM],[hH][tT][mM][lL]}"
 
 
-def read_repository(spark: SparkSession, root: str) -> DataFrame:
+def read_repository(spark: SparkSession, root: str, glob: str = GLOB) -> DataFrame:
     """path (relative to root) and raw bytes of every file with an indexable extension."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", GLOB)
+        .option("pathGlobFilter", glob)
         .load(root)
     )
     return relative_paths(files, root)

@@ -14,9 +14,9 @@ def _nullable(schema):
     return out
 
 
-def _read(spark, path, schema):
+def _lines(reader, path, schema):
     return (
-        spark.read.schema(_nullable(schema)).option("mode", "FAILFAST").json(path)
+        reader.schema(_nullable(schema)).option("mode", "FAILFAST").json(path)
         .withColumn("file", F.col("_metadata.file_path"))
         .withColumn("block", F.col("_metadata.file_block_start"))
     )
@@ -29,12 +29,12 @@ def with_file_order(df: DataFrame) -> DataFrame:
     ).drop("file", "block")
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def checked_chunks(lines: DataFrame) -> DataFrame:
     """Chunk rows with defaults filled and `seq`; a missing required key fails the job.
 
-    Blank lines are skipped by the reader. Id and hash are derived, not trusted.
+    Id and hash are derived, not trusted.
     """
-    rows = with_file_order(_read(spark, path, CHUNK))
+    rows = with_file_order(lines)
     required = {
         c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(
             F.raise_error(F.lit(f"chunk row without required key {c}")).cast(CHUNK[c].dataType)
@@ -53,6 +53,16 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*CHUNK.fieldNames(), "seq")
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk rows of a file or folder; the reader skips blank lines."""
+    return checked_chunks(_lines(spark.read, path, CHUNK))
+
+
+def stream_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk files as they arrive; pass each micro-batch to `checked_chunks`."""
+    return _lines(spark.readStream, path, CHUNK)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
@@ -62,7 +72,7 @@ def read_refs(spark: SparkSession, path: str) -> DataFrame:
     """Refs, the last row per unit_id; an absent file gives no rows."""
     if not _exists(spark, path):
         return spark.createDataFrame([], _nullable(REFS))
-    rows = with_file_order(_read(spark, path, REFS))
+    rows = with_file_order(_lines(spark.read, path, REFS))
     rows = rows.withColumn("refs", F.coalesce("refs", F.create_map().cast("map<string,string>")))
     return last_wins(rows, "unit_id", "seq").select(*REFS.fieldNames())
 

@@ -1,23 +1,34 @@
-"""Incremental loads: files that arrive in a folder are indexed and upserted."""
+"""Incremental loads: arriving source files or chunk files are upserted.
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+Both run with `availableNow`; the checkpoint remembers which files were taken. A
+replayed micro-batch upserts the same rows again, so the tables end the same.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
 
 from unitloom.plans.index import index_files
 from unitloom.plans.load import prepare_units
 from unitloom.sources import files as file_source
+from unitloom.sources import jsonl
 from unitloom.sources.tables import CodeTables
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _run(arriving: DataFrame, checkpoint: str, take):
+    return (
+        arriving.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_repository(
     spark: SparkSession, root: str, table_root: str, checkpoint: str, *, job_prefix: str = "stream",
     buckets: int = 64, max_files: int = 100_000, context: dict | None = None, **model,
 ):
-    """Start one `availableNow` run; the checkpoint remembers which files were taken.
-
-    A replayed micro-batch upserts the same rows again, so the tables end the same.
-    """
+    """Source files of `root` -> units -> tables."""
     arriving = (
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
@@ -29,15 +40,24 @@ def stream_repository(
 
     def take(batch: DataFrame, number: int) -> None:
         found = file_source.relative_paths(batch, root)
-        units, refs = index_files(found, **(context or {}))
-        ready = prepare_units(units, refs, **model)
-        CodeTables(batch.sparkSession, table_root, buckets).upsert_batch(
-            ready, job_id=f"{job_prefix}-{number}"
-        )
+        chunks, refs = index_files(found, **(context or {}))
+        ready = prepare_units(chunks, refs, refs_in_base=True, **model)
+        CodeTables(batch.sparkSession, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
 
-    return (
-        arriving.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _run(arriving, checkpoint, take)
+
+
+def stream_chunks(
+    spark: SparkSession, folder: str, table_root: str, checkpoint: str, *, job_prefix: str = "stream",
+    buckets: int = 64, **model,
+):
+    """Chunk files of `folder`/chunks.jsonl, with the refs known when they arrive."""
+    folder = folder.rstrip("/")
+
+    def take(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        refs = jsonl.read_refs(here, f"{folder}/refs.jsonl")
+        ready = prepare_units(jsonl.checked_chunks(batch), refs, refs_in_base=True, **model)
+        CodeTables(here, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
+
+    return _run(jsonl.stream_chunk_lines(spark, f"{folder}/chunks.jsonl"), checkpoint, take)
