@@ -6,7 +6,7 @@ from unitloom.functions.texts import line_range, role, strip
 from unitloom.operators.extract import docs
 from unitloom.operators.extract.common import (
     ANONYMOUS, BRACES, BRACKETS, GAP, ID, PARENS, TO_LINE_END, _col, all_matches,
-    distinct_calls, last_line_like, mark_lines, newlines, number_lines, positions,
+    distinct_calls, last_line_like, let, mark_lines, newlines, number_lines, positions,
 )
 
 SCRIPT_LANGUAGES = ["javascript", "typescript", "tsx"]
@@ -194,24 +194,29 @@ def extract_scripts(df: DataFrame) -> DataFrame:
         }
     )
 
-    def unit(u):
+    def unit(u, file):
         span = u["span"]
         start, end = span["start"]["line"], span["end"]["line"]
-        chain = F.transform(F.filter("js_classes", lambda c: _inside(span, c["span"])), lambda c: c["symbol"])
+        chain = F.transform(
+            F.filter(file["js_classes"], lambda c: _inside(span, c["span"])), lambda c: c["symbol"]
+        )
         return F.struct(
             start.alias("start_line"),
             end.alias("end_line"),
             u["symbol"].alias("symbol"),
             chain.alias("class_chain"),
             role(chain).alias("role"),
-            line_range("lines", start, end).alias("content"),
+            line_range(file["lines"], start, end).alias("content"),
             distinct_calls(span["block"], SCRIPT_CALL).alias("calls"),
-            docs.js_doc("lines", "js_not_blank", "js_opening", "js_other", start).alias("doc"),
+            docs.js_doc(
+                file["lines"], file["js_not_blank"], file["js_opening"], file["js_other"], start
+            ).alias("doc"),
             F.lit(None).cast("map<string,string>").alias("refs"),
         )
 
-    df = df.withColumn("js_units", _by_position("js_units"))
-    return df.withColumn("script", F.transform("js_units", unit)).drop(
+    context = F.struct("lines", "js_classes", "js_not_blank", "js_opening", "js_other")
+    units = let(context, lambda c: F.transform(_by_position("js_units"), lambda u: unit(u, c)))
+    return df.withColumn("script", units).drop(
         "js_plain", "js_marked", "js_lines", "js_raw", "js_classes", "js_units",
         "js_not_blank", "js_opening", "js_other",
     )
@@ -259,9 +264,11 @@ def extract_rust(df: DataFrame) -> DataFrame:
         }
     )
 
-    def unit(span):
+    def unit(span, file):
         start, end = span["start"]["line"], span["end"]["line"]
-        chain = F.transform(F.filter("rs_impls", lambda c: _inside(span, c["span"])), lambda c: c["symbol"])
+        chain = F.transform(
+            F.filter(file["rs_impls"], lambda c: _inside(span, c["span"])), lambda c: c["symbol"]
+        )
         # Macro arguments and attributes are token trees, they hold no calls.
         body = F.regexp_replace(span["block"], rf"[\p{{L}}\p{{N}}_]+!\s*(?:{PARENS}|{BRACKETS}|{BRACES})|#!?{BRACKETS}", " ")
         return F.struct(
@@ -270,12 +277,14 @@ def extract_rust(df: DataFrame) -> DataFrame:
             F.regexp_extract(span["block"], r"fn\s+([\p{L}_][\p{L}\p{N}_]*)", 1).alias("symbol"),
             chain.alias("class_chain"),
             role(chain).alias("role"),
-            line_range("lines", start, end).alias("content"),
+            line_range(file["lines"], start, end).alias("content"),
             distinct_calls(body, RUST_CALL).alias("calls"),
-            docs.rust_doc("lines", "rs_other", start).alias("doc"),
+            docs.rust_doc(file["lines"], file["rs_other"], start).alias("doc"),
             F.lit(None).cast("map<string,string>").alias("refs"),
         )
 
-    return df.withColumn("rust", F.transform("rs_units", unit)).drop(
+    context = F.struct("lines", "rs_impls", "rs_other")
+    units = let(context, lambda c: F.transform("rs_units", lambda s: unit(s, c)))
+    return df.withColumn("rust", units).drop(
         "rs_plain", "rs_marked", "rs_lines", "rs_other", "rs_impls", "rs_units"
     )

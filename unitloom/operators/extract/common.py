@@ -13,6 +13,15 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """`body(x)` with x bound to a value computed once.
+
+    The optimizer may inline a column into a lambda that uses it, where it would run
+    once per element; what a lambda needs from outside is therefore bound here.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nested(opening: str, closing: str, depth: int) -> str:
     """Text between balanced brackets, up to `depth` levels."""
     plain = f"[^{opening}{closing}]++"
@@ -67,25 +76,31 @@ TO_LINE_END = r"(?=([^\x01]*+\x01\d++))"
 
 def positions(blocks, line_ends, lines) -> Column:
     """Blocks with start and end as (line, column), from what follows each start."""
-    blocks, line_ends, lines = _col(blocks), _col(line_ends), _col(lines)
 
-    def place(block, rest):
+    def place(block, rest, lines):
         line = F.regexp_extract(rest, r"\x01(\d+)\z", 1).cast("int") - 1
-        left = F.length(F.regexp_extract(rest, r"^[^\n]*", 0))
-        column = F.length(F.get(lines, line - 1)) - left
-        clean = unmark(block)
-        more = newlines(clean)
-        tail = F.length(F.substring_index(clean, "\n", -1))
+        found = F.struct(
+            line.alias("line"),
+            F.length(F.regexp_extract(rest, r"^[^\n]*", 0)).alias("left"),
+            unmark(block).alias("block"),
+        )
+        return let(found, lambda f: let(f.withField("col", F.length(F.get(lines, f["line"] - 1)) - f["left"]), span))
+
+    def span(f):
+        more = newlines(f["block"])
+        tail = F.length(F.substring_index(f["block"], "\n", -1))
         return F.struct(
-            F.struct(line.alias("line"), column.alias("col")).alias("start"),
+            F.struct(f["line"].alias("line"), f["col"].alias("col")).alias("start"),
             F.struct(
-                (line + more).alias("line"),
-                F.when(more == 0, column + tail).otherwise(tail).alias("col"),
+                (f["line"] + more).alias("line"),
+                F.when(more == 0, f["col"] + tail).otherwise(tail).alias("col"),
             ).alias("end"),
-            clean.alias("block"),
+            f["block"].alias("block"),
         )
 
-    return F.zip_with(blocks, line_ends, place)
+    return let(
+        _col(lines), lambda ls: F.zip_with(_col(blocks), _col(line_ends), lambda b, r: place(b, r, ls))
+    )
 
 
 def last_line_like(numbered, start_line: str) -> Column:
@@ -94,17 +109,22 @@ def last_line_like(numbered, start_line: str) -> Column:
     `start_line` is a pattern for the text of one numbered line.
     """
     segment = rf"(?md)^\d++\t(?:{start_line})$(?:\n(?!\d++\t(?:{start_line})$)[^\n]*+)*+"
-    segments = all_matches(numbered, segment)
-    owned = F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.array_repeat(
-                F.regexp_extract(s, r"^(\d+)", 1).cast("int"), (newlines(s) + 1).cast("int")
-            ),
+
+    def owners(found):
+        return F.flatten(
+            F.transform(
+                found,
+                lambda s: F.array_repeat(
+                    F.regexp_extract(s, r"^(\d+)", 1).cast("int"), (newlines(s) + 1).cast("int")
+                ),
+            )
         )
-    )
-    ahead = newlines(numbered) + 1 - F.size(owned)
-    return F.concat(F.array_repeat(F.lit(0), ahead.cast("int")), owned)
+
+    def fill(owned):
+        ahead = newlines(numbered) + 1 - F.size(owned)
+        return F.concat(F.array_repeat(F.lit(0), ahead.cast("int")), owned)
+
+    return let(owners(all_matches(numbered, segment)), fill)
 
 
 def at(array, index) -> Column:

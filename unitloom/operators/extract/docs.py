@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from unitloom.functions.texts import strip
-from unitloom.operators.extract.common import _col, at
+from unitloom.operators.extract.common import _col, at, let
 
 RUST_DOC = r"[ \t]*+//[/!][^\n]*+"
 # Lines that end a walk upwards.
@@ -13,35 +13,46 @@ NOT_BLANK = r"(?![ \t\x0b\f\r]*+$)[^\n]*+"
 JSDOC_OPEN = r"(?=[^\n]*?/\*\*)[^\n]*+"
 
 _DOCSTRING = (
-    r"^(?:[ \t]*+(?:#[^\n]*+)?\n)*+[ \t]*+[rRuU]?"
-    r'(?:"""((?:[^"\\]++|\\(?s:.)|"(?!""))*+)"""'
-    r"|'''((?:[^'\\]++|\\(?s:.)|'(?!''))*+)'''"
-    r'|"((?:[^"\\\n]++|\\(?s:.))*+)"'
-    r"|'((?:[^'\\\n]++|\\(?s:.))*+)')"
+    r"^(?:[ \t]*+(?:#[^\n]*+)?\n)*+[ \t]*+[rRuU]?("
+    r'"""(?:[^"\\]++|\\(?s:.)|"(?!""))*+"""'
+    r"|'''(?:[^'\\]++|\\(?s:.)|'(?!''))*+'''"
+    r'|"(?:[^"\\\n]++|\\(?s:.))*+"'
+    r"|'(?:[^'\\\n]++|\\(?s:.))*+')"
     r"[ \t]*+(?:[;#\n]|\z)"
 )
 
 
+def _indent(line) -> Column:
+    return F.length(line) - F.length(F.ltrim(line))
+
+
 def clean_docstring(text) -> Column:
     """Common indentation and outer empty lines removed."""
-    lines = F.split(_col(text), "\n")
-    rest = F.slice(lines, F.lit(2), F.size(lines))
-    indents = F.transform(
-        F.filter(rest, lambda l: F.regexp_replace(l, "^ +", "") != ""),
-        lambda l: F.length(l) - F.length(F.regexp_replace(l, "^ +", "")),
-    )
-    margin = F.coalesce(F.array_min(indents), F.lit(0))
-    first = F.regexp_replace(F.get(lines, F.lit(0)), "^ +", "")
-    body = F.transform(rest, lambda l: F.substring(l, margin + 1, F.length(l)))
-    return F.regexp_replace(F.array_join(F.concat(F.array(first), body), "\n"), r"\A\n+|\n+\z", "")
+
+    def unindent(lines):
+        rest = F.slice(lines, F.lit(2), F.size(lines))
+        indents = F.transform(F.filter(rest, lambda l: F.ltrim(l) != ""), _indent)
+        first = F.ltrim(F.get(lines, F.lit(0)))
+
+        def cut(margin):
+            body = F.transform(rest, lambda l: F.substring(l, margin + 1, F.length(l)))
+            return F.array_join(F.concat(F.array(first), body), "\n")
+
+        return let(F.coalesce(F.array_min(indents), F.lit(0)), cut)
+
+    return F.regexp_replace(let(F.split(_col(text), "\n"), unindent), r"\A\n+|\n+\z", "")
 
 
 def python_doc(body) -> Column:
     """Docstring that opens a body (the text below the header line), else empty."""
-    body = _col(body)
-    groups = [F.regexp_extract(body, _DOCSTRING, g) for g in (1, 2, 3, 4)]
-    found = F.concat(*groups)
-    return F.when(found == "", F.lit("")).otherwise(clean_docstring(found))
+
+    def unquote(text):
+        wide = text.startswith('"""') | text.startswith("'''")
+        edge = F.when(wide, 3).otherwise(1)
+        return F.substring(text, edge + 1, F.length(text) - 2 * edge)
+
+    literal = F.regexp_extract(_col(body), _DOCSTRING, 1)
+    return let(literal, lambda t: F.when(t == "", "").otherwise(clean_docstring(unquote(t))))
 
 
 def _between(lines, above, below) -> Column:

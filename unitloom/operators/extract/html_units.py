@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from unitloom.functions.texts import html_role, line_range
-from unitloom.operators.extract.common import all_matches, newlines
+from unitloom.operators.extract.common import all_matches, let, newlines
 
 BLOCK = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 # Every text run up to and including a block, then the rest.
@@ -16,9 +16,8 @@ def blocks(text) -> Column:
     A page holds few blocks; the lines before each one are the sum over earlier runs.
     """
     text = F.col(text) if isinstance(text, str) else text
-    runs = all_matches(text, _STEP)
 
-    def place(run, i):
+    def place(run, i, runs):
         block = F.regexp_extract(run, BLOCK, 0)
         before = F.aggregate(F.slice(runs, F.lit(1), i), F.lit(0), lambda n, r: n + newlines(r).cast("int"))
         start = before + newlines(run).cast("int") - newlines(block).cast("int") + 1
@@ -29,7 +28,7 @@ def blocks(text) -> Column:
             (start + newlines(block).cast("int")).alias("end_line"),
         )
 
-    return F.transform(runs, place)
+    return let(all_matches(text, _STEP), lambda runs: F.transform(runs, lambda r, i: place(r, i, runs)))
 
 
 def script_body(block) -> Column:
@@ -41,7 +40,7 @@ def extract(df: DataFrame) -> DataFrame:
     """Adds `html`: one unit per block, without calls."""
     mine = F.when(F.col("language") == "html", F.col("text"))
 
-    def unit(b):
+    def unit(b, lines):
         none = F.array().cast("array<string>")
         return F.struct(
             b["start_line"].alias("start_line"),
@@ -49,14 +48,15 @@ def extract(df: DataFrame) -> DataFrame:
             F.concat(b["tag"], F.lit(":inline:"), b["start_line"].cast("string")).alias("symbol"),
             none.alias("class_chain"),
             html_role(b["tag"]).alias("role"),
-            line_range("lines", b["start_line"], b["end_line"]).alias("content"),
+            line_range(lines, b["start_line"], b["end_line"]).alias("content"),
             none.alias("calls"),
             F.lit("").alias("doc"),
             F.lit(None).cast("map<string,string>").alias("refs"),
         )
 
     df = df.withColumn("html_blocks", blocks(mine))
-    return df.withColumn("html", F.transform("html_blocks", unit)).drop("html_blocks")
+    units = let(F.col("lines"), lambda ls: F.transform("html_blocks", lambda b: unit(b, ls)))
+    return df.withColumn("html", units).drop("html_blocks")
 
 
 def with_inline_scripts(files: DataFrame) -> DataFrame:

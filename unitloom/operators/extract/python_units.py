@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from unitloom.functions.texts import line_range, role, strip
 from unitloom.operators.extract import docs
 from unitloom.operators.extract.common import (
-    ANY_BRACKET, _col, all_matches, distinct_calls, newlines, number_lines,
+    ANY_BRACKET, _col, all_matches, distinct_calls, let, newlines, number_lines,
 )
 
 NAME = r"[\p{L}_][\p{L}\p{N}_]*+"
@@ -122,9 +122,12 @@ def class_spans(numbered) -> Column:
     def span(block):
         start, end = _span(block)
         head = class_header(F.regexp_extract(clean(block), r"^[^\n]*", 0))
-        return F.struct(
-            start.alias("start"), end.alias("end"), head["name"].alias("name"),
-            head["bases"].alias("bases"), head["metaclass"].alias("metaclass"),
+        return let(
+            head,
+            lambda h: F.struct(
+                start.alias("start"), end.alias("end"), h["name"].alias("name"),
+                h["bases"].alias("bases"), h["metaclass"].alias("metaclass"),
+            ),
         )
 
     return F.transform(all_matches(numbered, CLASS_BLOCK, 1), span)
@@ -146,13 +149,21 @@ def extract(df: DataFrame) -> DataFrame:
         }
     )
 
-    def unit(block):
+    def locate(block):
         start, end = _span(block)
-        inner = F.regexp_extract(block, _TO_DEF, 0)
-        text = clean(inner)
+        return F.struct(
+            start.alias("start"), end.alias("end"), F.regexp_extract(block, _TO_DEF, 0).alias("inner"),
+        )
+
+    def surround(b, classes):
+        return b.withField(
+            "around", F.filter(classes, lambda c: (c["start"] < b["start"]) & (b["end"] <= c["end"]))
+        )
+
+    def unit(b, lines):
+        start, end, inner, around = b["start"], b["end"], b["inner"], b["around"]
         head_lines = newlines(F.regexp_extract(inner, rf"^{_HEAD_REST}", 0))
         body_start = F.regexp_extract(inner, r"^(\d+)", 1).cast("int") + head_lines.cast("int") + 1
-        around = F.filter("py_classes", lambda c: (c["start"] < start) & (end <= c["end"]))
         chain = F.transform(around, lambda c: c["name"])
         owner = F.get(around, F.size(around) - 1)
         refs = F.when(
@@ -169,15 +180,22 @@ def extract(df: DataFrame) -> DataFrame:
             F.regexp_extract(inner, rf"{_DEF}({NAME})", 1).alias("symbol"),
             chain.alias("class_chain"),
             role(chain).alias("role"),
-            line_range("lines", start, end).alias("content"),
-            distinct_calls(text, CALL).alias("calls"),
+            line_range(lines, start, end).alias("content"),
+            distinct_calls(clean(inner), CALL).alias("calls"),
             docs.python_doc(
-                F.when(body_start <= end, line_range("lines", body_start, end)).otherwise("")
+                F.when(body_start <= end, line_range(lines, body_start, end)).otherwise("")
             ).alias("doc"),
             refs.alias("refs"),
         )
 
-    units = F.transform("py_blocks", unit)
+    context = F.struct(F.col("py_classes").alias("classes"), "lines")
+    units = let(
+        context,
+        lambda c: F.transform(
+            "py_blocks",
+            lambda b: let(locate(b), lambda x: let(surround(x, c["classes"]), lambda y: unit(y, c["lines"]))),
+        ),
+    )
     ordered = F.array_sort(
         units,
         lambda a, b: F.when(a["start_line"] != b["start_line"], a["start_line"] - b["start_line"]).otherwise(0),
