@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.functions import texts
 from unitloom.functions.embedding import embed_lanes
+from unitloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ COMMA_WORDS = r"(\p{L}+),"
 
 
 def bare_units(spark, sf_dir) -> DataFrame:
-    doc = table(spark, sf_dir, "documents")
+    doc = spread(table(spark, sf_dir, "documents"))
     home = F.when(F.col("doc_id") % 7 == 0, "tests").otherwise("src")
     path = F.concat(home, F.lit("/"), "source", F.lit("/"), "lang", F.lit("/d"), "doc_id", F.lit(".py"))
     chain = F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("C"), "source"))).otherwise(

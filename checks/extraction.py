@@ -8,6 +8,7 @@ from unitloom.functions import texts
 from unitloom.operators import joins
 from unitloom.operators.extract import html_units, python_units
 from unitloom.plans.index import found_units, index_files
+from unitloom.session import spread
 from unitloom.sources import jsonl
 
 # One template per language. {T} is the document text, {id}, {source}, {lang} its columns.
@@ -81,7 +82,7 @@ CLEAN = r"""[\\"'*/!{}()]"""
 
 def files(spark, sf_dir, kind):
     template, suffix, margin = FILES[kind]
-    doc = table(spark, sf_dir, "documents")
+    doc = spread(table(spark, sf_dir, "documents"))
     clean = F.regexp_replace(F.regexp_replace("text", CLEAN, ""), r"[ \t\r]*\n[ \t\r\n]*", "\n")
     clean = F.regexp_replace(clean, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     text = F.lit(template)
@@ -348,7 +349,7 @@ cte(
 
 
 def pages(spark, sf_dir, text="html"):
-    df = table(spark, sf_dir, "pages")
+    df = spread(table(spark, sf_dir, "pages"))
     return df.select(
         F.concat(F.lit("site/p"), "page_id", F.lit(".html")).alias("path"), (F.expr(text) if isinstance(text, str) else text).alias("text"),
         F.lit("html").alias("language"), F.concat(F.lit("site.p"), "page_id").alias("module"),
@@ -383,7 +384,7 @@ INLINE = "function p{id}(n) {\n  return track(n);\n}\nvar later = () => ping();"
 def ext_6(spark, sf_dir):
     code = F.replace(F.lit("<script>" + INLINE), F.lit("{id}"), F.col("page_id").cast("string"))
     df = pages(spark, sf_dir, F.replace("html", F.lit("<script>"), code))
-    found = found_units(df).filter(F.col("language") == "javascript")
+    found = found_units(df, ["html", "javascript"]).filter(F.col("language") == "javascript")
     return found.select("path", F.col("start_line").cast("long").alias("start_line"), "symbol", F.array_join("calls", " ").alias("calls"))
 
 
@@ -410,3 +411,54 @@ def qry_5(spark, sf_dir):
         "id", F.col("start_line").cast("long").alias("start_line"), F.array_join("calls", " ").alias("calls"), "content_hash",
         F.size(F.split("search_text", "\n")).cast("long").alias("search_lines"),
     )
+
+
+@check(
+    "udf_2_language_plug_in",
+    sql("SELECT path, 1::BIGINT AS start_line, nl + 1 AS end_line, 'C' || source AS symbol FROM (SELECT *, 'notes/d' || doc_id || '.txt' AS path FROM clean)", "clean"),
+)
+def udf_2(spark, sf_dir):
+    """A caller's own language: one unit per plain text, named by its source."""
+    doc = spread(table(spark, sf_dir, "documents"))
+    clean = F.regexp_replace(F.regexp_replace("text", CLEAN, ""), r"[ \t\r]*\n[ \t\r\n]*", "\n")
+    clean = F.regexp_replace(clean, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    described = doc.select(
+        F.concat(F.lit("notes/d"), "doc_id", F.lit(".txt")).alias("path"), clean.alias("text"), F.lit("note").alias("language"),
+        F.col("source").alias("module"), F.lit(None).cast("string").alias("package"), F.lit("docs").alias("namespace"),
+    )
+    _register_notes()
+    found = found_units(described, ["note"])
+    return found.select(
+        "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "symbol"
+    )
+
+
+def _register_notes():
+    from unitloom.operators.extract.registry import register_language, register_refs
+
+    def notes(df):
+        none = F.array().cast("array<string>")
+        unit = F.struct(
+            F.lit(1).alias("start_line"), F.size("lines").alias("end_line"), F.concat(F.lit("C"), "module").alias("symbol"),
+            F.array("module").alias("class_chain"), F.lit("function").alias("role"), F.col("text").alias("content"), none.alias("calls"),
+            F.lit("").alias("doc"), F.lit(None).cast("map<string,string>").alias("refs"),
+        )
+        return df.withColumn("note", F.when(F.col("language") == "note", F.array(unit)))
+
+    register_language("note", ["note"], notes)
+    register_refs("note", lambda u: F.create_map(F.lit("mro"), F.concat(u["symbol"], F.lit(", object"))))
+
+
+@check(
+    "udf_3_ref_plug_in",
+    sql("SELECT 'notes/d' || doc_id || '.txt' AS path, 'C' || source || ', object' AS mro FROM documents"),
+)
+def udf_3(spark, sf_dir):
+    """A caller's own class refs for that language."""
+    doc = spread(table(spark, sf_dir, "documents"))
+    described = doc.select(
+        F.concat(F.lit("notes/d"), "doc_id", F.lit(".txt")).alias("path"), "text", F.lit("note").alias("language"),
+        F.col("source").alias("module"), F.lit(None).cast("string").alias("package"), F.lit("docs").alias("namespace"),
+    )
+    _register_notes()
+    return found_units(described, ["note"]).select("path", F.col("refs")["mro"].alias("mro"))

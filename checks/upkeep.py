@@ -11,6 +11,7 @@ from unitloom.schema import CHUNK, CODE_UNITS
 from unitloom.sources import files as file_source
 from unitloom.sources import jsonl
 from unitloom.sources.tables import CodeTables
+from unitloom.streaming.ingest import stream_chunks
 
 # A second load: labelled documents with new content, plus one unit per benchmark text;
 # every labelled unit comes twice and the later row counts.
@@ -241,3 +242,15 @@ def qry_6(spark, sf_dir):
         "id", F.md5(F.col("content").cast("binary")).alias("digest"), "embed_func_text", "embed_class_text",
         filled("vec_func").alias("n_func"), filled("vec_class").alias("n_class"),
     )
+
+
+@check("inc_2_streaming_ingest", sql("SELECT id, md5(content) AS digest, CASE job WHEN 'job1' THEN 'stream-0' ELSE 'stream-1' END AS job FROM upserted", "upserted"))
+def inc_2(spark, sf_dir):
+    """Chunk files arrive twice; each run takes the new ones and upserts them."""
+    base = scratch(spark)
+    for rows in (_chunks(spark, sf_dir), maintain.last_wins(batch(spark, sf_dir), "id", "seq")):
+        rows = rows.withColumn("embed_text", F.lit("")).withColumn("doc", F.lit(""))
+        jsonl.chunk_record(rows).write.mode("append").json(base + "/index/chunks.jsonl")
+        stream_chunks(spark, base + "/index", base + "/tables", base + "/stream", buckets=4).awaitTermination()
+    units = CodeTables(spark, base + "/tables", 4).units()
+    return units.select("id", F.md5(F.col("content").cast("binary")).alias("digest"), F.col("job_id").alias("job"))

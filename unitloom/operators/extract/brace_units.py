@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from unitloom.functions.texts import line_range, role, strip
 from unitloom.operators.extract import docs
 from unitloom.operators.extract.common import (
-    ANONYMOUS, BRACES, BRACKETS, GAP, ID, PARENS, TO_LINE_END, _col, all_matches,
-    distinct_calls, last_line_like, let, mark_lines, newlines, number_lines, positions,
+    ANONYMOUS, BRACES, BRACKETS, GAP, ID, PARENS, TO_MARK, _col, all_matches,
+    distinct_calls, last_line_like, let, mark_lines, newlines, number_lines, placed,
 )
 
 SCRIPT_LANGUAGES = ["javascript", "typescript", "tsx"]
@@ -69,31 +69,45 @@ _VALUE_BEFORE = (
     r"\b(?:return|typeof|new|void|delete|in|of|yield|await|throw|case)\s{1,12})"
 )
 _NO_VALUE_BEFORE = _VALUE_BEFORE.replace("(?<=", "(?<!", 1)
-def _function(before: str, name: str) -> str:
-    return (
-        rf"(?<![\p{{L}}\p{{N}}_$.])(?<!\basync\s{{1,4}}){before}(?:async\s++)?function\b"
-        rf"{GAP}{name}{GAP}{_GENERIC}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
-    )
+_WORD_START = r"(?<![\p{L}\p{N}_$.])"
+
 
+def _function(name: str) -> str:
+    return rf"(?:async\s++)?function\b{GAP}{name}{GAP}{_GENERIC}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
 
-DECLARATION = _function(_NO_VALUE_BEFORE, ID)
-EXPRESSION = f"(?:{_function(_VALUE_BEFORE, f'(?:{ID})?+')}|{_function(_NO_VALUE_BEFORE, '')})"
+
+# Cheap tests come first, the bounded looks behind a start only where a block may begin.
+_FUNCTION_START = rf"(?=async\s|function\b){_WORD_START}(?<!\basync\s{{1,4}})"
+DECLARATION = (_FUNCTION_START + _NO_VALUE_BEFORE, _function(ID))
+EXPRESSIONS = [
+    (_FUNCTION_START + _VALUE_BEFORE, _function(f"(?:{ID})?+")),
+    (_FUNCTION_START + _NO_VALUE_BEFORE, _function("")),
+]
 
 _MODIFIER = "static|async|get|set|public|private|protected|override|readonly"
-METHOD = (
-    rf"(?<![\p{{L}}\p{{N}}_$.#])(?<!\b(?:{_MODIFIER}|new)\s{{1,4}})(?<!\*\s{{0,3}})(?<!\bfunction\s{{0,4}})"
+_METHOD_HEAD = (
     rf"(?:(?:{_MODIFIER})\s++(?=[\p{{L}}\p{{N}}_$#\[*]))*+(?:\*\s*+)?+"
-    rf"(?!(?:{_SCRIPT_WORDS})\b)(?:\#?+{ID}|{BRACKETS}){GAP}\??+{_GENERIC}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
+    rf"(?!(?:{_SCRIPT_WORDS})\b)(?:\#?+{ID}|{BRACKETS}){GAP}\??+{_GENERIC}{GAP}{PARENS}"
+)
+METHOD = (
+    rf"(?=[\p{{L}}_$#\[*])(?<![\p{{L}}\p{{N}}_$.#])(?={_METHOD_HEAD})"
+    rf"(?<!\b(?:{_MODIFIER}|new)\s{{1,4}})(?<!\*\s{{0,3}})(?<!\bfunction\s{{0,4}})",
+    rf"{_METHOD_HEAD}{_TYPE}{GAP}{BRACES}",
 )
 _EXPR = (
     rf"(?:[^()\[\]{{}},;\n]++|{PARENS}|{BRACKETS}|{BRACES}|\n\x01\d++\x02(?=\s*+[.?:&|+*]))++"
 )
+_ARROW_HEAD = (
+    rf"(?:async\b{GAP})?(?:{PARENS}{_TYPE}|(?!(?:{_SCRIPT_WORDS})\b){ID}){GAP}=>"
+)
 ARROW = (
-    rf"(?<![\p{{L}}\p{{N}}_$.])(?<!\basync\s{{0,4}})(?<!\)\s{{0,3}}:\s{{0,5}})(?<![|&]\s{{0,4}})"
-    rf"(?:async\b{GAP})?(?:{PARENS}{_TYPE}|(?!(?:{_SCRIPT_WORDS})\b){ID}){GAP}=>{GAP}(?:{BRACES}|{_EXPR})"
+    rf"(?=[(\p{{L}}_$]){_WORD_START}(?={_ARROW_HEAD})"
+    rf"(?<!\basync\s{{0,4}})(?<!\)\s{{0,3}}:\s{{0,5}})(?<![|&]\s{{0,4}})",
+    rf"{_ARROW_HEAD}{GAP}(?:{BRACES}|{_EXPR})",
 )
 CLASS = (
-    rf"(?<![\p{{L}}\p{{N}}_$.])(?<!\babstract\s{{1,4}}){_NO_VALUE_BEFORE}class\s++{ID}[^{{}}]*+{BRACES}"
+    rf"(?=class\s){_WORD_START}(?<!\babstract\s{{1,4}}){_NO_VALUE_BEFORE}",
+    rf"class\s++{ID}[^{{}}]*+{BRACES}",
 )
 _TYPE_ONLY = rf"\b(?:interface\s++{ID}[^{{}};]*+{BRACES}|type\s++{ID}{_GENERIC}\s*+=(?:[^;{{}}()\n]++|{PARENS}|{BRACES})*+)"
 
@@ -103,13 +117,19 @@ SCRIPT_CALL = (
 )
 
 
-def _spans(marked, lines, pattern: str, consume: bool = False) -> Column:
-    """Blocks of a pattern from every start position (or side by side) with positions."""
-    whole = f"({pattern})" if consume else f"(?=({pattern}))"
-    # Groups of `pattern` are all non-capturing.
-    blocks = all_matches(marked, whole, 1)
-    ends = all_matches(marked, TO_LINE_END + whole, 1)
-    return positions(blocks, ends, lines)
+def _spans(marked, lines, before: str, pattern: str, consume: bool = False) -> Column:
+    """Blocks of a pattern from every start position (or side by side) with positions.
+
+    `before` looks at what precedes a block; it is not part of what is matched again
+    on the captured text.
+    """
+    whole = f"({pattern}{TO_MARK})"
+    if consume:
+        # The rest of the line is only looked at, a further block may start there.
+        whole = f"(?=({pattern}{TO_MARK})){pattern}"
+    else:
+        whole = f"(?={whole})"
+    return placed(all_matches(marked, before + whole, 1), pattern, lines)
 
 
 def _named(spans, symbol) -> Column:
@@ -166,7 +186,7 @@ def extract_scripts(df: DataFrame) -> DataFrame:
     )
 
     def spans(pattern):
-        return _spans("js_marked", "js_lines", pattern)
+        return _spans("js_marked", "js_lines", *pattern)
 
     df = df.withColumns(
         {
@@ -175,7 +195,7 @@ def extract_scripts(df: DataFrame) -> DataFrame:
             ),
             "js_units": F.concat(
                 _named(spans(DECLARATION), lambda b: F.regexp_extract(b, rf"function\s+({ID})", 1)),
-                _named(spans(EXPRESSION), lambda b: F.lit(ANONYMOUS)),
+                *[_named(spans(e), lambda b: F.lit(ANONYMOUS)) for e in EXPRESSIONS],
                 _named(spans(ARROW), lambda b: F.lit(ANONYMOUS)),
                 _named(
                     spans(METHOD),
@@ -226,11 +246,12 @@ def extract_scripts(df: DataFrame) -> DataFrame:
 
 _RUST_WORDS = "if|while|match|for|return|loop|in|as|move|let|mut|ref|unsafe|else|where|fn|pub|Fn|FnMut|FnOnce|dyn|impl|crate|break"
 FN_ITEM = (
-    r"(?<![\p{L}\p{N}_])(?:pub(?:\([^()]*+\))?+\s++)?+"
+    r"(?<![\p{L}\p{N}_])",
+    r"(?:pub(?:\([^()]*+\))?+\s++)?+"
     r"(?:(?:async|const|unsafe|default|extern(?:\s*+\"\")?+)\s++)*+"
-    rf"fn\s++[\p{{L}}_][\p{{L}}\p{{N}}_]*+[^{{}};]*+{BRACES}"
+    rf"fn\s++[\p{{L}}_][\p{{L}}\p{{N}}_]*+[^{{}};]*+{BRACES}",
 )
-IMPL_ITEM = rf"(?<![\p{{L}}\p{{N}}_])impl\b[^{{}};]*+{BRACES}"
+IMPL_ITEM = (r"(?=impl\b)(?<![\p{L}\p{N}_])", rf"impl\b[^{{}};]*+{BRACES}")
 _ANGLE = r"<(?:[^<>]++|->|<(?:[^<>]++|->|<(?:[^<>]++|<[^<>]*+>)*+>)*+>)*+>"
 RUST_CALL = (
     rf"(?<![\p{{L}}\p{{N}}_])(?<!\bfn\s{{1,8}})(?!(?:{_RUST_WORDS})\b)([\p{{L}}_][\p{{L}}\p{{N}}_]*+)\s*+"
@@ -259,8 +280,8 @@ def extract_rust(df: DataFrame) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "rs_impls": _named(_spans("rs_marked", "rs_lines", IMPL_ITEM), impl_type),
-            "rs_units": _spans("rs_marked", "rs_lines", FN_ITEM, consume=True),
+            "rs_impls": _named(_spans("rs_marked", "rs_lines", *IMPL_ITEM), impl_type),
+            "rs_units": _spans("rs_marked", "rs_lines", *FN_ITEM, consume=True),
         }
     )
 

@@ -70,19 +70,23 @@ def unmark(text) -> Column:
     return F.regexp_replace(_col(text), r"\x01\d++\x02", "")
 
 
-# What follows a match up to the next line mark: tells its line and its column.
-TO_LINE_END = r"(?=([^\x01]*+\x01\d++))"
+# Runs from a match to the next line mark: tells the line and column of the match.
+TO_MARK = r"[^\x01]*+\x01\d++"
 
 
-def positions(blocks, line_ends, lines) -> Column:
-    """Blocks with start and end as (line, column), from what follows each start."""
+def placed(captures, pattern: str, lines) -> Column:
+    """Blocks with start and end as (line, column).
 
-    def place(block, rest, lines):
-        line = F.regexp_extract(rest, r"\x01(\d+)\z", 1).cast("int") - 1
+    A capture is a block of `pattern` and what follows up to the next line mark; the
+    first mark behind the block's start names the line after it.
+    """
+
+    def place(capture, lines):
+        line = F.regexp_extract(capture, r"^[^\x01]*+\x01(\d+)", 1).cast("int") - 1
         found = F.struct(
             line.alias("line"),
-            F.length(F.regexp_extract(rest, r"^[^\n]*", 0)).alias("left"),
-            unmark(block).alias("block"),
+            F.length(F.regexp_extract(capture, r"^[^\n]*", 0)).alias("left"),
+            unmark(F.regexp_extract(capture, rf"\A(?:{pattern})", 0)).alias("block"),
         )
         return let(found, lambda f: let(f.withField("col", F.length(F.get(lines, f["line"] - 1)) - f["left"]), span))
 
@@ -98,9 +102,7 @@ def positions(blocks, line_ends, lines) -> Column:
             f["block"].alias("block"),
         )
 
-    return let(
-        _col(lines), lambda ls: F.zip_with(_col(blocks), _col(line_ends), lambda b, r: place(b, r, ls))
-    )
+    return let(_col(lines), lambda ls: F.transform(captures, lambda c: place(c, ls)))
 
 
 def last_line_like(numbered, start_line: str) -> Column:

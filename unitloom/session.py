@@ -38,3 +38,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose counted size is within `limit`."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a small scan; a scan with enough splits is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

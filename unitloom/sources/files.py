@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from unitloom.functions import paths
+from unitloom.session import spread
 
 # Pushed to the file listing; extensions match in either case.
 GLOB = "*.{[pP][yY],[rR][sS],[jJ][sS],[jJ][sS][xX],[tT][sS],[tT][sS][xX],[hH][tT][mM],[hH][tT][mM][lL]}"
@@ -16,7 +17,7 @@ def read_repository(spark: SparkSession, root: str, glob: str = GLOB) -> DataFra
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    return relative_paths(files, root)
+    return relative_paths(spread(files), root)
 
 
 def relative_paths(files: DataFrame, root: str) -> DataFrame:
