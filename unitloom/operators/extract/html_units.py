@@ -6,7 +6,7 @@ from unitloom.functions.texts import html_role, line_range
 from unitloom.operators.extract.common import all_matches, let, newlines
 
 BLOCK = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-# Every text run up to and including a block; \\G keeps runs adjacent and the scan linear.
+# Every text run up to and including a block; \G keeps runs adjacent and the scan linear.
 _STEP = r"(?is)\G.*?(?:<script\b.*?</script\s*>|<style\b.*?</style\s*>)"
 
 
