@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from unitloom.functions import kernels, shipping  # noqa: F401
 from unitloom.operators import topk
 
-BANDS = 8
+BANDS = 16
 BITS = 4
 
 
