@@ -175,3 +175,19 @@ def test_path_names(spark):
     ]
     site = df.limit(1).select(package_name(F.lit("my_pkg-1.0/x.py"), below_site_packages="")).first()[0]
     assert site == "my_pkg"
+
+
+def test_search_over_tables_reads_only_winning_folders(spark, tmp_path):
+    from unitloom.plans.search import one_query, search
+
+    rows = [chunk(f"p{i}.py", f"m.f{i}", f"body {i}", search_text=f"name f{i}", embed_text=f"def f{i}") for i in range(60)]
+    write(tmp_path / "in", rows)
+    root = str(tmp_path / "t")
+    load(spark, str(tmp_path / "in"), root, job_id="j", buckets=8, dim=16)
+    units = CodeTables(spark, root, 8).units()
+    q = one_query(spark, "def f7 name")
+    plain = search(units, q, k=3, dim=16)
+    pruned = search(units, q, k=3, dim=16, buckets=8)
+    pick = lambda d: sorted((r.rank, r.id, r.content, r.score) for r in d.collect())
+    assert pick(pruned) == pick(plain) and len(pick(plain)) == 3
+    assert "dynamicpruning" in pruned._jdf.queryExecution().executedPlan().toString()

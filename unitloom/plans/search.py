@@ -9,6 +9,7 @@ from unitloom.functions.paths import is_test_hit
 from unitloom.functions.vectors import lane_weights
 from unitloom.operators import graph, topk
 from unitloom.schema import EMBED_DIM
+from unitloom.sources.tables import bucket_of
 
 HIT_COLUMNS = ["qualified_name", "path", "role", "namespace", "content"]
 SCORE_COLUMNS = ["d_func", "d_call", "d_class", "ts_score", "score"]
@@ -29,13 +30,14 @@ def find_hits(
     units: DataFrame, queries: DataFrame, *, lane: str, weights: dict | None = None, k: int = 10,
     namespace: str | None = None, default_namespace: str | None = None,
     deprioritize_tests: bool = True, exclude_tests: bool = False, push_test_filter: bool = False,
-    model: str = DEFAULT_MODEL, dim: int = EMBED_DIM,
+    buckets: int | None = None, model: str = DEFAULT_MODEL, dim: int = EMBED_DIM,
 ) -> DataFrame:
     """At most k ranked hits per query, with the columns a hit carries.
 
     The namespace filter and, on request, the test filter run before scoring. Without
     `push_test_filter` tests are handled among 3k fetched rows, so fewer than k hits
-    can remain. Wide columns are fetched for the winners only.
+    can remain. Wide columns are fetched for the winners only; with `buckets` (that of
+    the unit table) from the folders that hold a winner.
     """
     namespace = namespace if namespace is not None else default_namespace
     if namespace is not None:
@@ -49,8 +51,11 @@ def find_hits(
     ).drop("rank")
     # The winners are at most 3k rows per query of a counted query table.
     bounded = queries.count() * 3 * k <= 1_000_000
-    described = units.select("id", *HIT_COLUMNS).fillna("", "namespace")
-    hits = described.join(F.broadcast(found) if bounded else found, "id")
+    keys = ["id"]
+    if buckets:
+        found, keys = found.withColumn("bucket", bucket_of("id", buckets)), ["id", "bucket"]
+    described = units.select(*keys, *HIT_COLUMNS).withColumn("namespace", F.coalesce("namespace", F.lit("")))
+    hits = described.join(F.broadcast(found) if bounded else found, keys)
     hits = topk.settle_tests(hits, k, deprioritize=deprioritize_tests, exclude=exclude_tests)
     return hits.select("query_id", "rank", "id", *HIT_COLUMNS, *SCORE_COLUMNS)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from unitloom.operators import maintain
 from unitloom.schema import CODE_EDGES, CODE_UNITS
+from unitloom.session import cut_lineage, small_side
 
 UNIT_LAYOUT = ["bucket", "namespace"]
 EDGE_LAYOUT = ["bucket"]
@@ -45,8 +46,9 @@ class CodeTables:
         done = [int(n[:-5]) for n in self._list("_snapshots") if n.endswith(".json")]
         if not done:
             return {"version": 0, "buckets": self.buckets, "units": {}, "edges": {}}
-        name = self._path(f"_snapshots/{max(done)}.json")
-        text = self.spark.read.option("wholetext", True).text(name.toString()).first()[0]
+        stream = self._fs.open(self._path(f"_snapshots/{max(done)}.json"))
+        text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
         return json.loads(text)
 
     def _publish(self, snapshot: dict) -> None:
@@ -115,21 +117,24 @@ class CodeTables:
         base = self.snapshot()
         if base["buckets"] != self.buckets:
             raise ValueError(f"table has {base['buckets']} buckets")
-        counts = maintain.batch_counts(batch).first()
+        # Ids and calls are written once; texts and vectors are computed only for the
+        # rows that are stored.
+        slim = cut_lineage(batch.select("id", "calls"))
+        counts = maintain.batch_counts(slim).first()
         if counts["n_units"] == 0:
             return {"version": base["version"], "n_units": 0, "n_edges": 0}
         # At most one row per bucket.
         touched = {
-            r["bucket"] for r in batch.select(bucket_of("id", self.buckets).alias("bucket")).distinct().collect()
+            r["bucket"] for r in slim.select(bucket_of("id", self.buckets).alias("bucket")).distinct().collect()
         }
         now = F.current_timestamp() if updated_at is None else F.lit(updated_at).cast("timestamp")
         fresh = maintain.last_wins(batch, "id", "seq").drop("seq")
         fresh = maintain.stamp(fresh, job_id).withColumn("updated_at", now)
         fresh = self._bucketed(fresh, "id").select(*CODE_UNITS.fieldNames(), "bucket")
-        ids = batch.select("id").distinct()
+        ids = small_side(slim.select("id").distinct(), counts["n_units"])
         units = self.units(touched).join(ids, "id", "left_anti").unionByName(fresh)
         kept = self.edges(touched).drop("bucket")
-        edges = self._bucketed(maintain.replace_edges(kept, batch), "caller_id")
+        edges = self._bucketed(maintain.replace_edges(kept, slim), "caller_id")
         version = self._commit(units, edges, touched, base)
         return {"version": version, "n_units": counts["n_units"], "n_edges": counts["n_edges"]}
 
