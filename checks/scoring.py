@@ -133,7 +133,7 @@ def top_1(spark, sf_dir):
 
 vector_ctes("v_query64", "queries", "query_id", "query", dim=64, needs=["queries"])
 cte("planes", """SELECT i, j, CAST('0x' || substr(md5(i || ':' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5::DOUBLE AS p
-  FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j)""")
+  FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 96)) AS j)""")
 cte("vec_elements", """SELECT vec_id, unnest(range(0, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings""")
 cte("unit_codes", """SELECT vec_id, j // 4 AS band, sum(CASE WHEN s >= 0 THEN 1 << (j % 4)::INTEGER ELSE 0 END) AS code
   FROM (SELECT vec_id, j, sum(x * p) AS s FROM vec_elements JOIN planes USING (i) GROUP BY 1, 2) GROUP BY 1, 2""", ["planes", "vec_elements"])
