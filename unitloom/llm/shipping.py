@@ -1,0 +1,7 @@
+"""Makes the batch helpers travel with the closures that use them."""
+
+from pyspark import cloudpickle
+
+from unitloom.llm import bytes_kernel
+
+cloudpickle.register_pickle_by_value(bytes_kernel)
