@@ -3,4 +3,9 @@
 Each module holds one operator with its own interface, `queries` the registered queries.
 """
 
-from unitloom.llm import shipping  # noqa: F401
+import sys
+
+from pyspark import cloudpickle
+
+# Batch functions travel with the closures that use them: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
