@@ -1,7 +1,9 @@
 """Registered queries of the operators: production parameters, whole tables, digest columns."""
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.minhash import near_duplicates
 
 QUERIES = {}
@@ -21,3 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_circulant_minhash(spark, sf_dir):
     """Near duplicates of all documents on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op4_byte_bpe(spark, sf_dir):
+    """Ids and decoded bytes of all documents, as digests."""
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode(tokens, ranks).select(
+        "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
