@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.minhash import near_duplicates
+from unitloom.llm.repeats import remove_repeats
 
 QUERIES = {}
 SQL = {}
@@ -34,3 +35,11 @@ def op4_byte_bpe(spark, sf_dir):
         "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents that lie in an earlier 100-byte string."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
