@@ -19,7 +19,8 @@ SLOT_BITS = 22
 BANDS, ROWS = 32, 6
 # A candidate at the threshold 0.8 is missed with probability (1 - 0.8**6)**32 < 7e-5.
 MEMBERS_PER_TASK = 256
-PIVOTS = 32
+EXTRA_LEADERS = 4
+TILE_SHINGLES = 400_000
 
 
 class Shingles:
@@ -167,7 +168,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     part gets the leader's set once, so no task holds more than one leader and a stream of members.
     """
     parts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("parts"))
-    members = pairs.join(parts, "lead").select(
+    parts = saved(parts)
+    members = pairs.join(small(parts), "lead").select(
         F.col("doc").alias("doc_id"), "lead", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role")
     )
     leaders = parts.select(
@@ -179,10 +181,107 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", "role")
     out = saved(dealt.mapInArrow(_compare(percent), "a long, b long"))
-    drop_saved(roles)
+    drop_saved(roles, parts)
     return out
 
 
+def _tile(percent):
+    """All pairs of a pivot and a member of another component, on their full sets."""
+
+    def run(table):
+        docs, comps, is_pivot = (table.column(c).to_numpy() for c in ("doc", "comp", "pivot"))
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("data")]
+        pivots, members = np.flatnonzero(is_pivot == 1), np.flatnonzero(is_pivot == 0)
+        if not len(pivots) or not len(members):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(x) for x in sets])
+        names, flat = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+        starts = np.cumsum(size[members]) - size[members]
+        held = np.zeros(len(names), np.int64)
+        a, b = [], []
+        for p in pivots:
+            at = np.searchsorted(names, sets[p])
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == sets[p])]
+            held[at] = 1
+            both = np.add.reduceat(held[flat], starts)
+            held[at] = 0
+            near = 100 * both >= percent * (size[p] + size[members] - both)
+            hits = members[near & (both > 0) & (comps[members] != comps[p])]
+            for i in hits[np.unique(comps[hits], return_index=True)[1]]:
+                a.append(docs[p])
+                b.append(docs[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _tile_sets(width):
+    def run(batches):
+        shingles = Shingles(width)
+        for batch in batches:
+            bounds = batch.column("tiles").offsets.to_numpy()
+            tiles = batch.column("tiles").flatten()
+            band, prow, mrow, comp, pivot = (tiles.field(i).to_numpy() for i in range(5))
+            held, size = [], 0
+
+            def flush():
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                names = ["band", "prow", "mrow", "comp", "pivot", "doc", "data"]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+
+            for i, found in shingles.sets(batch.column("text")):
+                doc, data = batch.column("doc_id")[i].as_py(), found.tobytes()
+                for k in range(bounds[i] - bounds[0], bounds[i + 1] - bounds[0]):
+                    held.append((band[k], prow[k], mrow[k], comp[k], pivot[k], doc, data))
+                    size += len(data)
+                    if size > 8 << 20:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+    return run
+
+
+def cross_links(docs: DataFrame, state: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components within each band of `state` (band, doc, comp).
+
+    Every member outside a band's largest component is a pivot. Pivots and members are dealt to tiles
+    of about TILE_SHINGLES shingles each, and each tile compares its pivots with its members; it
+    returns one link for a pivot and a component.
+    """
+    within = state.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    largest = within.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    sized = saved(state.join(small(largest), "band").join(small(sizes), "doc").withColumn("is_pivot", F.col("comp") != F.col("main")))
+    blocks = sized.groupBy("band").agg(
+        F.ceil(F.sum(F.when(F.col("is_pivot"), F.col("n_shingles"))) / TILE_SHINGLES).cast("int").alias("prows"),
+        F.ceil(F.sum("n_shingles") / TILE_SHINGLES).cast("int").alias("mrows"),
+    ).filter("prows > 0")
+    placed = sized.join(small(saved(blocks)), "band").withColumn("h", F.xxhash64("doc"))
+    prow, mrow = F.pmod("h", "prows").cast("int"), F.pmod("h", "mrows").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pivots = placed.filter("is_pivot").select("doc", "band", prow.alias("prow"), every("mrows").alias("mrow"), "comp", F.lit(1).alias("pivot"))
+    members = placed.select("doc", "band", every("prows").alias("prow"), mrow.alias("mrow"), "comp", F.lit(0).alias("pivot"))
+    tiles = pivots.union(members).groupBy(F.col("doc").alias("doc_id")).agg(
+        F.collect_list(F.struct("band", "prow", "mrow", "comp", "pivot")).alias("tiles")
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(saved(tiles)), "doc_id")
+    sets = texts.select("doc_id", "text", "tiles").mapInArrow(
+        _tile_sets(width), "band long, prow int, mrow int, comp long, pivot int, doc long, data binary"
+    )
+    return saved(sets.groupBy("band", "prow", "mrow").applyInArrow(_tile(percent), "a long, b long").distinct())
+
+
+def apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, doc, comp) of the bands whose members lie in several components of `links`."""
+    comp = components(links)
+    state = members.join(small(comp), members["doc"] == comp["node"], "left").select(
+        "band", "doc", F.coalesce("component", "doc").alias("comp")
+    ).distinct()
+    several = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return saved(state.join(small(saved(several.select("band"))), "band", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for every row of `docs` (doc_id, text).
 
@@ -195,53 +294,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     `docs` play no part. An empty table gives no rows.
 
     Only classes of equal sets enter the search. In each band a leader is confirmed against all
-    members. Where a band's members then lie in several components, pivots from the smaller
-    components are confirmed against the members of the others, PIVOTS a round, until every pair of
-    the band in different components has been confirmed or refused. No candidate is dropped, and
-    the rows made in a round are linear in the members.
+    members. Members then outside a band's largest component are tried against EXTRA_LEADERS other
+    documents of it, and what is still apart is compared in tiles, pair by pair, until every pair of
+    a band in different components has been confirmed or refused. No candidate is dropped, and the
+    rows made are linear in the members.
     """
     sketch = saved(sketches(docs, width, bands, rows))
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
+    classes = filled.groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")
+    )
     member_class = filled.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     member_class = saved(member_class.select("doc_id", "rep").distinct())
-    banded = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).filter("n > 1")
+    banded = classes.select(F.col("rep").alias("doc"), "n_shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.countDistinct("doc").alias("n"), F.min("doc").alias("lead")).filter("n > 1")
     members = saved(banded.join(shared.select("band", "lead"), "band"))
-
-    tried = saved(members.filter("doc <> lead").select("doc", "lead").distinct())
-    links = confirmed(docs, tried, width, percent)
-    done = members.filter("doc = lead").select("band", "doc")
-    while True:
-        comp = components(links)
-        state = members.join(small(comp), members["doc"] == comp["node"], "left").select(
-            "band", "doc", F.coalesce("component", "doc").alias("comp")
-        )
-        open_bands = state.join(done, ["band", "doc"], "left_anti").groupBy("band").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        ).filter("lo < hi")
-        state = saved(state.join(small(open_bands.select("band")), "band", "left_semi"))
-        sizes = state.groupBy("band", "comp").agg(F.count("*").alias("size"))
-        waiting = state.join(done, ["band", "doc"], "left_anti").join(sizes, ["band", "comp"])
-        ranked = waiting.selectExpr("*", "row_number() over (partition by band order by size, comp, doc) as place")
-        pivots = saved(ranked.filter(F.col("place") <= PIVOTS).select("band", F.col("doc").alias("pivot"), F.col("comp").alias("own")))
-        if pivots.isEmpty():
-            break
-        pairs = (
-            state.join(pivots, "band").filter("comp <> own")
-            .select(F.greatest("doc", "pivot").alias("doc"), F.least("doc", "pivot").alias("lead")).distinct()
-            .join(tried, ["doc", "lead"], "left_anti")
-        )
-        pairs = saved(pairs)
-        found = confirmed(docs, pairs, width, percent)
-        links = saved(links.union(found))
-        tried = saved(tried.union(pairs))
-        done = saved(done.union(pivots.select("band", F.col("pivot").alias("doc"))))
+    sizes = members.groupBy("doc").agg(F.sum_distinct("n_shingles").alias("n_shingles"))
+
+    stars = saved(members.filter("doc <> lead").select("doc", "lead").distinct())
+    links = confirmed(docs, stars, width, percent)
+    state = apart(members, links)
+    within = state.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    largest = within.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    known = state.join(small(saved(largest)), "band")
+    order = "row_number() over (partition by band order by xxhash64(doc, band), doc) as place"
+    extra = known.filter("comp = main").selectExpr("band", "doc as lead", order).filter(F.col("place") <= EXTRA_LEADERS)
+    more = known.filter("comp <> main").select("band", "doc").join(small(saved(extra.select("band", "lead"))), "band")
+    more = saved(more.select("doc", "lead").distinct().join(stars, ["doc", "lead"], "left_anti"))
+    links = saved(links.union(confirmed(docs, more, width, percent)))
+    state = apart(members, links)
+    if not state.isEmpty():
+        links = saved(links.union(cross_links(docs, state, sizes, width, percent)))
 
     linked = member_class.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(links)
     comp = components(linked)
     low = member_class.groupBy("doc_id").agg(F.min("rep").alias("class_id"))
-    drop_saved(members, tried)
+    drop_saved(members, stars, more)
     out = sketch.select("doc_id", "n_shingles").join(low, "doc_id", "left").join(
         comp.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     )
