@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm.bpe import decode, encode, read_ranks
+from unitloom.llm.forest import near_vectors
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.repeats import remove_repeats
 
@@ -20,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_rp_forest(spark, sf_dir):
+    """Near duplicates of all vectors within their labels."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_circulant_minhash(spark, sf_dir):
     """Near duplicates of all documents on two-word shingles."""
