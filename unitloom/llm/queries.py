@@ -7,6 +7,7 @@ from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.repeats import remove_repeats
+from unitloom.llm.topk import quantised, top_k
 
 QUERIES = {}
 SQL = {}
@@ -50,3 +51,27 @@ def op3_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op9_exact_topk(spark, sf_dir):
+    """The ten best vectors for every hundredth vector, exactly."""
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+SQL["op9_exact_topk"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
