@@ -19,7 +19,7 @@ def result(spark, ranks, rows, **more):
     return sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect()), key=str)
 
 
-@pytest.mark.parametrize("block_chars", [300, 8_000_000])
+@pytest.mark.parametrize("block_chars", [300, 12_000_000])
 def test_ids_equal_the_tokenizer_library(spark, ranks, prose, block_chars):
     texts = prose(60, seed=4) + [
         None, "", " ", "  \n\n  a  b", "it's we'LL 12ab x　y", "x" * 30_000, "naïve 日本語 \U0001f600\U0001f600 ٣٤", "<|endoftext|>",

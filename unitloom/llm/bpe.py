@@ -17,7 +17,9 @@ import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
+# Words that occur this often in a block are numbered by frequency, so their numbers compress well.
+FREQUENT = 3
 CODEPOINTS = 0x110000
 
 
@@ -85,18 +87,26 @@ def unpacked(data):
     return out.view(np.uint64).ravel().astype(np.int64)
 
 
-def joined(parts):
-    """Byte strings with their lengths, compressed."""
-    lengths = packed([len(p) for p in parts])
-    return np.array([len(lengths)], "<i8").tobytes() + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+def framed(*parts):
+    """Byte strings behind their lengths."""
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
 
 
-def split_joined(data):
+def unframed(data):
     n = int(np.frombuffer(data[:8], "<i8")[0])
-    ends = np.cumsum(unpacked(data[8 : 8 + n]))
-    body = zstandard.ZstdDecompressor().decompress(data[8 + n :])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data[8 : 8 * (n + 1)], "<i8"))
+    return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
+def joined(words):
+    return framed(packed([len(w) for w in words]), zstandard.ZstdCompressor(level=3).compress(b"".join(words)))
+
+
+def split_joined(data):
+    lengths, body = unframed(data)
+    body = zstandard.ZstdDecompressor().decompress(body)
     start = 0
-    for end in ends.tolist():
+    for end in np.cumsum(unpacked(lengths)).tolist():
         yield body[start:end]
         start = end
 
@@ -116,21 +126,21 @@ def _positions(spec, digits, block_chars):
     """Blocks of texts: words by digit (place = digit), then positions (place = digits)."""
 
     def emit(block, docs, counts, seq, words):
-        held = [[] for _ in range(digits)]
-        for word, number in words.items():
-            raw = word.encode()
-            held[zlib.crc32(raw) % digits].append((raw, number))
-        place = np.zeros(len(words), np.int64)
-        n = 0
-        for d, entries in enumerate(held):
-            if entries:
-                entries.sort()
-                place[[number for _, number in entries]] = np.arange(n, n + len(entries))
-                n += len(entries)
-                yield block, d, d, joined([raw for raw, _ in entries]), None
-        order = packed(place[np.concatenate(seq)] if seq else [])
-        counts = packed(counts)
-        yield block, block % digits, digits, np.array([len(counts)], "<i8").tobytes() + counts + order, docs
+        seq = np.concatenate(seq) if seq else np.zeros(0, np.int64)
+        times = np.bincount(seq, minlength=len(words))
+        raw = [word.encode() for word in words]
+        digit = np.array([zlib.crc32(r) % digits for r in raw], np.int64)
+        order = np.argsort(-times, kind="stable")
+        frequent = order[: np.count_nonzero(times >= FREQUENT)]
+        rare = sorted(order[len(frequent) :].tolist(), key=lambda i: (digit[i], raw[i]))
+        order = np.concatenate([frequent, np.array(rare, np.int64)])
+        for d in range(digits):
+            own = order[digit[order] == d]
+            if len(own):
+                yield block, d, d, joined([raw[i] for i in own]), None
+        number = np.zeros(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        yield block, block % digits, digits, framed(packed(counts), packed(digit[frequent]), packed(number[seq])), docs
 
     def run(batches):
         from pyspark import TaskContext
@@ -173,8 +183,7 @@ def _merge(ranks):
                             found = known[word] = tuple(core._encode_single_piece(word))
                         lengths.append(len(found))
                         ids.extend(found)
-                    lengths = packed(lengths)
-                    row["data"] = np.array([len(lengths)], "<i8").tobytes() + lengths + packed(ids)
+                    row["data"] = framed(packed(lengths), packed(ids))
                 rows.append(tuple(row.values()))
             if rows:
                 yield _part_batch(rows)
@@ -182,24 +191,38 @@ def _merge(ranks):
     return run
 
 
+def _entry(digit, sizes):
+    """Where a word number's entry is in the parts of all digits: frequent words, then rare ones."""
+    begin = np.cumsum(sizes) - sizes
+    many = np.bincount(digit, minlength=len(sizes))
+    order = np.argsort(digit, kind="stable")
+    frequent = np.zeros(len(digit), np.int64)
+    frequent[order] = np.arange(len(digit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+    few = sizes - many
+    rare = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + np.repeat(begin + many, few)
+    return np.concatenate([frequent, rare])
+
+
 def _reassemble(digits):
     """Streams over rows sorted by (block, place): the ids of a block's words, then its positions."""
 
     def run(batches):
-        lengths, ids = [], []
+        lengths, ids, sizes = [], [], np.zeros(digits, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column("data")[i].as_py()
-                cut = 8 + int(np.frombuffer(data[:8], "<i8")[0])
-                head, tail = unpacked(data[8:cut]), unpacked(data[cut:])
-                if batch.column("place")[i].as_py() < digits:
-                    lengths.append(head)
-                    ids.append(tail)
+                parts = [unpacked(x) for x in unframed(batch.column("data")[i].as_py())]
+                place = batch.column("place")[i].as_py()
+                if place < digits:
+                    lengths.append(parts[0])
+                    ids.append(parts[1])
+                    sizes[place] = len(parts[0])
                     continue
+                head, digit, tail = parts
+                tail = _entry(digit, sizes)[tail]
                 length = np.concatenate(lengths or [head[:0]])
                 flat = np.concatenate(ids or [head[:0]]).astype("<u4")
                 start = np.cumsum(length) - length
-                lengths, ids = [], []
+                lengths, ids, sizes = [], [], np.zeros(digits, np.int64)
                 ends = np.cumsum(head)
                 docs = batch.column("docs")[i].as_py()
                 parts, held = [], 0
