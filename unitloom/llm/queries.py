@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
 from unitloom.llm.minhash import near_duplicates
+from unitloom.llm.mixing import SEEDS, plan
 from unitloom.llm.repeats import remove_repeats
 from unitloom.llm.topk import quantised, top_k
 
@@ -75,3 +76,39 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
 """
+
+
+@query
+def op5_mix_sources(spark, sf_dir):
+    """The mix of all documents: sizes, targets of their sources and words taken."""
+    planned = plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+SQL["op5_mix_sources"] = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+    coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM s
+), l AS (SELECT max(((SELECT sum(size) FROM d) - before) / rest) AS level FROM r),
+t AS (
+  SELECT source, source_size, least(cap, weight * level) AS target,
+    CASE WHEN source_size > 0 THEN least(cap, weight * level) / source_size ELSE 0 END AS rate FROM r, l
+), n AS (
+  SELECT d.*, t.source_size, t.target, floor(t.rate) AS base, t.rate - floor(t.rate) AS fraction, k.seed,
+    CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || k.seed), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (SELECT unnest(range({SEEDS})) AS seed) k
+), m AS (
+  SELECT source, seed, abs(any_value(base) * any_value(source_size) + sum(CASE WHEN u < fraction THEN size ELSE 0 END) - any_value(target)) AS miss
+  FROM n WHERE size > 0 GROUP BY source, seed
+), b AS (SELECT source, min_by(seed, (miss, seed)) AS seed FROM m GROUP BY source)
+SELECT n.doc_id, n.size, n.source_size, n.target, CAST(n.size * (base + CASE WHEN u < fraction THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM n LEFT JOIN b ON n.source IS NOT DISTINCT FROM b.source
+WHERE n.seed = coalesce(b.seed, 0)
+"""
