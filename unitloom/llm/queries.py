@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
+from unitloom.llm.licenses import scan, scan_sql
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.mixing import SEEDS, plan
 from unitloom.llm.repeats import remove_repeats
@@ -112,3 +113,14 @@ SELECT n.doc_id, n.size, n.source_size, n.target, CAST(n.size * (base + CASE WHE
 FROM n LEFT JOIN b ON n.source IS NOT DISTINCT FROM b.source
 WHERE n.seed = coalesce(b.seed, 0)
 """
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    """Licences of all documents; lists as joined text."""
+    found = scan(table(spark, sf_dir, "documents"))
+    lists = ("sentence_ids", "licenses", "unmatched")
+    return found.select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+SQL["op6_license_scan"] = scan_sql()
