@@ -176,7 +176,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
         F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role")
     )
     roles = saved(members.union(leaders).groupBy("doc_id").agg(F.collect_list(F.struct("lead", "salt", "role")).alias("roles")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(roles), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(roles, "roles"), "doc_id")
     sets = texts.select("doc_id", "text", "roles").mapInArrow(_set_rows(width), "lead long, salt int, role int, doc long, data binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", "role")
@@ -265,7 +265,7 @@ def cross_links(docs: DataFrame, state: DataFrame, sizes: DataFrame, width: int,
     tiles = pivots.union(members).groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_list(F.struct("band", "prow", "mrow", "comp", "pivot")).alias("tiles")
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(saved(tiles)), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(saved(tiles), "tiles"), "doc_id")
     sets = texts.select("doc_id", "text", "tiles").mapInArrow(
         _tile_sets(width), "band long, prow int, mrow int, comp long, pivot int, doc long, data binary"
     )

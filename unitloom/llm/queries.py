@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
 from unitloom.llm.licenses import scan, scan_sql
+from unitloom.llm.linedups import drop_shared_lines
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.mixing import SEEDS, plan
 from unitloom.llm.repeats import remove_repeats
@@ -124,3 +125,10 @@ def op6_license_scan(spark, sf_dir):
 
 
 SQL["op6_license_scan"] = scan_sql()
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    """Lines that go from all documents, and digests of the remaining texts."""
+    kept = drop_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))

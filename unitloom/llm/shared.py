@@ -5,7 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A join side is broadcast only after a count of at most this many rows of a few numbers each.
+# A join side is broadcast only after a count of at most this many rows, or list entries, of a few
+# numbers each.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -39,11 +40,13 @@ def drop_saved(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a narrow side whose counted rows are within `limit`; else it shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, cells: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a narrow side counted within `limit`; else it shuffles.
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows to all shuffle partitions by `keys`."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    Rows are counted, or the entries of the list column `cells`.
+    """
+    if cells is None:
+        n = df.limit(limit + 1).count()
+    else:
+        n = df.agg(F.sum(F.size(cells) + 1)).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df
