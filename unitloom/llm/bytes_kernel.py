@@ -100,9 +100,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def word_bounds(data, offsets):
+# Bytes that part words when punctuation is dropped: white space, controls and ASCII signs.
+SIGNS = np.ones(256, bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_bounds(data, offsets, blanks=SPACE):
     """Start and end of every word, and the word range of every text: texts never join words."""
-    blank = SPACE[data]
+    blank = blanks[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begins = ~blank
@@ -112,11 +117,3 @@ def word_bounds(data, offsets):
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(start, offsets)
 
-
-def binary_rows(parts):
-    return pa.array(parts, pa.binary())
-
-
-def int_column(values, kind):
-    """A numpy array with Arrow's validity taken from `values` if it is masked."""
-    return pa.array(values, kind)

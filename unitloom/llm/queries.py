@@ -10,6 +10,7 @@ from unitloom.llm.linedups import drop_shared_lines
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.mixing import SEEDS, plan
 from unitloom.llm.repeats import remove_repeats
+from unitloom.llm import toxicity
 from unitloom.llm.topk import quantised, top_k
 
 QUERIES = {}
@@ -132,3 +133,11 @@ def op7_line_dedup(spark, sf_dir):
     """Lines that go from all documents, and digests of the remaining texts."""
     kept = drop_shared_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of all documents by a model of the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
