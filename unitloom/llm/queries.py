@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
+from unitloom.llm.html_text import page_texts
 from unitloom.llm.licenses import scan, scan_sql
 from unitloom.llm.linedups import drop_shared_lines
 from unitloom.llm.minhash import near_duplicates
@@ -141,3 +142,9 @@ def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_html_text(spark, sf_dir):
+    """Visible text of all pages."""
+    return page_texts(table(spark, sf_dir, "pages"))
