@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 SCALE = 1024
 SHARD, QUERY_BLOCK = 8_192, 4_096
-LEVELS = 12
+# Levels of contribution: each ends at 1 / STEP of the one before.
+STEP, LEVELS = 5, 5
 
 
 class ImpactIndex:
@@ -27,16 +28,12 @@ class ImpactIndex:
         self.keys = -self.impacts  # ascending, for the search of segment ends
         self.energy = (vectors.astype(np.float64) ** 2).sum(axis=1)
 
-    def _segment(self, dim, weight, above, upto):
-        """Rows and contributions of one dimension with above >= contribution > upto."""
-        impacts, rows, keys = self.impacts[dim], self.rows[dim], self.keys[dim]
-        if weight > 0:  # impact in (upto / weight, above / weight]: from the front
-            a = np.searchsorted(keys, -(above // weight), "left")
-            b = np.searchsorted(keys, -(upto // weight), "left")
-        else:  # impact in [above / weight, upto / weight): from the back
-            a = np.searchsorted(keys, upto // -weight, "right")
-            b = np.searchsorted(keys, above // -weight, "right")
-        return rows[a:b], impacts[a:b] * weight
+    def _segments(self, dim, weight, above, upto):
+        """Ranges of a dimension's postings with above >= |impact * weight| > upto: large impacts, small ones."""
+        keys, w = self.keys[dim], abs(weight)
+        ends = np.searchsorted(keys, (-(above // w), -(upto // w)), "left")
+        starts = np.searchsorted(keys, (upto // w, above // w), "right")
+        return slice(*ends), slice(*starts)
 
     def best(self, query, k, own):
         """(ids, scores) of the k best rows by (score, smaller id), without the row `own`."""
@@ -46,22 +43,25 @@ class ImpactIndex:
         left_query = np.full(n, float((query.astype(np.float64) ** 2).sum()))
         unseen = np.full(n, np.count_nonzero(query), np.int64)
         dims = [d for d in np.argsort(-np.abs(query), kind="stable") if query[d]]
-        ends = [np.maximum(self.impacts[d][0] * query[d], self.impacts[d][-1] * query[d]) for d in dims]
-        high = int(max(ends, default=0))
-        floor, levels = None, [high // 2**i for i in range(1, LEVELS)]
-        above, members = high, np.arange(n)
-        for upto in dict.fromkeys(x for x in levels if 0 <= x < high):
-            rows, gains, weights = [], [], []
+        high = int(max((max(self.impacts[d][0], -self.impacts[d][-1]) * abs(query[d]) for d in dims), default=0))
+        floor, above, members = None, high, np.arange(n)
+        for upto in dict.fromkeys(high // STEP**i for i in range(1, LEVELS)):
+            rows, impacts, weights = [], [], []
             for d in dims:
-                r, g = self._segment(d, int(query[d]), above, upto)
-                rows.append(r)
-                gains.append(g)
-                weights.append(np.full(len(r), float(query[d])))
+                for part in self._segments(d, int(query[d]), above, upto):
+                    if part.start < part.stop:
+                        rows.append(self.rows[d][part])
+                        impacts.append(self.impacts[d][part])
+                        weights.append((len(rows[-1]), query[d]))
             above = upto
-            rows, gains, weights = np.concatenate(rows), np.concatenate(gains).astype(float), np.concatenate(weights)
-            score += np.bincount(rows, gains, n)
-            left_query -= np.bincount(rows, weights**2, n)
-            left_energy -= np.bincount(rows, (gains / weights) ** 2, n)
+            if not rows:
+                continue
+            rows, impacts = np.concatenate(rows), np.concatenate(impacts).astype(float)
+            counts, values = np.array(weights).T
+            weights = np.repeat(values.astype(float), counts)
+            score += np.bincount(rows, impacts * weights, n)
+            left_query -= np.bincount(rows, weights * weights, n)
+            left_energy -= np.bincount(rows, impacts * impacts, n)
             unseen -= np.bincount(rows, minlength=n)
             bound = score + np.minimum(unseen * float(upto), np.sqrt(np.maximum(left_query, 0) * np.maximum(left_energy, 0))) + 1
             bound[skip] = -np.inf
@@ -72,7 +72,7 @@ class ImpactIndex:
                 if len(exact) >= k:
                     floor = exact[-k] if floor is None else max(floor, exact[-k])
                     members = np.flatnonzero(bound >= floor)
-                    if len(members) <= max(4 * k, n // 50):
+                    if len(members) <= max(4 * k, n // 8):
                         break
         members = members[~np.isin(members, skip)]
         exact = self.vectors[members] @ query
