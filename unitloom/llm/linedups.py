@@ -166,7 +166,8 @@ def removed_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words: in
     leaders = lines.join(parts.withColumnRenamed("lead", "doc"), "doc").select(F.col("doc").alias("lead"), every, F.lit(0).alias("role"), *columns)
     dealt = members.union(leaders).repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", "role")
     found = saved(dealt.mapInArrow(_align(block_words), "doc long, gone array<int>"))
-    return found.groupBy(F.col("doc").alias("doc_id")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    lists = F.array_distinct(F.flatten(F.collect_list("gone")))
+    return saved(found.groupBy(F.col("doc").alias("doc_id")).agg(lists.alias("gone")))
 
 
 def drop_shared_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
@@ -182,7 +183,7 @@ def drop_shared_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words
     """
     gone = removed_lines(docs, link_words, block_words, rare).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*keep).join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    out = docs.select(*keep).join(small(gone, "_gone"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = F.split("text", "\n")
     rest = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i.cast("int")))
     return out.select(
