@@ -15,7 +15,7 @@ from unitloom.llm.bytes_kernel import Powers, SpanHash, U, byte_codes, chunks, m
 from unitloom.llm.components import components
 from unitloom.llm.shared import drop_saved, saved, small
 
-SLOT_BITS = 22
+SLOT_BITS = 20
 BANDS, ROWS = 32, 6
 # A candidate at the threshold 0.8 is missed with probability (1 - 0.8**6)**32 < 7e-5.
 MEMBERS_PER_TASK = 256
