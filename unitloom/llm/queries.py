@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from unitloom.llm import toxicity
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
 from unitloom.llm.html_text import page_texts
@@ -11,7 +12,7 @@ from unitloom.llm.linedups import drop_shared_lines
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.mixing import SEEDS, plan
 from unitloom.llm.repeats import remove_repeats
-from unitloom.llm import toxicity
+from unitloom.llm.shared import small_batches
 from unitloom.llm.topk import quantised, top_k
 
 QUERIES = {}
@@ -24,6 +25,8 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "pages"):
+        small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

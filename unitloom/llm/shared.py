@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A join side is broadcast only after a count of at most this many rows, or list entries, of a few
 # numbers each.
 BROADCAST_ROWS = 1_000_000
+TEXT_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,11 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """For applications: Arrow batches of whole texts with few rows, so that tasks hold few texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def drop_saved(*frames: DataFrame) -> None:
     """Delete tables of `saved` that no later read needs."""
     for df in frames:

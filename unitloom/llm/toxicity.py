@@ -199,20 +199,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     get their own score; clashing columns are replaced; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES and the identity terms
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*keep).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    state = []
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        if not state:
+            state.extend((Features(), Vocabulary(held.value.features)))
+        reader, vocabulary = state
+        total = np.full(len(texts), held.value.bias)
+        for row, data, offsets in chunks(texts):
+            text, number = vocabulary.numbers(*reader.of(data, offsets))
+            total[row : row + len(offsets) - 1] += np.bincount(text, held.value.weights[number], len(offsets) - 1)
+        return pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
-    def run(batches):
-        reader, vocabulary, weights = Features(), Vocabulary(held.value.features), held.value.weights
-        for batch in batches:
-            total = np.full(batch.num_rows, held.value.bias)
-            for row, data, offsets in chunks(batch.column("text")):
-                text, number = vocabulary.numbers(*reader.of(data, offsets))
-                total[row : row + len(offsets) - 1] += np.bincount(text, weights[number], len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], [*batch.schema.names, "score"])
-
-    scored = docs.select(*keep).mapInArrow(run, f"{fields}, score double")
+    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    scored = docs.select(*keep, scores("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
