@@ -440,7 +440,7 @@ def _register_notes():
         none = F.array().cast("array<string>")
         unit = F.struct(
             F.lit(1).alias("start_line"), F.size("lines").alias("end_line"), F.concat(F.lit("C"), "module").alias("symbol"),
-            F.array("module").alias("class_chain"), F.lit("function").alias("role"), F.col("text").alias("content"), none.alias("calls"),
+            F.array("module").alias("class_chain"), F.lit("function").alias("role"), none.alias("calls"),
             F.lit("").alias("doc"), F.lit(None).cast("map<string,string>").alias("refs"),
         )
         return df.withColumn("note", F.when(F.col("language") == "note", F.array(unit)))

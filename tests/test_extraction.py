@@ -137,3 +137,84 @@ def test_index_writes_both_files(spark, corpus, tmp_path):
     assert read_refs(spark, str(tmp_path / "out/refs.jsonl")).count() == 3
     text = rows.filter("symbol = 'area'").first().embed_text
     assert text.endswith("ref: mro | Base, mixins.Named, make_base, Shape, object\nref: metaclass | Meta")
+
+
+def units_of(spark, path, text, language):
+    df = spark.createDataFrame([(path, bytearray(text.encode()))], "path string, source binary")
+    rows = index_files(df, [language])[0].select("symbol", "start_line", "end_line", "calls").collect()
+    return sorted((r.symbol, r.start_line, r.end_line, " ".join(r.calls)) for r in rows)
+
+
+@pytest.mark.parametrize("depth", [61, 500])
+def test_brackets_nest_to_any_depth(spark, depth):
+    body = "{ a(); " * depth + "}" * depth
+    assert units_of(spark, "a/n.js", f"function deep() {{{body}}}\nfunction b() {{ c(); }}", "javascript") == [("b", 2, 2, "c"), ("deep", 1, 1, "a")]
+    assert units_of(spark, "a/n.rs", f"fn deep() {{{body}}}\nfn b(x: [u8; 4]) {{ c(); }}", "rust") == [("b", 2, 2, "c"), ("deep", 1, 1, "a")]
+    inner = "(" * depth + "1" + ")" * depth
+    assert units_of(spark, "a/p.js", f"function f(a = {inner}) {{ g(); }}", "javascript") == [("f", 1, 1, "g")]
+    assert units_of(spark, "a/p.py", f"def f(a=(\n{inner}\n), b=2):\n    g()\n", "python") == [("f", 1, 4, "g")]
+
+
+def test_bases_behind_deep_brackets(spark):
+    text = "class C(A, mix(B, " + "(" * 40 + "1" + ")" * 40 + "), D):\n    def m(self):\n        pass\n"
+    df = spark.createDataFrame([("c.py", bytearray(text.encode()))], "path string, source binary")
+    assert index_files(df, ["python"])[1].first().refs["mro"] == "A, mix, D, C, object"
+
+
+def test_generics_of_an_impl_nest_to_any_depth(spark):
+    text = "impl<T: A<B<C<D<E<F<G>>>>>>> Run for Wrapper<T> {\n fn go(&self) { x() }\n}\n"
+    df = spark.createDataFrame([("c.rs", bytearray(text.encode()))], "path string, source binary")
+    assert index_files(df, ["rust"])[0].first().class_chain == ["Wrapper<T>"]
+
+
+def test_literals_and_types_are_told_at_any_distance(spark):
+    script = "function f() {\n  x =" + " " * 40 + "/}/;\n  g();\n}\nfunction h(x) {\n  if (x) /}/.test(x);\n  k();\n}"
+    assert units_of(spark, "a/r.js", script, "javascript") == [("f", 1, 4, "g"), ("h", 5, 8, "test k")]
+    typed = "const f = (a: string): Promise<() => void> => { g(a); }"
+    assert units_of(spark, "a/t.ts", typed, "typescript") == [("<anonymous>", 1, 1, "g")]
+    nested = "function f() { return `a ${b(`in ${c(1)} {`)} }`; }\nfunction z() { y(); }"
+    assert units_of(spark, "a/n.js", nested, "javascript") == [("f", 1, 1, "b c"), ("z", 2, 2, "y")]
+
+
+def test_one_line_costs_as_much_as_many(spark):
+    import time
+
+    parts = [f"function f{i}(x) {{ if (x) {{ g{i}(x); }} }}" for i in range(4000)]
+    spent = []
+    for glue in ("\n", " "):
+        start = time.time()
+        assert len(units_of(spark, "a/x.js", glue.join(parts), "javascript")) == 4000
+        spent.append(time.time() - start)
+    assert spent[1] < 5 * spent[0] + 5
+
+
+def test_python_spans_agree_with_the_standard_parser_on_generated_files(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def block(indent, depth):
+        out = []
+        for i in range(rng.randint(1, 3)):
+            pad, kind = "    " * indent, rng.randint(0, 5)
+            if kind < 2 and depth < 6:
+                out += [f"{pad}@deco({rng.randint(0, 9)})"] * rng.randint(0, 1)
+                out += [f"{pad}{'async ' if kind else ''}def f{rng.randint(0, 99)}(a, b=({'(' * depth}1,", "2" + ")" * depth + ")):"]
+                out += block(indent + 1, depth + 1)
+            elif kind == 2 and depth < 6:
+                out += [f"{pad}class C{rng.randint(0, 99)}(B[{rng.randint(0, 9)}]):"] + block(indent + 1, depth + 1)
+            else:
+                out += rng.choice([[f"{pad}x = 'def no(): (' # ("], [f'{pad}y = f"""a', "def no():", '  {call(1)} ("""'], [f"{pad}z = call(", "1,", f"{pad})", ""], [f"{pad}pass"]])
+        return out
+
+    files = {f"m{i}.py": "\n".join(block(0, 0)) + "\n" for i in range(40)}
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, source binary")
+    rows = index_files(df, ["python"])[0].select("path", "symbol", "start_line", "end_line").collect()
+    want = set()
+    for path, text in files.items():
+        for node in ast.walk(ast.parse(text)):
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                want.add((path, node.name, node.lineno, node.end_lineno))
+                if node.decorator_list:
+                    want.add((path, node.name, node.decorator_list[0].lineno, node.end_lineno))
+    assert {tuple(r) for r in rows} == want

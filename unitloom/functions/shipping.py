@@ -2,7 +2,8 @@
 
 from pyspark import cloudpickle
 
-from unitloom.functions import kernels
+from unitloom.functions import kernels, marking
 
 # Executors then need no copy of this package on their import path.
-cloudpickle.register_pickle_by_value(kernels)
+for module in (kernels, marking):
+    cloudpickle.register_pickle_by_value(module)

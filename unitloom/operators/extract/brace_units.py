@@ -2,58 +2,18 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from unitloom.functions.texts import line_range, role, strip
+from unitloom.functions import marking
+from unitloom.functions.texts import role, strip
 from unitloom.operators.extract import docs
 from unitloom.operators.extract.common import (
-    ANONYMOUS, BRACES, BRACKETS, GAP, ID, PARENS, TO_MARK, _col, all_matches,
-    distinct_calls, last_line_like, let, mark_lines, newlines, number_lines, placed,
+    ANONYMOUS, BRACES, BRACKETS, GAP, ID, MARK, PARENS, SPACE, TO_MARK, _col, all_matches,
+    compiled, distinct_calls, first_match, last_line_like, let, marker, newlines, number_lines,
+    pieces_in, placed, unmark,
 )
 
 SCRIPT_LANGUAGES = ["javascript", "typescript", "tsx"]
 
-_STRINGS = [
-    r'"(?:[^"\\\n]++|\\(?s:.))*+"?',
-    r"'(?:[^'\\\n]++|\\(?s:.))*+'?",
-]
-_COMMENTS = [r"/\*(?s:.*?)(?:\*/|\z)", r"//[^\n]*+"]
-_REGEX = (
-    r"(?:(?<=[=(,:\[!&|?{};]\s{0,12})|(?<=\breturn\s{1,4}))"
-    r"/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
-)
-_SCRIPT_TOKENS = "|".join(
-    [*_COMMENTS, r"`(?:[^`\\]++|\\(?s:.))*+`?", *_STRINGS, _REGEX, r"[\p{L}\p{N}_$]++", r"[^\p{L}\p{N}_$\"'`/]++", "/"]
-)
-_RUST_TOKENS = "|".join(
-    [
-        *_COMMENTS,
-        r'b?r(#*+)"(?s:.*?)"\1',
-        r'b?"(?:[^"\\]++|\\(?s:.))*+"?',
-        r"b?'(?:[^'\\\n]|\\[^\n][^'\n]{0,8})'",
-        r"[\p{L}\p{N}_]++",
-        r"[^\p{L}\p{N}_\"'/]++",
-        "['/]",
-    ]
-)
-
-
-def _blank(text, tokens: str, keep_fields: bool) -> Column:
-    """Same lines; comments gone, literals emptied (template fields kept)."""
-
-    def plain(token):
-        rows = F.repeat(F.lit("\n"), newlines(token).cast("int"))
-        fields = F.lit("")
-        if keep_fields:
-            kept = F.array_join(all_matches(token, rf"\$({BRACES})", 1), " ")
-            fields = F.when(token.startswith("`"), F.regexp_replace(F.translate(kept, "{}", "()"), "\n", " ")).otherwise("")
-        literal = F.concat(F.lit('"'), fields, rows, F.lit('"'))
-        return (
-            F.when(token.rlike(r"\A/[/*]"), rows)
-            .when(token.rlike(r"\A(?:b?r#*)?b?[\"'`]") & (F.length(token) > 1), literal)
-            .when(token.rlike(r"\A/."), F.lit('""'))
-            .otherwise(token)
-        )
-
-    return F.array_join(F.transform(all_matches(text, tokens), plain), "")
+mark_script, mark_rust = marker(marking.mark_script), marker(marking.mark_rust)
 
 
 # -- JavaScript family ---------------------------------------------------------------
@@ -62,78 +22,69 @@ _SCRIPT_WORDS = (
     "if|for|while|switch|catch|with|return|function|typeof|new|delete|void|do|else|"
     "case|in|of|instanceof|await|yield|throw|async|import|super"
 )
-_TYPE = rf"(?:{GAP}:{GAP}(?:[\w$.<>\[\]|&,'\" \t?]++|{PARENS}|{BRACES}(?={GAP}[{{=|&]))++)?+"
-_GENERIC = r"(?:<[^<>()]*+(?:<[^<>]*+>[^<>()]*+)*+>)?+"
-_VALUE_BEFORE = (
-    r"(?<=[=(,:?\[!&|+~<>*%^-]\s{0,12}|"
-    r"\b(?:return|typeof|new|void|delete|in|of|yield|await|throw|case)\s{1,12})"
+# An arrow with another one behind it belongs to the type of a function.
+_TYPE = (
+    rf"(?:{GAP}:{GAP}(?:[\w$.<>\[\]|&,'\" \t?\x04-\x07]++|{MARK}|=>(?=[^;{{}}=]*+(?:=(?!>)[^;{{}}=]*+)*+=>)|{PARENS}|{BRACES}(?={GAP}[{{=|&]))++)?+"
 )
-_NO_VALUE_BEFORE = _VALUE_BEFORE.replace("(?<=", "(?<!", 1)
+_GENERIC = r"(?:<[^(){};]*>)?"
+_VALUE_BEFORE = r"(?<=\x04[\x05-\x07]{0,3})"
+_NO_VALUE_BEFORE = r"(?<!\x04[\x05-\x07]{0,3})"
+_NO_MODIFIER_BEFORE = r"(?<!\x05[\x06\x07]{0,2})"
 _WORD_START = r"(?<![\p{L}\p{N}_$.])"
 
 
 def _function(name: str) -> str:
-    return rf"(?:async\s++)?function\b{GAP}{name}{GAP}{_GENERIC}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
+    return rf"(?:async{SPACE})?+function\b{GAP}{name}{GAP}{_GENERIC}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
 
 
-# Cheap tests come first, the bounded looks behind a start only where a block may begin.
-_FUNCTION_START = rf"(?=async\s|function\b){_WORD_START}(?<!\basync\s{{1,4}})"
-DECLARATION = (_FUNCTION_START + _NO_VALUE_BEFORE, _function(ID))
+# Cheap tests come first.
+_FUNCTION_START = rf"(?=async[\s\x01]|function\b){_WORD_START}"
+DECLARATION = (_FUNCTION_START + _NO_MODIFIER_BEFORE + _NO_VALUE_BEFORE, _function(ID))
 EXPRESSIONS = [
-    (_FUNCTION_START + _VALUE_BEFORE, _function(f"(?:{ID})?+")),
-    (_FUNCTION_START + _NO_VALUE_BEFORE, _function("")),
+    (_FUNCTION_START + _NO_MODIFIER_BEFORE + _VALUE_BEFORE, _function(f"(?:{ID})?+")),
+    (_FUNCTION_START + _NO_MODIFIER_BEFORE + _NO_VALUE_BEFORE, _function("")),
 ]
 
 _MODIFIER = "static|async|get|set|public|private|protected|override|readonly"
-_METHOD_HEAD = (
-    rf"(?:(?:{_MODIFIER})\s++(?=[\p{{L}}\p{{N}}_$#\[*]))*+(?:\*\s*+)?+"
-    rf"(?!(?:{_SCRIPT_WORDS})\b)(?:\#?+{ID}|{BRACKETS}){GAP}\??+{_GENERIC}{GAP}{PARENS}"
-)
+_METHOD_NAME = rf"(?:(?:{_MODIFIER}){SPACE}(?=[\p{{L}}\p{{N}}_$#\[*]))*+(?:\*{GAP})?+"
+_METHOD_HEAD = rf"{_METHOD_NAME}(?!(?:{_SCRIPT_WORDS})\b)(?:\#?+{ID}|{BRACKETS}){GAP}\??+{_GENERIC}{GAP}{PARENS}"
 METHOD = (
-    rf"(?=[\p{{L}}_$#\[*])(?<![\p{{L}}\p{{N}}_$.#])(?={_METHOD_HEAD})"
-    rf"(?<!\b(?:{_MODIFIER}|new)\s{{1,4}})(?<!\*\s{{0,3}})(?<!\bfunction\s{{0,4}})",
+    rf"(?=[\p{{L}}_$#\[*])(?<![\p{{L}}\p{{N}}_$.#]){_NO_MODIFIER_BEFORE}(?={_METHOD_HEAD})",
     rf"{_METHOD_HEAD}{_TYPE}{GAP}{BRACES}",
 )
-_EXPR = (
-    rf"(?:[^()\[\]{{}},;\n]++|{PARENS}|{BRACKETS}|{BRACES}|\n\x01\d++\x02(?=\s*+[.?:&|+*]))++"
-)
+_EXPR = rf"(?:[^()\[\]{{}},;\n]++|{PARENS}|{BRACKETS}|{BRACES}|\n{MARK}(?=\s*+[.?:&|+*]))++"
 _ARROW_HEAD = (
-    rf"(?:async\b{GAP})?(?:{PARENS}{_TYPE}|(?!(?:{_SCRIPT_WORDS})\b){ID}){GAP}=>"
+    rf"(?:async\b{GAP})?+(?:{PARENS}{_TYPE}|(?!(?:{_SCRIPT_WORDS})\b){ID}){GAP}=>"
 )
 ARROW = (
-    rf"(?=[(\p{{L}}_$]){_WORD_START}(?={_ARROW_HEAD})"
-    rf"(?<!\basync\s{{0,4}})(?<!\)\s{{0,3}}:\s{{0,5}})(?<![|&]\s{{0,4}})",
+    rf"(?=[(\p{{L}}_$]){_WORD_START}(?<!\x06\x07?)(?={_ARROW_HEAD})",
     rf"{_ARROW_HEAD}{GAP}(?:{BRACES}|{_EXPR})",
 )
 CLASS = (
-    rf"(?=class\s){_WORD_START}(?<!\babstract\s{{1,4}}){_NO_VALUE_BEFORE}",
-    rf"class\s++{ID}[^{{}}]*+{BRACES}",
+    rf"(?=class[\s\x01]){_WORD_START}{_NO_MODIFIER_BEFORE}{_NO_VALUE_BEFORE}",
+    rf"class{SPACE}{ID}[^{{}}]*+{BRACES}",
 )
-_TYPE_ONLY = rf"\b(?:interface\s++{ID}[^{{}};]*+{BRACES}|type\s++{ID}{_GENERIC}\s*+=(?:[^;{{}}()\n]++|{PARENS}|{BRACES})*+)"
+_TYPE_ONLY = rf"\b(?:interface{SPACE}{ID}[^{{}};]*+{BRACES}|type{SPACE}{ID}{_GENERIC}{GAP}=(?:[^;{{}}()\n]++|{PARENS}|{BRACES})*+)"
 
 SCRIPT_CALL = (
-    rf"(?<![\p{{L}}\p{{N}}_$#])(?<!\b(?:function|new|class)\s{{1,8}})(?!(?:{_SCRIPT_WORDS})\b)({ID})"
-    rf"\s*+(?:\?\.)?+{_GENERIC}(?!{PARENS}(?::\s*+(?:[\w$][^{{}};()]*+|{BRACES}))?\s*+\{{)\("
+    rf"(?<![\p{{L}}\p{{N}}_$#\x07])(?!(?:{_SCRIPT_WORDS})\b)({ID})"
+    rf"{GAP}(?:\?\.)?+{GAP}{_GENERIC}{GAP}(?!{PARENS}(?:{GAP}:{GAP}(?:[\w$][^{{}};()]*+|{BRACES}))?+{GAP}\{{)\("
 )
 
 
-def _spans(marked, lines, before: str, pattern: str, consume: bool = False) -> Column:
+def _spans(marked, before: str, pattern: str, consume: bool = False) -> Column:
     """Blocks of a pattern from every start position (or side by side) with positions.
 
     `before` looks at what precedes a block; it is not part of what is matched again
     on the captured text.
     """
-    whole = f"({pattern}{TO_MARK})"
-    if consume:
-        # The rest of the line is only looked at, a further block may start there.
-        whole = f"(?=({pattern}{TO_MARK})){pattern}"
-    else:
-        whole = f"(?={whole})"
-    return placed(all_matches(marked, before + whole, 1), pattern, lines)
+    # The text behind a block is only looked at, a further block may start there.
+    whole = f"(?=({pattern}{TO_MARK}))" + (pattern if consume else "")
+    return placed(all_matches(marked, before + whole, pieces_in(before) + 1), pattern)
 
 
 def _named(spans, symbol) -> Column:
-    return F.transform(spans, lambda s: F.struct(s.alias("span"), symbol(s["block"]).alias("symbol")))
+    return F.transform(spans, lambda s: F.struct(s.alias("span"), unmark(symbol(s["marked"])).alias("symbol")))
 
 
 def _inside(inner, outer) -> Column:
@@ -141,14 +92,11 @@ def _inside(inner, outer) -> Column:
     return (outer["start"] < inner["start"]) & (inner["end"] <= outer["end"])
 
 
-def _strip_types(text) -> Column:
-    parts = all_matches(text, rf"{_TYPE_ONLY}|[\p{{L}}\p{{N}}_$]++|[^\p{{L}}\p{{N}}_$]++")
-    blanked = F.transform(
-        parts,
-        lambda t: F.when(
-            t.rlike(r"\A(?:interface|type)\s"), F.repeat(F.lit("\n"), newlines(t).cast("int"))
-        ).otherwise(t),
-    )
+def _strip_types(marked) -> Column:
+    """Interfaces and type aliases go; the marks of their line ends stay."""
+    parts = all_matches(marked, rf"{_TYPE_ONLY}|[\p{{L}}\p{{N}}_$]++|[^\p{{L}}\p{{N}}_$]++")
+    ends = lambda t: F.array_join(all_matches(t, rf"\n{MARK}"), "")
+    blanked = F.transform(parts, lambda t: F.when(t.rlike(r"\A(?:interface|type)[\s\x01\x04-\x07]"), ends(t)).otherwise(t))
     return F.array_join(blanked, "")
 
 
@@ -172,40 +120,28 @@ def extract_scripts(df: DataFrame) -> DataFrame:
     """Adds `script`: units of JavaScript, TypeScript and TSX text."""
     is_script = F.col("language").isin(SCRIPT_LANGUAGES)
     mine = F.when(is_script, F.col("text"))
-    df = df.withColumn("js_plain", _blank(mine, _SCRIPT_TOKENS, keep_fields=True))
+    df = df.withColumn("js_marked", mark_script(mine))
     df = df.withColumn(
-        "js_plain",
-        F.when(F.col("language") == "javascript", F.col("js_plain")).otherwise(_strip_types("js_plain")),
-    )
-    df = df.withColumns(
-        {
-            "js_marked": mark_lines("js_plain"),
-            "js_lines": F.split("js_plain", "\n"),
-            "js_raw": number_lines(mine),
-        }
+        "js_marked",
+        F.when(F.col("language") == "javascript", F.col("js_marked")).otherwise(_strip_types("js_marked")),
     )
+    df = df.withColumn("js_raw", number_lines(mine))
 
     def spans(pattern):
-        return _spans("js_marked", "js_lines", *pattern)
+        return _spans("js_marked", *pattern)
 
     df = df.withColumns(
         {
             "js_classes": _named(
-                spans(CLASS), lambda b: F.regexp_extract(b, rf"class\s+({ID})", 1)
+                spans(CLASS), lambda b: first_match(b, rf"class{SPACE}({ID})", 1)
             ),
             "js_units": F.concat(
-                _named(spans(DECLARATION), lambda b: F.regexp_extract(b, rf"function\s+({ID})", 1)),
+                _named(spans(DECLARATION), lambda b: first_match(b, rf"function{GAP}({ID})", 1)),
                 *[_named(spans(e), lambda b: F.lit(ANONYMOUS)) for e in EXPRESSIONS],
                 _named(spans(ARROW), lambda b: F.lit(ANONYMOUS)),
                 _named(
                     spans(METHOD),
-                    lambda b: strip(
-                        F.regexp_extract(
-                            b,
-                            rf"\A(?:(?:{_MODIFIER})\s++(?=[\p{{L}}\p{{N}}_$#\[*]))*+(?:\*\s*+)?+(\#?+{ID}|{BRACKETS})",
-                            1,
-                        )
-                    ),
+                    lambda b: strip(first_match(b, rf"\A{_METHOD_NAME}(\#?+{ID}|{BRACKETS})", 1)),
                 ),
             ),
             "js_not_blank": last_line_like("js_raw", docs.NOT_BLANK),
@@ -226,8 +162,7 @@ def extract_scripts(df: DataFrame) -> DataFrame:
             u["symbol"].alias("symbol"),
             chain.alias("class_chain"),
             role(chain).alias("role"),
-            line_range(file["lines"], start, end).alias("content"),
-            distinct_calls(span["block"], SCRIPT_CALL).alias("calls"),
+            distinct_calls(span["marked"], SCRIPT_CALL).alias("calls"),
             docs.js_doc(
                 file["lines"], file["js_not_blank"], file["js_opening"], file["js_other"], start
             ).alias("doc"),
@@ -237,7 +172,7 @@ def extract_scripts(df: DataFrame) -> DataFrame:
     context = F.struct("lines", "js_classes", "js_not_blank", "js_opening", "js_other")
     units = let(context, lambda c: F.transform(_by_position("js_units"), lambda u: unit(u, c)))
     return df.withColumn("script", units).drop(
-        "js_plain", "js_marked", "js_lines", "js_raw", "js_classes", "js_units",
+        "js_marked", "js_raw", "js_classes", "js_units",
         "js_not_blank", "js_opening", "js_other",
     )
 
@@ -245,24 +180,40 @@ def extract_scripts(df: DataFrame) -> DataFrame:
 # -- Rust ------------------------------------------------------------------------------
 
 _RUST_WORDS = "if|while|match|for|return|loop|in|as|move|let|mut|ref|unsafe|else|where|fn|pub|Fn|FnMut|FnOnce|dyn|impl|crate|break"
+_RUST_ID = r"[\p{L}_][\p{L}\p{N}_]*+"
 FN_ITEM = (
     r"(?<![\p{L}\p{N}_])",
-    r"(?:pub(?:\([^()]*+\))?+\s++)?+"
-    r"(?:(?:async|const|unsafe|default|extern(?:\s*+\"\")?+)\s++)*+"
-    rf"fn\s++[\p{{L}}_][\p{{L}}\p{{N}}_]*+[^{{}};]*+{BRACES}",
+    rf"(?:pub{GAP}(?:{PARENS}{GAP})?+)?+(?:(?:async|const|unsafe|default|extern(?:{GAP}\"\")?+){SPACE})*+"
+    rf"fn{SPACE}{_RUST_ID}(?:[^{{}};()\[\]]++|{PARENS}|{BRACKETS})*+{BRACES}",
 )
 IMPL_ITEM = (r"(?=impl\b)(?<![\p{L}\p{N}_])", rf"impl\b[^{{}};]*+{BRACES}")
-_ANGLE = r"<(?:[^<>]++|->|<(?:[^<>]++|->|<(?:[^<>]++|<[^<>]*+>)*+>)*+>)*+>"
 RUST_CALL = (
-    rf"(?<![\p{{L}}\p{{N}}_])(?<!\bfn\s{{1,8}})(?!(?:{_RUST_WORDS})\b)([\p{{L}}_][\p{{L}}\p{{N}}_]*+)\s*+"
-    rf"(?={PARENS}|\()(?!{PARENS}\s*+(?:=>|=(?!=)|\|(?!\|)|if\b[^{{}}]*=>))\("
+    rf"(?<![\p{{L}}\p{{N}}_])(?!(?:{_RUST_WORDS})\b)({_RUST_ID}){GAP}"
+    rf"(?={PARENS}|\()(?!{PARENS}{GAP}(?:=>|=(?!=)|\|(?!\|)|if\b[^{{}}]*=>))\("
 )
+# The name of an item is no call.
+RUST_ITEM = rf"\bfn{SPACE}[\p{{L}}_][\p{{L}}\p{{N}}_]*+"
+RUST_MACRO = rf"[\p{{L}}\p{{N}}_]+!{GAP}(?:{PARENS}|{BRACKETS}|{BRACES})|#!?{BRACKETS}"
+
+
+def _behind_generics(head) -> Column:
+    """`head` without the angle brackets it opens with, at any depth."""
 
+    def step(s, t):
+        depth = s["depth"] + F.when(t == "<", 1).when(t == ">", -1).otherwise(0)
+        return F.when(
+            s["open"], F.struct(depth.alias("depth"), (depth > 0).alias("open"), F.lit("").alias("rest"))
+        ).otherwise(F.struct(s["depth"], s["open"], F.concat(s["rest"], t).alias("rest")))
 
-def impl_type(block) -> Column:
+    start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("open"), F.lit("").alias("rest"))
+    rest = F.aggregate(all_matches(head, r"->|<|>|[^<>-]++|-"), start, step, lambda s: s["rest"])
+    return F.when(_col(head).startswith("<"), rest).otherwise(head)
+
+
+def impl_type(marked) -> Column:
     """Type an impl block belongs to, as written."""
-    head = F.regexp_extract(_col(block), r"^[^{]*", 0)
-    head = F.regexp_replace(head, rf"^impl\s*(?:{_ANGLE})?", "")
+    head = unmark(F.regexp_extract(_col(marked), r"^[^{]*", 0))
+    head = let(F.regexp_replace(head, r"^impl\s*", ""), _behind_generics)
     head = F.regexp_replace(head, r"^(?s:.*)\sfor\s+(?!<)", "")
     return strip(F.regexp_replace(head, r"\s+where\b(?s:.*)", ""))
 
@@ -270,18 +221,11 @@ def impl_type(block) -> Column:
 def extract_rust(df: DataFrame) -> DataFrame:
     """Adds `rust`: `fn` items; a function inside another is part of it, not a unit."""
     mine = F.when(F.col("language") == "rust", F.col("text"))
-    df = df.withColumn("rs_plain", _blank(mine, _RUST_TOKENS, keep_fields=False))
-    df = df.withColumns(
-        {
-            "rs_marked": mark_lines("rs_plain"),
-            "rs_lines": F.split("rs_plain", "\n"),
-            "rs_other": last_line_like(number_lines(mine), docs.RUST_OTHER),
-        }
-    )
+    df = df.withColumns({"rs_marked": mark_rust(mine), "rs_other": last_line_like(number_lines(mine), docs.RUST_OTHER)})
     df = df.withColumns(
         {
-            "rs_impls": _named(_spans("rs_marked", "rs_lines", *IMPL_ITEM), impl_type),
-            "rs_units": _spans("rs_marked", "rs_lines", *FN_ITEM, consume=True),
+            "rs_impls": _named(_spans("rs_marked", *IMPL_ITEM), impl_type),
+            "rs_units": _spans("rs_marked", *FN_ITEM, consume=True),
         }
     )
 
@@ -291,14 +235,13 @@ def extract_rust(df: DataFrame) -> DataFrame:
             F.filter(file["rs_impls"], lambda c: _inside(span, c["span"])), lambda c: c["symbol"]
         )
         # Macro arguments and attributes are token trees, they hold no calls.
-        body = F.regexp_replace(span["block"], rf"[\p{{L}}\p{{N}}_]+!\s*(?:{PARENS}|{BRACKETS}|{BRACES})|#!?{BRACKETS}", " ")
+        body = F.regexp_replace(span["marked"], compiled(f"{RUST_MACRO}|{RUST_ITEM}"), " ")
         return F.struct(
             start.alias("start_line"),
             end.alias("end_line"),
-            F.regexp_extract(span["block"], r"fn\s+([\p{L}_][\p{L}\p{N}_]*)", 1).alias("symbol"),
+            F.regexp_extract(span["block"], rf"fn\s+({_RUST_ID})", 1).alias("symbol"),
             chain.alias("class_chain"),
             role(chain).alias("role"),
-            line_range(file["lines"], start, end).alias("content"),
             distinct_calls(body, RUST_CALL).alias("calls"),
             docs.rust_doc(file["lines"], file["rs_other"], start).alias("doc"),
             F.lit(None).cast("map<string,string>").alias("refs"),
@@ -307,5 +250,5 @@ def extract_rust(df: DataFrame) -> DataFrame:
     context = F.struct("lines", "rs_impls", "rs_other")
     units = let(context, lambda c: F.transform("rs_units", lambda s: unit(s, c)))
     return df.withColumn("rust", units).drop(
-        "rs_plain", "rs_marked", "rs_lines", "rs_other", "rs_impls", "rs_units"
+        "rs_marked", "rs_other", "rs_impls", "rs_units"
     )

@@ -1,12 +1,20 @@
 """Pattern pieces and line bookkeeping shared by the languages."""
 
-from pyspark.sql import Column, functions as F
+import re
+from itertools import count
+
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
+
+from unitloom.functions import marking, shipping  # noqa: F401
 
 ID = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 ANONYMOUS = "<anonymous>"
 
-# \x01<n>\x02 opens line n (n >= 2) of marked text.
-GAP = r"(?:\s|\x01\d++\x02)*+"
+# Marks of marked text, see functions/marking.py.
+MARK = r"\x01[^\x02]*+\x02"
+GAP = rf"(?:[\s\x04-\x07]|{MARK})*+"
+SPACE = rf"(?:[\s\x04-\x07]|{MARK})++"
 
 
 def _col(c):
@@ -22,23 +30,44 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def nested(opening: str, closing: str, depth: int) -> str:
-    """Text between balanced brackets, up to `depth` levels."""
-    plain = f"[^{opening}{closing}]++"
-    pattern = f"[{opening}]{plain[:-2]}*+[{closing}]"
-    for _ in range(depth - 1):
-        pattern = f"[{opening}](?:{plain}|{pattern})*+[{closing}]"
-    return pattern
+# Text from a bracket of marked text to its partner, at any depth; `compiled` spells them out.
+PARENS, BRACKETS, BRACES = "\ue001", "\ue002", "\ue003"
+_PAIRS = {PARENS: "()", BRACKETS: "[]", BRACES: "{}"}
+
+
+def compiled(pattern: str) -> str:
+    """Bracket pieces as an open bracket, anything, and the bracket with the same pair number."""
+    numbers = count()
+
+    def spell(piece):
+        (opening, closing), name = _PAIRS[piece[0]], f"pair{next(numbers)}"
+        place = r"\x01\d++\.\d++\."
+        return rf"(?>\{opening}{place}(?<{name}>\d++)\x02(?s:.*?)\{closing}{place}\k<{name}>\x02)"
+
+    return re.sub(f"[{PARENS}{BRACKETS}{BRACES}]", spell, pattern)
+
+
+def pieces_in(pattern: str) -> int:
+    """Groups that `compiled` adds to a pattern."""
+    return sum(pattern.count(p) for p in _PAIRS)
 
 
-PARENS = nested(r"(", r")", 12)
-BRACES = nested(r"{", r"}", 60)
-BRACKETS = nested(r"\[", r"\]", 8)
-ANY_BRACKET = nested(r"(\[{", r")\]}", 12)
+def marker(mark):
+    """Column function that applies a text function of `marking` in Arrow batches; NULL stays NULL."""
+
+    @F.arrow_udf(T.StringType())
+    def marked(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else mark(t) for t in column.to_pylist()], pa.string())
+
+    return marked
 
 
 def all_matches(text, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(_col(text), F.lit(compiled(pattern)), F.lit(group))
+
+
+def first_match(text, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract(_col(text), compiled(pattern), group)
 
 
 def newlines(text) -> Column:
@@ -54,41 +83,30 @@ def number_lines(text) -> Column:
     )
 
 
-def mark_lines(text) -> Column:
-    """A line mark behind every newline, and one behind the end of the text."""
-    lines = F.split(F.concat(_col(text), F.lit("\n")), "\n")
-    marked = F.transform(
-        lines,
-        lambda line, i: F.when(i == 0, line).otherwise(
-            F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\x02"), line)
-        ),
-    )
-    return F.array_join(marked, "\n")
-
-
 def unmark(text) -> Column:
-    return F.regexp_replace(_col(text), r"\x01\d++\x02", "")
+    return F.regexp_replace(_col(text), rf"{MARK}|[\x04-\x07]", "")
 
 
-# Runs from a match to the next line mark: tells the line and column of the match.
-TO_MARK = r"[^\x01]*+\x01\d++"
+# Runs from the end of a match to the next mark: with it every capture holds a mark.
+TO_MARK = r"[^\x01]*+\x01[^\x02]*+\x02"
 
 
-def placed(captures, pattern: str, lines) -> Column:
-    """Blocks with start and end as (line, column).
+def placed(captures, pattern: str) -> Column:
+    """Blocks with start and end as (line, column), and their text with and without marks.
 
-    A capture is a block of `pattern` and what follows up to the next line mark; the
-    first mark behind the block's start names the line after it.
+    A capture is a block of `pattern` and what follows up to the next mark. The first mark behind
+    the block's start is on its line and tells the column.
     """
 
-    def place(capture, lines):
-        line = F.regexp_extract(capture, r"^[^\x01]*+\x01(\d+)", 1).cast("int") - 1
+    def place(capture):
+        before = F.regexp_extract(capture, r"^[^\x01]*+", 0)
+        marked = first_match(capture, rf"\A(?:{pattern})", 0)
         found = F.struct(
-            line.alias("line"),
-            F.length(F.regexp_extract(capture, r"^[^\n]*", 0)).alias("left"),
-            unmark(F.regexp_extract(capture, rf"\A(?:{pattern})", 0)).alias("block"),
+            F.regexp_extract(capture, r"^[^\x01]*+\x01(\d+)", 1).cast("int").alias("line"),
+            (F.regexp_extract(capture, r"^[^\x01]*+\x01\d++\.(\d+)", 1).cast("int") - F.length(unmark(before)) + 1).alias("col"),
+            marked.alias("marked"), unmark(marked).alias("block"),
         )
-        return let(found, lambda f: let(f.withField("col", F.length(F.get(lines, f["line"] - 1)) - f["left"]), span))
+        return let(found, span)
 
     def span(f):
         more = newlines(f["block"])
@@ -99,10 +117,10 @@ def placed(captures, pattern: str, lines) -> Column:
                 (f["line"] + more).alias("line"),
                 F.when(more == 0, f["col"] + tail).otherwise(tail).alias("col"),
             ).alias("end"),
-            f["block"].alias("block"),
+            f["block"].alias("block"), f["marked"].alias("marked"),
         )
 
-    return let(_col(lines), lambda ls: F.transform(captures, lambda c: place(c, ls)))
+    return F.transform(captures, place)
 
 
 def last_line_like(numbered, start_line: str) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from unitloom.functions.texts import html_role, line_range
+from unitloom.functions.texts import html_role
 from unitloom.operators.extract.common import all_matches, let, newlines
 
 BLOCK = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -40,7 +40,7 @@ def extract(df: DataFrame) -> DataFrame:
     """Adds `html`: one unit per block, without calls."""
     mine = F.when(F.col("language") == "html", F.col("text"))
 
-    def unit(b, lines):
+    def unit(b):
         none = F.array().cast("array<string>")
         return F.struct(
             b["start_line"].alias("start_line"),
@@ -48,15 +48,13 @@ def extract(df: DataFrame) -> DataFrame:
             F.concat(b["tag"], F.lit(":inline:"), b["start_line"].cast("string")).alias("symbol"),
             none.alias("class_chain"),
             html_role(b["tag"]).alias("role"),
-            line_range(lines, b["start_line"], b["end_line"]).alias("content"),
             none.alias("calls"),
             F.lit("").alias("doc"),
             F.lit(None).cast("map<string,string>").alias("refs"),
         )
 
     df = df.withColumn("html_blocks", blocks(mine))
-    units = let(F.col("lines"), lambda ls: F.transform("html_blocks", lambda b: unit(b, ls)))
-    return df.withColumn("html", units).drop("html_blocks")
+    return df.withColumn("html", F.transform("html_blocks", unit)).drop("html_blocks")
 
 
 def with_inline_scripts(files: DataFrame) -> DataFrame:

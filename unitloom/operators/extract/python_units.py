@@ -2,10 +2,11 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from unitloom.functions import marking
 from unitloom.functions.texts import line_range, role, strip
 from unitloom.operators.extract import docs
 from unitloom.operators.extract.common import (
-    ANY_BRACKET, _col, all_matches, distinct_calls, let, newlines, number_lines,
+    _col, all_matches, distinct_calls, let, marker, newlines, number_lines,
 )
 
 NAME = r"[\p{L}_][\p{L}\p{N}_]*+"
@@ -15,20 +16,6 @@ KEYWORDS = (
     "lambda|nonlocal|not|or|pass|raise|return|while|with|yield"
 )
 
-_PREFIX = "(?:[rRbBuUfF]{1,2})?"
-_TOKENS = "|".join(
-    [
-        _PREFIX + r'"""(?:[^"\\]++|\\(?s:.)|"(?!""))*+(?:"""|\z)',
-        _PREFIX + r"'''(?:[^'\\]++|\\(?s:.)|'(?!''))*+(?:'''|\z)",
-        _PREFIX + r'"(?:[^"\\\n]++|\\(?s:.))*+"?',
-        _PREFIX + r"'(?:[^'\\\n]++|\\(?s:.))*+'?",
-        r"#[^\n]*+",
-        r"[\p{L}\p{N}_]++",
-        r"[^\p{L}\p{N}_\"'#]++",
-    ]
-)
-_IN_BRACKETS = rf"{ANY_BRACKET}|[^(\[{{]++|[(\[{{]"
-
 # \x02 opens a line that continues the logical line above it.
 _HEAD_REST = r"[^\n]*+(?:\n\d++\t\x02[^\n]*+)*+"
 
@@ -54,33 +41,12 @@ DECORATED_BLOCK = (
 )
 _TO_DEF = rf"(?md)^\d++\t[ \t]*+{_DEF}(?s:.*)"
 
-CALL = (
-    rf"(?<![\p{{L}}\p{{N}}_])(?<!\b(?:def|class)[ \t]{{1,8}})(?!(?:{KEYWORDS})\b)({NAME})[ \t]*+\("
-)
-
-
-def blank(text) -> Column:
-    """Comments dropped, strings emptied (f-string fields kept), continued lines marked."""
-
-    def plain(token):
-        continued = F.repeat(F.lit("\n\x02"), newlines(token).cast("int"))
-        fields = F.when(
-            token.rlike("^[rR]?[fF]"), F.array_join(all_matches(token, r"\{[^{}\n]*+\}"), " ")
-        ).otherwise("")
-        quoted = F.concat(F.lit('"'), fields, continued, F.lit('"'))
-        return (
-            F.when(token.startswith("#"), F.lit(""))
-            .when(token.rlike("^[rRbBuUfF]{0,2}[\"']"), quoted)
-            .otherwise(token)
-        )
+CALL = rf"(?<![\p{{L}}\p{{N}}_])(?!(?:{KEYWORDS})\b)({NAME})[ \t]*+\("
+# A name that is defined is no call.
+_DEFINED = rf"\b(?:def|class)[ \t]++{NAME}"
 
-    emptied = F.array_join(F.transform(all_matches(text, _TOKENS), plain), "")
-    emptied = F.regexp_replace(emptied, r"\\\n", "\n\x02")
-    joined = F.transform(
-        all_matches(emptied, _IN_BRACKETS),
-        lambda t: F.when(t.rlike(r"^[(\[{]"), F.regexp_replace(t, r"\n\x02*", "\n\x02")).otherwise(t),
-    )
-    return F.array_join(joined, "")
+# Comments dropped, strings emptied (f-string fields kept), continued lines marked.
+blank = marker(marking.blank_python)
 
 
 def clean(block) -> Column:
@@ -93,11 +59,28 @@ def _span(block):
     return start, start + newlines(block).cast("int")
 
 
+def _arguments(text) -> Column:
+    """Pieces of a text between commas outside all brackets, at any depth."""
+
+    def step(s, t):
+        depth = s["depth"] + F.when(t.rlike(r"^[(\[{]"), 1).when(t.rlike(r"^[)\]}]"), -1).otherwise(0)
+        cut = (t == ",") & (s["depth"] == 0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(cut, F.array_append(s["done"], s["part"])).otherwise(s["done"]).alias("done"),
+            F.when(cut, F.lit("")).otherwise(F.concat(s["part"], t)).alias("part"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("part"))
+    tokens = all_matches(text, r"[(\[{)\]},]|[^(\[{)\]},]++")
+    return F.aggregate(tokens, start, step, lambda s: F.filter(F.array_append(s["done"], s["part"]), lambda p: strip(p) != ""))
+
+
 def class_header(header) -> Column:
     """name, bases, metaclass of a class header written on one line."""
     header = _col(header)
     args = F.regexp_extract(header, rf"class\s+{NAME}\s*+\((.*)\)\s*+:", 1)
-    parts = F.transform(all_matches(args, rf"(?:[^,()\[\]{{}}]++|{ANY_BRACKET})++"), strip)
+    parts = F.transform(_arguments(args), strip)
     plain = F.filter(parts, lambda p: ~p.rlike(r"^[^(]*+\[") & ~p.rlike(r"^[^(]*+="))
     bases = F.filter(
         F.transform(plain, lambda p: F.regexp_extract(p, rf"^({DOTTED})\s*+(?:\(.*\))?+$", 1)),
@@ -180,8 +163,7 @@ def extract(df: DataFrame) -> DataFrame:
             F.regexp_extract(inner, rf"{_DEF}({NAME})", 1).alias("symbol"),
             chain.alias("class_chain"),
             role(chain).alias("role"),
-            line_range(lines, start, end).alias("content"),
-            distinct_calls(clean(inner), CALL).alias("calls"),
+            distinct_calls(F.regexp_replace(clean(inner), _DEFINED, " "), CALL).alias("calls"),
             docs.python_doc(
                 F.when(body_start <= end, line_range(lines, body_start, end)).otherwise("")
             ).alias("doc"),

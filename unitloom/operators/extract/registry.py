@@ -2,8 +2,9 @@
 
 An extractor takes a DataFrame with `language`, `text` and `lines` and adds one column
 with the file's units: array<struct<start_line, end_line, symbol, class_chain, role,
-content, calls, doc, refs>>, NULL for files of other languages. Class refs are part of
-the struct, so a ref extractor is a function that fills or replaces `refs` there.
+calls, doc, refs>>, NULL for files of other languages. The content is not part of it: it is
+the range of lines, taken row by row. Class refs are part of the struct, so a ref extractor is a
+function that fills or replaces `refs` there; only units that may have refs keep them.
 """
 
 from pyspark.sql import DataFrame, functions as F

@@ -21,7 +21,9 @@ def found_units(files: DataFrame, languages: list | None = None) -> DataFrame:
     df = df.withColumn("lines", file_source.source_lines("shown"))
     df = extract_all(df, languages)
     keep = ["path", "language", "module", "package", "namespace", "part"]
-    rows = df.select(*keep, F.posexplode("found").alias("at", "unit")).select(*keep, "at", "unit.*")
+    rows = df.select(*keep, "lines", F.posexplode("found").alias("at", "unit")).select(*keep, "lines", "at", "unit.*")
+    # Row by row: units of a file may share long lines.
+    rows = rows.withColumn("content", texts.line_range("lines", F.col("start_line"), F.col("end_line"))).drop("lines")
     rows = rows.withColumn("qualified_name", texts.qualified_name())
     file = F.regexp_replace("path", r":inline:\d+$", "")
     return rows.withColumns(
