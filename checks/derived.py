@@ -1,13 +1,12 @@
 """Inputs derived from the given tables, in Spark and as SQL common table expressions."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.functions import texts
 from unitloom.functions.embedding import embed_lanes
-from unitloom.session import spread
+from unitloom.session import shared_folder, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared folder of the session, local only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="unitloom-run-")
+    """A fresh folder in the shared folder of the session."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
 
 
 # -- units: one per document ---------------------------------------------------------

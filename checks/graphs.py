@@ -105,7 +105,7 @@ LEFT JOIN (SELECT callee_qname, count(*) AS n, string_agg(u.qualified_name, ' '
 @check("gra_2_depth_one_all_units", sql(NEIGHBOURS, "edges", "units"))
 def gra_2(spark, sf_dir):
     units = bare_units(spark, sf_dir)
-    out = graph.with_context(units.select("id", "qualified_name"), units, edges(spark, sf_dir), depth=1, page_rows=10_000_000)
+    out = graph.with_context(units.select("id", "qualified_name"), units, edges(spark, sf_dir), depth=1)
 
     def names(c):
         return F.array_join(F.transform(c, lambda n: n["qualified_name"]), " ")

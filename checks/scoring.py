@@ -450,7 +450,7 @@ def gra_1(spark, sf_dir):
 )
 def prj_17(spark, sf_dir):
     # Large pages keep one text per query here; the page number stays part of the key.
-    return search.render_contexts(contexts(spark, sf_dir, page_rows=10_000_000), queries(spark, sf_dir))
+    return search.render_contexts(contexts(spark, sf_dir), queries(spark, sf_dir))
 
 
 @check(
@@ -462,7 +462,7 @@ def prj_17(spark, sf_dir):
     ),
 )
 def gra_5(spark, sf_dir):
-    nested = graph.nested_result(contexts(spark, sf_dir, page_rows=10_000_000), queries(spark, sf_dir))
+    nested = graph.nested_result(contexts(spark, sf_dir), queries(spark, sf_dir))
     shape = "query string, hits array<struct<hit: struct<id: string>, callees: array<struct<path: string>>, callers: array<struct<path: string>>>>"
     parsed = nested.select("query_id", "page", F.from_json("result", shape).alias("r"))
 

@@ -54,6 +54,11 @@ def write_index(units: DataFrame, path: str, dim: int, lane: str = "func", **sha
     )
 
 
+def units_like(index: DataFrame, query_type, lane: str) -> DataFrame:
+    """No partial results: what an empty query table gives."""
+    return index.sparkSession.createDataFrame([], topk._partial_schema(query_type, (lane,)))
+
+
 def nearest(index: DataFrame, queries: DataFrame, *, k: int, dim: int, lane: str = "func", bands: int = BANDS, bits: int = BITS) -> DataFrame:
     """Top k per query among units that share a band code with it; exact distances.
 
@@ -63,7 +68,7 @@ def nearest(index: DataFrame, queries: DataFrame, *, k: int, dim: int, lane: str
     query_type = queries.schema["query_id"].dataType
     asked = with_codes(queries.select("query_id", "qv"), "qv", dim, bands, bits)
     weights = {f"w_{lane}": 1.0, "w_fts": 0.0}
-    out = None
+    out = units_like(index, query_type, lane)
     for block in topk.query_blocks(asked, dim):
         wanted = F.lit(False)
         for band in range(bands):
@@ -71,5 +76,5 @@ def nearest(index: DataFrame, queries: DataFrame, *, k: int, dim: int, lane: str
             wanted = wanted | ((F.col("band") == band) & F.col("code").isin(listed))
         lean = index.filter(wanted).select("id", f"vec_{lane}", "codes", "band")
         part = topk.best_of(lean, block, query_type, weights, k, (lane,))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return topk.top_k_per(out, "query_id", k, salt="salt")

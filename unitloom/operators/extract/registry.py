@@ -9,6 +9,7 @@ function that fills or replaces `refs` there; only units that may have refs keep
 
 from pyspark.sql import DataFrame, functions as F
 
+from unitloom.functions.texts import REF_ROLES
 from unitloom.operators.extract import brace_units, html_units, python_units
 
 # column name -> (languages, function)
@@ -39,6 +40,7 @@ def extract_all(df: DataFrame, languages: list | None = None) -> DataFrame:
             used.append(column)
     df = df.withColumn("found", F.coalesce(*used)).drop(*used)
     for language, refs in REF_EXTRACTORS.items():
-        replaced = F.transform("found", lambda u: u.withField("refs", refs(u)))
+        eligible = lambda u: u["role"].isin(REF_ROLES) & (F.size(u["class_chain"]) > 0)
+        replaced = F.transform("found", lambda u: u.withField("refs", F.when(eligible(u), refs(u)).otherwise(u["refs"])))
         df = df.withColumn("found", F.when(F.col("language") == language, replaced).otherwise(F.col("found")))
     return df

@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from unitloom.session import cut_lineage, small_side
 
-# Neighbours per nested row; a hit with more gets several rows (pages).
-PAGE_ROWS = 1000
+# Neighbours per nested row: None gives one row per hit at every size; a number gives pages.
+# Flat rows, one per neighbour, are what `expand` returns.
+PAGE_ROWS = None
 
 NODE = T.StructType(
     [
@@ -24,6 +25,12 @@ def _target(resolve: str) -> str:
     return {"exact": "qualified_name", "symbol": "symbol"}[resolve]
 
 
+def named_units(units: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """Rows of `units` whose `key` is among `names`, before any join that would shuffle all units."""
+    wanted = names.select(key).distinct()
+    return units.join(small_side(wanted, wanted.count()), key, "left_semi")
+
+
 def callees_of(callers: DataFrame, edges: DataFrame, units: DataFrame, rows: int, resolve: str = "exact") -> DataFrame:
     """Distinct callees of `callers` (column caller_id); unknown targets stay, with NULLs.
 
@@ -35,7 +42,8 @@ def callees_of(callers: DataFrame, edges: DataFrame, units: DataFrame, rows: int
     found = units.select(
         F.col(_target(resolve)).alias("callee_qname"), F.col("id").alias("unit_id"), "qualified_name", "path"
     )
-    return mine.join(found, "callee_qname", "left").distinct()
+    mine = cut_lineage(mine)
+    return mine.join(named_units(found, "callee_qname", mine), "callee_qname", "left").distinct()
 
 
 def callers_of(names: DataFrame, edges: DataFrame, units: DataFrame, rows: int) -> DataFrame:
@@ -44,7 +52,8 @@ def callers_of(names: DataFrame, edges: DataFrame, units: DataFrame, rows: int)
         small_side(names.select("callee_qname").distinct(), rows), "callee_qname", "left_semi"
     )
     found = units.select(F.col("id").alias("caller_id"), "qualified_name", "path")
-    return mine.join(found, "caller_id").distinct()
+    mine = cut_lineage(mine)
+    return mine.join(named_units(found, "caller_id", mine), "caller_id").distinct()
 
 
 def _level(frontier, rows, edges, units, side, resolve):
@@ -60,7 +69,8 @@ def _level(frontier, rows, edges, units, side, resolve):
         found = units.select(
             F.col(_target(resolve)).alias("callee_qname"), F.col("id").alias("unit_id"), "path"
         )
-        named = reached.join(found, "callee_qname", "left")
+        reached = cut_lineage(reached)
+        named = reached.join(named_units(found, "callee_qname", reached), "callee_qname", "left")
         return named.select(
             "hit_id", F.col("callee_qname").alias("qualified_name"), "path", "unit_id", "callee_raw",
             F.col("unit_id").alias("next"),
@@ -70,7 +80,8 @@ def _level(frontier, rows, edges, units, side, resolve):
     found = units.select(
         F.col("id").alias("caller_id"), "qualified_name", "path", F.col(_target(resolve)).alias("next")
     )
-    return reached.distinct().join(found, "caller_id").select(
+    reached = cut_lineage(reached.distinct())
+    return reached.join(named_units(found, "caller_id", reached), "caller_id").select(
         "hit_id", "qualified_name", "path", F.col("caller_id").alias("unit_id"),
         F.lit(None).cast("string").alias("callee_raw"), "next",
     )
@@ -112,14 +123,15 @@ def expand(hits: DataFrame, edges: DataFrame, units: DataFrame, *, side: str, de
     return out
 
 
-def neighbour_pages(nodes: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def neighbour_pages(nodes: DataFrame, page_rows: int | None = PAGE_ROWS) -> DataFrame:
     """hit_id, page, n (all neighbours of the hit), nodes (those of the page).
 
-    A hit's neighbours are counted first and then spread by hash over as many pages
-    as needed, so a hub is never gathered in one row or one task.
+    Without `page_rows` a hit has the one page 0 with all its neighbours in order, whatever their
+    number: the nested document of the hit. With `page_rows` the neighbours are counted first and
+    spread by hash over as many pages as needed, so a hub is never gathered in one row or one task.
     """
     counts = nodes.groupBy("hit_id").agg(F.count("*").alias("n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(page_rows))).cast("long")
+    pages = F.lit(1) if page_rows is None else F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(page_rows))).cast("long")
     node = F.struct("depth", "qualified_name", "unit_id", "path", "callee_raw")
     return (
         nodes.join(counts, "hit_id")
@@ -130,7 +142,7 @@ def neighbour_pages(nodes: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     )
 
 
-def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame, *, depth: int, resolve: str = "exact", page_rows: int = PAGE_ROWS) -> DataFrame:
+def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame, *, depth: int, resolve: str = "exact", page_rows: int | None = PAGE_ROWS) -> DataFrame:
     """Hits with `callees` and `callers` arrays; hits without neighbours get []."""
     none = F.array().cast(T.ArrayType(NODE))
     if depth <= 0:

@@ -86,12 +86,12 @@ def changes(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataF
     return old.join(new, key, "full").withColumn("change", state)
 
 
-def manifest(files: DataFrame, job_id: str, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """JSON manifest pages {"job_id": …, "files": {path: hash}} of about `page_rows` files.
+def manifest(files: DataFrame, job_id: str, page_rows: int | None = PAGE_ROWS) -> DataFrame:
+    """JSON manifest {"job_id": …, "files": {path: hash}}: page 0, or pages of about `page_rows` files.
 
-    files: path, content_hash. A job with few files has the single page 0.
+    files: path, content_hash; they are the manifest as rows.
     """
-    pages = max(1, -(-files.count() // page_rows))
+    pages = 1 if page_rows is None else max(1, -(-files.count() // page_rows))
     entry = F.struct("path", "content_hash")
     return (
         files.select("path", "content_hash")

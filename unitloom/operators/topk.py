@@ -2,6 +2,7 @@
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from unitloom.functions import kernels, shipping  # noqa: F401
 from unitloom.functions.lexical import tokens
@@ -78,7 +79,7 @@ def query_blocks(queries: DataFrame, dim: int, limit: int = QUERIES_PER_PASS):
 
 def best_of(scored: DataFrame, block, query_type, weights: dict, k: int, lanes) -> DataFrame:
     """Partial winners of every task for one query block."""
-    arrow_type = kernels.pa.int64() if isinstance(query_type, T.LongType) else kernels.pa.string()
+    arrow_type = to_arrow_type(query_type)
 
     def run(batches):
         task = TaskContext.get().partitionId() // TASKS_PER_MERGE

@@ -8,6 +8,7 @@ from unitloom.operators.extract.registry import extract_all
 from unitloom.operators.maintain import ref_eligible
 from unitloom.schema import CHUNK
 from unitloom.sources import files as file_source
+from unitloom.session import cut_lineage
 from unitloom.sources import jsonl
 
 
@@ -33,9 +34,17 @@ def found_units(files: DataFrame, languages: list | None = None) -> DataFrame:
 
 def index_files(files: DataFrame, languages: list | None = None, **context) -> tuple[DataFrame, DataFrame]:
     """Chunk rows (plus `seq`) and ref rows of files with path and source bytes."""
+    return chunks_and_refs(assembled_units(files, languages, **context))
+
+
+def assembled_units(files: DataFrame, languages: list | None = None, **context) -> DataFrame:
+    """Units of files with path and source bytes, with their class refs and `seq`."""
     described = file_source.file_context(files, **context)
     described = described.withColumn("text", file_source.decode("source")).drop("source")
-    units = found_units(described, languages)
+    return found_units(described, languages)
+
+
+def chunks_and_refs(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = units.withColumn("embed_text", texts.embed_text())
     chunks = units.withColumns(
         {
@@ -50,7 +59,13 @@ def index_files(files: DataFrame, languages: list | None = None, **context) -> t
     return chunks, refs
 
 
-def index_repository(spark: SparkSession, root: str, folder: str, *, languages: list | None = None, **context) -> None:
-    """Write chunks.jsonl and refs.jsonl of a repository under `folder`, in path order."""
-    chunks, refs = index_files(file_source.read_repository(spark, root), languages, **context)
-    jsonl.write_jsonl(chunks.orderBy("seq"), refs.orderBy("seq"), folder)
+def index_repository(spark: SparkSession, root: str, folder: str, *, languages: list | None = None, **context) -> dict:
+    """Write chunks.jsonl and refs.jsonl of a repository under `folder`; returns n_units and n_refs.
+
+    Units are extracted once, into the shared folder; both files are written from there. The units
+    of a file stay together and in order, so the last duplicate of an id is the last in its file.
+    """
+    units = cut_lineage(assembled_units(file_source.read_repository(spark, root), languages, **context))
+    chunks, refs = chunks_and_refs(units)
+    jsonl.write_jsonl(chunks, refs, folder)
+    return {"n_units": units.count(), "n_refs": refs.count()}

@@ -88,7 +88,7 @@ def render_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search_with_context(
     units: DataFrame, edges: DataFrame, queries: DataFrame, *, k: int = 10, expand_depth: int = 1,
-    resolve: str = "exact", page_rows: int = graph.PAGE_ROWS, deprioritize_tests: bool = True,
+    resolve: str = "exact", page_rows: int | None = graph.PAGE_ROWS, deprioritize_tests: bool = True,
     exclude_tests: bool = False, **options,
 ) -> DataFrame:
     """Balanced-lane hits with callees and callers up to `expand_depth` hops.

@@ -23,9 +23,14 @@ def _lines(reader, path, schema):
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """`seq`: position of a row as (file, split, row in split), comparable across tasks."""
+    """`seq`: position of a row as (file, split, row in split), comparable across tasks.
+
+    Numbers in file names compare as numbers, so part-100000 comes after part-99999.
+    """
+    pieces = F.regexp_extract_all("file", F.lit(r"\d+|\D+"), F.lit(0))
+    name = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
     return df.withColumn(
-        "seq", F.struct("file", "block", F.monotonically_increasing_id().alias("row"))
+        "seq", F.struct(name.alias("file"), "block", F.monotonically_increasing_id().alias("row"))
     ).drop("file", "block")
 
 

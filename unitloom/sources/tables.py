@@ -8,6 +8,7 @@ is being read is ever replaced.
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from unitloom.operators import maintain
@@ -46,21 +47,29 @@ class CodeTables:
         done = [int(n[:-5]) for n in self._list("_snapshots") if n.endswith(".json")]
         if not done:
             return {"version": 0, "buckets": self.buckets, "units": {}, "edges": {}}
-        stream = self._fs.open(self._path(f"_snapshots/{max(done)}.json"))
-        text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return json.loads(text)
+        for version in sorted(done, reverse=True):
+            stream = self._fs.open(self._path(f"_snapshots/{version}.json"))
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            try:
+                return json.loads(text)
+            except ValueError:  # another load is writing this version just now
+                continue
+        return {"version": 0, "buckets": self.buckets, "units": {}, "edges": {}}
 
     def _publish(self, snapshot: dict) -> None:
-        """Fails if another writer has published this version first."""
+        """Creates the snapshot file only if absent; fails if another load has published this version.
+
+        The store decides which of two writers creates the file; a reader skips a file that is
+        not yet whole.
+        """
         name = self._path(f"_snapshots/{snapshot['version']}.json")
-        draft = self._path(f"_drafts/{self._jvm.java.util.UUID.randomUUID()}.json")
-        out = self._fs.create(draft, False)
+        try:
+            out = self._fs.create(name, False)
+        except Py4JJavaError as error:
+            raise RuntimeError(f"version {snapshot['version']} was published by another load") from error
         out.write(bytearray(json.dumps(snapshot).encode("utf-8")))
         out.close()
-        self._fs.mkdirs(self._path("_snapshots"))
-        if self._fs.exists(name) or not self._fs.rename(draft, name):
-            raise RuntimeError(f"version {snapshot['version']} was published by another load")
 
     # -- reading -----------------------------------------------------------------
 

@@ -6,8 +6,9 @@ replayed micro-batch upserts the same rows again, so the tables end the same.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitloom.plans.index import index_files
+from unitloom.plans.index import assembled_units, chunks_and_refs
 from unitloom.plans.load import prepare_units
+from unitloom.session import cut_lineage
 from unitloom.sources import files as file_source
 from unitloom.sources import jsonl
 from unitloom.sources.tables import CodeTables
@@ -40,7 +41,7 @@ def stream_repository(
 
     def take(batch: DataFrame, number: int) -> None:
         found = file_source.relative_paths(batch, root)
-        chunks, refs = index_files(found, **(context or {}))
+        chunks, refs = chunks_and_refs(cut_lineage(assembled_units(found, **(context or {}))))
         ready = prepare_units(chunks, refs, refs_in_base=True, **model)
         CodeTables(batch.sparkSession, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
 
