@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from unitloom.llm import toxicity
+from unitloom.llm import statements, toxicity
 from unitloom.llm.bpe import decode, encode, read_ranks
 from unitloom.llm.forest import near_vectors
 from unitloom.llm.html_text import page_texts
@@ -36,10 +36,17 @@ def op1_rp_forest(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+SQL["op1_rp_forest"] = statements.NEAR_VECTORS
+
+
 @query
 def op2_circulant_minhash(spark, sf_dir):
     """Near duplicates of all documents on two-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op2_circulant_minhash"] = statements.NEAR_DOCUMENTS
 
 
 @query
@@ -61,6 +68,9 @@ def op3_suffix_dedup(spark, sf_dir):
     )
 
 
+SQL["op3_suffix_dedup"] = statements.REPEATS
+
+
 @query
 def op9_exact_topk(spark, sf_dir):
     """The ten best vectors for every hundredth vector, exactly."""
