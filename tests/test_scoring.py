@@ -178,3 +178,19 @@ def test_approximate_recall_and_exact_distances(spark, tmp_path):
         found.setdefault(r.query_id, set()).add(r.id)
     recall = np.mean([len(found[rows[i].id] & {rows[j].id for j in exact[i]}) / 10 for i in range(len(rows))])
     assert recall >= 0.9
+
+
+def test_integer_query_ids_and_empty_query_tables(spark):
+    from unitloom.operators import ann, topk
+
+    units = spark.createDataFrame(
+        [(str(i), [float(i), 1.0], [1.0, float(i)], [1.0, 1.0], "find it") for i in range(5)],
+        "id string, vec_func array<float>, vec_call array<float>, vec_class array<float>, search_text string",
+    )
+    weights = {"w_func": 1.0, "w_call": 0.0, "w_class": 0.0, "w_fts": 0.0}
+    asked = spark.createDataFrame([(7, [1.0, 1.0], ["find"])], "query_id int, qv array<float>, terms array<string>")
+    rows = topk.score_units(units, asked, weights=weights, fetch=2, dim=2).collect()
+    assert [r.query_id for r in rows] == [7, 7] and rows[0].id == "1"
+    none = asked.limit(0)
+    assert topk.score_units(units, none, weights=weights, fetch=2, dim=2).collect() == []
+    assert ann.nearest(ann.index_rows(units, 2), none, k=3, dim=2).collect() == []

@@ -191,3 +191,36 @@ def test_search_over_tables_reads_only_winning_folders(spark, tmp_path):
     pick = lambda d: sorted((r.rank, r.id, r.content, r.score) for r in d.collect())
     assert pick(pruned) == pick(plain) and len(pick(plain)) == 3
     assert "dynamicpruning" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_local_mode_goes_without_a_shared_folder(spark):
+    from unitloom.session import shared_folder
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        shared_folder(Cluster())
+    assert shared_folder(spark)
+
+
+def test_second_writer_of_a_version_fails_and_half_a_snapshot_is_skipped(spark, tmp_path):
+    from unitloom.sources.tables import CodeTables
+
+    tables = CodeTables(spark, str(tmp_path / "t"))
+    tables._publish({"version": 1, "buckets": 64, "units": {}, "edges": {}})
+    with pytest.raises(RuntimeError):
+        tables._publish({"version": 1, "buckets": 64, "units": {"3": "x"}, "edges": {}})
+    (tmp_path / "t/_snapshots/2.json").write_text('{"version": 2, "buck')
+    assert tables.snapshot()["version"] == 1
+
+
+def test_numbers_in_file_names_order_as_numbers(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from unitloom.sources.jsonl import with_file_order
+
+    names = ["part-100000.json", "part-99999.json", "part-7.json"]
+    df = spark.createDataFrame([(n, 0) for n in names], "file string, block long")
+    rows = with_file_order(df.withColumn("name", F.col("file"))).orderBy("seq.file").collect()
+    assert [r.name for r in rows] == ["part-7.json", "part-99999.json", "part-100000.json"]
