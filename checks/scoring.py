@@ -198,8 +198,10 @@ vector_ctes("v_documents", "documents", "doc_id", "text", dim=384)
 @check("udf_1_sql_embedding", sql("SELECT k AS doc_id, bucket, round(w, 6) AS w FROM v_documents", "v_documents"))
 def udf_1(spark, sf_dir):
     embedding.register_sql(spark)
-    df = table(spark, sf_dir, "documents").select("doc_id", lexical.tokens("text").alias("words"))
-    return _elements(df.select("doc_id", F.expr("embed_words(words)").alias("v")), "doc_id", "v")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", lexical.tokens("text").alias("words"))
+    calls = ["embed_text(text)", "embed_text(text, 'feature-hashing')", "embed_words(words)", "embed_words(words, 'feature-hashing')"]
+    by_call = F.expr(f"CASE doc_id % 4 WHEN 0 THEN {calls[0]} WHEN 1 THEN {calls[1]} WHEN 2 THEN {calls[2]} ELSE {calls[3]} END")
+    return _elements(df.select("doc_id", by_call.alias("v")), "doc_id", "v")
 
 
 # -- lexical ---------------------------------------------------------------------------------

@@ -6,10 +6,11 @@ through `register_model` and runs in the same Arrow batches.
 """
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from unitloom.functions import kernels, shipping  # noqa: F401
-from unitloom.functions.lexical import tokens
+from unitloom.functions.lexical import NON_WORD, tokens
 from unitloom.schema import EMBED_DIM
 
 DEFAULT_MODEL = "feature-hashing"
@@ -40,23 +41,48 @@ def embed_literal(text: str, dim: int = EMBED_DIM, model: str = DEFAULT_MODEL) -
     """Vector of one query string, computed where the query is written down."""
     import regex
 
-    from unitloom.functions.lexical import NON_WORD
-
     words = [w for w in regex.split(NON_WORD, text.lower()) if w]
     row = _models[model](pa.array([words], pa.list_(pa.string())), dim)
     return [float(x) for x in row[0]]
 
 
 def register_sql(spark: SparkSession, dim: int = EMBED_DIM) -> None:
-    """SQL function embed_words(array<string> [, model]); deterministic, default model."""
-    models = dict(_models)
-    default = DEFAULT_MODEL
+    """SQL functions embed_text(text [, model]) and embed_words(array<string> [, model]).
+
+    The default model is the shipped one; a NULL text or model gives NULL. Models are those
+    registered so far; call this again after `register_model`.
+    """
+    models, default, non_word = dict(_models), DEFAULT_MODEL, NON_WORD
+
+    def vectors(words: pa.Array, names: list | None) -> pa.Array:
+        if names is None:
+            return kernels.vectors_to_lists(models[default](words, dim))
+        out = [None] * len(words)
+        for name in {n for n in names if n is not None}:
+            rows = [i for i, n in enumerate(names) if n == name]
+            for i, vector in zip(rows, kernels.vectors_to_lists(models[name](words.take(pa.array(rows)), dim))):
+                out[i] = vector.as_py()
+        return pa.array(out, pa.list_(pa.float32()))
+
+    def masked(found: pa.Array, source: pa.Array) -> pa.Array:
+        return pc.if_else(source.is_valid(), found, pa.scalar(None, found.type)) if source.null_count else found
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed_words(*columns: pa.Array) -> pa.Array:
+        names = columns[1].to_pylist() if len(columns) > 1 else None
+        return vectors(columns[0], names)
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def embed_words(words: pa.Array) -> pa.Array:
-        return kernels.vectors_to_lists(models[default](words, dim))
+    def embed_text(*columns: pa.Array) -> pa.Array:
+        import regex
+
+        cut = regex.compile(non_word)
+        words = [[w for w in cut.split((t or "").lower()) if w] for t in columns[0].to_pylist()]
+        names = columns[1].to_pylist() if len(columns) > 1 else None
+        return masked(vectors(pa.array(words, pa.list_(pa.string())), names), columns[0])
 
     spark.udf.register("embed_words", embed_words)
+    spark.udf.register("embed_text", embed_text)
 
 
 def embed_lanes(df: DataFrame, model: str = DEFAULT_MODEL, dim: int = EMBED_DIM) -> DataFrame:
