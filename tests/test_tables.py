@@ -224,3 +224,27 @@ def test_numbers_in_file_names_order_as_numbers(spark, tmp_path):
     df = spark.createDataFrame([(n, 0) for n in names], "file string, block long")
     rows = with_file_order(df.withColumn("name", F.col("file"))).orderBy("seq.file").collect()
     assert [r.name for r in rows] == ["part-7.json", "part-99999.json", "part-100000.json"]
+
+
+def test_package_facts_of_a_root(spark, tmp_path):
+    from unitloom.plans.index import index_repository
+    from unitloom.sources.files import root_context
+    from unitloom.sources.jsonl import read_chunks
+
+    site = tmp_path / "lib" / "site-packages"
+    (site / "tool-1.0").mkdir(parents=True)
+    (site / "app" / "sub").mkdir(parents=True)
+    for file in ("app/__init__.py", "app/c.py", "app/sub/a.py", "tool-1.0/b.py"):
+        (site / file).write_text("def f():\n    pass\n")
+    (tmp_path / "own").mkdir()
+    for file in ("__init__.py", "g.py"):
+        (tmp_path / "own" / file).write_text("def g():\n    pass\n")
+    assert root_context(spark, str(site / "app")) == {"root_name": "app", "root_is_package": True, "below_site_packages": "app"}
+    assert root_context(spark, str(tmp_path / "own"))["below_site_packages"] is None
+
+    counts = index_repository(spark, str(site), str(tmp_path / "out"), languages=["python"])
+    assert counts == {"n_units": 3, "n_refs": 0}
+    rows = {r.path: (r.package, r.namespace) for r in read_chunks(spark, str(tmp_path / "out/chunks.jsonl")).collect()}
+    assert rows == {"app/c.py": ("app", "pip"), "app/sub/a.py": ("app", "pip"), "tool-1.0/b.py": ("tool", "pip")}
+    index_repository(spark, str(tmp_path / "own"), str(tmp_path / "out2"), languages=["python"])
+    assert read_chunks(spark, str(tmp_path / "out2/chunks.jsonl")).first().package == "own"

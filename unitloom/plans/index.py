@@ -64,7 +64,9 @@ def index_repository(spark: SparkSession, root: str, folder: str, *, languages:
 
     Units are extracted once, into the shared folder; both files are written from there. The units
     of a file stay together and in order, so the last duplicate of an id is the last in its file.
+    Package root and site-packages are found from `root` unless `context` names them.
     """
+    context = file_source.root_context(spark, root) | context
     units = cut_lineage(assembled_units(file_source.read_repository(spark, root), languages, **context))
     chunks, refs = chunks_and_refs(units)
     jsonl.write_jsonl(chunks, refs, folder)

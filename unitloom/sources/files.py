@@ -20,6 +20,22 @@ def read_repository(spark: SparkSession, root: str, glob: str = GLOB) -> DataFra
     return relative_paths(spread(files), root)
 
 
+def root_context(spark: SparkSession, root: str) -> dict:
+    """Package facts of a scanned root, as `file_context` takes them.
+
+    The nearest `site-packages` folder at or above the root holds packages; a root with an
+    `__init__.py` is a package itself.
+    """
+    parts = [p for p in root.split("://", 1)[-1].split("/") if p]
+    below = None
+    if "site-packages" in parts:
+        place = len(parts) - 1 - parts[::-1].index("site-packages")
+        below = "/".join(parts[place + 1 :])
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/__init__.py")
+    is_package = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return {"root_name": parts[-1] if parts else None, "root_is_package": is_package, "below_site_packages": below}
+
+
 def relative_paths(files: DataFrame, root: str) -> DataFrame:
     base = root.rstrip("/") + "/"
     plain = F.regexp_replace("path", r"^[a-zA-Z][\w+.-]*:(//[^/]*)?(?=/)", "")

@@ -39,9 +39,11 @@ def stream_repository(
         .load(root)
     )
 
+    facts = file_source.root_context(spark, root) | (context or {})
+
     def take(batch: DataFrame, number: int) -> None:
         found = file_source.relative_paths(batch, root)
-        chunks, refs = chunks_and_refs(cut_lineage(assembled_units(found, **(context or {}))))
+        chunks, refs = chunks_and_refs(cut_lineage(assembled_units(found, **facts)))
         ready = prepare_units(chunks, refs, refs_in_base=True, **model)
         CodeTables(batch.sparkSession, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
 
