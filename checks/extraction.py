@@ -77,14 +77,24 @@ FILES = {
     "script": (SCRIPT, ".js", " * "),
     "rust": (RUST, ".rs", "/// "),
 }
-CLEAN = r"""[\\"'*/!{}()]"""
+# What ends the literal or comment that holds the text is written as the language needs it.
+ESCAPES = {
+    "python": (lambda t: F.regexp_replace(t, r'([\\"])', r"\\$1"), "regexp_replace(t, '([\\\\\"])', '\\\\\\1', 'g')"),
+    "script": (lambda t: F.replace(F.replace(t, F.lit("*/"), F.lit("* /")), F.lit("/*"), F.lit("/ *")), "replace(replace(t, '*/', '* /'), '/*', '/ *')"),
+    "rust": (lambda t: t, "t"),
+}
+
+
+def trimmed(text):
+    """A text with trimmed lines and without empty ones."""
+    text = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r\n]*", "\n")
+    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
 def files(spark, sf_dir, kind):
     template, suffix, margin = FILES[kind]
     doc = spread(table(spark, sf_dir, "documents"))
-    clean = F.regexp_replace(F.regexp_replace("text", CLEAN, ""), r"[ \t\r]*\n[ \t\r\n]*", "\n")
-    clean = F.regexp_replace(clean, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    clean = ESCAPES[kind][0](trimmed("text"))
     text = F.lit(template)
     inserts = {
         "{T}": F.replace(clean, F.lit("\n"), F.lit("\n" + margin)), "{id}": F.col("doc_id").cast("string"),
@@ -115,7 +125,7 @@ cte(
     "clean",
     """SELECT doc_id, source, lang, t, len(string_split(t, chr(10))) - 1 AS nl, 'src/' || source || '/' || lang || '/d' || doc_id AS stem,
       'src.' || source || '.' || lang || '.d' || doc_id AS module FROM (
-      SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '""" + CLEAN.replace("'", "''") + """', '', 'g'), '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS t
+      SELECT *, regexp_replace(regexp_replace(text, '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS t
       FROM documents)""",
 )
 for kind, (template, suffix, margin) in FILES.items():
@@ -125,7 +135,7 @@ for kind, (template, suffix, margin) in FILES.items():
         ("{source}", "source"), ("{lang}", "lang"),
     ):
         value = f"replace({value}, '{mark}', {column})"
-    cte(f"{kind}_files", f"SELECT *, stem || '{suffix}' AS path, string_split({value}, chr(10)) AS ls FROM clean", ["clean"])
+    cte(f"{kind}_files", f"SELECT *, stem || '{suffix}' AS path, string_split({value}, chr(10)) AS ls FROM (SELECT * REPLACE ({ESCAPES[kind][1]} AS t) FROM clean)", ["clean"])
 
 
 def expected(kind, rows):
@@ -420,8 +430,7 @@ def qry_5(spark, sf_dir):
 def udf_2(spark, sf_dir):
     """A caller's own language: one unit per plain text, named by its source."""
     doc = spread(table(spark, sf_dir, "documents"))
-    clean = F.regexp_replace(F.regexp_replace("text", CLEAN, ""), r"[ \t\r]*\n[ \t\r\n]*", "\n")
-    clean = F.regexp_replace(clean, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    clean = trimmed("text")
     described = doc.select(
         F.concat(F.lit("notes/d"), "doc_id", F.lit(".txt")).alias("path"), clean.alias("text"), F.lit("note").alias("language"),
         F.col("source").alias("module"), F.lit(None).cast("string").alias("package"), F.lit("docs").alias("namespace"),
