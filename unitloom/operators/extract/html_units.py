@@ -13,13 +13,12 @@ _STEP = r"(?is)\G.*?(?:<script\b.*?</script\s*>|<style\b.*?</style\s*>)"
 def blocks(text) -> Column:
     """tag, block, start_line (of the whole page), end_line in document order.
 
-    A page holds few blocks; the lines before each one are the sum over earlier runs.
+    The lines before each block are running sums over the runs of text.
     """
     text = F.col(text) if isinstance(text, str) else text
 
-    def place(run, i, runs):
+    def place(run, before):
         block = F.regexp_extract(run, BLOCK, 0)
-        before = F.aggregate(F.slice(runs, F.lit(1), i), F.lit(0), lambda n, r: n + newlines(r).cast("int"))
         start = before + newlines(run).cast("int") - newlines(block).cast("int") + 1
         return F.struct(
             F.lower(F.regexp_extract(block, r"^<(\w+)", 1)).alias("tag"),
@@ -28,7 +27,14 @@ def blocks(text) -> Column:
             (start + newlines(block).cast("int")).alias("end_line"),
         )
 
-    return let(all_matches(text, _STEP), lambda runs: F.transform(runs, lambda r, i: place(r, i, runs)))
+    def sums(runs):
+        add = lambda done, run: F.array_append(done, F.element_at(done, -1) + newlines(run).cast("int"))
+        return F.aggregate(runs, F.array(F.lit(0)), add)
+
+    return let(
+        all_matches(text, _STEP),
+        lambda runs: let(sums(runs), lambda before: F.transform(runs, lambda r, i: place(r, F.get(before, i)))),
+    )
 
 
 def script_body(block) -> Column:
