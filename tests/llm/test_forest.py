@@ -83,3 +83,21 @@ def brute_matrix(rows):
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
     return dict(zip(ids.tolist(), (near.sum(axis=1) - 1).tolist()))
+
+
+def test_dense_group_above_max_group_is_compared_whole(spark):
+    """Near copies of one vector, more than max_group of them: at a root, below a cut, and beside equal rows."""
+    rng = np.random.default_rng(3)
+    hot = rng.standard_normal(16)
+    near = lambda n: hot + 0.1 * rng.standard_normal((n, 16))
+    parts = [(near(700), 1), (rng.standard_normal((300, 16)), 1), (near(450), 2), (rng.standard_normal((3000, 16)), 2), (np.tile(hot, (30, 1)), 2)]
+    rows = [(v, c) for part, c in parts for v in part]
+    rows = [(i, [float(np.float32(x)) for x in v], c) for i, (v, c) in enumerate(rows)]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), leaf=64, max_group=200).collect()}
+    truth = brute_matrix(rows)
+    assert all(got[i].n_links <= truth[i] for i in truth)
+    for label in (1, 2):
+        mine = [r[0] for r in rows if r[2] == label]
+        assert sum(got[i].n_links for i in mine) >= 0.95 * sum(truth[i] for i in mine)
+    assert all(got[i].n_links == truth[i] for i in range(1000))
+    assert {got[i].component_id for i in range(700)} == {0}

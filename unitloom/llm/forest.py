@@ -5,7 +5,9 @@ close to a split go to both sides. Vectors are compared exactly within leaves on
 counted once over all trees, and linked vectors are united.
 
 Equal vectors are one node with a multiplicity. Nodes of a tree with more than MAX_GROUP vectors
-are split by Spark level by level; smaller ones are split to leaves inside one task.
+are split by Spark level by level; smaller ones are split to leaves inside one task. A larger node
+in which links are frequent is a leaf as it is: its vectors are dealt into blocks, and each pair of
+blocks is compared in a task of its own.
 """
 
 import numpy as np
@@ -22,6 +24,12 @@ MAX_GROUP = 16_384
 # Share of a tree node on each side of the median that goes to both children.
 SPILL = 0.06
 BLOCK = 1024
+# Cells of a piece of the comparison; vectors of a large node that judge how frequent links are.
+CELLS = 1 << 22
+SAMPLE = 256
+
+
+NODE = ("nid", "vec", "copies", "key")
 
 
 def direction(key, size):
@@ -74,7 +82,10 @@ def _assign(leaf, spill, cosine):
 
 
 def _links(cosine):
-    """Exact links within one leaf, without those that an earlier common leaf counts."""
+    """Exact links within one leaf or tile, without those that an earlier common leaf counts.
+
+    A tile compares the rows of its lower block with those of its higher block.
+    """
 
     def run(table):
         size = len(table.column("vec")[0])
@@ -89,19 +100,31 @@ def _links(cosine):
         cuts = np.flatnonzero(np.diff(flat[before])) + 1
         earlier = [g for g in np.split(owner[before], cuts) if len(g) > 1]
         n = len(nid)
+        left = right = np.arange(n)
+        if "low" in table.column_names and table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            block = table.column("block").to_numpy()
+            left, right = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("low", "high"))
+        column = np.full(n, -1)
+        column[right] = np.arange(len(right))
         counts, root, linked = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
-        for a in range(0, n, BLOCK):
-            near = unit[a : a + BLOCK] @ unit.T >= cosine
-            near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+        step = min(BLOCK, max(1, CELLS // max(1, len(right))))
+        for a in range(0, len(left), step):
+            rows = left[a : a + step]
+            near = unit[rows] @ unit[right].T >= cosine
+            if left is right:
+                near[np.arange(len(rows)), rows] = False
             if not near.any():
                 continue
-            _unite(root, near, a)
-            linked |= near.any(axis=0)
+            _unite(root, near, rows, right)
+            linked[right] |= near.any(axis=0)
+            linked[rows] |= near.any(axis=1)
             for group in earlier:
-                here = group[(group >= a) & (group < a + len(near))] - a
+                here, there = np.flatnonzero(np.isin(rows, group)), column[group]
                 if len(here):
-                    near[np.ix_(here, group)] = False
-            counts[a : a + len(near)] += near @ copies
+                    near[np.ix_(here, there[there >= 0])] = False
+            counts[rows] += near @ copies[right]
+            if left is not right:
+                counts[right] += copies[rows] @ near
         root = _roots(root)
         rows = np.flatnonzero(linked)
         least = np.full(n, np.iinfo(np.int64).max)
@@ -119,10 +142,10 @@ def _roots(root):
         root = up
 
 
-def _unite(root, near, first):
+def _unite(root, near, rows, columns):
     """Hooks linked rows to the smallest root; repeated until no link joins two roots."""
     i, j = np.nonzero(near)
-    i = i + first
+    i, j = rows[i], columns[j]
     while True:
         root[:] = _roots(root)
         a, b = root[i], root[j]
@@ -151,28 +174,68 @@ def _project():
     return run
 
 
-def _split_large(nodes, max_group, spill):
-    """Splits tree nodes with more than `max_group` rows by Spark, one level for all of them a round."""
-    whole = []
+def _judge(cosine):
+    def run(table):
+        vectors = matrix(table.column("vec").combine_chunks(), len(table.column("vec")[0]))
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        return pa.table({"key": table.column("key")[:1], "dense": [_dense(unit, cosine)]})
+
+    return run
+
+
+def _dense_keys(nodes, large, cosine):
+    """Keys of `large` (key, n) in whose nodes links are frequent, by a sample of each node."""
+    some = nodes.join(F.broadcast(large), "key").filter(F.pmod(F.xxhash64("nid", "key"), F.col("n")) < 2 * SAMPLE)
+    return saved(some.select("key", "vec").groupBy("key").applyInArrow(_judge(cosine), "key long, dense boolean").filter("dense").select("key"))
+
+
+def _split_large(nodes, max_group, spill, cosine):
+    """Splits tree nodes with more than `max_group` rows by Spark, one level for all of them a round.
+
+    Returns the nodes to be split further in one task each, and the larger ones that stay whole
+    because links are frequent: (nid, leaf), and (leaf, blocks) of these. A group whose root stays
+    whole is compared to the end there, so it needs one tree only.
+    """
+    whole, wholes, sizes, root = [], [], [], True
     while True:
         counts = nodes.groupBy("key").agg(F.count("*").alias("n"))
-        large = saved(counts.filter(F.col("n") > max_group).select("key"))
+        large = saved(counts.filter(F.col("n") > max_group))
         if large.isEmpty():
             whole.append(nodes)
             break
-        whole.append(nodes.join(large, "key", "left_anti").select("nid", "vec", "copies", "key"))
-        rows = nodes.join(large, "key").select("nid", "vec", "copies", "key")
-        rows = saved(rows.mapInArrow(_project(), "nid long, vec array<double>, copies long, key long, proj double"))
+        dense = _dense_keys(nodes, large, cosine)
+        whole.append(nodes.join(large, "key", "left_anti").select(*NODE))
+        rows, kept = nodes.join(large.join(dense, "key", "left_anti"), "key"), dense
+        if root:
+            # All trees of a group share the root: one with frequent links stands for all of them.
+            groups = saved(nodes.join(dense, "key", "left_semi").groupBy("group").agg(F.min("key").alias("key")))
+            kept = groups.select("key")
+            rows = rows.join(groups.select("group"), "group", "left_anti")
+        wholes.append(nodes.join(kept, "key", "left_semi").select("nid", F.col("key").alias("leaf")))
+        sizes.append(large.join(kept, "key").select(F.col("key").alias("leaf"), F.ceil(F.col("n") / max_group).cast("int").alias("blocks")))
+        root = False
+        rows = saved(rows.select(*NODE).mapInArrow(_project(), "nid long, vec array<double>, copies long, key long, proj double"))
         cuts = rows.groupBy("key").agg(F.percentile_approx("proj", [0.5 - spill, 0.5 + spill], 1000).alias("cut"))
         sides = F.when(F.col("proj") < F.col("cut")[0], F.array(F.lit(0))).when(F.col("proj") > F.col("cut")[1], F.array(F.lit(1)))
         both = rows.join(cuts, "key").withColumn("side", F.explode(F.coalesce(sides, F.array(F.lit(0), F.lit(1)))))
         nodes = saved(both.select("nid", "vec", "copies", F.xxhash64("key", "side").alias("key")))
-    out = whole[0]
-    for more in whole[1:]:
-        out = out.union(more)
+    return _union([x.select(*NODE) for x in whole]), _union(wholes), _union(sizes)
+
+
+def _union(frames):
+    out = None
+    for more in frames:
+        out = more if out is None else out.union(more)
     return out
 
 
+def _tiles(spread, sizes):
+    """Rows of whole large nodes once for every tile of two blocks that they take part in."""
+    dealt = spread.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("nid", "leaf"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumns({"low": F.least("block", "met"), "high": F.greatest("block", "met")}).drop("met", "blocks")
+
+
 def near_vectors(
     vectors: DataFrame, cosine: float = 0.93, trees: int = TREES, leaf: int = LEAF, max_group: int = MAX_GROUP, spill: float = SPILL
 ) -> DataFrame:
@@ -186,7 +249,8 @@ def near_vectors(
     columns play no part; an empty table gives no rows.
 
     Links found are exact; a link is missed only if no tree puts both vectors in one leaf. Tree nodes
-    in which links are frequent are not cut below `max_group`, so groups of near copies stay whole.
+    in which links are frequent are not cut, whatever their size, so groups of near copies stay whole;
+    above `max_group` they are compared in tiles of two blocks of about `max_group` rows.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
     fine = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -195,13 +259,20 @@ def near_vectors(
     reps = valid.groupBy("label", "vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     reps = saved(reps.withColumn("nid", F.monotonically_increasing_id()))
     planted = reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).select(
-        "nid", "vec", "copies", F.xxhash64("tree", "label", F.size("vec")).alias("key")
+        "nid", "vec", "copies", F.xxhash64("tree", "label", F.size("vec")).alias("key"), F.xxhash64("label", F.size("vec")).alias("group")
     )
-    nodes = _split_large(planted, max_group, spill)
-    placed = saved(nodes.groupBy("key").applyInArrow(_assign(leaf, spill, cosine), "nid long, leaf long"))
+    nodes, wholes, sizes = _split_large(planted, max_group, spill, cosine)
+    placed = nodes.groupBy("key").applyInArrow(_assign(leaf, spill, cosine), "nid long, leaf long")
+    placed = saved(placed if wholes is None else placed.union(wholes))
     lists = placed.groupBy("nid").agg(F.collect_set("leaf").alias("leaves"))
     spread = reps.select("nid", "vec", "copies").join(lists, "nid").withColumn("leaf", F.explode("leaves"))
-    found = saved(spread.groupBy("leaf").applyInArrow(_links(cosine), "nid long, links long, other long"))
+    found = "nid long, links long, other long"
+    if wholes is None:
+        found = saved(spread.groupBy("leaf").applyInArrow(_links(cosine), found))
+    else:
+        sizes = saved(sizes)
+        tiles = _tiles(spread, sizes).groupBy("leaf", "low", "high").applyInArrow(_links(cosine), found)
+        found = saved(spread.join(F.broadcast(sizes), "leaf", "left_anti").groupBy("leaf").applyInArrow(_links(cosine), found).union(tiles))
     totals = found.groupBy("nid").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("nid").alias("a"), F.col("other").alias("b")))
     named = (
