@@ -66,3 +66,61 @@ def test_patience_keeps_order_and_joins_neighbours():
 
 def test_no_rows(spark):
     assert drop_shared_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def left_of(spark, rows):
+    return {r.doc_id: r.text for r in drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_a_frequent_block_leads_to_its_own_first_holder(spark):
+    lines = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(4)]
+    alone = [(i + 1, f"start {i}\n{line}\nend {i}") for i, line in enumerate(lines)]
+    many = [(100 + i, "\n".join([f"own line {i}", *lines, f"last line {i}"])) for i in range(40)]
+    got = left_of(spark, alone + many)
+    assert all(got[d] == t for d, t in alone + many[:1])
+    assert all(got[100 + i] == f"own line {i}\nlast line {i}" for i in range(1, 40))
+
+
+def test_short_lines_and_tails_of_blocks_go(spark):
+    """Blocks of lines of two words; a short line after a long one that has another first holder."""
+    verse = [f"word{i} more{i}" for i in range(12)]
+    long, tail = " ".join(f"v{k}" for k in range(30)), "a short tail"
+    rows = [(i, "\n".join([f"top {i}", *verse, f"end {i}"])) for i in range(30)]
+    rows += [(50, long)] + [(60 + i, f"top {i}\n{long}\n{tail}\nend {i}") for i in range(20)]
+    got = left_of(spark, rows)
+    assert all(got[i] == f"top {i}\nend {i}" for i in range(1, 30))
+    assert got[60] == f"top 0\n{tail}\nend 0" and all(got[60 + i] == f"top {i}\nend {i}" for i in range(1, 20))
+
+
+def runs_of(lines, least=20):
+    """Shortest runs of `least` words from and up to every line: {run: its line numbers}, by trying all."""
+    out = defaultdict(set)
+    for i in range(len(lines)):
+        for step in (1, -1):
+            j, words = i, 0
+            while 0 <= j < len(lines) and words < least:
+                words += len(lines[j].split())
+                j += step
+            if words >= least:
+                run = range(min(i, j - step), max(i, j - step) + 1)
+                out[tuple(lines[k] for k in run)] |= set(run)
+    return out
+
+
+def test_removed_lines_are_shared_with_earlier_documents_and_none_is_capped(spark, prose):
+    """Blocks in one order: each line of a run that an earlier document holds goes, and no other."""
+    rng = random.Random(9)
+    blocks_ = [prose(rng.randint(1, 6), seed=200 + i, words=(1, 14)) for i in range(12)]
+    rows = []
+    for d in range(120):
+        lines = []
+        for k in sorted(rng.sample(range(12), rng.randint(1, 4))):
+            lines += [f"own {d} {k} line", *[x for x in blocks_[k][rng.randint(0, 1) :] if x]]
+        rows.append((d, "\n".join(lines)))
+    got, earlier = left_of(spark, rows), set()
+    for d, t in rows:
+        own = t.split("\n")
+        runs = runs_of(own)
+        gone = set().union(*[places for run, places in runs.items() if run in earlier])
+        assert got[d] == "\n".join(x for i, x in enumerate(own) if i not in gone)
+        earlier |= set(runs)

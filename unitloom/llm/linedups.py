@@ -1,7 +1,8 @@
 """Removal of line blocks that a document shares with an earlier one.
 
-Lines rare enough to tell documents apart (of some words, held by few or by one first document)
-lead each later document to the earlier ones it overlaps. Each pair is aligned by patience diff on line hashes;
+Lines of some words, and the shortest runs of lines from or up to every line that make a block, lead
+each later document to earlier ones that hold them: to all if few, else to the first. Any line of a
+block shared with an earlier document is in such a run. Each pair is aligned by patience diff on line hashes;
 aligned common blocks go from the later document.
 """
 
@@ -11,22 +12,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from unitloom.llm.bytes_kernel import Powers, SpanHash, byte_codes, chunks, utf8, word_bounds
+from unitloom.llm.bytes_kernel import Powers, SpanHash, U, byte_codes, chunks, mix, utf8, word_bounds
 from unitloom.llm.shared import drop_saved, saved, small
 
 LINK_WORDS = 5
 BLOCK_WORDS = 20
 RARE = 8
 MEMBERS_PER_TASK = 512
+LINE_POWERS = Powers(53)
 
 
-def _line_hashes():
-    """(doc_id, places, hashes, words) of the non-blank lines of each text; outer white space is ignored."""
+def run_keys(hashes, words, bounds, least):
+    """(text, hash) of the shortest runs of lines that hold `least` words, from and up to every line.
+
+    Runs stay within a text (lines `bounds[t]` to `bounds[t + 1]`). A run of one line has its hash.
+    """
+    n = len(hashes)
+    total = np.r_[0, np.cumsum(words)]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    end = np.searchsorted(total, total[:-1] + least, "left")
+    first = np.searchsorted(total, total[1:] - least, "right") - 1
+    ahead, back = np.flatnonzero(end <= bounds[text + 1]), np.flatnonzero(first >= bounds[text])
+    start, stop = np.r_[ahead, first[back]], np.r_[end[ahead], back + 1]
+    up, down = LINE_POWERS.upto(n + 1)
+    sums = np.r_[np.zeros(1, U), np.cumsum(hashes.view(U) * up[:n], dtype=U)]
+    many = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U) * U(0x9E3779B97F4A7C15))
+    keys = np.where(stop - start == 1, hashes[start], many.view(np.int64))
+    order = np.lexsort((keys, text[start]))
+    text, keys = text[start][order], keys[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])] if len(keys) else np.zeros(0, bool)
+    return text[new], keys[new]
+
+
+def _line_hashes(least):
+    """(doc_id, places, hashes, words, runs) of the non-blank lines of each text; outer white space is ignored."""
 
     def run(batches):
         spans = SpanHash(byte_codes(51), Powers(52))
         for batch in batches:
-            lists, lengths = [[], [], []], []
+            lists, lengths, runs, n_runs = [[], [], []], [], [], []
             for _, data, offsets in chunks(batch.column("text")):
                 read = spans.read(data)
                 start, end, word_of_text = word_bounds(data, offsets)
@@ -40,13 +64,18 @@ def _line_hashes():
                 lists[1].append(read.of(start[first], end[last]).view(np.int64) if len(first) else first)
                 lists[2].append(last - first + 1)
                 lengths.append(np.bincount(text[first], minlength=len(offsets) - 1))
+                of_text, keys = run_keys(lists[1][-1], lists[2][-1], np.r_[0, np.cumsum(lengths[-1])], least)
+                runs.append(keys)
+                n_runs.append(np.bincount(of_text, minlength=len(offsets) - 1))
             n = batch.num_rows
             bounds = np.r_[0, np.cumsum(np.concatenate(lengths))] if n else np.zeros(1)
             columns = [
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(x) if n else [], kind))
                 for x, kind in zip(lists, (pa.int32(), pa.int64(), pa.int32()))
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "places", "hashes", "words"])
+            bounds = np.r_[0, np.cumsum(np.concatenate(n_runs))] if n else np.zeros(1)
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(runs) if n else [], pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "places", "hashes", "words", "runs"])
 
     return run
 
@@ -132,14 +161,14 @@ def _align(least):
 
 
 def overlaps(lines: DataFrame, link_words: int, rare: int) -> DataFrame:
-    """(doc, lead): later documents and the earlier ones that share a telling line with them.
+    """(doc, lead): later documents and the earlier ones that share a telling line or run with them.
 
-    A line held by at most `rare` documents leads to all its earlier holders, a more frequent one to
-    its first holder only, so the pairs of a line are linear in its holders.
+    One held by at most `rare` documents leads to all its earlier holders, a more frequent one to
+    its first holder only, so the pairs are linear in the holders.
     """
-    held = lines.select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("hashes", "words")).alias("l"))
-    held = held.filter(F.col("l.words") >= link_words).select("doc", F.col("l.hashes").alias("line")).distinct()
-    held = saved(held)
+    telling = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= link_words)
+    keys = F.array_union(F.transform(telling, lambda x: x["hashes"]), F.col("runs"))
+    held = saved(lines.select(F.col("doc_id").alias("doc"), F.explode(keys).alias("line")).distinct())
     counts = saved(held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).filter("n > 1"))
     common = held.join(counts, "line").filter("doc > lead").select("doc", "lead")
     few = held.join(counts.filter(F.col("n") <= rare).select("line"), "line")
@@ -153,13 +182,13 @@ def removed_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words: in
     """(doc_id, gone): line numbers (from 0) that go from each document of `docs` (doc_id, text)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = slim.mapInArrow(_line_hashes(), "doc_id long, places array<int>, hashes array<long>, words array<int>")
+    lines = slim.mapInArrow(_line_hashes(block_words), "doc_id long, places array<int>, hashes array<long>, words array<int>, runs array<long>")
     lines = saved(lines.dropDuplicates(["doc_id", "hashes", "places"]))
     pairs = overlaps(lines, link_words, rare)
     parts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("parts"))
     parts = saved(parts)
     columns = ["doc", "places", "hashes", "words"]
-    lines = lines.withColumnRenamed("doc_id", "doc")
+    lines = lines.withColumnRenamed("doc_id", "doc").select(*columns)
     salt = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("salt")
     members = pairs.join(small(parts), "lead").select("doc", "lead", salt).join(lines, "doc").select("lead", "salt", F.lit(1).alias("role"), *columns)
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
@@ -175,8 +204,8 @@ def drop_shared_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words
 
     A line is what stands between line feeds; lines are equal if their words are, up to outer white
     space. Blocks of aligned lines with at least `block_words` words go from the document with the
-    larger doc_id; all texts are judged as given. Lines of fewer than `link_words` words do not
-    lead to other documents. Null texts stay null with no lines; emptied texts are empty. Rows
+    larger doc_id; all texts are judged as given. Lines of fewer than `link_words` words lead to other
+    documents in runs of `block_words` words only. Null texts stay null with no lines; emptied texts are empty. Rows
     without a doc_id stay whole. Rows that repeat a doc_id with equal lines are one document and lose
     the same lines; doc_ids must otherwise be unique. Clashing columns of `docs` are replaced; an
     empty table gives no rows.
