@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from unitloom.llm.linedups import blocks, drop_shared_lines, patience
+from unitloom.llm.linedups import blocks, drop_shared_lines, heaviest_run, patience
 
 
 def reference_pairs(rows, link_words, rare):
@@ -124,3 +124,24 @@ def test_removed_lines_are_shared_with_earlier_documents_and_none_is_capped(spar
         gone = set().union(*[places for run, places in runs.items() if run in earlier])
         assert got[d] == "\n".join(x for i, x in enumerate(own) if i not in gone)
         earlier |= set(runs)
+
+
+def test_heaviest_run_equals_trying_all():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        cost = {x: rng.randint(1, 9) for x in "abc"}
+        i, j, n = heaviest_run(a, b, [cost[x] for x in a])
+        assert a[i : i + n] == b[j : j + n]
+        runs = [a[p:q] for p in range(len(a)) for q in range(p + 1, len(a) + 1)]
+        inside = [sum(cost[x] for x in r) for r in runs if any(b[k : k + len(r)] == r for k in range(len(b)))]
+        assert sum(cost[x] for x in a[i : i + n]) == max(inside, default=0)
+        pairs = patience(a, b)
+        assert all(a[p] == b[q] for p, q in pairs) and all(p < r and q < s for (p, q), (r, s) in zip(pairs, pairs[1:]))
+
+
+def test_a_passage_that_the_earlier_document_repeats_goes(spark):
+    passage = [" ".join(f"p{i}x{k}" for k in range(9)) for i in range(5)]
+    rows = [(1, "\n".join(["z", *passage, "w", *passage, "v"]))] + [(10 + i, "\n".join([f"x {i}", *passage, f"y {i}"])) for i in range(20)]
+    got = left_of(spark, rows)
+    assert got[1] == rows[0][1] and all(got[10 + i] == f"x {i}\ny {i}" for i in range(20))

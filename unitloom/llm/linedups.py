@@ -7,6 +7,7 @@ aligned common blocks go from the later document.
 """
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -94,12 +95,49 @@ def longest_rising(values):
     return out[::-1]
 
 
-def patience(a, b):
+def heaviest_run(a, b, words):
+    """(place in a, place in b, length) of the common run of lines with the most `words` (of a's lines).
+
+    One pass of a over the suffix automaton of b.
+    """
+    after, link, size, ends, last = [{}], [-1], [0], [-1], 0
+    for j, x in enumerate(b):
+        new, p, last = len(after), last, len(after)
+        after.append({}), link.append(0), size.append(j + 1), ends.append(j)
+        while p >= 0 and x not in after[p]:
+            after[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = after[p][x]
+            if size[q] > size[p] + 1:
+                after.append(dict(after[q])), link.append(link[q]), size.append(size[p] + 1), ends.append(ends[q])
+                link[q], clone = len(after) - 1, len(after) - 1
+                while p >= 0 and after[p].get(x) == q:
+                    after[p][x] = clone
+                    p = link[p]
+                q = clone
+            link[new] = q
+    total = [0, *accumulate(words)]
+    at, length, best, most = 0, 0, (0, 0, 0), 0
+    for i, x in enumerate(a):
+        while at and x not in after[at]:
+            at = link[at]
+            length = size[at]
+        at, length = (after[at][x], length + 1) if x in after[at] else (0, 0)
+        held = total[i + 1] - total[i + 1 - length]
+        if held > most:
+            best, most = (i + 1 - length, ends[at] + 1 - length, length), held
+    return best
+
+
+def patience(a, b, words=None, least=0):
     """Aligned equal lines of two sequences as pairs of indexes, rising in both.
 
     Lines that occur once in both, in a longest common order, are anchors; equal lines next to an
-    anchor or to an end join it; the gaps between are aligned in the same way.
+    anchor or to an end join it; the gaps between are aligned in the same way. In a gap without such
+    lines the common run with the most `words` is the anchor, down to runs of `least` words.
     """
+    words = [1] * len(a) if words is None else words
     pairs, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -120,7 +158,13 @@ def patience(a, b):
         unique = [(i, where[x]) for x, i in once.items() if i is not None and where.get(x) is not None]
         anchors = [unique[k] for k in longest_rising([j for _, j in unique])]
         if not anchors:
-            continue
+            shared = sum(words[i] for i in range(a0, a1) if a[i] in where)
+            if not shared or shared < least:
+                continue
+            i, j, n = heaviest_run(a[a0:a1], b[b0:b1], words[a0:a1])
+            if sum(words[a0 + i : a0 + i + n]) < least:
+                continue
+            anchors = [(a0 + i + k, b0 + j + k) for k in range(n)]
         for (i, j), (p, q) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)]):
             todo.append((i + 1, p, j + 1, q))
         pairs += anchors
@@ -151,7 +195,7 @@ def _align(least):
                 if role == 0:
                     at, own = (lead, salt), hashes
                 elif at == (lead, salt):
-                    found = blocks(patience(hashes, own), words, least)
+                    found = blocks(patience(hashes, own, words, least), words, least)
                     if found:
                         docs.append(doc)
                         gone.append([places[k] for k in found])
