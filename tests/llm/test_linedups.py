@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from unitloom.llm.linedups import blocks, drop_shared_lines, heaviest_run, patience
+import numpy as np
+
+from unitloom.llm.linedups import blocks, drop_shared_lines, heaviest_run, patience, unspaced
 
 
 def reference_pairs(rows, link_words, rare):
@@ -145,3 +147,19 @@ def test_a_passage_that_the_earlier_document_repeats_goes(spark):
     rows = [(1, "\n".join(["z", *passage, "w", *passage, "v"]))] + [(10 + i, "\n".join([f"x {i}", *passage, f"y {i}"])) for i in range(20)]
     got = left_of(spark, rows)
     assert got[1] == rows[0][1] and all(got[10 + i] == f"x {i}\ny {i}" for i in range(20))
+
+
+def test_scripts_without_blanks_and_lines_without_blanks_go(spark):
+    signs = {"zh": range(0x4E00, 0x9FA0), "ja": range(0x3041, 0x30FF), "th": range(0x0E01, 0x0E2F), "b64": range(97, 123)}
+    rng, rows, want = random.Random(6), [], {}
+    for n, (name, chars) in enumerate(signs.items()):
+        block = ["".join(chr(rng.choice(chars)) for _ in range(400 if name == "b64" else 14)) for _ in range(4)]
+        for i in range(20):
+            rows.append((100 * n + i, "\n".join([f"{name} {i}", *block, f"end {i}"])))
+            want[100 * n + i] = f"{name} {i}\nend {i}" if i else rows[-1][1]
+    assert left_of(spark, rows) == want
+
+
+def test_unspaced_characters():
+    for text, n in [("abc déß", 0), ("한국어 हिन्दी — “x”", 0), ("中文。", 2), ("カナ", 2), ("ไทย", 3), ("𠀀x", 1), ("", 0)]:
+        assert unspaced(np.frombuffer(text.encode(), np.uint8)).sum() == n

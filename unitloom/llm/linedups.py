@@ -19,10 +19,24 @@ from unitloom.llm.shared import drop_saved, saved, small
 LINK_WORDS = 5
 BLOCK_WORDS = 20
 RARE = 8
+# What counts as a word where blanks do not part words: characters of scripts without blanks, and bytes of any line.
+SIGNS_PER_WORD = 2
+BYTES_PER_WORD = 32
 MEMBERS_PER_TASK = 512
 LINE_POWERS = Powers(53)
 
 
+def unspaced(data):
+    """True where a character of a script without blanks between words begins.
+
+    Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters, by the first two bytes.
+    """
+    b, c = data, np.r_[data[1:], np.zeros(1, np.uint8)]
+    out = (b >= 0xE3) & (b <= 0xE9) & ~((b == 0xE3) & (c == 0x80))
+    out |= (b == 0xE0) & (c >= 0xB8) | (b == 0xE1) & ((c >= 0x80) & (c <= 0x82) | (c == 0x9E) | (c == 0x9F))
+    return out | (b == 0xE2) & (c >= 0xBA) | (b == 0xEF) & (c >= 0xA4) & (c <= 0xAB) | (b == 0xF0) & (c >= 0xA0)
+
+
 def run_keys(hashes, words, bounds, least):
     """(text, hash) of the shortest runs of lines that hold `least` words, from and up to every line.
 
@@ -63,7 +77,9 @@ def _line_hashes(least):
                 last = np.r_[first[1:], len(start)] - 1 if len(first) else first
                 lists[0].append((line - first_line[text])[first] if len(first) else first)
                 lists[1].append(read.of(start[first], end[last]).view(np.int64) if len(first) else first)
-                lists[2].append(last - first + 1)
+                signs = np.r_[0, np.cumsum(unspaced(data))]
+                n_bytes, n_signs = end[last] - start[first], signs[end[last]] - signs[start[first]]
+                lists[2].append(np.maximum(last - first + 1 + n_signs // SIGNS_PER_WORD, n_bytes // BYTES_PER_WORD))
                 lengths.append(np.bincount(text[first], minlength=len(offsets) - 1))
                 of_text, keys = run_keys(lists[1][-1], lists[2][-1], np.r_[0, np.cumsum(lengths[-1])], least)
                 runs.append(keys)
@@ -249,7 +265,8 @@ def drop_shared_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words
     A line is what stands between line feeds; lines are equal if their words are, up to outer white
     space. Blocks of aligned lines with at least `block_words` words go from the document with the
     larger doc_id; all texts are judged as given. Lines of fewer than `link_words` words lead to other
-    documents in runs of `block_words` words only. Null texts stay null with no lines; emptied texts are empty. Rows
+    documents in runs of `block_words` words only. In scripts without blanks two characters count as a word
+    besides, and a line counts at least a word for every 32 bytes. Null texts stay null with no lines; emptied texts are empty. Rows
     without a doc_id stay whole. Rows that repeat a doc_id with equal lines are one document and lose
     the same lines; doc_ids must otherwise be unique. Clashing columns of `docs` are replaced; an
     empty table gives no rows.
