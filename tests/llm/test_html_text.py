@@ -86,3 +86,15 @@ def test_any_markup_ends_in_linear_time():
         start = time.time()
         visible_text(bit * 20_000)
         assert time.time() - start < 10, bit
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>a <中文 b</p>c", "a <中文 b\n\nc"), ("x <тег> y<b>z</b>", "x <тег> yz"), ("a <é", "a <é"), ("a <b", "a"), ("a </", "a"),
+    ("a<svg><title>t</title><g><text x='1'>one <tspan>two</tspan></text><text>three</text></g><path d=M0/></svg>b", "a\none two\nthree\nb"),
+    ("a<svg><style>s</style><defs><text>no</text></defs>no<desc>no</desc><defs/><rect/><text>yes</text></svg>b", "a\nyes\nb"),
+    ("<div hidden><svg><text>no</text></svg></div><svg style='display:none'><text>no</text></svg>b<svg/>c", "bc"),
+    ("<svg><svg><text>in</text></svg><foreignObject><div>html</div></foreignObject></svg><text>out</text>", "in\nhtml\nout"),
+    ("<svg><text>a<tspan hidden>no<text>no</text></tspan></text></svg>b", "a\nb"),
+])
+def test_signs_before_other_letters_and_svg_text(html, text):
+    assert visible_text(html) == text

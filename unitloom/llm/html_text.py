@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 # Fixed values of the public HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("script style template title noscript iframe noembed noframes audio video canvas svg datalist object meter progress".split())
+HIDDEN = set("script style template title noscript iframe noembed noframes audio video canvas datalist object meter progress".split())
+# Of an svg only these show text, unless they are inside definitions.
+SVG_SHOWN = {"text", "foreignobject"}
+SVG_UNSEEN = set("defs symbol clippath mask pattern marker desc metadata".split())
 IN_HEAD = set("base link meta title style script noscript template head".split())
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
@@ -33,6 +36,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+UNFINISHED = re.compile(r"<[A-Za-z/]")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 INDENT = 40
@@ -50,7 +54,7 @@ def tokens(html):
             yield "text", html[at:cut], ""
         found = TOKEN.match(html, cut)
         if not found:
-            if html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] == "/":
+            if UNFINISHED.match(html, cut):
                 return
             yield "text", "<", ""
             at = cut + 1
@@ -79,6 +83,12 @@ def attributes(text):
     return out
 
 
+def shut(attrs):
+    """True for a tag that ends itself, as elements of an svg can."""
+    word = attrs.split()[-1:] or [""]
+    return word[0].endswith("/") and not ("=" in word[0] and word[0][-2] not in "\"'")
+
+
 def number(text, default, most):
     found = re.match(r"\s*[+-]?\d+", text or "")
     return max(-most, min(int(found[0]), most)) if found else default
@@ -175,14 +185,14 @@ class Layout:
     def __init__(self):
         self.path = []  # [tag, hidden, what to restore at the end]
         self.flow, self.tables, self.hidden, self.pre = Flow(), [], 0, 0
-        self.in_head = False
+        self.in_head, self.svg = False, False  # svg: hidden by an open svg
         self.places = {}  # of each tag, in the path
 
     def run(self, html):
         for kind, value, attrs in tokens(html):
             if kind == "text":
                 self.text(value)
-            elif kind == "start":
+            elif kind == "start" and not ((self.svg or value == "svg") and shut(attrs)):
                 self.start(value, attributes(attrs))
             elif kind == "end":
                 self.end(value)
@@ -264,8 +274,14 @@ class Layout:
         unseen = unseen or tag == "dialog" and "open" not in attrs
         if not unseen and self.path and self.path[-1][0] == "details" and tag != "summary":
             unseen = self.path[-1][2].get("shut", False)
-        self.hidden += unseen
+        unseen = unseen or self.svg and tag in SVG_UNSEEN
         keep = {"shut": tag == "details" and "open" not in attrs}
+        if not unseen and tag == "svg" and not self.hidden:
+            keep["was"], unseen, self.svg = (self.hidden, self.svg), True, True
+        elif not unseen and tag in SVG_SHOWN and self.svg and self.hidden == 1:
+            keep["was"], self.hidden, self.svg = (self.hidden, self.svg), 0, False
+            self.flow.block(False)
+        self.hidden += unseen
         self.places.setdefault(tag, []).append(len(self.path))
         self.path.append((tag, unseen, keep))
         if self.hidden:
@@ -305,11 +321,15 @@ class Layout:
         tag, unseen, keep = self.path.pop()
         self.places[tag].pop()
         self.hidden -= unseen
+        if "was" in keep:
+            self.hidden, self.svg = keep["was"]
         if tag == "head":
             self.in_head = False
         if keep.get("hidden"):
             return
         flow = self.flow
+        if "was" in keep:
+            flow.block(False)
         if tag in ("pre", "xmp", "textarea"):
             self.pre -= 1
         if tag in CELLS:
