@@ -1,10 +1,13 @@
 """Registered queries of the operators: production parameters, whole tables, digest columns."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm import statements, toxicity
 from unitloom.llm.bpe import decode, encode, read_ranks
+from unitloom.llm.filter_audit import audit
 from unitloom.llm.forest import near_vectors
 from unitloom.llm.html_text import page_texts
 from unitloom.llm.licenses import scan, scan_sql
@@ -12,8 +15,10 @@ from unitloom.llm.linedups import drop_shared_lines
 from unitloom.llm.minhash import near_duplicates
 from unitloom.llm.mixing import SEEDS, plan
 from unitloom.llm.repeats import remove_repeats
-from unitloom.llm.shared import small_batches
+from unitloom.llm.shared import shared_folder, small_batches
 from unitloom.llm.topk import quantised, top_k
+from unitloom.llm.vector_codes import coded
+from unitloom.llm.warc import page_of, read_archives, write_archives
 
 QUERIES = {}
 SQL = {}
@@ -161,3 +166,34 @@ def op8_toxicity(spark, sf_dir):
 def op10_html_text(spark, sf_dir):
     """Visible text of all pages."""
     return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    """Five filters over all documents, in all orders."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = statements.FILTER_AUDIT
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    """Codes of all vectors by four codebooks of 256 entries."""
+    return coded(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_vector_codes"] = statements.vector_codes(4, 256, 4)
+
+
+@query
+def op13_zstd_warc(spark, sf_dir):
+    """All pages through Zstandard archives and back."""
+    folder = f"{shared_folder(spark)}/table-warc-{uuid.uuid4()}"
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    read = read_archives(spark, folder, payloads=False)
+    return read.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+
+
+SQL["op13_zstd_warc"] = statements.WARC

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # numbers each.
 BROADCAST_ROWS = 1_000_000
 TEXT_ROWS = 1_000
+# A key value with more than this part of all rows is joined apart from the others.
+HOT_PARTS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,3 +58,26 @@ def small(df: DataFrame, cells: str | None = None, limit: int = BROADCAST_ROWS)
     else:
         n = df.agg(F.sum(F.size(cells) + 1)).first()[0] or 0
     return F.broadcast(df) if n <= limit else df
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """`rows` left-joined to `groups` (key, n, ...: one row for a value, n its rows); null equals null.
+
+    Groups counted small are broadcast. Else the values that hold more than 1/HOT_PARTS of the counted
+    rows, fewer than HOT_PARTS by their definition, are broadcast and the others joined by shuffle, so
+    no value brings its rows to one task.
+    """
+    values = [c for c in groups.columns if c not in (key, "n")]
+
+    def joined(left, right, how="left"):
+        right = right.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in values], F.lit(True).alias("_met"))
+        found = left.join(right, left[key].eqNullSafe(right["_key"]), how)
+        return found.select(*[left[c] for c in left.columns], *[F.col(f"_{c}").alias(c) for c in values], "_met")
+
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return joined(rows, F.broadcast(groups)).drop("_met")
+    total = groups.agg(F.sum("n")).first()[0]
+    often = F.col("n") > total / HOT_PARTS
+    first = joined(rows, F.broadcast(groups.filter(often)))
+    rest = first.filter("_met IS NULL").select(*rows.columns)
+    return first.filter("_met").drop("_met").union(joined(rest, groups.filter(~often)).drop("_met"))
