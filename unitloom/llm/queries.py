@@ -191,7 +191,6 @@ def op13_zstd_warc(spark, sf_dir):
     """All pages through Zstandard archives and back."""
     folder = f"{shared_folder(spark)}/table-warc-{uuid.uuid4()}"
     write_archives(table(spark, sf_dir, "pages"), folder)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     read = read_archives(spark, folder, payloads=False)
     return read.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
 

@@ -22,6 +22,8 @@ ROUNDS = 4
 SCALE = 1024
 # Components beyond this count as this; sums and distances stay exact below.
 LARGEST = float(1 << 42)
+# A distance that 64 bits do not hold; its part is always rescanned.
+FULL = (1 << 63) - 1
 STEP = 4096
 STATE = "vec_id long, label string, size int, whole array<long>, codes array<int>, gaps array<long>, sums boolean"
 
@@ -58,14 +60,14 @@ def nearest(points, book):
         best = np.argmin(far, axis=1)
         index[a : a + STEP] = best
         least = far[np.arange(len(best)), best]
-        gap[a : a + STEP] = np.minimum(least, (1 << 63) - 1) if kind is object else least.astype(np.int64)
+        gap[a : a + STEP] = np.minimum(least, FULL) if kind is object else least.astype(np.int64)
     return index, gap
 
 
 def reassign(points, book, moved, code, gap):
     """Codes and distances of a new codebook, from those of the one before and the entries that moved."""
     code, gap = code.copy(), gap.copy()
-    anew = moved[code]
+    anew = moved[code] | (gap == FULL)
     if anew.any():
         code[anew], gap[anew] = nearest(points[anew], book)
     active = np.flatnonzero(moved)
@@ -219,7 +221,11 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
             books, moved = next_books(state, books)
     gaps = F.aggregate("gaps", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
     codes = state.filter("NOT sums").select("vec_id", "label", "size", "codes", "gaps", gaps.try_cast("long").alias("error"))
-    listed = [(s, digest(book), k, e, [int(x) for x in row]) for s, book in books.items() for k, b in enumerate(book) for e, row in enumerate(b)]
+    listed = [
+        (size, name, k, e, [int(x) for x in row])
+        for size, name, book in [(size, digest(book), book) for size, book in books.items()]
+        for k, part in enumerate(book) for e, row in enumerate(part)
+    ]
     return codes, spark.createDataFrame(listed, "size int, codebooks_sha256 string, part int, entry int, whole array<long>")
 
 
@@ -230,7 +236,9 @@ def coded(vectors: DataFrame, **more) -> DataFrame:
     (null beyond 64 bits), whatever share of the rows one label has.
     """
     codes, books = vector_codes(vectors, **more)
-    labels = saved(codes.groupBy("label").agg(F.try_sum("error").alias("label_error"), F.count("*").alias("n")))
+    labels = saved(codes.groupBy("label").agg(
+        F.when(F.count("error") == F.count("*"), F.try_sum("error")).alias("label_error"), F.count("*").alias("n")
+    ))
     texts = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
     out = attach(codes.select("vec_id", "label", "size", texts.alias("code"), "error"), labels, "label")
     digests = books.select("size", "codebooks_sha256").distinct()

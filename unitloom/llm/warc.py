@@ -32,7 +32,6 @@ SAMPLE_ROWS = 1_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
-# Rows and bytes of a batch of whole pages on its way to or from a worker.
 RECORD = "archive string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, problem string"
 KEPT = ("record_id", "record_type", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload")
 
@@ -320,8 +319,6 @@ def read_archives(spark, path: str, strict: bool = True, payloads: bool = True)
     Folders without archives give no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    # One archive each batch, and no task for many archives.
-    files = files.filter(F.length("content") > 0)
     return files.mapInArrow(_records(strict, payloads), RECORD)
 
 
