@@ -3,33 +3,36 @@ from collections import defaultdict
 
 import numpy as np
 
-from unitloom.llm.linedups import blocks, drop_shared_lines, heaviest_run, patience, unspaced
-
-
-def reference_pairs(rows, link_words, rare):
-    holders = defaultdict(set)
-    for d, t in rows:
-        if d is not None:
-            for line in (t or "").split("\n"):
-                if len(line.split()) >= link_words:
-                    holders[line.strip()].add(d)
-    pairs = set()
-    for held in holders.values():
-        held = sorted(held)
-        pairs |= {(d, held[0]) for d in held[1:]}
-        if len(held) <= rare:
-            pairs |= {(d, e) for d in held for e in held if e < d}
-    return pairs
-
-
-def expected(rows, link_words=5, block_words=20, rare=8):
+from unitloom.llm.linedups import blocks, drop_shared_lines, heaviest_run, moved_blocks, patience, unspaced
+
+
+def common_blocks(a, b, least):
+    """Indexes in a of neighbouring lines with `least` words that b holds as neighbours, by all diagonals."""
+    gone = set()
+    for shift in range(-len(a) + 1, len(b)):
+        run = []
+        for i in range(len(a) + 1):
+            if i < len(a) and 0 <= i + shift < len(b) and a[i] == b[i + shift]:
+                run.append(i)
+                continue
+            if sum(len(a[k].split()) for k in run) >= least:
+                gone |= set(run)
+            run = []
+    return gone
+
+
+def expected(rows, block_words=20):
+    """Every document against all earlier ones, without a choice of pairs."""
     own = {d: [(i, line.strip()) for i, line in enumerate((t or "").split("\n")) if line.strip()] for d, t in rows if d is not None}
-    gone = defaultdict(set)
-    for d, e in reference_pairs(rows, link_words, rare):
-        a, b = own[d], own[e]
-        aligned = patience([x for _, x in a], [x for _, x in b])
-        assert all(a[i][1] == b[j][1] for i, j in aligned)
-        gone[d] |= {a[k][0] for k in blocks(aligned, [len(x.split()) for _, x in a], block_words)}
+    gone, known = defaultdict(set), {}
+    for d in own:
+        a = tuple(x for _, x in own[d])
+        for e in own:
+            b = tuple(x for _, x in own[e])
+            if e < d and set(a) & set(b):
+                if (a, b) not in known:
+                    known[a, b] = common_blocks(a, b, block_words)
+                gone[d] |= {own[d][k][0] for k in known[a, b]}
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -163,3 +166,21 @@ def test_scripts_without_blanks_and_lines_without_blanks_go(spark):
 def test_unspaced_characters():
     for text, n in [("abc déß", 0), ("한국어 हिन्दी — “x”", 0), ("中文。", 2), ("カナ", 2), ("ไทย", 3), ("𠀀x", 1), ("", 0)]:
         assert unspaced(np.frombuffer(text.encode(), np.uint8)).sum() == n
+
+
+def test_moved_blocks_go_too(spark):
+    """Blocks in another order, a line that two places share, a block whose first holder is aligned otherwise."""
+    one, two = ([" ".join(f"{c}{i}x{k}" for k in range(8)) for i in range(4)] for c in "pq")
+    rows = [(1, "\n".join([*one, "middle", *two])), (2, "\n".join([*two, "between", *one])), (3, "\n".join([*one[:3], *two[1:], "own"]))]
+    got = left_of(spark, rows)
+    assert got == {1: rows[0][1], 2: "between", 3: "own"}
+
+
+def test_moved_blocks_equal_all_diagonals():
+    rng = random.Random(12)
+    for _ in range(2000):
+        a, b = (["".join(rng.choice("abcd") for _ in range(1)) for _ in range(rng.randint(0, 14))] for _ in "ab")
+        words = [rng.choice([1, 4])] * len(a)
+        aligned = blocks(patience(a, b, words, 6), words, 6)
+        want = common_blocks([" ".join([x] * words[0]) for x in a], [" ".join([x] * (words or [1])[0]) for x in b], 6)
+        assert set(moved_blocks(a, b, words, aligned, 6)) == want >= set(aligned)

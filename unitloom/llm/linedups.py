@@ -1,9 +1,10 @@
 """Removal of line blocks that a document shares with an earlier one.
 
-Lines of some words, and the shortest runs of lines from or up to every line that make a block, lead
-each later document to earlier ones that hold them: to all if few, else to the first. Any line of a
-block shared with an earlier document is in such a run. Each pair is aligned by patience diff on line hashes;
-aligned common blocks go from the later document.
+Rare lines of some words lead each later document to all earlier ones that hold them. The shortest runs
+of lines from or up to every line that make a block lead to their first holder. Each pair is aligned by
+patience diff on line hashes; aligned common blocks go from the later document, and so do blocks that the
+earlier one holds in another order. A block held by any earlier document consists of such runs, each of
+which goes with its first holder: pairs are linear in the lines and no block stays.
 """
 
 from bisect import bisect_left
@@ -111,8 +112,8 @@ def longest_rising(values):
     return out[::-1]
 
 
-def heaviest_run(a, b, words):
-    """(place in a, place in b, length) of the common run of lines with the most `words` (of a's lines).
+def longest_matches(a, b):
+    """For every line of a: the length of the longest run up to it that b holds, and where b's run ends.
 
     One pass of a over the suffix automaton of b.
     """
@@ -133,19 +134,51 @@ def heaviest_run(a, b, words):
                     p = link[p]
                 q = clone
             link[new] = q
-    total = [0, *accumulate(words)]
-    at, length, best, most = 0, 0, (0, 0, 0), 0
-    for i, x in enumerate(a):
+    at, length = 0, 0
+    for x in a:
         while at and x not in after[at]:
             at = link[at]
             length = size[at]
         at, length = (after[at][x], length + 1) if x in after[at] else (0, 0)
+        yield length, ends[at]
+
+
+def heaviest_run(a, b, words):
+    """(place in a, place in b, length) of the common run of lines with the most `words` (of a's lines)."""
+    total = [0, *accumulate(words)]
+    best, most = (0, 0, 0), 0
+    for i, (length, end) in enumerate(longest_matches(a, b)):
         held = total[i + 1] - total[i + 1 - length]
         if held > most:
-            best, most = (i + 1 - length, ends[at] + 1 - length, length), held
+            best, most = (i + 1 - length, end + 1 - length, length), held
     return best
 
 
+def moved_blocks(a, b, words, gone, least):
+    """Indexes in a of all common runs of at least `least` words, if `gone` may lack one of them.
+
+    It may where neighbouring lines that b holds, not all of them gone, have so many words.
+    """
+    held, taken = set(b), set(gone)
+    open_, have = False, 0
+    for i, x in enumerate([*a, None]):
+        if x in held and i < len(a):
+            have += words[i]
+            open_ |= i not in taken
+            continue
+        if open_ and have >= least:
+            break
+        open_, have = False, 0
+    else:
+        return gone
+    total, cover = [0, *accumulate(words)], [0] * (len(a) + 1)
+    for i, (length, _) in enumerate(longest_matches(a, b)):
+        if total[i + 1] - total[i + 1 - length] >= least:
+            cover[i + 1 - length] += 1
+            cover[i + 1] -= 1
+    return [i for i, n in enumerate(accumulate(cover)) if n and i < len(a)]
+
+
 def patience(a, b, words=None, least=0):
     """Aligned equal lines of two sequences as pairs of indexes, rising in both.
 
@@ -212,6 +245,7 @@ def _align(least):
                     at, own = (lead, salt), hashes
                 elif at == (lead, salt):
                     found = blocks(patience(hashes, own, words, least), words, least)
+                    found = moved_blocks(hashes, own, words, found, least)
                     if found:
                         docs.append(doc)
                         gone.append([places[k] for k in found])
@@ -221,19 +255,19 @@ def _align(least):
 
 
 def overlaps(lines: DataFrame, link_words: int, rare: int) -> DataFrame:
-    """(doc, lead): later documents and the earlier ones that share a telling line or run with them.
+    """(doc, lead): later documents and the earlier ones that share a telling line or a run with them.
 
-    One held by at most `rare` documents leads to all its earlier holders, a more frequent one to
-    its first holder only, so the pairs are linear in the holders.
+    A line held by at most `rare` documents leads to all its earlier holders, a run to its first holder,
+    so the pairs are linear in the lines.
     """
     telling = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= link_words)
-    keys = F.array_union(F.transform(telling, lambda x: x["hashes"]), F.col("runs"))
-    held = saved(lines.select(F.col("doc_id").alias("doc"), F.explode(keys).alias("line")).distinct())
-    counts = saved(held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).filter("n > 1"))
-    common = held.join(counts, "line").filter("doc > lead").select("doc", "lead")
-    few = held.join(counts.filter(F.col("n") <= rare).select("line"), "line")
-    later = few.join(few.select("line", F.col("doc").alias("lead")), "line").filter("doc > lead").select("doc", "lead")
-    out = saved(common.union(later).distinct())
+    marked = [F.transform(keys, lambda x: F.struct(x.alias("key"), F.lit(run).alias("run"))) for keys, run in ((F.transform(telling, lambda x: x["hashes"]), False), (F.col("runs"), True))]
+    held = saved(lines.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.concat(*marked))).alias("line")).select("doc", "line.key", "line.run").distinct())
+    counts = saved(held.groupBy("key", "run").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).filter(F.col("n").between(2, rare) | F.col("run") & (F.col("n") > 1)))
+    first = held.filter("run").join(counts.filter("run").select("key", "lead"), "key").filter("doc > lead").select("doc", "lead")
+    few = held.filter("NOT run").join(counts.filter("NOT run").select("key"), "key").select("key", "doc")
+    later = few.join(few.select("key", F.col("doc").alias("lead")), "key").filter("doc > lead").select("doc", "lead")
+    out = saved(first.union(later).distinct())
     drop_saved(held, counts)
     return out
 
@@ -263,9 +297,9 @@ def drop_shared_lines(docs: DataFrame, link_words: int = LINK_WORDS, block_words
     """`docs` (doc_id, text, ...) with the shared lines cut from text, and n_lines, n_removed (long) added.
 
     A line is what stands between line feeds; lines are equal if their words are, up to outer white
-    space. Blocks of aligned lines with at least `block_words` words go from the document with the
-    larger doc_id; all texts are judged as given. Lines of fewer than `link_words` words lead to other
-    documents in runs of `block_words` words only. In scripts without blanks two characters count as a word
+    space, and blank lines play no part. A line goes if it lies in a block of neighbouring lines with at
+    least `block_words` words that a document with a smaller doc_id holds as neighbouring lines, in
+    whatever order blocks follow; all texts are judged as given. In scripts without blanks two characters count as a word
     besides, and a line counts at least a word for every 32 bytes. Null texts stay null with no lines; emptied texts are empty. Rows
     without a doc_id stay whole. Rows that repeat a doc_id with equal lines are one document and lose
     the same lines; doc_ids must otherwise be unique. Clashing columns of `docs` are replaced; an
