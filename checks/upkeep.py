@@ -209,17 +209,29 @@ def src_5(spark, sf_dir):
     return rows.select("unit_id", "qualified_name", "path", F.col("refs")["mro"].alias("mro"))
 
 
+def _rename_one(spark, folder, name):
+    """Gives one written file of `folder` another name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))[0].getPath()
+    system.rename(first, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+
+
 @check(
     "src_1_repository_scan",
     """SELECT line, count(*) AS n FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages) WHERE line <> '' GROUP BY 1""",
 )
 def src_1(spark, sf_dir):
-    """Pages written as files, found again by the recursive scan, decoded and split."""
+    """Pages written as files, found again by the recursive scan, decoded and split.
+
+    Some lie in a folder `_private`, and every folder has a file `__init__.txt`.
+    """
     folder = scratch(spark) + "/site"
-    table(spark, sf_dir, "pages").select(
-        F.col("html").alias("value"), F.pmod("page_id", F.lit(4)).alias("part")
-    ).write.partitionBy("part").text(folder)
-    files = file_source.read_repository(spark, folder, glob="*.txt")
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("value"), F.pmod("page_id", F.lit(4)).alias("part"))
+    for part, place in (("part > 1", "open"), ("part = 1", "_private"), ("part = 0", "_private/_more")):
+        pages.filter(part).select("value").write.text(f"{folder}/{place}")
+        _rename_one(spark, f"{folder}/{place}", "__init__.txt")
+    files = file_source.read_repository(spark, folder, [".txt"])
     lines = file_source.line_rows(files.select("path", file_source.decode("source").alias("text")))
     return lines.filter("text <> ''").groupBy(F.col("text").alias("line")).agg(F.count("*").alias("n"))
 

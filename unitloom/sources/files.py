@@ -4,17 +4,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from unitloom.functions import paths
 from unitloom.session import spread
+from unitloom.sources import listing
 
-# Pushed to the file listing; extensions match in either case.
-GLOB = "*.{[pP][yY],[rR][sS],[jJ][sS],[jJ][sS][xX],[tT][sS],[tT][sS][xX],[hH][tT][mM],[hH][tT][mM][lL]}"
 
+def spark_glob(extensions: list) -> str:
+    """A file name pattern that matches the extensions in either case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in extensions) + "}"
 
-def read_repository(spark: SparkSession, root: str, glob: str = GLOB) -> DataFrame:
-    """path (relative to root) and raw bytes of every file with an indexable extension."""
+
+def read_repository(spark: SparkSession, root: str, extensions: list = paths.INDEXABLE, complete: bool = True) -> DataFrame:
+    """path (relative to root) and raw bytes of every regular file with one of `extensions`.
+
+    Names that start with `_` or `.` are read too; folders that the index policy skips are not entered.
+    That needs a root that Python tasks can open: a path mounted on all of them or an Arrow file system.
+    With `complete` off Spark's own file source reads any store that Spark reads, without such names.
+    """
+    if complete:
+        return listing.read_files(listing.list_files(spark, root, extensions, paths.SKIP_DIRS), root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", spark_glob(extensions))
         .load(root)
     )
     return relative_paths(spread(files), root)

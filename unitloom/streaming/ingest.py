@@ -1,20 +1,19 @@
 """Incremental loads: arriving source files or chunk files are upserted.
 
-Both run with `availableNow`; the checkpoint remembers which files were taken. A
+Both run with `availableNow`; the checkpoint remembers what was taken. A
 replayed micro-batch upserts the same rows again, so the tables end the same.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
+from unitloom.functions.paths import INDEXABLE, SKIP_DIRS
 from unitloom.plans.index import assembled_units, chunks_and_refs
 from unitloom.plans.load import prepare_units
 from unitloom.session import cut_lineage
 from unitloom.sources import files as file_source
-from unitloom.sources import jsonl
+from unitloom.sources import jsonl, listing
 from unitloom.sources.tables import CodeTables
 
-_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
 
 def _run(arriving: DataFrame, checkpoint: str, take):
     return (
@@ -27,23 +26,20 @@ def _run(arriving: DataFrame, checkpoint: str, take):
 
 def stream_repository(
     spark: SparkSession, root: str, table_root: str, checkpoint: str, *, job_prefix: str = "stream",
-    buckets: int = 64, max_files: int = 100_000, context: dict | None = None, **model,
+    buckets: int = 64, context: dict | None = None, **model,
 ):
-    """Source files of `root` -> units -> tables."""
-    arriving = (
-        spark.readStream.format("binaryFile")
-        .schema(_FILE_SCHEMA)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_source.GLOB)
-        .option("maxFilesPerTrigger", max_files)
-        .load(root)
-    )
+    """Source files of `root`, each time they change -> units -> tables.
 
+    The checkpoint remembers the time up to which changes were taken; `root` as for `read_repository`.
+    """
+    arriving = listing.stream_files(spark, root, INDEXABLE, SKIP_DIRS)
     facts = file_source.root_context(spark, root) | (context or {})
 
     def take(batch: DataFrame, number: int) -> None:
-        found = file_source.relative_paths(batch, root)
-        chunks, refs = chunks_and_refs(cut_lineage(assembled_units(found, **facts)))
+        units = cut_lineage(assembled_units(batch, **facts))
+        if units.isEmpty():
+            return
+        chunks, refs = chunks_and_refs(units)
         ready = prepare_units(chunks, refs, refs_in_base=True, **model)
         CodeTables(batch.sparkSession, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
 
