@@ -132,13 +132,32 @@ def top_1(spark, sf_dir):
 # -- approximate candidates --------------------------------------------------------------
 
 vector_ctes("v_query64", "queries", "query_id", "query", dim=64, needs=["queries"])
-cte("planes", """SELECT i, j, CAST('0x' || substr(md5(i || ':' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5::DOUBLE AS p
-  FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 96)) AS j)""")
+ANN_ROUNDS = 4
+
+
+def _cells_sql():
+    """Unit vectors, their seeds by MD5 of the id, and the rounds of the fit on the sphere."""
+    steps = []
+    for k in range(ANN_ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, arg_min(cell, (-list_dot_product(x, c), cell)) AS cell FROM v, c{k} GROUP BY vec_id)""")
+        if k < ANN_ROUNDS:
+            steps.append(f"""m{k} AS MATERIALIZED (SELECT cell, list(s ORDER BY i) AS s FROM (
+              SELECT cell, i, sum(e) AS s FROM (SELECT cell, unnest(range(64)) AS i, unnest(x) AS e FROM a{k} JOIN v USING (vec_id)) GROUP BY 1, 2) GROUP BY 1),
+            c{k + 1} AS MATERIALIZED (SELECT cell, CASE WHEN s IS NULL THEN c ELSE list_transform(s, lambda e: e / sqrt(list_dot_product(s, s))) END AS c
+              FROM c{k} LEFT JOIN m{k} USING (cell))""")
+    return f"""WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    v AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda z: z / sqrt(list_dot_product(e, e))) AS x FROM u WHERE list_dot_product(e, e) > 0),
+    c0 AS MATERIALIZED (SELECT cell, x AS c FROM (SELECT x, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), CAST(vec_id AS VARCHAR)) - 1 AS cell FROM v)
+      WHERE cell < (SELECT round(sqrt(count(*))) FROM v)), {", ".join(steps)}"""
+
+
+cte("ann_units", _cells_sql() + f" SELECT vec_id, cell FROM a{ANN_ROUNDS}")
+cte("ann_cells", _cells_sql() + f" SELECT cell, unnest(range(64)) AS i, unnest(c) AS w FROM c{ANN_ROUNDS}")
+cte("ann_probes", """SELECT query_id, cell FROM (
+  SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, cell) AS place FROM (
+    SELECT k AS query_id, cell, sum(a.w * q.w) AS dot FROM v_query64 q JOIN ann_cells a ON i = bucket GROUP BY 1, 2))
+  WHERE place <= (SELECT ceil(count(DISTINCT cell) / 16.0) FROM ann_cells)""", ["ann_cells", "v_query64"])
 cte("vec_elements", """SELECT vec_id, unnest(range(0, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings""")
-cte("unit_codes", """SELECT vec_id, j // 4 AS band, sum(CASE WHEN s >= 0 THEN 1 << (j % 4)::INTEGER ELSE 0 END) AS code
-  FROM (SELECT vec_id, j, sum(x * p) AS s FROM vec_elements JOIN planes USING (i) GROUP BY 1, 2) GROUP BY 1, 2""", ["planes", "vec_elements"])
-cte("query_codes", """SELECT query_id, j // 4 AS band, sum(CASE WHEN s >= 0 THEN 1 << (j % 4)::INTEGER ELSE 0 END) AS code
-  FROM (SELECT k AS query_id, j, sum(w * p) AS s FROM v_query64 JOIN planes ON i = bucket GROUP BY 1, 2) GROUP BY 1, 2""", ["planes", "v_query64"])
 
 
 def _queries64(spark, sf_dir):
@@ -151,19 +170,21 @@ def _queries64(spark, sf_dir):
         """SELECT query_id, rank, vec_id, round(d_func, 6) AS d_func FROM (
         SELECT query_id, vec_id, d_func, row_number() OVER (PARTITION BY query_id ORDER BY round(d_func, 9), CAST(vec_id AS VARCHAR)) AS rank FROM (
           SELECT c.query_id, c.vec_id, 1 - coalesce(x.dot, 0) / (u.len * q.len) AS d_func
-          FROM (SELECT DISTINCT query_id, vec_id FROM unit_codes JOIN query_codes USING (band, code)) c
+          FROM (SELECT query_id, vec_id FROM ann_units JOIN ann_probes USING (cell)) c
           JOIN (SELECT vec_id, sqrt(sum(x * x)) AS len FROM vec_elements GROUP BY 1) u USING (vec_id)
           JOIN (SELECT k AS query_id, sqrt(sum(w * w)) AS len FROM v_query64 GROUP BY 1) q USING (query_id)
           LEFT JOIN (SELECT k AS query_id, vec_id, sum(x * w) AS dot FROM vec_elements JOIN v_query64 ON i = bucket GROUP BY 1, 2) x
             USING (query_id, vec_id))) WHERE rank <= 10""",
-        "unit_codes", "query_codes",
+        "ann_units", "ann_probes", "vec_elements",
     ),
 )
 def vec_5(spark, sf_dir):
     units = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec_func")
     )
-    near = ann.nearest(ann.index_rows(units, 64), _queries64(spark, sf_dir), k=10, dim=64)
+    folder = scratch(spark) + "/cells"
+    ann.write_index(units, folder, rounds=ANN_ROUNDS)
+    near = ann.nearest(*ann.read_index(spark, folder), _queries64(spark, sf_dir), k=10, dim=64)
     return near.select("query_id", "rank", F.col("id").cast("long").alias("vec_id"), F.round("d_func", 6).alias("d_func"))
 
 

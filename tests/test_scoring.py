@@ -162,22 +162,63 @@ def test_lane_presets():
     assert vectors.lane_weights(overrides={"w_fts": 0.0}) == {"w_func": 0.6, "w_call": 0.2, "w_class": 0.2, "w_fts": 0.0}
 
 
-def test_approximate_recall_and_exact_distances(spark, tmp_path):
-    units = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
-        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec_func")
-    )
-    queries = units.select(F.col("id").alias("query_id"), F.col("vec_func").alias("qv"))
-    ann.write_index(units, str(tmp_path / "index"), 64)
-    near = ann.nearest(spark.read.parquet(str(tmp_path / "index")), queries, k=10, dim=64).collect()
-    rows = units.collect()
-    m = np.array([r.vec_func for r in rows], float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    exact = np.argsort(1 - m @ m.T, axis=1, kind="stable")[:, :10]
+def clustered(n=6000, dim=24, groups=300, seed=5):
+    """Vectors with neighbours, a crowded group and some without a usable vector."""
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal((groups, dim))
+    group = np.where(rng.random(n) < 0.3, 0, rng.integers(0, groups, n))
+    return centre[group] + 0.25 * rng.standard_normal((n, dim))
+
+
+def test_inverted_lists_find_neighbours_in_few_cells(spark, tmp_path, capsys):
+    vectors = clustered()
+    rows = [(f"u{i}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    odd = [("none", None), ("zero", [0.0] * 24), ("nan", [float("nan")] * 24)]
+    units = spark.createDataFrame(rows + odd, "id string, vec_func array<float>").repartition(6)
+    ann.write_index(units, str(tmp_path / "index"))
+    index, centre = ann.read_index(spark, str(tmp_path / "index"))
+    assert index.count() == len(rows) and index.select("id").distinct().count() == len(rows)
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 6000, 40)] + [(-1, None)], "query_id long, qv array<float>")
+    probes = 5
     found = {}
-    for r in near:
-        found.setdefault(r.query_id, set()).add(r.id)
-    recall = np.mean([len(found[rows[i].id] & {rows[j].id for j in exact[i]}) / 10 for i in range(len(rows))])
-    assert recall >= 0.9
+    for r in ann.nearest(index, centre, asked, k=10, dim=24, probes=probes, per_block=500).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.id, r.d_func))
+    m = vectors.astype(np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 40):
+        far = 1 - m @ m[q]
+        hits += len({f"u{j}" for j in np.argsort(far, kind="stable")[:10]} & {i for _, i, _ in found[q]})
+        assert [r for r, _, _ in sorted(found[q])] == list(range(1, 11))
+        assert all(d == pytest.approx(far[int(i[1:])], abs=1e-9) for _, i, d in found[q])
+    pairs = ann.probed(asked, centre, probes).join(index.groupBy("cell").count(), "cell").agg(F.sum("count")).first()[0]
+    share, recall = pairs / (150 * 6000), hits / 1500
+    with capsys.disabled():
+        print(f"\ninverted lists: {len(centre)} cells, candidates {share:.3f} of the pairs, recall@10 {recall:.3f}")
+    assert share <= 0.1 and recall >= 0.9 and -1 not in found
+
+
+def test_inverted_lists_read_probed_cells_only(spark, tmp_path):
+    units = spark.createDataFrame([(f"u{i}", [float(x) for x in v]) for i, v in enumerate(clustered(2000, 8, 50))], "id string, vec_func array<float>")
+    ann.write_index(units, str(tmp_path / "index"), cells=40)
+    index, centre = ann.read_index(spark, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, [float(x) for x in clustered(1, 8, 50)[0]])], "query_id long, qv array<float>")
+    plan = ann.nearest(index, centre, asked, k=3, dim=8, probes=2)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(cell" in plan.replace("PushedFilters: [IsNotNull(cell), ", "PushedFilters: [")
+    empty = ann.fit(units.limit(0))
+    assert len(empty) == 0 and ann.nearest(ann.index_rows(units.limit(0), empty), empty, asked, k=3, dim=8).collect() == []
+
+
+def test_rows_of_queries_meet_blocks_of_units(spark):
+    """More queries than are shipped at once, several blocks, a null vector, copies and an unknown word."""
+    units = make_units(spark, 200, copies=100).withColumn("vec_func", F.when(F.col("id") != "u0002", F.col("vec_func")))
+    q = spark.createDataFrame([(str(i), f"alpha {w}") for i, w in enumerate("beta gamma delta eps alpha unknown".split() * 20)] + [(None, "beta")], "query_id string, query string")
+    ready = search.prepare_queries(q, dim=DIM)
+    w = vectors.lane_weights("call")
+    pick = lambda d: sorted(((r.query_id, r.rank, r.id, r.score, r.d_func, r.ts_score) for r in d.collect()), key=str)
+    shipped = pick(topk.score_units(units, ready, weights=w, fetch=5, dim=DIM))
+    rows = topk.score_units(units, ready, weights=w, fetch=5, dim=DIM, per_pass=10, per_block=40)
+    assert pick(rows) == shipped and len(shipped) == 605
 
 
 def test_integer_query_ids_and_empty_query_tables(spark):
@@ -193,4 +234,5 @@ def test_integer_query_ids_and_empty_query_tables(spark):
     assert [r.query_id for r in rows] == [7, 7] and rows[0].id == "1"
     none = asked.limit(0)
     assert topk.score_units(units, none, weights=weights, fetch=2, dim=2).collect() == []
-    assert ann.nearest(ann.index_rows(units, 2), none, k=3, dim=2).collect() == []
+    centre = ann.fit(units)
+    assert ann.nearest(ann.index_rows(units, centre), centre, none, k=3, dim=2).collect() == []

@@ -119,16 +119,24 @@ def group_ranks(group, pos, term, multi):
 
 
 class QueryBlock:
-    """A bounded set of queries as it is shipped to the tasks."""
+    """A bounded set of queries as the tasks score them."""
 
     def __init__(self, rows, dim):
-        rows = [r.asDict() for r in rows] or [{"query_id": None, "qv": None, "terms": []}]
-        self.ids = [r["query_id"] for r in rows]
-        self.dim = dim
-        self.vectors = unit_rows(
-            pa.array([r["qv"] for r in rows], pa.list_(pa.float32())), dim
-        )
-        terms = [sorted(set(r.get("terms") or [])) for r in rows]
+        rows = [r.asDict() for r in rows]
+        vectors = pa.array([r["qv"] for r in rows], pa.list_(pa.float32()))
+        self._take([r["query_id"] for r in rows], vectors, [r.get("terms") for r in rows], dim)
+
+    @classmethod
+    def of(cls, ids, vectors, terms, dim):
+        """From Arrow columns."""
+        block = cls.__new__(cls)
+        block._take(ids.to_pylist(), vectors, terms.to_pylist(), dim)
+        return block
+
+    def _take(self, ids, vectors, terms, dim):
+        self.ids, self.dim = ids, dim
+        self.vectors = unit_rows(vectors, dim)
+        terms = [sorted(set(t or [])) for t in terms]
         vocab = sorted({t for ts in terms for t in ts})
         number = {t: i for i, t in enumerate(vocab)}
         users = [[] for _ in vocab]
@@ -139,20 +147,6 @@ class QueryBlock:
         self.start = np.concatenate([[0], np.cumsum([len(u) for u in users])]).astype(np.int64)
         self.user = np.array([q for u in users for q in u], np.int64)
         self.multi = np.array([len(ts) > 1 for ts in terms], bool)
-        self.codes = np.array([r["codes"] or [] for r in rows]) if "codes" in rows[0] else None
-
-    def shares_band(self, band, codes):
-        """Units x queries: `band` is the first band in which both codes agree."""
-        flat, lengths = _lists(codes)
-        band = band.to_numpy(zero_copy_only=False)
-        mine = flat.to_numpy(zero_copy_only=False).reshape(len(lengths), -1)
-        shared = np.zeros((len(lengths), len(self.ids)), bool)
-        earlier = np.zeros_like(shared)
-        for b in range(mine.shape[1]):
-            same = mine[:, b][:, None] == self.codes[:, b][None, :]
-            shared |= same & ~earlier & (band == b)[:, None]
-            earlier |= same
-        return shared
 
     def text_ranks(self, tokens):
         """Dense units x queries matrix of text ranks."""
@@ -194,8 +188,6 @@ def best_units(batches, block, weights, k, query_type, task, lanes):
     """Partial top-k of one partition: exact scores, at most k rows per query.
 
     Batches carry id, one vector column per lane and, if the text rank counts, tokens.
-    With `band` and `codes` columns only units sharing that band's code with the query
-    (and no earlier band's) are considered.
     """
     m = len(block.ids)
     worst = np.full(m, np.inf)
@@ -215,14 +207,10 @@ def best_units(batches, block, weights, k, query_type, task, lanes):
                 ts = block.text_ranks(part.column("tokens"))
             score = np.round(score - weights["w_fts"] * ts, SCORE_DIGITS)
             key = np.where(np.isnan(score), np.inf, score)
-            wanted = np.ones(key.shape, bool)
-            if "band" in names:
-                wanted = block.shares_band(part.column("band"), part.column("codes"))
-                key = np.where(wanted, key, np.inf)
             limit = worst
             if len(key) > k:
                 limit = np.minimum(worst, np.partition(key, k - 1, axis=0)[k - 1])
-            unit, query = np.nonzero(wanted & (key <= limit))
+            unit, query = np.nonzero(key <= limit)
             found = pa.table(
                 {
                     "q": pa.array(query, pa.int64()),
@@ -250,18 +238,37 @@ def _nullable(values):
     return pa.array(values, mask=np.isnan(values))
 
 
-def sign_codes(column, planes, bands):
-    """LSH codes: one integer per band from the signs of fixed projections."""
+def unit_vectors(column):
+    """(row numbers, unit vectors) of the rows of a list column that are not NULL, zero or non-finite."""
     flat, lengths = _lists(column)
-    dim = planes.shape[0]
-    full = lengths == dim
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    bits = (values @ planes >= 0).astype(np.int64)
-    per_band = bits.shape[1] // bands
-    codes = np.zeros((len(lengths), bands), np.int64)
-    powers = 1 << np.arange(per_band, dtype=np.int64)
-    codes[full] = bits.reshape(-1, bands, per_band) @ powers
-    offsets = pa.array(np.arange(0, (len(lengths) + 1) * bands, bands, dtype=np.int32))
-    return pa.ListArray.from_arrays(
-        offsets, pa.array(codes.reshape(-1)), mask=pa.array(~full)
-    )
+    dim = int(lengths.max()) if len(lengths) else 0
+    rows = np.flatnonzero(lengths == dim) if dim else np.zeros(0, np.int64)
+    if not np.isin(lengths, (0, dim)).all():
+        raise ValueError("vectors differ in length")
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+    norm = np.sqrt((values * values).sum(axis=1))
+    fine = np.isfinite(norm) & (norm > 0)
+    return rows[fine], values[fine] / norm[fine, None]
+
+
+def fit_cells(unit, cells, rounds):
+    """Centroids of unit vectors on the sphere; the first `cells` vectors are the seeds."""
+    centre = unit[:cells].copy()
+    for _ in range(rounds):
+        near = nearest_cells(unit, centre, 1)[:, 0]
+        order = np.argsort(near, kind="stable")
+        used, first = np.unique(near[order], return_index=True)
+        mean = np.add.reduceat(unit[order], first, axis=0)
+        norm = np.sqrt((mean * mean).sum(axis=1))
+        centre[used[norm > 0]] = (mean / np.where(norm > 0, norm, 1.0)[:, None])[norm > 0]
+    return centre
+
+
+def nearest_cells(unit, centre, probes):
+    """The `probes` nearest centroids of each unit vector, nearest first, the lower number on ties."""
+    out = np.zeros((len(unit), probes), np.int64)
+    step = max(1, CELLS_PER_SLICE // max(1, len(centre)))
+    for a in range(0, len(unit), step):
+        far = -(unit[a : a + step] @ centre.T)
+        out[a : a + step] = np.argmin(far, axis=1)[:, None] if probes == 1 else np.argsort(far, axis=1, kind="stable")[:, :probes]
+    return out

@@ -7,9 +7,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from unitloom.functions import kernels, shipping  # noqa: F401
 from unitloom.functions.lexical import tokens
 from unitloom.functions.paths import is_test_hit
+from unitloom.operators import block_join
 from unitloom.schema import LANES
 
-# Queries shipped to every task at once; larger query tables go in several passes.
+# Queries shipped to every task at once; larger query tables stay rows.
 QUERIES_PER_PASS = 1024
 # Partial results of this many tasks meet in one pre-selection task.
 TASKS_PER_MERGE = 64
@@ -66,46 +67,34 @@ def _partial_schema(query_type, lanes):
     )
 
 
-def query_blocks(queries: DataFrame, dim: int, limit: int = QUERIES_PER_PASS):
-    """The query table as blocks of about `limit` rows (its size is counted first)."""
-    rows = queries.count()
-    passes = max(1, -(-rows // limit))
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    for number in range(passes):
-        part = (queries if passes == 1 else queries.filter(slot == number)).collect()
-        if part:
-            yield kernels.QueryBlock(part, dim)
-
-
-def best_of(scored: DataFrame, block, query_type, weights: dict, k: int, lanes) -> DataFrame:
-    """Partial winners of every task for one query block."""
-    arrow_type = to_arrow_type(query_type)
-
-    def run(batches):
-        task = TaskContext.get().partitionId() // TASKS_PER_MERGE
-        return kernels.best_units(batches, block, weights, k, arrow_type, task, lanes)
-
-    return scored.mapInArrow(run, _partial_schema(query_type, lanes))
-
-
 def score_units(
     units: DataFrame, queries: DataFrame, *, weights: dict, fetch: int, dim: int,
-    per_pass: int = QUERIES_PER_PASS,
+    per_pass: int = QUERIES_PER_PASS, per_block: int = block_join.UNITS_PER_BLOCK,
 ) -> DataFrame:
     """Exact top `fetch` units per query over the whole unit table.
 
     units: id, vec_func, vec_call, vec_class, search_text;
-    queries: query_id, qv, terms. One narrow pass over the units per query block:
-    each task scores its rows against the block and keeps `fetch` rows per query, so
-    only partial winners are shuffled and pairs never become rows.
+    queries: query_id, qv, terms. Up to `per_pass` queries (counted first) are shipped to every task
+    and the units are read in one narrow pass. More queries stay rows: blocks of units meet them in
+    the tasks. Either way a task keeps `fetch` rows per query, so only partial winners are shuffled
+    and pairs never become rows.
     """
     query_type = queries.schema["query_id"].dataType
+    schema = _partial_schema(query_type, LANES)
     lean = units.select("id", *[f"vec_{lane}" for lane in LANES], tokens("search_text").alias("tokens"))
-    parts = [
-        best_of(lean, block, query_type, weights, fetch, LANES)
-        for block in query_blocks(queries, dim, per_pass)
-    ]
-    out = parts[0] if parts else units.sparkSession.createDataFrame([], _partial_schema(query_type, LANES))
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    some = queries.limit(per_pass + 1).count()
+    if some > per_pass:
+        dealt, blocks = block_join.deal(lean, units.count(), per_block)
+        asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        out = block_join.best_per_block(dealt, asked, weights=weights, k=fetch, dim=dim, lanes=LANES, schema=schema)
+    elif some:
+        block, arrow_type = kernels.QueryBlock(queries.collect(), dim), to_arrow_type(query_type)
+
+        def run(batches):
+            task = TaskContext.get().partitionId() // TASKS_PER_MERGE
+            return kernels.best_units(batches, block, weights, fetch, arrow_type, task, LANES)
+
+        out = lean.mapInArrow(run, schema)
+    else:
+        out = units.sparkSession.createDataFrame([], schema)
     return top_k_per(out, "query_id", fetch, salt="salt")
