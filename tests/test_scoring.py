@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from unitloom.functions import kernels, lexical, texts, vectors
+from unitloom.functions import block_max, kernels, lexical, texts, vectors
 from unitloom.functions.embedding import embed_literal, embed_text
 from unitloom.functions.paths import is_test_hit
 from unitloom.operators import ann, topk
@@ -34,22 +34,68 @@ def brute_rank(tokens, terms):
     return 1 - keep if found else 1e-20
 
 
-def test_text_rank_against_brute_force(spark):
+ASKED = [(0, "a"), (1, "a b"), (2, "c d e c"), (3, "zzz"), (4, "zzz a"), (5, ""), (6, None), (7, "rare x b"), (8, "rare zzz")]
+
+
+def best_by_brute_force(docs, query, k):
+    terms = set((query or "").split())
+    rank = [(-round(brute_rank((t or "").split(), terms), 9), d) for d, t in docs if terms & set((t or "").split())]
+    return [d for _, d in sorted(rank)[:k]]
+
+
+@pytest.mark.parametrize("more", [{}, {"block_docs": 3, "shard_blocks": 4}])
+def test_best_texts_against_brute_force(spark, tmp_path, more):
     rnd = random.Random(3)
     words = list("abcdefgh")
-    docs = [(str(i), " ".join(rnd.choices(words, k=rnd.choice([0, 1, 3, 40, 400])))) for i in range(40)]
-    asked = [(0, "a"), (1, "a b"), (2, "c d e c"), (3, "zzz"), (4, "zzz a"), (5, "")]
-    d = spark.createDataFrame(docs, "id string, text string")
-    q = spark.createDataFrame(asked, "query_id long, query string")
-    got = {(r.query_id, r.id): r.ts_score for r in lexical.text_rank(d, "id", "text", q, 6).collect()}
-    for qid, query in asked:
-        for did, text in docs:
-            want = brute_rank(text.split(), query.split())
-            if set(text.split()) & set(query.split()):
-                assert got[(qid, did)] == pytest.approx(want, abs=1e-12)
-            else:
-                assert (qid, did) not in got
-                assert want <= 1e-20
+    docs = [(str(i), " ".join(rnd.choices(words, k=rnd.choice([0, 1, 3, 40, 400])))) for i in range(90)]
+    docs += [(f"c{i}", "a b a") for i in range(60)] + [("n", None), ("r", "b rare b"), ("s", "rare")]
+    d = spark.createDataFrame(docs, "id string, text string").repartition(5)
+    q = spark.createDataFrame(ASKED, "query_id long, query string")
+    lexical.write_postings(d, "id", "text", str(tmp_path / "p"), **more)
+    index = spark.read.parquet(str(tmp_path / "p"))
+    texts_of = dict(docs)
+    for k in (1, 7, 500):
+        got = {}
+        for r in lexical.best_texts(index, q, k).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.key, r.ts_score))
+        for qid, query in ASKED:
+            found = sorted(got.get(qid, []))
+            assert [key for _, key, _ in found] == best_by_brute_force(docs, query, k)
+            for _, key, rank in found:
+                assert rank == pytest.approx(brute_rank(texts_of[key].split(), query.split()), abs=1e-12)
+
+
+def test_blocks_that_cannot_matter_are_skipped():
+    """One shard of 200 blocks; few of them can hold the best texts."""
+    rnd = random.Random(9)
+    docs = []
+    for i in range(4000):
+        often = i // 20 in (17, 60, 150)
+        docs.append((i, ["one", "two"] * (6 if often and i % 20 < 10 else 1) if rnd.random() < 0.5 else ["one"] + ["x"] * rnd.randint(0, 5)))
+    rows = {}
+    for i, words in docs:
+        for t in set(words):
+            rows.setdefault((i // 20, t), []).append({"key": i, "positions": [p for p, w in enumerate(words) if w == t]})
+    table = pa.Table.from_pylist([{"block": b, "term": t, "top": max(len(p["positions"]) for p in posts), "posts": posts} for (b, t), posts in rows.items()])
+    shard, seen = block_max.Shard(table), []
+    for terms in (["one", "two"], ["one"], ["one", "none"]):
+        want = sorted((-round(brute_rank(w, terms), 9), i) for i, w in docs if set(terms) & set(w))[:10]
+        assert [key for key, _ in shard.best(terms, 10, seen)] == [i for _, i in want]
+    assert all(blocks == 200 for _, _, blocks in seen)
+    assert seen[0][0] <= 20 and seen[1][0] <= 20 and seen[2][:2] == (0, pytest.approx(1, abs=20))
+
+
+def test_a_search_pushes_its_terms(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, text string")
+    lexical.write_postings(d, "id", "text", str(tmp_path / "p"))
+    q = spark.createDataFrame([(1, "word7 common")], "query_id long, query string")
+    best = lexical.best_texts(spark.read.parquet(str(tmp_path / "p")), q, 3)
+    assert "In(term" in best._jdf.queryExecution().toString()
+    assert [r.key for r in best.orderBy("rank").collect()] == [7, 0, 1]
+    none = lexical.best_texts(spark.read.parquet(str(tmp_path / "p")), q.limit(0), 3)
+    assert none.collect() == []
+    lexical.write_postings(d.limit(0), "id", "text", str(tmp_path / "e"))
+    assert lexical.best_texts(spark.read.parquet(str(tmp_path / "e")), q, 3).collect() == []
 
 
 def test_known_rank_values():

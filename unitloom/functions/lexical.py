@@ -1,10 +1,14 @@
 """Tokens, postings and the text rank."""
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from unitloom.functions import kernels, shipping  # noqa: F401
-from unitloom.session import small_side
+from unitloom.functions import block_max, shipping  # noqa: F401
+
+# Documents of a block, blocks of a shard, and terms that a search pushes into the scan.
+BLOCK_DOCS = 128
+SHARD_BLOCKS = 400
+PUSHED_TERMS = 1_000
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -42,48 +46,54 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def write_postings(df: DataFrame, path: str, shards: int = 64) -> None:
-    """Postings as Parquet in folders by term hash, sorted by term inside a file."""
-    shard = F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")
-    (
-        df.withColumn("shard", shard)
-        .hint("rebalance", "shard")
-        .sortWithinPartitions("shard", "term")
-        .write.mode("errorifexists")
-        .partitionBy("shard")
-        .parquet(path)
-    )
+def write_postings(df: DataFrame, key: str, text: str, path: str, block_docs: int = BLOCK_DOCS, shard_blocks: int = SHARD_BLOCKS) -> None:
+    """Postings of the texts as Parquet: shard, block, term, top, posts (key, positions).
 
+    Documents are dealt into blocks of about `block_docs` and blocks into shards, by a hash of the key,
+    so a frequent term spreads over all shards and a row holds one block's part of a term. `top` is the
+    highest number of positions in the row. Files are sorted by term: a search reads the row groups of
+    its terms.
+    """
+    blocks = max(1, -(-df.count() // block_docs))
+    shards = max(-(-blocks // shard_blocks), min(blocks, df.sparkSession.sparkContext.defaultParallelism))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    rows = postings(df, key, text).withColumn("block", block)
+    posts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "positions"))).alias("posts")
+    grouped = rows.groupBy("block", "term").agg(posts, F.max("tf").alias("top"))
+    grouped = grouped.withColumn("shard", F.pmod("block", F.lit(shards)))
+    ranged = grouped.repartitionByRange("shard", "term").sortWithinPartitions("term", "block")
+    ranged.select("shard", "block", "term", "top", "posts").write.mode("errorifexists").parquet(path)
 
-def _rank_udf():
-    @F.arrow_udf(T.DoubleType())
-    def rank(matches: pa.Array, n_terms: pa.Array) -> pa.Array:
-        flat, lengths = kernels._lists(matches)
-        np = kernels.np
-        group = np.repeat(np.arange(len(lengths)), lengths)
-        pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-        term = flat.field("term_no").to_numpy(zero_copy_only=False).astype(np.int64)
-        multi = n_terms.to_numpy(zero_copy_only=False) > 1
-        return pa.array(kernels.group_ranks(group, pos, term, multi))
 
-    return rank
+def query_rows(queries: DataFrame) -> DataFrame:
+    """query_id and the distinct terms of the queries (query_id, query) that have a term."""
+    return queries.select("query_id", query_terms("query").alias("terms")).filter(F.size("terms") > 0)
 
 
-def text_rank(docs: DataFrame, key: str, text: str, queries: DataFrame, query_rows: int) -> DataFrame:
-    """(query_id, key, ts_score) for every text that shares a word with a query.
+def best_texts(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank, key, ts_score: the k texts of highest text rank for each query, from written postings.
 
-    `queries` has query_id and query. Texts without a shared word rank 0 for a
-    one-term query and 1e-20 for a longer one; they are not listed.
+    `queries` has query_id and query. Texts that share a word with the query take part; ranks are
+    compared after rounding to 9 digits, ties by key. Only the postings of the queries' terms are
+    read; they move to their shards, where blocks are scored by falling bound until none can matter.
+    Pairs of query and text never become rows: a shard returns at most k for a query.
     """
-    asked = queries.select("query_id", query_terms("query").alias("terms"))
-    asked = asked.select(
-        "query_id",
-        F.size("terms").alias("n_terms"),
-        F.posexplode("terms").alias("term_no", "term"),
-    )
-    # A query holds few terms; 64 per query keeps the checked bound on the safe side.
-    hits = token_rows(docs, key, text).join(small_side(asked, query_rows * 64), "term")
-    grouped = hits.groupBy("query_id", key, "n_terms").agg(
-        F.collect_list(F.struct("pos", "term_no")).alias("matches")
-    )
-    return grouped.select("query_id", key, _rank_udf()("matches", "n_terms").alias("ts_score"))
+    asked = query_rows(queries)
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    some = terms.limit(PUSHED_TERMS + 1).collect()
+    if len(some) <= PUSHED_TERMS:
+        found = index.filter(F.col("term").isin([r["term"] for r in some]))
+    else:
+        found = index.join(terms, "term", "left_semi")
+    shards = index.agg(F.max("shard")).first()[0]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards if shards is not None else -1).cast("long")))
+    asked = asked.limit(0) if shards is None else asked
+    posts = found.withColumn("role", F.lit(0)).select("shard", "role", "block", "term", "top", "posts")
+    waiting = asked.select(F.lit(1).alias("role"), "query_id", "terms", every.alias("shard"))
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = posts.unionByName(waiting, allowMissingColumns=True).repartition(n, "shard").sortWithinPartitions("shard", "role")
+    query_type, key_type = queries.schema["query_id"].dataType, index.schema["posts"].dataType.elementType["key"].dataType
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("key", key_type), T.StructField("ts_score", T.DoubleType())])
+    best = both.mapInArrow(block_max.best_of_shards(k, to_arrow_type(query_type), to_arrow_type(key_type)), schema)
+    order = Window.partitionBy("query_id").orderBy(F.round("ts_score", block_max.DIGITS).desc(), "key")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "ts_score")
