@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from unitloom.llm.forest import near_vectors
+from unitloom.llm.forest import near_vectors, parted, share_for
 
 SCHEMA = "vec_id long, embedding array<float>, label int, leaf string, n_links int"
 
@@ -101,3 +102,50 @@ def test_dense_group_above_max_group_is_compared_whole(spark):
         assert sum(got[i].n_links for i in mine) >= 0.95 * sum(truth[i] for i in mine)
     assert all(got[i].n_links == truth[i] for i in range(1000))
     assert {got[i].component_id for i in range(700)} == {0}
+
+
+def links_of(unit, cosine=0.93):
+    out = np.zeros(len(unit), np.int64)
+    for a in range(0, len(unit), 2000):
+        out[a : a + 2000] = (unit[a : a + 2000] @ unit.T >= cosine).sum(axis=1) - 1
+    return out
+
+
+@pytest.mark.parametrize("kind", ["one centre", "mixed"])
+def test_recall_of_large_labels_at_the_default_parameters(spark, kind, capsys):
+    """60,000 vectors of a label: around one centre at cosine 0.95, alone or with as many spread ones, each spread one with a partner."""
+    rng = np.random.default_rng(11)
+    n, size = 60_000, 64
+    near = n if kind == "one centre" else n // 2
+    centre, other = rng.standard_normal(size), rng.standard_normal((near, size))
+    centre /= np.linalg.norm(centre)
+    other -= (other @ centre)[:, None] * centre
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    unit = 0.95 * centre + math.sqrt(1 - 0.95**2) * other
+    wide = rng.standard_normal(((n - near) // 2, size))
+    wide /= np.linalg.norm(wide, axis=1)[:, None]
+    step = rng.standard_normal(wide.shape)
+    step -= (step * wide).sum(axis=1)[:, None] * wide
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    unit = np.concatenate([unit, wide, 0.935 * wide + math.sqrt(1 - 0.935**2) * step]).astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    arrow = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(unit.ravel(), size).cast(pa.list_(pa.float64())), "label": np.ones(n, np.int32)})
+    got = near_vectors(spark.createDataFrame(arrow)).select("vec_id", "n_links").toArrow().sort_by("vec_id")
+    found, want = got.column("n_links").to_numpy(), links_of(unit)
+    parts = {"all": slice(None), "close": slice(0, near), "spread": slice(near, None)}
+    recall = {k: found[p].sum() / want[p].sum() for k, p in parts.items() if want[p].sum()}
+    with capsys.disabled():
+        print(f"\nrecall of {kind}: {({k: round(float(v), 3) for k, v in recall.items()})}, {want.mean():.0f} links a vector")
+    assert (found <= want + 2).all() and min(recall.values()) >= 0.9
+
+
+def test_shares_follow_the_spread():
+    assert share_for(60_000, 1.0, 0.93, 1024, 12, 0.06, 1) == 0.06
+    assert share_for(60_000, 1 - 0.95**2, 0.93, 1024, 12, 0.06, 12) is None
+    assert share_for(60_000, 0.05, 0.93, 1024, 12, 0.06, 1) is None
+    rng = np.random.default_rng(3)
+    for share, correlation in ((0.06, 0.3), (0.1, 0.6)):
+        x = rng.standard_normal((2, 400_000))
+        y = correlation * x[0] + math.sqrt(1 - correlation**2) * x[1]
+        cut = np.quantile(x[0], 0.5 + share)
+        assert parted(share, correlation) == pytest.approx(2 * ((x[0] < -cut) & (y > cut)).mean(), rel=0.05)

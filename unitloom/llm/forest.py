@@ -4,25 +4,37 @@ Every tree splits the vectors of a label recursively by random directions near t
 close to a split go to both sides. Vectors are compared exactly within leaves only, links are
 counted once over all trees, and linked vectors are united.
 
+How many go to both sides follows from the cosine of a link and the spread of a node's vectors: the
+narrower they lie, the likelier a random split parts a link. The share is the least with which, over
+all trees and the levels to come, the chance of parting a link at the threshold is at most MISS. A node
+that would cost more pairs so than as a whole is not cut.
+
 Equal vectors are one node with a multiplicity. Nodes of a tree with more than MAX_GROUP vectors
 are split by Spark level by level; smaller ones are split to leaves inside one task. A larger node
 in which links are frequent is a leaf as it is: its vectors are dealt into blocks, and each pair of
 blocks is compared in a task of its own.
 """
 
+import math
+from functools import lru_cache
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from unitloom.llm.bytes_kernel import U, mix
 from unitloom.llm.components import components
-from unitloom.llm.shared import drop_saved, saved
+from unitloom.llm.shared import drop_saved, saved, small
 
 TREES = 12
 LEAF = 1024
 MAX_GROUP = 16_384
-# Share of a tree node on each side of the median that goes to both children.
+# Shares of a tree node on each side of the median that may go to both children, and the least by default.
 SPILL = 0.06
+SHARES = (0.06, 0.1, 0.15, 0.2, 0.25, 0.3)
+# Chance that the trees part a link at the threshold.
+MISS = 0.02
 BLOCK = 1024
 # Cells of a piece of the comparison; vectors of a large node that judge how frequent links are.
 CELLS = 1 << 22
@@ -52,28 +64,72 @@ def _dense(unit, cosine):
     return near.sum() - len(some) > 0.05 * len(some) * (len(some) - 1)
 
 
-def leaves(unit, key, leaf, spill, cosine):
+def spread_of(unit):
+    """Spread of the vectors around those that lie closest: one minus the mean cosine with their nearest quarter.
+
+    By at most 256 of them; a quarter of the vectors has this spread or less. It is the mean squared
+    distance from the mean where all lie alike. A node kept whole for its closest quarter costs at most
+    16 times the pairs of that quarter.
+    """
+    some = unit[:: max(1, len(unit) // 256)][:256]
+    m = len(some)
+    near = np.sort(some @ some.T, axis=1)[:, ::-1][:, 1 : 1 + max(1, m // 4)]
+    return float(np.quantile(1 - near.mean(axis=1), 0.25)) if m > 1 else 0.0
+
+
+@lru_cache(4096)
+def parted(share, correlation):
+    """Chance that two normal variables with this correlation lie on different sides of the median, beyond `share` of it."""
+    normal = NormalDist()
+    cut = normal.inv_cdf(0.5 + share)
+    rest = math.sqrt(1 - correlation * correlation)
+    step = 0.02
+    places = [-cut - (i + 0.5) * step for i in range(400)]
+    return 2 * step * sum(normal.pdf(x) * (1 - normal.cdf((cut - correlation * x) / rest)) for x in places)
+
+
+def share_for(n, spread, cosine, leaf, trees, spill, repeats):
+    """The share of `n` vectors that goes to both children on each side, None if they should stay whole.
+
+    Projections of two vectors of a link at `cosine` correlate with 1 - (1 - cosine) / spread.
+    `repeats`: how many trees would compare the vectors as a whole but once.
+    """
+    correlation = round(1 - (1 - cosine) / max(spread, 1e-9), 3)
+    if correlation <= 0:
+        return None
+    for share in [x for x in SHARES if x >= spill] or [spill]:
+        levels = max(1, math.ceil(math.log(n / leaf) / -math.log(0.5 + share)))
+        stays = (1 - parted(share, min(correlation, 0.999))) ** levels
+        if (1 - stays) ** trees <= MISS:
+            return share if repeats * leaf * (1 + 2 * share) ** levels < n else None
+    return None
+
+
+def leaves(unit, key, leaf, spill, cosine, trees=TREES):
     """Recursive random splits with overlap: yields (leaf key, row numbers)."""
     todo = [(int(key), np.arange(len(unit)))]
     while todo:
         key, rows = todo.pop()
-        if len(rows) <= leaf or _dense(unit[rows], cosine):
+        share = None
+        if len(rows) > leaf and not _dense(unit[rows], cosine):
+            share = share_for(len(rows), spread_of(unit[rows]), cosine, leaf, trees, spill, 1)
+        if share is None:
             yield key, rows
             continue
         order = rows[np.argsort(unit[rows] @ direction(key, unit.shape[1]), kind="stable")]
-        half, over = len(rows) // 2, int(len(rows) * spill)
+        half, over = len(rows) // 2, int(len(rows) * share)
         todo.append((child(key, 0), order[: half + over]))
         todo.append((child(key, 1), order[half - over :]))
 
 
-def _assign(leaf, spill, cosine):
+def _assign(leaf, spill, cosine, trees):
     def run(table):
         size = len(table.column("vec")[0])
         vectors = matrix(table.column("vec").combine_chunks(), size)
         unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         nid = table.column("nid").to_numpy()
         keys, rows = [], []
-        for key, found in leaves(unit, table.column("key")[0].as_py(), leaf, spill, cosine):
+        for key, found in leaves(unit, table.column("key")[0].as_py(), leaf, spill, cosine, trees):
             keys.append(np.full(len(found), key, np.int64))
             rows.append(found)
         return pa.table({"nid": nid[np.concatenate(rows)], "leaf": np.concatenate(keys)})
@@ -174,38 +230,41 @@ def _project():
     return run
 
 
-def _judge(cosine):
+def _judge(cosine, leaf, trees, spill, repeats):
     def run(table):
         vectors = matrix(table.column("vec").combine_chunks(), len(table.column("vec")[0]))
         unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-        return pa.table({"key": table.column("key")[:1], "dense": [_dense(unit, cosine)]})
+        share = None if _dense(unit, cosine) else share_for(table.column("n")[0].as_py(), spread_of(unit), cosine, leaf, trees, spill, repeats)
+        return pa.table({"key": table.column("key")[:1], "share": pa.array([share], pa.float64())})
 
     return run
 
 
-def _dense_keys(nodes, large, cosine):
-    """Keys of `large` (key, n) in whose nodes links are frequent, by a sample of each node."""
-    some = nodes.join(F.broadcast(large), "key").filter(F.pmod(F.xxhash64("nid", "key"), F.col("n")) < 2 * SAMPLE)
-    return saved(some.select("key", "vec").groupBy("key").applyInArrow(_judge(cosine), "key long, dense boolean").filter("dense").select("key"))
+def _shares(nodes, large, *how):
+    """(key, share) for the nodes of `large` (key, n), null where they stay whole, by a sample of each node."""
+    some = nodes.join(small(large), "key").filter(F.pmod(F.xxhash64("nid", "key"), F.col("n")) < 2 * SAMPLE)
+    return saved(some.select("key", "vec", "n").groupBy("key").applyInArrow(_judge(*how), "key long, share double"))
 
 
-def _split_large(nodes, max_group, spill, cosine):
+def _split_large(nodes, max_group, spill, cosine, leaf, trees):
     """Splits tree nodes with more than `max_group` rows by Spark, one level for all of them a round.
 
-    Returns the nodes to be split further in one task each, and the larger ones that stay whole
-    because links are frequent: (nid, leaf), and (leaf, blocks) of these. A group whose root stays
+    Returns the nodes to be split further in one task each, and the larger ones that stay whole:
+    (nid, leaf), and (leaf, blocks) of these. A group whose root stays
     whole is compared to the end there, so it needs one tree only.
     """
     whole, wholes, sizes, root = [], [], [], True
+    widths = [x for x in SHARES if x >= spill] or [spill]
     while True:
         counts = nodes.groupBy("key").agg(F.count("*").alias("n"))
         large = saved(counts.filter(F.col("n") > max_group))
         if large.isEmpty():
             whole.append(nodes)
             break
-        dense = _dense_keys(nodes, large, cosine)
+        shares = _shares(nodes, large, cosine, leaf, trees, spill, trees if root else 1)
+        dense, cut_up = shares.filter("share IS NULL").select("key"), shares.filter("share IS NOT NULL")
         whole.append(nodes.join(large, "key", "left_anti").select(*NODE))
-        rows, kept = nodes.join(large.join(dense, "key", "left_anti"), "key"), dense
+        rows, kept = nodes.join(small(cut_up), "key"), dense
         if root:
             # All trees of a group share the root: one with frequent links stands for all of them.
             groups = saved(nodes.join(dense, "key", "left_semi").groupBy("group").agg(F.min("key").alias("key")))
@@ -214,10 +273,13 @@ def _split_large(nodes, max_group, spill, cosine):
         wholes.append(nodes.join(kept, "key", "left_semi").select("nid", F.col("key").alias("leaf")))
         sizes.append(large.join(kept, "key").select(F.col("key").alias("leaf"), F.ceil(F.col("n") / max_group).cast("int").alias("blocks")))
         root = False
-        rows = saved(rows.select(*NODE).mapInArrow(_project(), "nid long, vec array<double>, copies long, key long, proj double"))
-        cuts = rows.groupBy("key").agg(F.percentile_approx("proj", [0.5 - spill, 0.5 + spill], 1000).alias("cut"))
-        sides = F.when(F.col("proj") < F.col("cut")[0], F.array(F.lit(0))).when(F.col("proj") > F.col("cut")[1], F.array(F.lit(1)))
-        both = rows.join(cuts, "key").withColumn("side", F.explode(F.coalesce(sides, F.array(F.lit(0), F.lit(1)))))
+        rows = saved(rows.select(*NODE, "share").mapInArrow(_project(), "nid long, vec array<double>, copies long, key long, share double, proj double"))
+        places = [0.5 + sign * x for x in widths for sign in (-1, 1)]
+        cuts = rows.groupBy("key").agg(F.percentile_approx("proj", places, 1000).alias("cut"), F.first("share").alias("of"))
+        at = 2 * (F.array_position(F.array(*map(F.lit, widths)), F.col("of")) - 1).cast("int")
+        cuts = cuts.select("key", F.get("cut", at).alias("low"), F.get("cut", at + 1).alias("high"))
+        sides = F.when(F.col("proj") < F.col("low"), F.array(F.lit(0))).when(F.col("proj") > F.col("high"), F.array(F.lit(1)))
+        both = rows.join(small(cuts), "key").withColumn("side", F.explode(F.coalesce(sides, F.array(F.lit(0), F.lit(1)))))
         nodes = saved(both.select("nid", "vec", "copies", F.xxhash64("key", "side").alias("key")))
     return _union([x.select(*NODE) for x in whole]), _union(wholes), _union(sizes)
 
@@ -231,7 +293,7 @@ def _union(frames):
 
 def _tiles(spread, sizes):
     """Rows of whole large nodes once for every tile of two blocks that they take part in."""
-    dealt = spread.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("nid", "leaf"), F.col("blocks")).cast("int"))
+    dealt = spread.join(small(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("nid", "leaf"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.withColumns({"low": F.least("block", "met"), "high": F.greatest("block", "met")}).drop("met", "blocks")
 
@@ -248,9 +310,10 @@ def near_vectors(
     of others and have component null if nothing with an id is reachable; they are kept. Further
     columns play no part; an empty table gives no rows.
 
-    Links found are exact; a link is missed only if no tree puts both vectors in one leaf. Tree nodes
-    in which links are frequent are not cut, whatever their size, so groups of near copies stay whole;
-    above `max_group` they are compared in tiles of two blocks of about `max_group` rows.
+    Links found are exact; a link is missed only if no tree puts both vectors in one leaf. At least `spill`
+    of a node goes to both children on each side, more where the vectors lie close. Tree nodes in which
+    links are frequent, or that random splits would not part from their links, are not cut, whatever
+    their size, so groups of near copies stay whole; above `max_group` they are compared in tiles of two blocks of about `max_group` rows.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
     fine = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -261,8 +324,8 @@ def near_vectors(
     planted = reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).select(
         "nid", "vec", "copies", F.xxhash64("tree", "label", F.size("vec")).alias("key"), F.xxhash64("label", F.size("vec")).alias("group")
     )
-    nodes, wholes, sizes = _split_large(planted, max_group, spill, cosine)
-    placed = nodes.groupBy("key").applyInArrow(_assign(leaf, spill, cosine), "nid long, leaf long")
+    nodes, wholes, sizes = _split_large(planted, max_group, spill, cosine, leaf, trees)
+    placed = nodes.groupBy("key").applyInArrow(_assign(leaf, spill, cosine, trees), "nid long, leaf long")
     placed = saved(placed if wholes is None else placed.union(wholes))
     lists = placed.groupBy("nid").agg(F.collect_set("leaf").alias("leaves"))
     spread = reps.select("nid", "vec", "copies").join(lists, "nid").withColumn("leaf", F.explode("leaves"))
@@ -272,7 +335,7 @@ def near_vectors(
     else:
         sizes = saved(sizes)
         tiles = _tiles(spread, sizes).groupBy("leaf", "low", "high").applyInArrow(_links(cosine), found)
-        found = saved(spread.join(F.broadcast(sizes), "leaf", "left_anti").groupBy("leaf").applyInArrow(_links(cosine), found).union(tiles))
+        found = saved(spread.join(small(sizes.select("leaf")), "leaf", "left_anti").groupBy("leaf").applyInArrow(_links(cosine), found).union(tiles))
     totals = found.groupBy("nid").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("nid").alias("a"), F.col("other").alias("b")))
     named = (
