@@ -13,6 +13,10 @@ SENTENCES = [
     ("apache2grant", "licensed under the apache license version 2 0 the license"),
     ("apache2may", "you may not use this file except in compliance with the license"),
     ("apache2copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache2copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    ("apache2obtain", "you may obtain a copy of the license at"),
+    ("apache2url", "http www apache org licenses license 2 0"),
+    ("apache2url", "https www apache org licenses license 2 0"),
     ("apache2limit", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache2see", "see the license for the specific language governing permissions and limitations under the license"),
     ("mitref", "released under the mit license"),
@@ -26,7 +30,11 @@ SENTENCES = [
     ("gplfree0", "this program is free software"),
     ("gplfree", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl2free", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("gplhope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gplterms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl3later", "either version 3 of the license or at your option any later version"),
+    ("gpl2later", "either version 2 of the license or at your option any later version"),
+    ("gplhope", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gplimplied", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpldetails", "see the gnu general public license for more details"),
     ("gplcopy", "you should have received a copy of the gnu general public license along with this program"),
     ("ccbync4ref", "licensed under cc by nc 4 0"),
@@ -44,18 +52,25 @@ SENTENCES = [
 
 # Licences and the identifier sequences that name them; earlier rules look first.
 RULES = [
+    ("Apache-2.0", "apache2grant apache2may apache2obtain apache2url apache2limit apache2see"),
     ("Apache-2.0", "apache2grant apache2may apache2copy apache2limit apache2see"),
+    ("Apache-2.0", "apache2grant apache2may apache2obtain apache2url"),
     ("Apache-2.0", "apache2grant apache2may apache2copy"),
     ("Apache-2.0", "apache2grant apache2may"),
     ("MIT", "mitgrant mitnotice asismit liabilitymit"),
     ("MIT", "mitgrant mitnotice asismit"),
     ("BSD-3-Clause", "bsduse bsdsource bsdbinary bsdname asisbsd"),
     ("BSD-2-Clause", "bsduse bsdsource bsdbinary asisbsd"),
-    ("GPL-3.0-or-later", "gplfree0 gplfree gplhope gpldetails gplcopy"),
-    ("GPL-3.0-or-later", "gplfree0 gplfree gplhope gpldetails"),
+    ("GPL-3.0-or-later", "gplfree0 gplfree gplhope gplimplied gpldetails gplcopy"),
+    ("GPL-3.0-or-later", "gplfree0 gplfree gplhope gplimplied gpldetails"),
     ("GPL-3.0-or-later", "gplfree0 gplfree"),
-    ("GPL-2.0-or-later", "gplfree0 gpl2free gplhope gpldetails gplcopy"),
+    ("GPL-3.0-or-later", "gplfree0 gplterms gpl3later gplhope gplimplied gpldetails gplcopy"),
+    ("GPL-3.0-or-later", "gplfree0 gplterms gpl3later"),
+    ("GPL-2.0-or-later", "gplfree0 gpl2free gplhope gplimplied gpldetails gplcopy"),
     ("GPL-2.0-or-later", "gplfree0 gpl2free"),
+    ("GPL-2.0-or-later", "gplfree0 gplterms gpl2later gplhope gplimplied gpldetails gplcopy"),
+    ("GPL-2.0-or-later", "gplfree0 gplterms gpl2later gplhope gplimplied gpldetails"),
+    ("GPL-2.0-or-later", "gplfree0 gplterms gpl2later"),
     ("Apache-2.0", "apache2ref"),
     ("MIT", "mitref"),
     ("GPL-3.0-only", "gpl3ref"),
@@ -66,24 +81,28 @@ RULES = [
     ("MPL-2.0", "mplref"),
 ]
 
-# Comment marks at line starts, and line ends inside a sentence (the next line goes on in lower case).
-COMMENT = r"\r?\n[ \t]*[#*/]+[ \t]*"
+# Comment marks and list marks ("1." or "(a)") at line starts.
+COMMENT = r"(?:^|\r?\n)[ \t]*[#*/%-]*[ \t]*"
+MARKS = r"(^|\n)(?:\(?(?:[0-9]{1,2}|[a-zA-Z])[.)][ \t]+)+"
+# A sentence ends after . ! ? : before a blank, at a semicolon or at a blank line.
+SENTENCE_END = r"[.!?:]+[ \t\r\n]+|;[ \t]*|\n[ \t\r\n]*\n"
+# In a sentence that is not known, lines stand alone but for those that go on in lower case.
 WRAPPED = r"([^.!?:; \t\r\n])[ \t]*\r?\n[ \t]*([a-z(])"
-# A sentence ends after . ! ? : before a blank, at a semicolon or at a line end.
-SENTENCE_END = r"[.!?:]+[ \t\r\n]+|;[ \t]*|[ \t]*[\r\n]+[ \t]*"
-# Leading list marks of a clause, as "1." or "(a)".
-MARKS = r"^(\(?[0-9a-z]{1,2}[.)][ \t]+)+"
+LINE_END = r"[ \t]*[\r\n]+[ \t]*"
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: ASCII words in lower case with single blanks."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "\n")
-    parts = F.split(F.regexp_replace(plain, WRAPPED, "$1 $2"), SENTENCE_END)
-    clean = F.transform(
-        parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.translate(s, CAPITALS, SMALLS), MARKS, ""), "[^a-z0-9]+", " "))
-    )
-    return F.filter(clean, lambda s: s != "")
+def normalised(sentence: Column) -> Column:
+    """ASCII words in lower case with single blanks."""
+    return F.trim(F.regexp_replace(F.translate(sentence, CAPITALS, SMALLS), "[^a-z0-9]+", " "))
+
+
+def sentences(text: Column, known: Column) -> Column:
+    """Normalised sentences; one that the map `known` does not hold is cut at line ends too."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "\n"), MARKS, "$1")
+    lines = lambda s: F.transform(F.split(F.regexp_replace(s, WRAPPED, "$1 $2"), LINE_END), normalised)
+    whole = F.transform(F.split(plain, SENTENCE_END), lambda s: F.when(known[normalised(s)].isNotNull(), F.array(normalised(s))).otherwise(lines(s)))
+    return F.filter(F.flatten(whole), lambda s: s != "")
 
 
 def pattern(sequence: str) -> str:
@@ -95,12 +114,13 @@ def scan(docs: DataFrame, table=SENTENCES, rules=RULES) -> DataFrame:
 
     sentence_ids are the known identifiers in order; licenses the licences of the rules that match,
     sorted, each once; unmatched the known sentences that no rule has used, in order. A sentence that
-    is not known parts the sequences beside it. Null, empty and blank texts have no sentences.
+    is not known parts the sequences beside it. Lines of a paragraph are joined, whatever their case,
+    where that gives a known sentence; comment marks and list marks at line starts do not count. Null, empty and blank texts have no sentences.
     Repeated rows and ids each give a row; further columns play no part; an empty table gives no
     rows. Texts are whole: nothing is cut off.
     """
     known = F.create_map(*[F.lit(x) for text, name in {t: n for n, t in table}.items() for x in (text, name)])
-    found = docs.select("doc_id", sentences(F.col("text")).alias("_parts"))
+    found = docs.select("doc_id", sentences(F.col("text"), known).alias("_parts"))
     found = found.withColumn("_ids", F.transform("_parts", lambda s: F.coalesce(known[s], F.lit("|"))))
     sequence = F.array_join(F.transform("_ids", lambda s: F.concat(F.lit(","), s, F.lit(","))), "")
     ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern(seq)).alias("seq")) for name, seq in rules])
@@ -128,12 +148,14 @@ def scan_sql(table=SENTENCES, rules=RULES) -> str:
             f"CASE WHEN contains(rest, '{p}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last})"
         )
         last = f"m{i + 1}"
+    norm = lambda x: f"trim(regexp_replace(translate({x}, '{CAPITALS}', '{SMALLS}'), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 WITH p AS (
-  SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '{COMMENT}', chr(10), 'g'), '{WRAPPED}', '\\1 \\2', 'g'), '{SENTENCE_END}') AS raw
+  SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '{COMMENT}', chr(10), 'g'), '{MARKS}', '\\1', 'g'), '{SENTENCE_END}') AS raw
   FROM documents
 ), c AS (
-  SELECT doc_id, list_filter(list_transform(raw, lambda s: trim(regexp_replace(regexp_replace(translate(s, '{CAPITALS}', '{SMALLS}'), '{MARKS}', ''), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS parts
+  SELECT doc_id, list_filter(flatten(list_transform(raw, lambda s: CASE WHEN MAP {{{names}}}[{norm('s')}] IS NOT NULL THEN [{norm('s')}]
+    ELSE list_transform(string_split_regex(regexp_replace(s, '{WRAPPED}', '\\1 \\2', 'g'), '{LINE_END}'), lambda x: {norm('x')}) END)), lambda s: s <> '') AS parts
   FROM p
 ), k AS (SELECT doc_id, parts, list_transform(parts, lambda s: coalesce(MAP {{{names}}}[s], '|')) AS ids FROM c),
 m0 AS (SELECT *, array_to_string(list_transform(ids, lambda s: ',' || s || ','), '') AS rest, []::VARCHAR[] AS names FROM k),
