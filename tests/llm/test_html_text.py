@@ -86,6 +86,13 @@ def test_any_markup_ends_in_linear_time():
         start = time.time()
         visible_text(bit * 20_000)
         assert time.time() - start < 10, bit
+    for row in ("<td>x" * 100_000, "<td colspan=3>x" * 50_000, "<td rowspan=2>x" * 50_000 + "<tr>" + "<td>y" * 50_000):
+        start = time.time()
+        visible_text(f"<table><tr>{row}</table>")
+        assert time.time() - start < 20, row[:20]
+    start = time.time()
+    visible_text("<table><tr><td>" + "<pre>\n\n</pre><br>" * 30_000)
+    assert time.time() - start < 10
 
 
 @pytest.mark.parametrize("html, text", [

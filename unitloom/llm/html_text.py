@@ -140,19 +140,21 @@ class Flow:
 
 class Table:
     def __init__(self):
-        self.rows, self.taken = [], {}
+        self.rows, self.taken, self.next = [], {}, 0
 
     def row(self):
         self.rows.append([])
+        self.next = 0
 
     def cell(self, lines, colspan, rowspan):
         if not self.rows:
             self.row()
         row, r = self.rows[-1], len(self.rows) - 1
-        c = max((c + w for c, w, _ in row), default=0)
+        c = self.next
         while self.taken.get(c, 0) > r:
             c += 1
         row.append((c, colspan, lines))
+        self.next = c + colspan
         if rowspan > 1:
             for k in range(c, c + colspan):
                 self.taken[k] = r + rowspan
@@ -368,11 +370,8 @@ class Layout:
 
 
 def _trimmed(lines):
-    while lines and not lines[0]:
-        lines = lines[1:]
-    while lines and not lines[-1]:
-        lines = lines[:-1]
-    return lines
+    full = [i for i, line in enumerate(lines) if line]
+    return lines[full[0] : full[-1] + 1] if full else []
 
 
 def visible_text(html):
