@@ -5,6 +5,7 @@ their counterfactuals, in which identity terms are swapped for others of their g
 every change of the score that a swap makes.
 """
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,14 +117,16 @@ def _rows(features, groups):
         word = {int(np.searchsorted(vocabulary.features, f[0])): i for i, f in enumerate(term_features)}
         for batch in batches:
             out = []
-            for row, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text")):
                 text, number = vocabulary.numbers(*reader.of(data, offsets))
                 bounds = np.searchsorted(text, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
                     own = number[bounds[i] : bounds[i + 1]]
                     found = [word[n] for n in own.tolist() if n in word]
                     dropped = set().union(*(numbers[t] for t in found)) if found else set()
-                    added = set().union(*(numbers[others[t][(row + i) % len(others[t])]] for t in found)) if found else set()
+                    # The term that comes in follows from the text, wherever its row lies.
+                    pick = zlib.crc32(data[offsets[i] : offsets[i + 1]].tobytes()) if found else 0
+                    added = set().union(*(numbers[others[t][(pick + t) % len(others[t])]] for t in found)) if found else set()
                     base = set(own.tolist()) - dropped
                     out.append((own.tolist(), sorted(added - dropped - base), sorted(dropped - added)))
             a, b, c = zip(*out) if out else ([], [], [])
@@ -187,8 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY, sample_rows: int =
     best = counts.select("feature", ratio.alias("ratio")).orderBy(F.desc("ratio"), "feature").limit(features).toPandas()["feature"]
     identity = np.concatenate(swaps(groups)[0]) if groups else np.zeros(0, U)
     chosen = np.unique(np.r_[best.to_numpy(np.int64).view(U), identity])
-    rows = sample.mapInArrow(_rows(chosen, groups), "toxic long, own array<int>, added array<int>, dropped array<int>").toPandas()
-    weights, bias = descend(rows["own"], rows["added"], rows["dropped"], rows["toxic"].to_numpy(), len(chosen), swap_penalty)
+    rows = sample.mapInArrow(_rows(chosen, groups), "toxic long, own array<int>, added array<int>, dropped array<int>").collect()
+    # In an order of their own, so that sums do not depend on where the rows lay.
+    toxic, own, added, dropped = zip(*sorted(map(tuple, rows)))
+    weights, bias = descend(own, added, dropped, np.array(toxic), len(chosen), swap_penalty)
     return Model(chosen, weights, bias)
 
 
