@@ -25,27 +25,6 @@ def query_terms(text) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per word: key, 1-based position, term."""
-    return df.select(key, F.posexplode(tokens(text)).alias("pos", "term")).select(
-        key, (F.col("pos") + 1).alias("pos"), "term"
-    )
-
-
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, sorted positions, tf.
-
-    All words of a text start in one task, so the map-side combine already folds
-    them; each group is bounded by one text and a frequent term spreads over its texts.
-    """
-    return (
-        token_rows(df, key, text)
-        .groupBy("term", key)
-        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        .withColumn("tf", F.size("positions"))
-    )
-
-
 def write_postings(df: DataFrame, key: str, text: str, path: str, block_docs: int = BLOCK_DOCS, shard_blocks: int = SHARD_BLOCKS) -> None:
     """Postings of the texts as Parquet: shard, block, term, top, posts (key, positions).
 
@@ -56,13 +35,14 @@ def write_postings(df: DataFrame, key: str, text: str, path: str, block_docs: in
     """
     blocks = max(1, -(-df.count() // block_docs))
     shards = max(-(-blocks // shard_blocks), min(blocks, df.sparkSession.sparkContext.defaultParallelism))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    rows = postings(df, key, text).withColumn("block", block)
-    posts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "positions"))).alias("posts")
-    grouped = rows.groupBy("block", "term").agg(posts, F.max("tf").alias("top"))
-    grouped = grouped.withColumn("shard", F.pmod("block", F.lit(shards)))
-    ranged = grouped.repartitionByRange("shard", "term").sortWithinPartitions("term", "block")
-    ranged.select("shard", "block", "term", "top", "posts").write.mode("errorifexists").parquet(path)
+    # The texts move once; all further steps keep their blocks together.
+    dealt = df.select(key, text).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition("block")
+    words = dealt.select("block", F.col(key).alias("key"), F.posexplode(tokens(text)).alias("pos", "term"))
+    of_text = words.groupBy("block", "term", "key").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    posts = F.array_sort(F.collect_list(F.struct("key", "positions"))).alias("posts")
+    grouped = of_text.groupBy("block", "term").agg(posts, F.max(F.size("positions")).alias("top"))
+    rows = grouped.withColumn("shard", F.pmod("block", F.lit(shards))).sortWithinPartitions("term", "block")
+    rows.select("shard", "block", "term", "top", "posts").write.mode("errorifexists").parquet(path)
 
 
 def query_rows(queries: DataFrame) -> DataFrame:
