@@ -82,7 +82,7 @@ class Shard:
                 # No two terms meet in these blocks: every document ranks the same.
                 new, plain = self._all_same(rows[mine]), plain + len(some)
             else:
-                new, scored = self._exact(rows[mine], term[mine], multi), scored + len(some)
+                new, scored = self._exact(rows[mine], term[mine], multi, k), scored + len(some)
             kept = sorted(kept + new)[:k]
             step = min(64, 2 * step)
         if seen is not None:
@@ -100,14 +100,16 @@ class Shard:
         posts, _ = self._posts(rows)
         return [(-round(kernels.NO_PAIR, DIGITS), key, kernels.NO_PAIR) for key in set(self.keys.take(pa.array(posts)).to_pylist())]
 
-    def _exact(self, rows, term, multi):
+    def _exact(self, rows, term, multi, k):
         posts, lengths = self._posts(rows)
         keys = self.keys.take(pa.array(posts)).dictionary_encode()
         code, term = keys.indices.to_numpy().astype(np.int64), np.repeat(term, lengths)
         n = self.place_start[posts + 1] - self.place_start[posts]
         place = self.places[np.repeat(self.place_start[posts], n) + _within(n)]
         ranks = kernels.group_ranks(np.repeat(code, n), place, np.repeat(term, n), np.full(len(keys.dictionary), multi))
-        return [(-round(float(r), DIGITS), key, float(r)) for key, r in zip(keys.dictionary.to_pylist(), ranks)]
+        rounded = np.round(ranks, DIGITS)
+        top = np.arange(len(ranks)) if len(ranks) <= k else np.flatnonzero(rounded >= np.partition(rounded, -k)[-k] - SLACK)
+        return [(-round(float(ranks[i]), DIGITS), keys.dictionary[int(i)].as_py(), float(ranks[i])) for i in top]
 
 
 def _chunk(column):

@@ -34,7 +34,7 @@ def write_postings(df: DataFrame, key: str, text: str, path: str, block_docs: in
     its terms.
     """
     blocks = max(1, -(-df.count() // block_docs))
-    shards = max(-(-blocks // shard_blocks), min(blocks, df.sparkSession.sparkContext.defaultParallelism))
+    shards = max(-(-blocks // shard_blocks), min(blocks, 4 * df.sparkSession.sparkContext.defaultParallelism))
     # The texts move once; all further steps keep their blocks together.
     dealt = df.select(key, text).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition("block")
     words = dealt.select("block", F.col(key).alias("key"), F.posexplode(tokens(text)).alias("pos", "term"))
