@@ -218,3 +218,99 @@ def test_python_spans_agree_with_the_standard_parser_on_generated_files(spark):
                 if node.decorator_list:
                     want.add((path, node.name, node.decorator_list[0].lineno, node.end_lineno))
     assert {tuple(r) for r in rows} == want
+
+
+def test_types_are_no_operators(spark):
+    typed = "function q<T extends { a: () => void }>(x: T) { run<{a: number}>(x); other(x) }\n"
+    typed += "class A<K> extends B<K> {\n  m = async <T,>(a: T) => { g<() => void>(a) }\n  k<Q = (x: Q) => Q>(x: Q): Map<Q, { f(): Q }> { return h?.<Q>(x) }\n}\n"
+    typed += "function r(i: number) { for (let j = 0; j < i; j++) { if (j < n && n > (i)) p(j < i, q > i) } }\n"
+    assert units_of(spark, "a/t.ts", typed, "typescript") == [
+        ("<anonymous>", 3, 3, "g"), ("k", 4, 4, "h"), ("q", 1, 1, "run other"), ("r", 6, 6, "p"),
+    ]
+    assert units_of(spark, "a/t.js", "function c() { f(a < b, d > (e(1))); }", "javascript") == [("c", 1, 1, "f e")]
+
+
+def test_division_behind_an_object(spark):
+    text = "function f(){ return g({a:1}/2 + h(3)/k(1)); }\nfunction i(){ let n = 1; n++ / j(2) / l(3); }\nfunction z(x){ if (x) {} /}/.test(x); }"
+    assert units_of(spark, "a/d.js", text, "javascript") == [("f", 1, 1, "g h k"), ("i", 2, 2, "j l"), ("z", 3, 3, "test")]
+
+
+def test_computed_names_stay_as_written(spark):
+    text = "class A {\n  [\"k\"+1]() { a('x'); }\n  static ['b'](x) { c([\"f(\", '}']); }\n}\nconst o = { ['m.n']() {}, x: ['p', '('] };"
+    assert units_of(spark, "a/c.js", text, "javascript") == [
+        ("[\"k\"+1]", 2, 2, "a"), ("['b']", 3, 3, "c"), ("['m.n']", 5, 5, ""),
+    ]
+
+
+def test_many_type_lists_end_in_linear_time():
+    import time
+
+    from unitloom.functions.marking import mark_typed
+
+    n = 20000
+    for text in ("a<" * n, "a<" * n + ">" * n + " x", "a<(b" * n, "f<a>(x) < " * n, "a<{b:" * n + "}>" * (n - 1), "a<b,f<c>(" * n):
+        start = time.time()
+        mark_typed(text)
+        assert time.time() - start < 10
+
+
+def test_generated_typescript_has_the_units_it_was_made_of(spark):
+    import random
+
+    rng = random.Random(7)
+    names = iter(range(10**6))
+
+    def type_of(depth):
+        kind = rng.randint(0, 7 if depth else 1)
+        inner = lambda: type_of(depth - 1)
+        return [
+            lambda: "T", lambda: rng.choice(["number", "'x'", "A.B", "string[]"]), lambda: f"Map<{inner()}, {inner()}>",
+            lambda: f"{{ a: {inner()}; b?: {inner()} }}", lambda: f"(x: {inner()}) => {inner()}",
+            lambda: f"[{inner()}, {inner()}]", lambda: f"T extends {inner()} ? {inner()} : never",
+            lambda: f"{{\n  a(x: {inner()}): {inner()}\n  readonly b: {inner()}\n}}",
+        ][kind]()
+
+    def listed(depth=3):
+        return f"<{type_of(depth)}>" if rng.random() < 0.7 else ""
+
+    def statements(depth):
+        """Text and calls of the statements; units inside are added to `units` by their symbol."""
+        text, calls = [], []
+        for _ in range(rng.randint(1, 4)):
+            kind, name = rng.randint(0, 6 if depth else 4), f"f{next(names)}"
+            if kind == 0:
+                text.append(f"{name}{listed()}(a, 'x<y>(z)')")
+                calls.append(name)
+            elif kind == 1:
+                text.append(f"if (a < b && c > (d)) {{ {name}{listed()}(a) }}")
+                calls.append(name)
+            elif kind == 2:
+                text.append(f"for (let i = 0; i < n; i++) {name}(i < n, i > 2)")
+                calls.append(name)
+            elif kind == 3:
+                text.append(f"const {name} = new Map{listed()}()")
+            elif kind == 4:
+                text.append(f"const {name} = ({{ a: 1 }}/2) + g{name}(3)/h{name}{listed()}(1)")
+                calls.extend([f"g{name}", f"h{name}"])
+            else:
+                more, inside = function(depth - 1)
+                text.append(more)
+                calls.extend(inside)
+        return ";\n".join(text) + ";\n", calls
+
+    def function(depth):
+        name = f"u{next(names)}"
+        head = f"<T extends {type_of(2)}, U = {type_of(2)}>" if rng.random() < 0.7 else ""
+        body, calls = statements(depth)
+        units[name] = " ".join(calls)
+        return f"function {name}{head}(x: T): Map<{type_of(1)}, T> {{\n{body}}}", calls
+
+    files, want = [], set()
+    for i in range(60):
+        units = {}
+        text = "\n".join(function(3)[0] for _ in range(3)) + "\n"
+        files.append((f"m{i}.ts", bytearray(text.encode())))
+        want |= {(f"m{i}.ts", s, c) for s, c in units.items()}
+    df = spark.createDataFrame(files, "path string, source binary")
+    rows = index_files(df, ["typescript"])[0].select("path", "symbol", "calls").collect()
+    assert {(r.path, r.symbol, " ".join(r.calls)) for r in rows} == want

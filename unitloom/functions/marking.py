@@ -11,6 +11,10 @@ can use what no bounded pattern can count:
 
 Lines count from 1, columns from 0, both without marks. A bracket and its partner carry the same
 pair number; brackets without a partner carry one that occurs once.
+
+Type lists in angle brackets are left out of typed scripts (their line ends stay): a `<` opens one
+only if what follows reads as types up to its `>` and what stands behind that cannot go on a
+comparison; otherwise it is taken back and stays an operator.
 """
 
 import re
@@ -37,6 +41,18 @@ _PYTHON = re.compile(
 )
 _FIELD = re.compile(r"\{[^{}\n]*\}")
 
+_IN_TYPES = re.compile(
+    r"(?P<blank>(?:[ \t\r\f\v]|//[^\n]*|/\*.*?(?:\*/|\Z))+)|(?P<line>\n)"
+    r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
+    r"|(?P<word>[\w$]+)|(?P<sign>=>|\.\.\.|[=|&?]=|\|\||&&|\?\?|.)",
+    re.S,
+)
+_PLAIN_NAME = re.compile(r"[\w.$@/:-]*")
+# Words that no type holds, that ask for a type behind them, and that follow one.
+NOT_IN_TYPES = set("return if else for while do switch case break continue let var class await yield throw delete instanceof try catch".split())
+ASK_TYPE = set("keyof typeof readonly infer unique asserts in out const new abstract extends is as get set".split())
+BEHIND_TYPE = set("extends implements is as in out of satisfies instanceof".split())
+
 VALUE_WORDS = set("return typeof new void delete in of yield await throw case do else instanceof".split())
 VALUE_SIGNS = set("=(,:?[!&|+~<>*%^-")
 MODIFIERS = set("static async get set public private protected override readonly function new abstract".split())
@@ -79,12 +95,113 @@ class Marked:
         return "".join(self.parts)
 
 
-def mark_script(text):
-    """JavaScript and TypeScript; fields of template literals stay as code in parentheses."""
+def _behind_types(text, at):
+    """Whether what stands at `at`, behind a `>`, lets that close a list of types."""
+    line = False
+    while at < len(text):
+        found = _IN_TYPES.match(text, at)
+        if found.lastgroup not in ("blank", "line"):
+            break
+        line, at = line or found.lastgroup == "line", found.end()
+    else:
+        return True
+    if found.lastgroup == "word":
+        return line or found[0] in BEHIND_TYPE
+    return found[0][0] in "({[`,;)]}:?.|&=" or line and found[0] != ">"
+
+
+def type_list(text, start, refused, prefix=False):
+    """End of the list of types whose `<` stands at `start`, or None if it opens no such list.
+
+    `refused` collects the places of all `<` that the pass has shown to open none, so that no text
+    is read again for each of them. A list before a parameter list (`prefix`) must hold a comma or
+    `extends`, as markup may open in the same way.
+    """
+    stack = [["<", start, False]]  # bracket, place, whether a comma or `extends` stands directly inside
+    inner = []  # lists closed inside, right before another `>`
+    at, before, word_before, line = start + 1, "<", False, False
+    while at < len(text):
+        found = _IN_TYPES.match(text, at)
+        kind, token = found.lastgroup, found[0]
+        place, at = at, found.end()
+        if kind == "blank":
+            continue
+        if kind == "line":
+            line = True
+            continue
+        top = stack[-1]
+        if kind in ("word", "string"):
+            if token in NOT_IN_TYPES:
+                break
+            # Two types do not stand side by side, but on two lines of an object type.
+            apart = not word_before or before in ASK_TYPE or token in BEHIND_TYPE or line and top[0] == "{"
+            if not apart and not (top[0] == "{" and before in ("static", "async")):
+                break
+            top[2] = top[2] or token == "extends"
+            word_before = True
+        elif token in "([{<":
+            stack.append([token, place, False])
+            word_before = False
+        elif token in ")]}":
+            if CLOSES[token] != top[0]:
+                break
+            stack.pop()
+            word_before = True
+        elif token == ">":
+            if top[0] != "<" or before == "<":
+                break
+            stack.pop()
+            if not stack:
+                if _behind_types(text, at) and (not prefix or top[2]):
+                    if text[at : at + 1] != "=" or text[at : at + 2] == "=>":
+                        return at
+                break
+            if re.compile(r"\s*>").match(text, at):
+                inner.append(top[1])
+            word_before = True
+        elif token == ";" and top[0] != "{" or token == "=" and top[0] != "<":
+            break
+        elif token == "?" and top[0] == "<" and not top[2]:
+            break
+        elif token in "+-" and not (top[0] == "{" or text[at : at + 1].isdigit()):
+            break
+        elif token not in ("=>", "...", ";", "=", ",", ".", "|", "&", "?", ":", "+", "-"):
+            break
+        else:
+            top[2] = top[2] or token == ","
+            word_before = False
+        before, line = token, False
+    refused.update(inner)
+    refused.update(place for sign, place, _ in stack if sign == "<")
+    refused.add(start)
+    return None
+
+
+def _opens_object(before, before_that, braces):
+    """Whether a `{` behind these tokens opens a value, so that `/` behind its `}` divides."""
+    if before == ">" and before_that == "=":
+        return False
+    if before == ":":
+        return bool(braces) and braces[-1] == "object"
+    return before in VALUE_SIGNS or before in VALUE_WORDS and before not in ("do", "else")
+
+
+def mark_typed(text):
+    """TypeScript."""
+    return mark_script(text, typed=True)
+
+
+def mark_script(text, typed=False):
+    """JavaScript and TypeScript; fields of template literals stay as code in parentheses.
+
+    Plain text literals of computed names stay as written.
+    """
     out, at, n = Marked(), 0, len(text)
     before, before_that = "", ""  # the last two tokens that are no blank or comment
     heads, head = [], ""  # the word before each open parenthesis, and before the last closed one
-    braces = []  # open braces: True for one of a template field
+    braces = []  # open braces: "field" of a template, "object" or "block"
+    squares = []  # open square brackets: whether a computed name may stand there
+    refused, closed = set(), ""  # places of `<` that open no types; kind of the last closed brace
     while at < n:
         found = _CODE.match(text, at)
         kind, token = found.lastgroup, found[0]
@@ -94,14 +211,25 @@ def mark_script(text):
             out.add(token if kind == "blank" else "\n" * token.count("\n"))
             continue
         if kind == "string":
-            out.add('"' + "\n" * token.count("\n") + '"')
+            named = squares and squares[-1] and _PLAIN_NAME.fullmatch(token[1:-1])
+            out.add(token if named else '"' + "\n" * token.count("\n") + '"')
             before, before_that = '"', before
             continue
         if token == "\n":
             out.add(token)
             continue
+        if token == "<" and typed and at - 1 not in refused:
+            named = before.isidentifier() and before not in VALUE_WORDS or before == "." and before_that == "?"
+            named = named or before[:1] in ("$", "#") or before == "]"
+            end = type_list(text, at - 1, refused, prefix=not named)
+            if end:
+                out.add("\n" * text.count("\n", at, end))
+                at = end
+                continue
         if token == "/":
-            value = before in VALUE_SIGNS or before in VALUE_WORDS or before in ("", "{", ";", "}")
+            value = before in VALUE_SIGNS or before in VALUE_WORDS or before in ("", "{", ";")
+            value = value and not (before in ("+", "-") and before == before_that)
+            value = value or before == "}" and closed != "object"
             value = value or before == ")" and head in ("if", "while", "for", "with")
             literal = _REGEX.match(text, at - 1) if value else None
             if literal:
@@ -109,7 +237,7 @@ def mark_script(text):
                 out.add('""')
                 before, before_that = '"', before
                 continue
-        if token == "`" or token == "}" and braces and braces[-1]:
+        if token == "`" or token == "}" and braces and braces[-1] == "field":
             if token == "}":
                 braces.pop()
                 out.bracket(")")
@@ -121,7 +249,7 @@ def mark_script(text):
             if text.startswith("${", at):
                 at += 2
                 out.bracket("(")
-                braces.append(True)
+                braces.append("field")
                 before, before_that = "(", before
             else:
                 at += 1
@@ -145,9 +273,13 @@ def mark_script(text):
         elif token == ")":
             head = heads.pop() if heads else ""
         elif token == "{":
-            braces.append(False)
-        elif token == "}" and braces:
-            braces.pop()
+            braces.append("object" if _opens_object(before, before_that, braces) else "block")
+        elif token == "}":
+            closed = braces.pop() if braces else "block"
+        elif token == "[":
+            squares.append(before in ("{", "}", ";", ",", "*") or before in MODIFIERS)
+        elif token == "]" and squares:
+            squares.pop()
         if token in "()[]{}":
             out.bracket(token)
         else:

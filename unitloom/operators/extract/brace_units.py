@@ -13,7 +13,7 @@ from unitloom.operators.extract.common import (
 
 SCRIPT_LANGUAGES = ["javascript", "typescript", "tsx"]
 
-mark_script, mark_rust = marker(marking.mark_script), marker(marking.mark_rust)
+mark_script, mark_typed, mark_rust = (marker(m) for m in (marking.mark_script, marking.mark_typed, marking.mark_rust))
 
 
 # -- JavaScript family ---------------------------------------------------------------
@@ -26,7 +26,6 @@ _SCRIPT_WORDS = (
 _TYPE = (
     rf"(?:{GAP}:{GAP}(?:[\w$.<>\[\]|&,'\" \t?\x04-\x07]++|{MARK}|=>(?=[^;{{}}=]*+(?:=(?!>)[^;{{}}=]*+)*+=>)|{PARENS}|{BRACES}(?={GAP}[{{=|&]))++)?+"
 )
-_GENERIC = r"(?:<[^(){};]*>)?"
 _VALUE_BEFORE = r"(?<=\x04[\x05-\x07]{0,3})"
 _NO_VALUE_BEFORE = r"(?<!\x04[\x05-\x07]{0,3})"
 _NO_MODIFIER_BEFORE = r"(?<!\x05[\x06\x07]{0,2})"
@@ -34,7 +33,7 @@ _WORD_START = r"(?<![\p{L}\p{N}_$.])"
 
 
 def _function(name: str) -> str:
-    return rf"(?:async{SPACE})?+function\b{GAP}{name}{GAP}{_GENERIC}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
+    return rf"(?:async{SPACE})?+function\b{GAP}{name}{GAP}{PARENS}{_TYPE}{GAP}{BRACES}"
 
 
 # Cheap tests come first.
@@ -47,7 +46,7 @@ EXPRESSIONS = [
 
 _MODIFIER = "static|async|get|set|public|private|protected|override|readonly"
 _METHOD_NAME = rf"(?:(?:{_MODIFIER}){SPACE}(?=[\p{{L}}\p{{N}}_$#\[*]))*+(?:\*{GAP})?+"
-_METHOD_HEAD = rf"{_METHOD_NAME}(?!(?:{_SCRIPT_WORDS})\b)(?:\#?+{ID}|{BRACKETS}){GAP}\??+{_GENERIC}{GAP}{PARENS}"
+_METHOD_HEAD = rf"{_METHOD_NAME}(?!(?:{_SCRIPT_WORDS})\b)(?:\#?+{ID}|{BRACKETS}){GAP}\??+{GAP}{PARENS}"
 METHOD = (
     rf"(?=[\p{{L}}_$#\[*])(?<![\p{{L}}\p{{N}}_$.#]){_NO_MODIFIER_BEFORE}(?={_METHOD_HEAD})",
     rf"{_METHOD_HEAD}{_TYPE}{GAP}{BRACES}",
@@ -64,11 +63,11 @@ CLASS = (
     rf"(?=class[\s\x01]){_WORD_START}{_NO_MODIFIER_BEFORE}{_NO_VALUE_BEFORE}",
     rf"class{SPACE}{ID}[^{{}}]*+{BRACES}",
 )
-_TYPE_ONLY = rf"\b(?:interface{SPACE}{ID}[^{{}};]*+{BRACES}|type{SPACE}{ID}{_GENERIC}{GAP}=(?:[^;{{}}()\n]++|{PARENS}|{BRACES})*+)"
+_TYPE_ONLY = rf"\b(?:interface{SPACE}{ID}[^{{}};]*+{BRACES}|type{SPACE}{ID}{GAP}=(?:[^;{{}}()\n]++|{PARENS}|{BRACES})*+)"
 
 SCRIPT_CALL = (
     rf"(?<![\p{{L}}\p{{N}}_$#\x07])(?!(?:{_SCRIPT_WORDS})\b)({ID})"
-    rf"{GAP}(?:\?\.)?+{GAP}{_GENERIC}{GAP}(?!{PARENS}(?:{GAP}:{GAP}(?:[\w$][^{{}};()]*+|{BRACES}))?+{GAP}\{{)\("
+    rf"{GAP}(?:\?\.)?+{GAP}(?!{PARENS}(?:{GAP}:{GAP}(?:[\w$][^{{}};()]*+|{BRACES}))?+{GAP}\{{)\("
 )
 
 
@@ -120,11 +119,9 @@ def extract_scripts(df: DataFrame) -> DataFrame:
     """Adds `script`: units of JavaScript, TypeScript and TSX text."""
     is_script = F.col("language").isin(SCRIPT_LANGUAGES)
     mine = F.when(is_script, F.col("text"))
-    df = df.withColumn("js_marked", mark_script(mine))
-    df = df.withColumn(
-        "js_marked",
-        F.when(F.col("language") == "javascript", F.col("js_marked")).otherwise(_strip_types("js_marked")),
-    )
+    plain = F.col("language") == "javascript"
+    df = df.withColumns({"js_marked": mark_script(F.when(plain, mine)), "ts_marked": mark_typed(F.when(~plain, mine))})
+    df = df.withColumn("js_marked", F.when(plain, F.col("js_marked")).otherwise(_strip_types("ts_marked"))).drop("ts_marked")
     df = df.withColumn("js_raw", number_lines(mine))
 
     def spans(pattern):
