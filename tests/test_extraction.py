@@ -230,6 +230,17 @@ def test_types_are_no_operators(spark):
     assert units_of(spark, "a/t.js", "function c() { f(a < b, d > (e(1))); }", "javascript") == [("c", 1, 1, "f e")]
 
 
+def test_function_types_are_no_units(spark):
+    typed = "function f(cb: (a: number) => void, k?: { x: () => T }) { g(c ? a : (x) => y) }\n"
+    typed += "const h = (cb: (a: number) => void): ((x: T) => U) => { i() }\n"
+    typed += "class A {\n  p: (x: number) => void = (x) => { k() }\n  static q?: () => void\n  m(): () => void { return { a: (x) => l(x) } }\n}\n"
+    typed += "type X<T> =\n  | (() => void)\n  | B\nlet z: () => void = n as (x: number) => void\nswitch (x) { case o(x): (a) => b }\n"
+    assert units_of(spark, "a/t.ts", typed, "typescript") == [
+        ("<anonymous>", 1, 1, ""), ("<anonymous>", 2, 2, "i"), ("<anonymous>", 4, 4, "k"),
+        ("<anonymous>", 6, 6, "l"), ("<anonymous>", 12, 12, ""), ("f", 1, 1, "g"), ("m", 6, 6, "l"),
+    ]
+
+
 def test_division_behind_an_object(spark):
     text = "function f(){ return g({a:1}/2 + h(3)/k(1)); }\nfunction i(){ let n = 1; n++ / j(2) / l(3); }\nfunction z(x){ if (x) {} /}/.test(x); }"
     assert units_of(spark, "a/d.js", text, "javascript") == [("f", 1, 1, "g h k"), ("i", 2, 2, "j l"), ("z", 3, 3, "test")]
@@ -248,7 +259,8 @@ def test_many_type_lists_end_in_linear_time():
     from unitloom.functions.marking import mark_typed
 
     n = 20000
-    for text in ("a<" * n, "a<" * n + ">" * n + " x", "a<(b" * n, "f<a>(x) < " * n, "a<{b:" * n + "}>" * (n - 1), "a<b,f<c>(" * n):
+    for text in ("a<" * n, "a<" * n + ">" * n + " x", "a<(b" * n, "f<a>(x) < " * n, "a<{b:" * n + "}>" * (n - 1), "a<b,f<c>(" * n,
+                 "(a: " * n, "let a: {b: " * n + "}" * n, "let a: (b?: " * n + ") => void" * n, "let a: <T>(x" * n, "(x: [a.b " * n):
         start = time.time()
         mark_typed(text)
         assert time.time() - start < 10
@@ -288,7 +300,7 @@ def test_generated_typescript_has_the_units_it_was_made_of(spark):
                 text.append(f"for (let i = 0; i < n; i++) {name}(i < n, i > 2)")
                 calls.append(name)
             elif kind == 3:
-                text.append(f"const {name} = new Map{listed()}()")
+                text.append(f"const {name}: {type_of(2)} = new Map{listed()}()")
             elif kind == 4:
                 text.append(f"const {name} = ({{ a: 1 }}/2) + g{name}(3)/h{name}{listed()}(1)")
                 calls.extend([f"g{name}", f"h{name}"])
@@ -303,7 +315,7 @@ def test_generated_typescript_has_the_units_it_was_made_of(spark):
         head = f"<T extends {type_of(2)}, U = {type_of(2)}>" if rng.random() < 0.7 else ""
         body, calls = statements(depth)
         units[name] = " ".join(calls)
-        return f"function {name}{head}(x: T): Map<{type_of(1)}, T> {{\n{body}}}", calls
+        return f"function {name}{head}(x: {type_of(2)}, y?: {type_of(2)}): Map<{type_of(1)}, T> {{\n{body}}}", calls
 
     files, want = [], set()
     for i in range(60):

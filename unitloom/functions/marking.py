@@ -14,7 +14,8 @@ pair number; brackets without a partner carry one that occurs once.
 
 Type lists in angle brackets are left out of typed scripts (their line ends stay): a `<` opens one
 only if what follows reads as types up to its `>` and what stands behind that cannot go on a
-comparison; otherwise it is taken back and stays an operator.
+comparison; otherwise it is taken back and stays an operator. Annotations that hold functions or methods
+are left out in the same way, so they start no unit and call nothing.
 """
 
 import re
@@ -47,6 +48,8 @@ _IN_TYPES = re.compile(
     r"|(?P<word>[\w$]+)|(?P<sign>=>|\.\.\.|[=|&?]=|\|\||&&|\?\?|.)",
     re.S,
 )
+_WAITS = re.compile(r"\s*[^\s.?:),;=]")  # behind a `?` that asks
+_PARAMETERS = re.compile(r"\(\s*(?:\)|\.\.\.|[{\[]|[\w$]+\s*(?:[:,?=]|\)\s*=>))")  # of a function type, no type in parentheses
 _PLAIN_NAME = re.compile(r"[\w.$@/:-]*")
 # Words that no type holds, that ask for a type behind them, and that follow one.
 NOT_IN_TYPES = set("return if else for while do switch case break continue let var class await yield throw delete instanceof try catch".split())
@@ -177,6 +180,80 @@ def type_list(text, start, refused, prefix=False):
     return None
 
 
+def _closing(text, place, refused):
+    """Position behind the partner of the bracket at `place`, or None; `refused` as for `type_list`."""
+    stack, at = [], place
+    while at < len(text) and place not in refused:
+        found = _IN_TYPES.match(text, at)
+        token = found[0]
+        if token in ("(", "[", "{"):
+            stack.append((token, at))
+        elif token in CLOSES:
+            if stack[-1][0] != CLOSES[token]:
+                break
+            stack.pop()
+            if not stack:
+                return found.end()
+        at = found.end()
+    refused.update(p for _, p in stack)
+    return None
+
+
+def type_end(text, at, refused):
+    """End of the one type that stands at `at`, or None."""
+    end, need, group, line, choices = at, True, False, False, 0
+    while at < len(text):
+        found = _IN_TYPES.match(text, at)
+        kind, token = found.lastgroup, found[0]
+        place, at = at, found.end()
+        if kind in ("blank", "line"):
+            line = line or kind == "line"
+            continue
+        if line and not need and token not in ("|", "&", ".", "=>", "?", ":", "extends"):
+            break
+        behind, group, line = group, False, False
+        if kind in ("word", "string"):
+            if need:
+                need = token in ASK_TYPE
+            elif token in ("extends", "is"):
+                choices += token == "extends"
+                need = True
+            else:
+                break
+        elif token in ("(", "{", "["):
+            if not need and token != "[":
+                break
+            at = _closing(text, place, refused)
+            if at is None:
+                return None
+            need, group = False, token == "(" and _PARAMETERS.match(text, place)
+        elif token == "<":
+            at = None if place in refused else type_list(text, place, refused)
+            if at is None:
+                break
+        elif token == "=>" and not behind:
+            break
+        elif token in ("=>", "|", "&", ".") or choices and token == "?":
+            need = True
+        elif choices and token == ":":
+            choices, need = choices - 1, True
+        elif token != "-" or not need:
+            break
+        end = at
+    return None if need else end
+
+
+def _annotates(before, before_that, place):
+    """Whether a `:` behind these tokens in this bracket stands before a type."""
+    if before == ")":
+        return place != "["
+    if place in ("(", "field"):
+        return True
+    if place == "class":
+        return before not in ("{", ";", ",")
+    return place == "block" and before_that in ("let", "const", "var")
+
+
 def _opens_object(before, before_that, braces):
     """Whether a `{` behind these tokens opens a value, so that `/` behind its `}` divides."""
     if before == ">" and before_that == "=":
@@ -202,6 +279,8 @@ def mark_script(text, typed=False):
     braces = []  # open braces: "field" of a template, "object" or "block"
     squares = []  # open square brackets: whether a computed name may stand there
     refused, closed = set(), ""  # places of `<` that open no types; kind of the last closed brace
+    places = [["block", 0]]  # open brackets, each with its `?` and `case` that wait for a `:`
+    class_at, plain, returned = 0, 0, False  # depth at which the body of a class is due; end of types without functions
     while at < n:
         found = _CODE.match(text, at)
         kind, token = found.lastgroup, found[0]
@@ -226,6 +305,29 @@ def mark_script(text, typed=False):
                 out.add("\n" * text.count("\n", at, end))
                 at = end
                 continue
+        if typed and kind == "word":
+            if token == "class" and before != ".":
+                class_at = len(places)
+            elif token == "case":
+                places[-1][1] += 1
+        elif typed and token == "?" and _WAITS.match(text, at) and before != "?":
+            places[-1][1] += 1
+        types = token == "=" and before_that == "type" or token == "as" and before not in VALUE_SIGNS
+        if token == ":" and places[-1][1]:
+            places[-1][1] -= 1
+            returned = False
+        elif token == ":":
+            types = _annotates(before, before_that, places[-1][0])
+            returned = typed and types and before == ")"  # what follows is the type of a result
+        if typed and types and at > plain:
+            end = type_end(text, at, refused)
+            if end and ("(" in text[at:end] or token == "="):
+                out.add(("" if token == ":" else token) + "\n" * text.count("\n", at, end))
+                at = end
+                if token != ":":
+                    before, before_that = token, before
+                continue
+            plain = end or at
         if token == "/":
             value = before in VALUE_SIGNS or before in VALUE_WORDS or before in ("", "{", ";")
             value = value and not (before in ("+", "-") and before == before_that)
@@ -240,6 +342,7 @@ def mark_script(text, typed=False):
         if token == "`" or token == "}" and braces and braces[-1] == "field":
             if token == "}":
                 braces.pop()
+                del places[max(len(places) - 1, 1) :]
                 out.bracket(")")
             else:
                 out.add('"')
@@ -250,6 +353,7 @@ def mark_script(text, typed=False):
                 at += 2
                 out.bracket("(")
                 braces.append("field")
+                places.append(["field", 0])
                 before, before_that = "(", before
             else:
                 at += 1
@@ -262,7 +366,7 @@ def mark_script(text, typed=False):
                 flags += "\x04"
             if before in MODIFIERS or before == "*":
                 flags += "\x05"
-            if before in ("async", "|", "&", "<") or before == ":" and before_that == ")":
+            if before in ("async", "|", "&", "<") or before == ":" and returned:
                 flags += "\x06"
             if before in ("function", "new", "class"):
                 flags += "\x07"
@@ -274,12 +378,18 @@ def mark_script(text, typed=False):
             head = heads.pop() if heads else ""
         elif token == "{":
             braces.append("object" if _opens_object(before, before_that, braces) else "block")
+            places.append(["class" if class_at == len(places) else braces[-1], 0])
+            class_at = class_at if class_at < len(places) - 1 else 0
         elif token == "}":
             closed = braces.pop() if braces else "block"
         elif token == "[":
             squares.append(before in ("{", "}", ";", ",", "*") or before in MODIFIERS)
         elif token == "]" and squares:
             squares.pop()
+        if token in "([":
+            places.append([token, 0])
+        elif token in ")]}":
+            del places[max(len(places) - 1, 1) :]
         if token in "()[]{}":
             out.bracket(token)
         else:
