@@ -71,11 +71,28 @@ impl<T> Run for S{id}<T> {
     fn go(&self) -> usize { fn inner(x: usize) -> usize { twice(x) } inner(1) }
 }
 """
+TYPED = """/**
+ * {T}
+ */
+export function pick{id}<T extends { a: () => void }>(x: T, y?: (n: number) => Map<T, { f(): T }>): T {
+  run{id}<{ a: number }>(x);
+  return other{source}(x < y, y > x) / ({ a: 1 }/2 + third(3)/fourth(1));
+}
+
+class D{id}<K> extends Base<K, () => K> {
+  handler: (e: Event) => void = (e) => { seen(e) };
+  ["k"+{id}]<Q>(q: Q): () => void { return bound?.<Q>(q); }
+}
+type U{id}<T> =
+  | (() => void)
+  | { m(): T };
+"""
 # language -> template, suffix, what opens the lines of {T} after the first
 FILES = {
     "python": (PYTHON, ".py", "        "),
     "script": (SCRIPT, ".js", " * "),
     "rust": (RUST, ".rs", "/// "),
+    "typed": (TYPED, ".ts", " * "),
 }
 # What ends the literal or comment that holds the text is written as the language needs it.
 ESCAPES = {
@@ -83,6 +100,7 @@ ESCAPES = {
     "script": (lambda t: F.replace(F.replace(t, F.lit("*/"), F.lit("* /")), F.lit("/*"), F.lit("/ *")), "replace(replace(t, '*/', '* /'), '/*', '/ *')"),
     "rust": (lambda t: t, "t"),
 }
+ESCAPES["typed"] = ESCAPES["script"]
 
 
 def trimmed(text):
@@ -108,7 +126,7 @@ def files(spark, sf_dir, kind):
 
 def units(spark, sf_dir, kind):
     df = files(spark, sf_dir, kind)
-    language = {"python": "python", "script": "javascript", "rust": "rust"}[kind]
+    language = {"python": "python", "script": "javascript", "rust": "rust", "typed": "typescript"}[kind]
     described = df.select(
         "path", "text", F.lit(language).alias("language"),
         F.regexp_replace(F.regexp_replace("path", r"\.\w+$", ""), "/", ".").alias("module"),
@@ -181,6 +199,14 @@ expected(
         ("(13 + nl)", "(13 + nl)", "'go'", "'S' || doc_id || '<T>'", "'twice inner'", "'Goes.'"),
     ],
 )
+expected(
+    "typed",
+    [
+        ("(4 + nl)", "(7 + nl)", "'pick' || doc_id", "''", "'run' || doc_id || ' other' || source || ' third fourth'", "t"),
+        ("(10 + nl)", "(10 + nl)", "'<anonymous>'", "'D' || doc_id", "'seen'", "''"),
+        ("(11 + nl)", "(11 + nl)", "'[\"k\"+' || doc_id || ']'", "'D' || doc_id", "'bound'", "''"),
+    ],
+)
 
 
 def _digest(c):
@@ -217,6 +243,11 @@ def ext_3(spark, sf_dir):
     return _spans(units(spark, sf_dir, "script"))
 
 
+@check("ext_3_typed_units", sql(_SPAN_SQL.format("typed"), "typed_units"))
+def ext_3_typed(spark, sf_dir):
+    return _spans(units(spark, sf_dir, "typed"))
+
+
 @check("ext_4_rust_units", sql(_SPAN_SQL.format("rust"), "rust_units"))
 def ext_4(spark, sf_dir):
     return _spans(units(spark, sf_dir, "rust"))
@@ -238,6 +269,12 @@ def ext_7(spark, sf_dir):
     return _all(spark, sf_dir, _calls)
 
 
+@check("ext_7_typed_calls", sql(_CALLS_SQL.format("typed"), "typed_units"))
+def ext_7_typed(spark, sf_dir):
+    """Calls behind types, comparisons that look like types, and division behind an object."""
+    return _calls(units(spark, sf_dir, "typed"))
+
+
 @check(
     "ext_8_class_chain",
     sql(" UNION ALL ".join(f"SELECT path, start_line, class_chain FROM {k}_units" for k in ALL_KINDS), *[f"{k}_units" for k in ALL_KINDS]),
