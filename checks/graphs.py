@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from checks.derived import bare_units, cte, edges, queries, refs, sql, sql_distinct, table, text_units
+from checks.derived import bare_units, cte, edges, queries, refs, scratch, sql, sql_distinct, table, text_units
 from checks.registry import check
 from unitloom.functions import texts
 from unitloom.operators import graph, maintain
+from unitloom.operators.adjacency import write_adjacency
 
 ALL_CALLEES = """SELECT DISTINCT e.caller_id, e.callee_qname, e.callee_raw, u.id AS unit_id, u.qualified_name, u.path
 FROM edges e LEFT JOIN units u ON u.qualified_name = e.callee_qname"""
@@ -78,10 +79,10 @@ def _levels(side, depth):
         SELECT * FROM r WHERE name IS NOT NULL) GROUP BY 1, 2) x LEFT JOIN units u ON u.qualified_name = x.name"""
 
 
-def _expand(spark, sf_dir, side, depth):
+def _expand(spark, sf_dir, side, depth, layout=edges):
     units = bare_units(spark, sf_dir)
     hits = units.select(F.col("id").alias("hit_id"), F.col("id" if side == "callees" else "qualified_name").alias("key"))
-    out = graph.expand(hits, edges(spark, sf_dir), units, side=side, depth=depth)
+    out = graph.expand(hits, layout(spark, sf_dir), units, side=side, depth=depth)
     return out.select("hit_id", "qualified_name", F.col("depth").cast("int").alias("depth"), "unit_id")
 
 
@@ -95,6 +96,21 @@ def gra_4(spark, sf_dir):
     return _expand(spark, sf_dir, "callers", 2)
 
 
+def stored_edges(spark, sf_dir):
+    return write_adjacency(edges(spark, sf_dir), scratch(spark))
+
+
+@check("gra_4_callers_by_adjacency", sql(_levels("callers", 2), "edges", "units"))
+def gra_4_adjacency(spark, sf_dir):
+    """Edges stored by caller and by target; each hop reads the parts its names fall into."""
+    return _expand(spark, sf_dir, "callers", 2, stored_edges)
+
+
+@check("gra_3_callees_by_adjacency", sql(_levels("callees", 3), "edges", "units"))
+def gra_3_adjacency(spark, sf_dir):
+    return _expand(spark, sf_dir, "callees", 3, stored_edges)
+
+
 NEIGHBOURS = """SELECT u.id, coalesce(c.n, 0) AS n_callees, coalesce(c.names, '') AS callees, coalesce(r.n, 0) AS n_callers, coalesce(r.names, '') AS callers
 FROM units u
 LEFT JOIN (SELECT caller_id AS id, count(*) AS n, string_agg(callee_qname, ' ' ORDER BY callee_qname) AS names FROM edges GROUP BY 1) c USING (id)

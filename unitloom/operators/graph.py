@@ -1,7 +1,11 @@
-"""Call-graph neighbours of a set of hits, level by level, and their nested form."""
+"""Call-graph neighbours of a set of hits, level by level, and their nested form.
+
+`edges` is a table of edges or an `Adjacency`, of which a step reads only what its keys lead to.
+"""
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from unitloom.operators.adjacency import Adjacency, edges_at
 from unitloom.session import cut_lineage, small_side
 
 # Neighbours per nested row: None gives one row per hit at every size; a number gives pages.
@@ -31,13 +35,14 @@ def named_units(units: DataFrame, key: str, names: DataFrame) -> DataFrame:
     return units.join(small_side(wanted, wanted.count()), key, "left_semi")
 
 
-def callees_of(callers: DataFrame, edges: DataFrame, units: DataFrame, rows: int, resolve: str = "exact") -> DataFrame:
+def callees_of(callers: DataFrame, edges: DataFrame | Adjacency, units: DataFrame, rows: int, resolve: str = "exact") -> DataFrame:
     """Distinct callees of `callers` (column caller_id); unknown targets stay, with NULLs.
 
     Only edges of the callers reach the join with units.
     """
-    mine = edges.select("caller_id", "callee_qname", "callee_raw").join(
-        small_side(callers.select("caller_id").distinct(), rows), "caller_id", "left_semi"
+    keys = callers.select("caller_id").distinct()
+    mine = edges_at(edges, "caller_id", keys, rows).select("caller_id", "callee_qname", "callee_raw").join(
+        small_side(keys, rows), "caller_id", "left_semi"
     )
     found = units.select(
         F.col(_target(resolve)).alias("callee_qname"), F.col("id").alias("unit_id"), "qualified_name", "path"
@@ -46,10 +51,11 @@ def callees_of(callers: DataFrame, edges: DataFrame, units: DataFrame, rows: int
     return mine.join(named_units(found, "callee_qname", mine), "callee_qname", "left").distinct()
 
 
-def callers_of(names: DataFrame, edges: DataFrame, units: DataFrame, rows: int) -> DataFrame:
+def callers_of(names: DataFrame, edges: DataFrame | Adjacency, units: DataFrame, rows: int) -> DataFrame:
     """Distinct callers of `names` (column callee_qname); callers must be known units."""
-    mine = edges.select("caller_id", "callee_qname").join(
-        small_side(names.select("callee_qname").distinct(), rows), "callee_qname", "left_semi"
+    keys = names.select("callee_qname").distinct()
+    mine = edges_at(edges, "callee_qname", keys, rows).select("caller_id", "callee_qname").join(
+        small_side(keys, rows), "callee_qname", "left_semi"
     )
     found = units.select(F.col("id").alias("caller_id"), "qualified_name", "path")
     mine = cut_lineage(mine)
@@ -61,7 +67,8 @@ def _level(frontier, rows, edges, units, side, resolve):
     if side == "callees":
         step = small_side(frontier.withColumnRenamed("key", "caller_id"), rows)
         reached = (
-            edges.select("caller_id", "callee_qname", "callee_raw")
+            edges_at(edges, "caller_id", step, rows)
+            .select("caller_id", "callee_qname", "callee_raw")
             .join(step, "caller_id")
             .groupBy("hit_id", "callee_qname")
             .agg(F.min("callee_raw").alias("callee_raw"))
@@ -76,7 +83,8 @@ def _level(frontier, rows, edges, units, side, resolve):
             F.col("unit_id").alias("next"),
         )
     step = small_side(frontier.withColumnRenamed("key", "callee_qname"), rows)
-    reached = edges.select("caller_id", "callee_qname").join(step, "callee_qname").select("hit_id", "caller_id")
+    mine = edges_at(edges, "callee_qname", step, rows).select("caller_id", "callee_qname")
+    reached = mine.join(step, "callee_qname").select("hit_id", "caller_id")
     found = units.select(
         F.col("id").alias("caller_id"), "qualified_name", "path", F.col(_target(resolve)).alias("next")
     )
@@ -87,7 +95,7 @@ def _level(frontier, rows, edges, units, side, resolve):
     )
 
 
-def expand(hits: DataFrame, edges: DataFrame, units: DataFrame, *, side: str, depth: int, resolve: str = "exact") -> DataFrame:
+def expand(hits: DataFrame, edges: DataFrame | Adjacency, units: DataFrame, *, side: str, depth: int, resolve: str = "exact") -> DataFrame:
     """Neighbours of every hit to `depth` hops, all hits together.
 
     hits: hit_id, key (unit id for callees, edge target name for callers). A name is
@@ -142,7 +150,7 @@ def neighbour_pages(nodes: DataFrame, page_rows: int | None = PAGE_ROWS) -> Data
     )
 
 
-def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame, *, depth: int, resolve: str = "exact", page_rows: int | None = PAGE_ROWS) -> DataFrame:
+def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame | Adjacency, *, depth: int, resolve: str = "exact", page_rows: int | None = PAGE_ROWS) -> DataFrame:
     """Hits with `callees` and `callers` arrays; hits without neighbours get []."""
     none = F.array().cast(T.ArrayType(NODE))
     if depth <= 0:
