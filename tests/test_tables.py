@@ -243,8 +243,9 @@ def test_package_facts_of_a_root(spark, tmp_path):
     assert root_context(spark, str(tmp_path / "own"))["below_site_packages"] is None
 
     counts = index_repository(spark, str(site), str(tmp_path / "out"), languages=["python"])
-    assert counts == {"n_units": 3, "n_refs": 0}
+    # The scan reads files whose names start with `_` too.
+    assert counts == {"n_units": 4, "n_refs": 0}
     rows = {r.path: (r.package, r.namespace) for r in read_chunks(spark, str(tmp_path / "out/chunks.jsonl")).collect()}
-    assert rows == {"app/c.py": ("app", "pip"), "app/sub/a.py": ("app", "pip"), "tool-1.0/b.py": ("tool", "pip")}
+    assert rows == {"app/__init__.py": ("app", "pip"), "app/c.py": ("app", "pip"), "app/sub/a.py": ("app", "pip"), "tool-1.0/b.py": ("tool", "pip")}
     index_repository(spark, str(tmp_path / "own"), str(tmp_path / "out2"), languages=["python"])
     assert read_chunks(spark, str(tmp_path / "out2/chunks.jsonl")).first().package == "own"
