@@ -7,6 +7,7 @@ from checks.registry import check
 from unitloom.functions import texts
 from unitloom.operators import graph, maintain
 from unitloom.operators.adjacency import write_adjacency
+from unitloom.operators.documents import numbered
 
 ALL_CALLEES = """SELECT DISTINCT e.caller_id, e.callee_qname, e.callee_raw, u.id AS unit_id, u.qualified_name, u.path
 FROM edges e LEFT JOIN units u ON u.qualified_name = e.callee_qname"""
@@ -148,6 +149,16 @@ def agg_2(spark, sf_dir):
     )
 
 
+@check(
+    "agg_2_numbered_neighbours",
+    sql("SELECT callee_qname AS hit_id, caller_id AS unit_id, row_number() OVER (PARTITION BY callee_qname ORDER BY caller_id) AS number FROM edges", "edges"),
+)
+def agg_2_rows(spark, sf_dir):
+    """All callers of every name in order, one row each; a hub spans many partitions."""
+    nodes = edges(spark, sf_dir).select(F.col("callee_qname").alias("hit_id"), F.col("caller_id").alias("unit_id"))
+    return numbered(nodes, ["hit_id"], ["unit_id"])
+
+
 # -- joins of units with other tables ---------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ from checks.registry import check
 from unitloom.functions import embedding, lexical, texts, vectors
 from unitloom.functions.paths import is_test_hit
 from unitloom.operators import ann, graph, topk
-from unitloom.plans import search
+from unitloom.plans import documents, search
+from unitloom.session import cut_lineage
 
 QUESTION = "read the parsed configuration from a file"
 
@@ -503,3 +504,58 @@ def gra_5(spark, sf_dir):
         "query_id", "page", "r.query", F.array_join(F.transform("r.hits", lambda h: h["hit"]["id"]), " ").alias("ids"),
         total("callees").alias("n_callees"), total("callers").alias("n_callers"),
     )
+
+
+# Flat neighbours of the kept hits, numbered per query, rank and side.
+cte(
+    "kept_nodes",
+    """SELECT k.query_id, k.rank, n.*, row_number() OVER (PARTITION BY k.query_id, k.rank, side ORDER BY name, unit_id NULLS FIRST) AS number FROM kept k JOIN (
+      SELECT id, 'callees' AS side, callee_qname AS name, unit_id FROM kept_callees
+      UNION ALL SELECT id, 'callers', qualified_name, unit_id FROM kept_callers) n USING (id)""",
+    ["kept", "kept_callees", "kept_callers"],
+)
+
+
+def _hits_and_neighbours(spark, sf_dir):
+    units, asked = search_units(spark, sf_dir), queries(spark, sf_dir)
+    hits = cut_lineage(search.context_hits(units, asked))
+    return hits, graph.neighbours(hits, units, edges(spark, sf_dir), depth=1), asked
+
+
+@check(
+    "prj_17_context_lines",
+    sql(
+        f"""SELECT query_id, rank, 0 AS kind, 1 AS number, '' AS line FROM kept WHERE rank > 1
+        UNION ALL SELECT query_id, rank, 1, 1, rank || '. ' || qualified_name || '  score=' || printf('%.4f', score) || chr(10)
+          || 'path: ' || path || '  role: ' || role || '  ns: ' || namespace || chr(10) || {SQL_SNIPPET} FROM kept
+        UNION ALL SELECT query_id, rank, CASE side WHEN 'callees' THEN 2 ELSE 4 END, 1, side || ' (' || count(*) || '):' FROM kept_nodes GROUP BY query_id, rank, side
+        UNION ALL SELECT query_id, rank, CASE side WHEN 'callees' THEN 3 ELSE 5 END, number, CASE side WHEN 'callees' THEN '  -> ' ELSE '  <- ' END || name FROM kept_nodes""",
+        "kept", "kept_nodes",
+    ),
+)
+def prj_17_lines(spark, sf_dir):
+    """The text of every query in lines, for hubs of any size."""
+    return documents.text_lines(*_hits_and_neighbours(spark, sf_dir))
+
+
+@check(
+    "gra_5_document_lines",
+    sql(
+        """SELECT query_id, rank, CASE side WHEN 'callees' THEN 2 ELSE 4 END AS kind, number, number > 1 AS comma, name, unit_id FROM kept_nodes
+        UNION ALL SELECT query_id, rank, 1, 1, rank > 1, qualified_name, id FROM kept
+        UNION ALL SELECT query_id, rank, unnest([3, 5]), 1, false, NULL, NULL FROM kept
+        UNION ALL SELECT query_id, unnest([0, 2147483647]), 0, 1, false, NULL, NULL FROM queries""",
+        "kept", "kept_nodes", "queries",
+    ),
+)
+def gra_5_lines(spark, sf_dir):
+    """The JSON documents of all queries in lines; hits and neighbours are read back from their lines."""
+    lines = documents.json_lines(*_hits_and_neighbours(spark, sf_dir))
+    # A hit opens a bracket that later lines close.
+    body = F.regexp_replace("line", r"^, |, \"callees\": \[$", "")
+    body = F.when(F.col("kind") == 1, F.concat(body, F.lit("}"))).when(F.col("kind").isin(2, 4), body)
+    name = F.coalesce(F.get_json_object(body, "$.hit.qualified_name"), F.get_json_object(body, "$.qualified_name"))
+    return lines.select(
+        *documents.PLACE, "number", F.col("line").startswith(", ").alias("comma"), name.alias("name"),
+        F.coalesce(F.get_json_object(body, "$.hit.id"), F.get_json_object(body, "$.unit_id")).alias("unit_id"),
+    )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.derived import bare_units, cte, edges, refs, scratch, search_units, sql, table, text_units
 from checks.registry import check
 from unitloom.functions import texts
-from unitloom.operators import maintain
+from unitloom.operators import documents, maintain
 from unitloom.plans.load import load
 from unitloom.schema import CHUNK, CODE_UNITS
 from unitloom.sources import files as file_source
@@ -164,6 +164,21 @@ def agg_5(spark, sf_dir):
     return parsed.select("m.job_id", F.explode("m.files").alias("path", "hash"))
 
 
+@check(
+    "agg_5_manifest_lines",
+    """SELECT number, CASE WHEN number > 2 AND kind = 1 THEN ', ' ELSE '' END || line AS line FROM (
+    SELECT *, row_number() OVER (ORDER BY kind, path) AS number FROM (
+      SELECT 0 AS kind, '' AS path, '{"job_id": "job9", "files": {' AS line UNION ALL SELECT 2, '', '}}'
+      UNION ALL SELECT 1, 'd' || doc_id, '"d' || doc_id || '": "' || left(sha256(text), 16) || '"' FROM documents))""",
+)
+def agg_5_lines(spark, sf_dir):
+    """The manifest of all documents as one JSON text, line by line."""
+    files = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("path"), texts.content_hash("text").alias("content_hash")
+    )
+    return documents.manifest_lines(files, "job9")
+
+
 # -- files written and read back -----------------------------------------------------------
 
 CHUNK_SQL = """SELECT id, qualified_name, module, language, role, symbol, array_to_string(class_chain, '.') AS class_chain, path, package,

@@ -176,6 +176,12 @@ def hit_block() -> Column:
     return F.concat_ws("\n", _head(prefix), _place("   "), snippet())
 
 
+def context_head() -> Column:
+    """The lines of a hit that its neighbours follow."""
+    prefix = (F.col("rank").cast("string"), F.lit(". "))
+    return F.concat_ws("\n", _head(prefix), _place(""), snippet())
+
+
 def context_block(callees="callees", callers="callers", n_callees=None, n_callers=None) -> Column:
     """A hit with its neighbours; an empty section leaves no line."""
 
@@ -186,9 +192,8 @@ def context_block(callees="callees", callers="callers", n_callees=None, n_caller
         rows = F.transform(nodes, lambda n: F.concat(F.lit(f"  {arrow} "), n["qualified_name"]))
         return F.when(F.size(nodes) > 0, F.concat_ws("\n", head, rows))
 
-    prefix = (F.col("rank").cast("string"), F.lit(". "))
     return F.concat_ws(
-        "\n", _head(prefix), _place(""), snippet(),
+        "\n", context_head(),
         section(callees, n_callees, "callees", "->"),
         section(callers, n_callers, "callers", "<-"),
     )

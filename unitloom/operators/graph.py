@@ -6,11 +6,12 @@
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from unitloom.operators.adjacency import Adjacency, edges_at
+from unitloom.operators.documents import numbered
 from unitloom.session import cut_lineage, small_side
 
-# Neighbours per nested row: None gives one row per hit at every size; a number gives pages.
-# Flat rows, one per neighbour, are what `expand` returns.
-PAGE_ROWS = None
+# Neighbours per nested row; a hit with more of them has further pages, in order.
+# Flat rows, one per neighbour, are what `expand` and `neighbours` return.
+PAGE_ROWS = 10_000
 
 NODE = T.StructType(
     [
@@ -22,6 +23,7 @@ NODE = T.StructType(
     ]
 )
 NODE_COLUMNS = NODE.fieldNames()
+NODE_ORDER = ["depth", "qualified_name", "unit_id", "path", "callee_raw"]
 
 
 def _target(resolve: str) -> str:
@@ -131,27 +133,36 @@ def expand(hits: DataFrame, edges: DataFrame | Adjacency, units: DataFrame, *, s
     return out
 
 
-def neighbour_pages(nodes: DataFrame, page_rows: int | None = PAGE_ROWS) -> DataFrame:
-    """hit_id, page, n (all neighbours of the hit), nodes (those of the page).
+def neighbour_pages(nodes: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """hit_id, page, n (all neighbours of the hit), nodes (those of the page, in order).
 
-    Without `page_rows` a hit has the one page 0 with all its neighbours in order, whatever their
-    number: the nested document of the hit. With `page_rows` the neighbours are counted first and
-    spread by hash over as many pages as needed, so a hub is never gathered in one row or one task.
+    The neighbours of a hit are numbered where they lie and cut into pages of `page_rows`, so a hub is
+    never gathered in one row or one task; page after page is the whole ordered list.
     """
-    counts = nodes.groupBy("hit_id").agg(F.count("*").alias("n"))
-    pages = F.lit(1) if page_rows is None else F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(page_rows))).cast("long")
-    node = F.struct("depth", "qualified_name", "unit_id", "path", "callee_raw")
-    return (
-        nodes.join(counts, "hit_id")
-        .withColumn("page", F.pmod(F.xxhash64("qualified_name", "unit_id"), pages).cast("int"))
-        .groupBy("hit_id", "page", "n")
-        .agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    placed = numbered(nodes, ["hit_id"], NODE_ORDER, "_number")
+    counts = placed.groupBy("hit_id").agg(F.max("_number").alias("n"))
+    pages = (
+        placed.withColumn("page", F.expr(f"(_number - 1) div {int(page_rows)}").cast("int"))
+        .groupBy("hit_id", "page")
+        .agg(F.sort_array(F.collect_list(F.struct(*NODE_ORDER))).alias("nodes"))
         .withColumn("nodes", F.transform("nodes", lambda n: F.struct(*[n[c].alias(c) for c in NODE_COLUMNS])))
     )
+    return pages.join(counts, "hit_id").select("hit_id", "page", "n", "nodes")
 
 
-def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame | Adjacency, *, depth: int, resolve: str = "exact", page_rows: int | None = PAGE_ROWS) -> DataFrame:
-    """Hits with `callees` and `callers` arrays; hits without neighbours get []."""
+def neighbours(hits: DataFrame, units: DataFrame, edges: DataFrame | Adjacency, *, depth: int, resolve: str = "exact") -> DataFrame:
+    """side ("callees", "callers"), hit_id and the columns of a node: one row per neighbour of `hits` (id, qualified_name)."""
+    name = F.col("qualified_name") if resolve == "exact" else F.element_at(F.split("qualified_name", r"\."), -1)
+    sides = []
+    for side, key in (("callees", F.col("id")), ("callers", name)):
+        keyed = hits.select(F.col("id").alias("hit_id"), key.alias("key"))
+        found = expand(keyed, edges, units, side=side, depth=depth, resolve=resolve)
+        sides.append(found.select(F.lit(side).alias("side"), "hit_id", *NODE_COLUMNS))
+    return sides[0].unionByName(sides[1])
+
+
+def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame | Adjacency, *, depth: int, resolve: str = "exact", page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Hits with `callees` and `callers` arrays, a row per page; hits without neighbours get []."""
     none = F.array().cast(T.ArrayType(NODE))
     if depth <= 0:
         return hits.withColumns(
@@ -159,16 +170,17 @@ def with_context(hits: DataFrame, units: DataFrame, edges: DataFrame | Adjacency
              "n_callers": F.lit(0).cast("long"), "callers": none}
         )
     hits = cut_lineage(hits)
-    name = F.col("qualified_name") if resolve == "exact" else F.element_at(F.split("qualified_name", r"\."), -1)
-    roots = {"callees": F.col("id"), "callers": name}
-    pages = {}
-    for side, key in roots.items():
-        keyed = hits.select(F.col("id").alias("hit_id"), key.alias("key"))
-        nodes = expand(keyed, edges, units, side=side, depth=depth, resolve=resolve)
-        pages[side] = neighbour_pages(nodes, page_rows).select(
-            F.col("hit_id").alias("id"), "page", F.col("n").alias(f"n_{side}"), F.col("nodes").alias(side)
+    found = neighbours(hits, units, edges, depth=depth, resolve=resolve)
+    # One numbering for both sides: the key of a list is the side and the hit.
+    listed = F.concat("side", F.lit(" "), "hit_id")
+    pages = neighbour_pages(found.select(listed.alias("hit_id"), *NODE_COLUMNS), page_rows)
+    pages = cut_lineage(pages)
+    paged = None
+    for side in ("callees", "callers"):
+        mine = pages.filter(F.col("hit_id").startswith(f"{side} ")).select(
+            F.expr(f"substring(hit_id, {len(side) + 2})").alias("id"), "page", F.col("n").alias(f"n_{side}"), F.col("nodes").alias(side)
         )
-    paged = pages["callees"].join(pages["callers"], ["id", "page"], "full")
+        paged = mine if paged is None else paged.join(mine, ["id", "page"], "full")
     # Every hit has a page 0, with or without neighbours.
     first = hits.select("id").distinct().withColumn("page", F.lit(0))
     paged = first.join(paged, ["id", "page"], "full")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from unitloom.functions.texts import REF_ROLES
+from unitloom.operators.documents import numbered
 from unitloom.operators.graph import PAGE_ROWS
 
 
@@ -86,22 +87,20 @@ def changes(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataF
     return old.join(new, key, "full").withColumn("change", state)
 
 
-def manifest(files: DataFrame, job_id: str, page_rows: int | None = PAGE_ROWS) -> DataFrame:
-    """JSON manifest {"job_id": …, "files": {path: hash}}: page 0, or pages of about `page_rows` files.
+def manifest(files: DataFrame, job_id: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """page, manifest: JSON {"job_id": …, "files": {path: hash}} of `page_rows` files a page, by path.
 
-    files: path, content_hash; they are the manifest as rows.
+    files: path, content_hash; they are the manifest as rows. `documents.manifest_lines` is the one
+    text of all files.
     """
-    pages = 1 if page_rows is None else max(1, -(-files.count() // page_rows))
     entry = F.struct("path", "content_hash")
+    placed = numbered(files.select(F.lit(job_id).alias("job_id"), "path", "content_hash"), ["job_id"], ["path"])
     return (
-        files.select("path", "content_hash")
-        .groupBy(F.pmod(F.xxhash64("path"), F.lit(pages)).cast("int").alias("page"))
+        placed.groupBy("job_id", F.expr(f"(number - 1) div {int(page_rows)}").cast("int").alias("page"))
         .agg(F.sort_array(F.collect_list(entry)).alias("files"))
         .select(
             "page",
-            F.to_json(
-                F.struct(F.lit(job_id).alias("job_id"), F.map_from_entries("files").alias("files"))
-            ).alias("manifest"),
+            F.to_json(F.struct("job_id", F.map_from_entries("files").alias("files"))).alias("manifest"),
         )
     )
 

@@ -88,7 +88,7 @@ def render_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search_with_context(
     units: DataFrame, edges: DataFrame, queries: DataFrame, *, k: int = 10, expand_depth: int = 1,
-    resolve: str = "exact", page_rows: int | None = graph.PAGE_ROWS, deprioritize_tests: bool = True,
+    resolve: str = "exact", page_rows: int = graph.PAGE_ROWS, deprioritize_tests: bool = True,
     exclude_tests: bool = False, **options,
 ) -> DataFrame:
     """Balanced-lane hits with callees and callers up to `expand_depth` hops.
@@ -96,14 +96,15 @@ def search_with_context(
     Tests are filtered before expansion (the kept set depends on hits only); kept
     hits stay in score order. One row per hit and page of neighbours.
     """
-    hits = find_hits(
-        units, queries, lane="balanced", k=k, deprioritize_tests=deprioritize_tests,
-        exclude_tests=exclude_tests, **options,
-    )
-    hits = rerank(hits)
+    hits = context_hits(units, queries, k=k, deprioritize_tests=deprioritize_tests, exclude_tests=exclude_tests, **options)
     return graph.with_context(hits, units, edges, depth=expand_depth, resolve=resolve, page_rows=page_rows)
 
 
+def context_hits(units: DataFrame, queries: DataFrame, *, deprioritize_tests: bool = True, **options) -> DataFrame:
+    """Balanced-lane hits in score order, whose neighbours are to be shown."""
+    return rerank(find_hits(units, queries, lane="balanced", deprioritize_tests=deprioritize_tests, **options))
+
+
 def rerank(hits: DataFrame) -> DataFrame:
     """Rank kept hits by score again: the test rule chose the set, not the order."""
     return topk.top_k_per(hits.drop("rank"), "query_id", 2**31 - 1)
