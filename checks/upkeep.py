@@ -7,11 +7,11 @@ from checks.registry import check
 from unitloom.functions import texts
 from unitloom.operators import documents, maintain
 from unitloom.plans.load import load
-from unitloom.schema import CHUNK, CODE_UNITS
+from unitloom.schema import CODE_UNITS, REFS
 from unitloom.sources import files as file_source
 from unitloom.sources import jsonl
 from unitloom.sources.tables import CodeTables
-from unitloom.streaming.ingest import stream_chunks
+from unitloom.streaming.ingest import stream_chunks, stream_chunks_and_refs
 
 # A second load: labelled documents with new content, plus one unit per benchmark text;
 # every labelled unit comes twice and the later row counts.
@@ -281,3 +281,24 @@ def inc_2(spark, sf_dir):
         stream_chunks(spark, base + "/index", base + "/tables", base + "/stream", buckets=4).awaitTermination()
     units = CodeTables(spark, base + "/tables", 4).units()
     return units.select("id", F.md5(F.col("content").cast("binary")).alias("digest"), F.col("job_id").alias("job"))
+
+
+@check(
+    "inc_2_late_refs",
+    sql(
+        """SELECT id, md5(content) AS digest, embed_func_text, embed_class_text, CASE WHEN len(class_chain) > 0 THEN 'stream-1' ELSE 'stream-0' END AS job
+        FROM texted""",
+        "texted",
+    ),
+)
+def inc_2_late(spark, sf_dir):
+    """All chunk files arrive first, all refs, in two generations, a batch later."""
+    base = scratch(spark)
+    jsonl.chunk_record(_chunks(spark, sf_dir)).write.json(base + "/index/chunks.jsonl")
+    stream_chunks_and_refs(spark, base + "/index", base + "/tables", base + "/stream", buckets=4).awaitTermination()
+    refs(spark, sf_dir).orderBy("seq").select(*REFS.fieldNames()).write.mode("append").json(base + "/index/refs.jsonl")
+    stream_chunks_and_refs(spark, base + "/index", base + "/tables", base + "/stream", buckets=4).awaitTermination()
+    units = CodeTables(spark, base + "/tables", 4).units()
+    return units.select(
+        "id", F.md5(F.col("content").cast("binary")).alias("digest"), "embed_func_text", "embed_class_text", F.col("job_id").alias("job")
+    )

@@ -272,3 +272,35 @@ def nearest_cells(unit, centre, probes):
         far = -(unit[a : a + step] @ centre.T)
         out[a : a + step] = np.argmin(far, axis=1)[:, None] if probes == 1 else np.argsort(far, axis=1, kind="stable")[:, :probes]
     return out
+
+
+def _differs(column) -> np.ndarray:
+    """Per row but the first: is the value another one than in the row above? NULL equals NULL."""
+    here, above = column.slice(1), column.slice(0, len(column) - 1)
+    same = pc.fill_null(pc.equal(here, above), False)
+    both_null = pc.and_(pc.is_null(here), pc.is_null(above))
+    return ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
+
+
+def run_places(group, name):
+    """Arrow batches of one partition, each row with its place in its run of equal `group` values."""
+
+    def run(batches):
+        last, held = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in group]
+            new = np.zeros(batch.num_rows, bool)
+            for column in columns:
+                new[1:] |= _differs(column)
+            first = [c[0].as_py() for c in columns]
+            if first != last:
+                held = 0
+            place = np.arange(batch.num_rows, dtype=np.int64)
+            start = np.maximum.accumulate(np.where(new, place, 0))
+            number = place - start + 1 + np.where(start == 0, held, 0)
+            last, held = [c[-1].as_py() for c in columns], int(number[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, name])
+
+    return run

@@ -4,48 +4,14 @@ Rows are dealt by ranges of their place, so a long document spans many partition
 passes its rows in batches; what lies before a partition is a sum over earlier partitions.
 """
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from unitloom.functions import kernels, shipping  # noqa: F401
 from unitloom.session import cut_lineage
 
 PART, BEFORE = "_part", "_before"
 
 
-def _differs(column) -> np.ndarray:
-    """Per row but the first: is the value another one than in the row above? NULL equals NULL."""
-    here, above = column.slice(1), column.slice(0, len(column) - 1)
-    same = pc.fill_null(pc.equal(here, above), False)
-    both_null = pc.and_(pc.is_null(here), pc.is_null(above))
-    return ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
-
-
-def _counted(group, name):
-    """Arrow batches of one partition, each row with its place in its run of equal `group` values."""
-
-    def run(batches):
-        last, held = None, 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in group]
-            new = np.zeros(batch.num_rows, bool)
-            for column in columns:
-                new[1:] |= _differs(column)
-            first = [c[0].as_py() for c in columns]
-            if first != last:
-                held = 0
-            place = np.arange(batch.num_rows, dtype=np.int64)
-            start = np.maximum.accumulate(np.where(new, place, 0))
-            number = place - start + 1 + np.where(start == 0, held, 0)
-            last, held = [c[-1].as_py() for c in columns], int(number[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, name])
-
-    return run
-
-
 def numbered(rows: DataFrame, group: list, order: list, name: str = "number") -> DataFrame:
     """Rows with their place (from 1) within their group by `order`.
 
@@ -63,7 +29,7 @@ def numbered(rows: DataFrame, group: list, order: list, name: str = "number") ->
     placed = cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
     placed = placed.withColumn(PART, F.spark_partition_id())
     schema = T.StructType([*placed.schema.fields, T.StructField(name, T.LongType())])
-    counted = placed.mapInArrow(_counted(group, name), schema)
+    counted = placed.mapInArrow(kernels.run_places(group, name), schema)
 
     first = placed.groupBy(PART).agg(F.min(F.struct(*group)).alias("first")).select(PART, "first.*")
     at_edges = F.broadcast(first.select(*group).distinct())

@@ -7,7 +7,7 @@ from unitloom.operators.maintain import last_wins
 from unitloom.schema import CHUNK, CHUNK_REQUIRED, REFS
 
 
-def _nullable(schema):
+def nullable(schema):
     out = type(schema)()
     for f in schema.fields:
         out.add(f.name, f.dataType, True)
@@ -16,21 +16,22 @@ def _nullable(schema):
 
 def _lines(reader, path, schema):
     return (
-        reader.schema(_nullable(schema)).option("mode", "FAILFAST").json(path)
+        reader.schema(nullable(schema)).option("mode", "FAILFAST").json(path)
         .withColumn("file", F.col("_metadata.file_path"))
         .withColumn("block", F.col("_metadata.file_block_start"))
     )
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
-    """`seq`: position of a row as (file, split, row in split), comparable across tasks.
+def file_order(file="file"):
+    """A file name as text in which numbers compare as numbers, so part-100000 comes after part-99999."""
+    pieces = F.regexp_extract_all(file, F.lit(r"\d+|\D+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
-    Numbers in file names compare as numbers, so part-100000 comes after part-99999.
-    """
-    pieces = F.regexp_extract_all("file", F.lit(r"\d+|\D+"), F.lit(0))
-    name = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """`seq`: position of a row as (file, split, row in split), comparable across tasks."""
     return df.withColumn(
-        "seq", F.struct(name.alias("file"), "block", F.monotonically_increasing_id().alias("row"))
+        "seq", F.struct(file_order().alias("file"), "block", F.monotonically_increasing_id().alias("row"))
     ).drop("file", "block")
 
 
@@ -65,7 +66,17 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
     """Chunk files as they arrive; pass each micro-batch to `checked_chunks`."""
-    return _lines(spark.readStream, path, CHUNK)
+    return stream_lines(spark, path, CHUNK)
+
+
+def stream_lines(spark: SparkSession, path: str, schema) -> DataFrame:
+    return _lines(spark.readStream, path, schema)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A stream needs its folder to exist."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm_path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -76,7 +87,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_refs(spark: SparkSession, path: str) -> DataFrame:
     """Refs, the last row per unit_id; an absent file gives no rows."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], _nullable(REFS))
+        return spark.createDataFrame([], nullable(REFS))
     rows = with_file_order(_lines(spark.read, path, REFS))
     rows = rows.withColumn("refs", F.coalesce("refs", F.create_map().cast("map<string,string>")))
     return last_wins(rows, "unit_id", "seq").select(*REFS.fieldNames())

@@ -4,11 +4,13 @@ Both run with `availableNow`; the checkpoint remembers what was taken. A
 replayed micro-batch upserts the same rows again, so the tables end the same.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from unitloom.functions import meeting, shipping, texts  # noqa: F401
 from unitloom.functions.paths import INDEXABLE, SKIP_DIRS
 from unitloom.plans.index import assembled_units, chunks_and_refs
 from unitloom.plans.load import prepare_units
+from unitloom.schema import CHUNK, REFS
 from unitloom.session import cut_lineage
 from unitloom.sources import files as file_source
 from unitloom.sources import jsonl, listing
@@ -60,3 +62,68 @@ def stream_chunks(
         CodeTables(here, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
 
     return _run(jsonl.stream_chunk_lines(spark, f"{folder}/chunks.jsonl"), checkpoint, take)
+
+
+# How long a chunk or refs wait for their partner: 30 days.
+HOLD_MS = 30 * 24 * 3600 * 1000
+# Read when the query starts; without new files there is nothing to do, and a run with batches for
+# timers alone would not end.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def _bodies(lines: DataFrame, key, kind: int, fields: list) -> DataFrame:
+    """id, kind, place (file, split and row, as text that orders like them) and the row as JSON."""
+    place = F.concat_ws("\x01", jsonl.file_order(), F.lpad(F.col("block").cast("string"), 20, "0"), F.lpad(F.col("row").cast("string"), 20, "0"))
+    schema = T.StructType([*lines.schema.fields, T.StructField("row", T.LongType())])
+    rows = lines.mapInArrow(meeting.with_rows, schema)
+    return rows.select(key.alias("id"), F.lit(kind).alias("kind"), place.alias("place"), F.to_json(F.struct(*fields)).alias("body"))
+
+
+def stream_chunks_and_refs(
+    spark: SparkSession, folder: str, table_root: str, checkpoint: str, *, job_prefix: str = "stream",
+    buckets: int = 64, hold_ms: int = HOLD_MS, **model,
+):
+    """Chunk files and ref files of `folder`, in whatever order they arrive.
+
+    Both are streams that meet by unit id in a state store (RocksDB, in the checkpoint folder). A chunk is loaded when it arrives, and once more with refs that
+    arrive up to `hold_ms` later; refs wait as long for their chunk. A unit therefore ends as a load of
+    all files would make it. A missing folder of either kind is made; a row without an id's
+    required keys fails the job, refs without unit id meet nothing.
+    """
+    folder = folder.rstrip("/")
+    for name in ("chunks.jsonl", "refs.jsonl"):
+        jsonl.make_folder(spark, f"{folder}/{name}")
+    chunks = _bodies(jsonl.stream_lines(spark, f"{folder}/chunks.jsonl", CHUNK), texts.unit_id(), meeting.CHUNK, CHUNK.fieldNames())
+    refs = _bodies(
+        jsonl.stream_lines(spark, f"{folder}/refs.jsonl", REFS).filter("unit_id is not null"),
+        F.col("unit_id"), meeting.REFS, REFS.fieldNames(),
+    )
+    met = chunks.unionByName(refs).groupBy("id").transformWithState(
+        meeting.Meeting(hold_ms), "id string, chunk string, refs string", "Update", "ProcessingTime"
+    )
+
+    def take(batch: DataFrame, number: int) -> None:
+        rows = cut_lineage(batch)
+        if rows.isEmpty():
+            return
+        chunk = F.from_json("chunk", jsonl.nullable(CHUNK)).alias("c")
+        lines = rows.select(chunk).select("c.*", F.lit("").alias("file"), F.lit(0).alias("block"))
+        known = rows.filter("refs is not null").select(F.from_json("refs", jsonl.nullable(REFS)).alias("r")).select("r.*")
+        known = known.withColumn("refs", F.coalesce("refs", F.create_map().cast("map<string,string>")))
+        ready = prepare_units(jsonl.checked_chunks(lines), known, refs_in_base=True, **model)
+        CodeTables(batch.sparkSession, table_root, buckets).upsert_batch(ready, job_id=f"{job_prefix}-{number}")
+
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    try:
+        for name, value in STATE_SETTINGS.items():
+            spark.conf.set(name, value)
+        return (
+            met.writeStream.foreachBatch(take).outputMode("update")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
