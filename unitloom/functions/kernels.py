@@ -304,3 +304,54 @@ def run_places(group, name):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, name])
 
     return run
+
+
+class OpenSpans:
+    """Spans in the order of their starts, those that can still hold something on a stack."""
+
+    def __init__(self):
+        self.stack = []
+
+    def open(self, start, end, what):
+        self.pass_by(start)
+        self.stack.append((end, what))
+
+    def pass_by(self, start):
+        """Spans that end before `start` hold nothing from here on; in nested code they lie on top."""
+        while self.stack and self.stack[-1][0] < start:
+            self.stack.pop()
+
+    def innermost(self, end):
+        return next((what for until, what in reversed(self.stack) if until >= end), None)
+
+
+def sweep(out_names, out_types):
+    """Arrow batches ordered by (path, start, class before unit, …) -> units with their innermost class.
+
+    Columns: path, _start, _kind (0 class, 1 unit), _end, _class, and those of the units. The classes open
+    at the end of a batch go on into the next one.
+    """
+
+    def run(batches):
+        path, spans = None, OpenSpans()
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            kinds = column["_kind"].to_numpy(zero_copy_only=False)
+            rows = zip(column["path"].to_pylist(), column["_start"].to_pylist(), kinds.tolist(), column["_end"].to_pylist())
+            held, classes = [], column["_class"]
+            for i, (here, start, kind, end) in enumerate(rows):
+                if here != path:
+                    path, spans = here, OpenSpans()
+                known = path is not None and start is not None and end is not None
+                if kind == 0:
+                    if known:
+                        spans.open(start, end, classes[i].as_py())
+                    continue
+                if known:
+                    spans.pass_by(start)
+                held.append(spans.innermost(end) if known else None)
+            units = batch.filter(pa.array(kinds == 1))
+            kept = [units.column(units.schema.get_field_index(n)) for n in out_names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(held, out_types[-1])], out_names)
+
+    return run
