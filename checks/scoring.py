@@ -193,7 +193,8 @@ def vec_5(spark, sf_dir):
 
 
 def _elements(df, key, vector):
-    return df.select(key, F.posexplode(vector).alias("bucket", "w")).filter("w <> 0").select(
+    # The outer form keeps Spark from a filter on the vector below, which would compute it twice; its rows without an element go.
+    return df.select(key, F.posexplode_outer(vector).alias("bucket", "w")).filter("w <> 0").select(
         key, F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 6).alias("w")
     )
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitloom.functions import block_max, kernels, lexical, texts, vectors
+from unitloom.functions import embedding
 from unitloom.functions.embedding import embed_literal, embed_text
 from unitloom.functions.paths import is_test_hit
 from unitloom.operators import ann, topk
@@ -282,3 +283,27 @@ def test_integer_query_ids_and_empty_query_tables(spark):
     assert topk.score_units(units, none, weights=weights, fetch=2, dim=2).collect() == []
     centre = ann.fit(units)
     assert ann.nearest(ann.index_rows(units, centre), centre, none, k=3, dim=2).collect() == []
+
+
+def test_sql_embedding_takes_few_rows_at_a_time(spark):
+    """A model never gets a whole Arrow batch of texts; a NULL text or model still gives NULL."""
+
+    def probe(words, dim):
+        if len(words) > 64:
+            raise ValueError(f"{len(words)} rows at once")
+        return kernels.hash_vectors(words, dim)
+
+    embedding.register_model("probe", probe)
+    try:
+        embedding.register_sql(spark, DIM)
+        texts_of = [(i, None if i % 50 == 7 else f"word{i} and word{i % 9}", None if i % 60 == 5 else "probe") for i in range(300)]
+        df = spark.createDataFrame(texts_of, "i int, text string, model string").coalesce(1)
+        df = df.withColumn("words", lexical.tokens("text"))
+        rows = df.selectExpr("i", "embed_text(text, model) AS t", "embed_words(words, model) AS w", "embed_text(text) AS plain").collect()
+    finally:
+        del embedding._models["probe"]
+        embedding.register_sql(spark)
+    for r, (i, text, model) in zip(sorted(rows, key=lambda r: r.i), texts_of):
+        want = embed_literal(text, DIM) if text else None
+        assert r.plain == want and r.t == (want if model else None)
+        assert r.w == (None if model is None else want or [0.0] * DIM)
