@@ -376,8 +376,9 @@ def ext_16(spark, sf_dir):
 def jn_2(spark, sf_dir):
     """Classes of a file as intervals, met by its units through the path."""
     numbered = python_units.number_lines(python_units.blank("text"))
-    classes = files(spark, sf_dir, "python").select("path", F.explode(python_units.class_spans(numbered)).alias("c"))
-    classes = classes.select("path", "c.name", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"))
+    # The outer form keeps Spark from a filter below, which would find the classes twice.
+    classes = files(spark, sf_dir, "python").select("path", F.explode_outer(python_units.class_spans(numbered)).alias("c"))
+    classes = classes.filter("c IS NOT NULL").select("path", "c.name", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"))
     found = joins.innermost_enclosing(units(spark, sf_dir, "python").select("path", "start_line", "end_line"), classes)
     return found.filter(F.col("enclosing").isNotNull()).select(
         "path", F.col("start_line").cast("long").alias("start_line"), F.col("enclosing.name").alias("name")

@@ -2,7 +2,7 @@ import ast
 
 import pytest
 
-from unitloom.plans.index import index_files, index_repository
+from unitloom.plans.index import found_units, index_files, index_repository
 from unitloom.sources.files import read_repository
 
 EXPECTED = {
@@ -326,3 +326,15 @@ def test_generated_typescript_has_the_units_it_was_made_of(spark):
     df = spark.createDataFrame(files, "path string, source binary")
     rows = index_files(df, ["typescript"])[0].select("path", "symbol", "calls").collect()
     assert {(r.path, r.symbol, " ".join(r.calls)) for r in rows} == want
+
+
+def test_a_file_is_extracted_once_in_small_batches(spark):
+    """No filter below the explosion of units repeats the extraction; a file without units gives no row."""
+    rows = [("a.py", "def f():\n    return g(1)\n"), ("b.py", "x = 1\n"), ("c.py", None)]
+    files = spark.createDataFrame(rows, "path string, text string").selectExpr(
+        "path", "text", "'python' AS language", "'m' AS module", "CAST(NULL AS string) AS package", "'code' AS namespace"
+    )
+    units = found_units(files, ["python"]).select("path", "symbol", "calls")
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert [tuple(r) for r in units.collect()] == [("a.py", "f", ["g"])]

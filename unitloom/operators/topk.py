@@ -9,6 +9,7 @@ from unitloom.functions.lexical import tokens
 from unitloom.functions.paths import is_test_hit
 from unitloom.operators import block_join
 from unitloom.schema import LANES
+from unitloom.session import small_batches
 
 # Queries shipped to every task at once; larger query tables stay rows.
 QUERIES_PER_PASS = 1024
@@ -79,6 +80,7 @@ def score_units(
     the tasks. Either way a task keeps `fetch` rows per query, so only partial winners are shuffled
     and pairs never become rows.
     """
+    small_batches(units.sparkSession)
     query_type = queries.schema["query_id"].dataType
     schema = _partial_schema(query_type, LANES)
     lean = units.select("id", *[f"vec_{lane}" for lane in LANES], tokens("search_text").alias("tokens"))

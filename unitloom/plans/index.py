@@ -8,7 +8,7 @@ from unitloom.operators.extract.registry import extract_all
 from unitloom.operators.maintain import ref_eligible
 from unitloom.schema import CHUNK
 from unitloom.sources import files as file_source
-from unitloom.session import cut_lineage
+from unitloom.session import cut_lineage, small_batches
 from unitloom.sources import jsonl
 
 
@@ -17,12 +17,15 @@ def found_units(files: DataFrame, languages: list | None = None) -> DataFrame:
 
     Narrow from scan to rows. `seq` is the document order over all files.
     """
+    small_batches(files.sparkSession)
     df = files.withColumn("text", F.regexp_replace("text", r"\r\n", "\n"))
     df = with_inline_scripts(df)
     df = df.withColumn("lines", file_source.source_lines("shown"))
     df = extract_all(df, languages)
     keep = ["path", "language", "module", "package", "namespace", "part"]
-    rows = df.select(*keep, "lines", F.posexplode("found").alias("at", "unit")).select(*keep, "lines", "at", "unit.*")
+    # The outer form keeps Spark from a filter on `found` below, which would extract every file a second time.
+    rows = df.select(*keep, "lines", F.posexplode_outer("found").alias("at", "unit")).filter("at IS NOT NULL")
+    rows = rows.select(*keep, "lines", "at", "unit.*")
     # Row by row: units of a file may share long lines.
     rows = rows.withColumn("content", texts.line_range("lines", F.col("start_line"), F.col("end_line"))).drop("lines")
     rows = rows.withColumn("qualified_name", texts.qualified_name())
