@@ -250,20 +250,15 @@ def fts_2(spark, sf_dir):
     return df.select("item_id", F.array_join(lexical.query_terms("text"), " ").alias("terms"))
 
 
-def _best_texts(source, key):
-    return f"""SELECT query_id, rank, {key}, round(ts, 6) AS ts_score FROM (
-      SELECT query_id, k AS {key}, ts, row_number() OVER (PARTITION BY query_id ORDER BY round(ts, 9) DESC, k) AS rank FROM {source}) WHERE rank <= 10"""
-
-
 def _ranked_texts(spark, sf_dir, docs, key, text):
     """Postings are written, then searched for every benchmark text."""
     folder = scratch(spark) + "/postings"
     lexical.write_postings(docs, key, text, folder)
-    best = lexical.best_texts(spark.read.parquet(folder), queries(spark, sf_dir))
-    return best.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("key").alias(key), F.round("ts_score", 6).alias("ts_score"))
+    ranked = lexical.text_ranks(spark.read.parquet(folder), queries(spark, sf_dir))
+    return ranked.select("query_id", F.col("key").alias(key), F.round("ts_score", 6).alias("ts_score"))
 
 
-@check("fts_3_text_rank", sql(_best_texts("ranked_text", "id"), "ranked_text"))
+@check("fts_3_text_rank", sql("SELECT query_id, k AS id, round(ts, 6) AS ts_score FROM ranked_text", "ranked_text"))
 def fts_3(spark, sf_dir):
     return _ranked_texts(spark, sf_dir, text_units(spark, sf_dir), "id", "search_text")
 
@@ -271,7 +266,10 @@ def fts_3(spark, sf_dir):
 rank_ctes("ranked_documents", "documents", "doc_id", "text")
 
 
-@check("fts_3_text_rank_whole_documents", sql(_best_texts("ranked_documents", "doc_id"), "ranked_documents"))
+@check(
+    "fts_3_text_rank_whole_documents",
+    sql("SELECT query_id, k AS doc_id, round(ts, 6) AS ts_score FROM ranked_documents", "ranked_documents"),
+)
 def fts_3_documents(spark, sf_dir):
     return _ranked_texts(spark, sf_dir, table(spark, sf_dir, "documents"), "doc_id", "text")
 

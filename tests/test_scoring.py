@@ -66,6 +66,38 @@ def test_best_texts_against_brute_force(spark, tmp_path, more):
                 assert rank == pytest.approx(brute_rank(texts_of[key].split(), query.split()), abs=1e-12)
 
 
+@pytest.mark.parametrize("more", [{}, {"block_docs": 3, "shard_blocks": 4}])
+def test_text_ranks_have_no_cut(spark, tmp_path, more):
+    """Every text that shares a word, against brute force; a repeated or missing key is one text."""
+    rnd = random.Random(5)
+    docs = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.choice([0, 1, 3, 40, 300])))) for i in range(120)]
+    d = spark.createDataFrame([*docs, (500, None), (None, "rare x"), (600, "a b"), (600, "c a")], "id long, text string").repartition(5)
+    q = spark.createDataFrame(ASKED, "query_id long, query string")
+    lexical.write_postings(d, "id", "text", str(tmp_path / "p"), **more)
+    index = spark.read.parquet(str(tmp_path / "p"))
+    posts = {(r.term, p.key): p.positions for r in index.collect() for p in r.posts}
+    assert posts["a", 600] == [1, 2] and posts["rare", None] == [1]
+    for r in index.collect():
+        assert r.top == max(len(p.positions) for p in r.posts)
+    got = {(r.query_id, r.key): r.ts_score for r in lexical.text_ranks(index, q).collect()}
+    want = {}
+    for qid, query in ASKED:
+        terms = set((query or "").split())
+        for key, text in [*docs, (None, "rare x")]:
+            if terms & set(text.split()):
+                want[qid, key] = brute_rank(text.split(), terms)
+    assert {k: v for k, v in got.items() if k[1] != 600} == pytest.approx(want, abs=1e-12)
+    assert {k[0] for k in got if k[1] == 600} == {qid for qid, query in ASKED if {"a", "b", "c"} & set((query or "").split())}
+
+
+def test_all_texts_of_a_shard_in_pieces(monkeypatch):
+    rows = [{"block": b, "term": t, "top": 2, "posts": [{"key": b, "positions": [i, i + 7]}]} for b in range(40) for i, t in enumerate(("one", "two"))]
+    monkeypatch.setattr(block_max, "PLACES_AT_ONCE", 10)
+    parts = list(block_max.Shard(pa.Table.from_pylist(rows)).all(["one", "two", "none"]))
+    assert len(parts) == 20 and sorted(k for keys, _ in parts for k in keys.to_pylist()) == list(range(40))
+    assert list(block_max.Shard(pa.Table.from_pylist(rows)).all(["none"])) == []
+
+
 def test_blocks_that_cannot_matter_are_skipped():
     """One shard of 200 blocks; few of them can hold the best texts."""
     rnd = random.Random(9)

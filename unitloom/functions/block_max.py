@@ -7,12 +7,15 @@ any document of the block, so blocks are read by falling bound until no further
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from unitloom.functions import kernels
 
 # Ranks are compared after rounding to this many digits; a bound is raised by half a unit.
 DIGITS = 9
 SLACK = 1e-9
+# Places that are scored at a time where all documents count.
+PLACES_AT_ONCE = 500_000
 NEAREST_LOG = float(kernels._NEAR_LOG[1:].min())
 
 
@@ -25,6 +28,35 @@ def bound(sums, squares, multi):
     return np.where(pairs > 0, -np.expm1(pairs * NEAREST_LOG), kernels.NO_PAIR)
 
 
+def block_postings(texts):
+    """block, term, top, posts of the texts (block, key, words) of one block; rows of equal keys are one text."""
+    column = {n: texts.column(n).combine_chunks() for n in ("key", "words")}
+    flat, lengths = kernels._lists(column["words"])
+    coded = _chunk(pc.dictionary_encode(column["key"], null_encoding="encode"))
+    by_key = pc.array_sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(by_key), np.int64)
+    place[by_key.to_numpy()] = np.arange(len(by_key))
+    of_row = place[coded.indices.to_numpy(zero_copy_only=False)]
+    words = flat.dictionary_encode()
+    key, term, pos = np.repeat(of_row, lengths), words.indices.to_numpy(zero_copy_only=False), _within(lengths) + 1
+    order = np.lexsort((pos, key, term))
+    key, term, pos = key[order], term[order], pos[order].astype(np.int32)
+    new_term = np.diff(term, prepend=-1) != 0
+    post = np.flatnonzero(new_term | (np.diff(key, prepend=-1) != 0))
+    first = np.flatnonzero(new_term[post])
+    count = np.diff(np.append(post, len(pos)))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(post, len(pos)), pa.int32()), pa.array(pos))
+    keys = coded.dictionary.take(by_key).take(pa.array(key[post]))
+    posts = pa.StructArray.from_arrays([keys, positions], ["key", "positions"])
+    out = {
+        "block": pa.repeat(texts.column("block")[0], len(first)),
+        "term": words.dictionary.take(pa.array(term[post][first])),
+        "top": pa.array(np.maximum.reduceat(count, first) if len(first) else count, pa.int32()),
+        "posts": pa.ListArray.from_arrays(pa.array(np.append(first, len(post)), pa.int32()), posts),
+    }
+    return pa.table(out)
+
+
 class Shard:
     """Postings rows (block, term, top, posts) of one shard, in any order."""
 
@@ -48,16 +80,12 @@ class Shard:
 
         `seen` collects the numbers of blocks scored, of blocks taken by key only and of all blocks.
         """
-        terms = sorted(set(terms))
-        found = [(n, *self.of_term[t]) for n, t in enumerate(terms) if t in self.of_term]
-        if not found:
+        rows, term, multi = self._asked(terms)
+        if not len(rows):
             return []
-        rows = np.concatenate([np.arange(a, b) for _, a, b in found])
-        term = np.concatenate([np.full(b - a, n) for n, a, b in found])
         block, local = np.unique(self.block[rows], return_inverse=True)
         sums = np.bincount(local, weights=self.top[rows])
         squares = np.bincount(local, weights=self.top[rows] ** 2)
-        multi = len(terms) > 1
         most = bound(sums, squares, multi)
         order = np.argsort(local, kind="stable")
         starts = np.searchsorted(local[order], np.arange(len(block) + 1))
@@ -89,6 +117,28 @@ class Shard:
             seen.append((scored, plain, len(block)))
         return [(key, exact) for _, key, exact in kept]
 
+    def all(self, terms):
+        """(keys, ranks) of all documents that hold one of the distinct `terms`, some blocks at a time."""
+        rows, term, multi = self._asked(terms)
+        order = np.argsort(self.block[rows], kind="stable")
+        rows, term = rows[order], term[order]
+        ends = np.append(np.flatnonzero(np.diff(self.block[rows])) + 1, len(rows))
+        places = np.cumsum(self.place_start[self.post_start[rows + 1]] - self.place_start[self.post_start[rows]])
+        start = done = 0
+        for end, after in zip(ends.tolist(), [*ends[1:].tolist(), None]):
+            if after is None or places[after - 1] - done > PLACES_AT_ONCE:
+                if end > start:
+                    yield self._ranks(rows[start:end], term[start:end], multi)
+                    start, done = end, places[end - 1]
+
+    def _asked(self, terms):
+        """Rows of the distinct `terms`, the number of the term of each, and whether there are several terms."""
+        terms = sorted(set(terms))
+        found = [(n, *self.of_term[t]) for n, t in enumerate(terms) if t in self.of_term]
+        none = np.zeros(0, np.int64)
+        rows = np.concatenate([none, *[np.arange(a, b) for _, a, b in found]])
+        return rows, np.concatenate([none, *[np.full(b - a, n) for n, a, b in found]]), len(terms) > 1
+
     def _least(self, rows):
         return min(self.keys[int(i)].as_py() for i in self.post_start[rows])
 
@@ -100,16 +150,19 @@ class Shard:
         posts, _ = self._posts(rows)
         return [(-round(kernels.NO_PAIR, DIGITS), key, kernels.NO_PAIR) for key in set(self.keys.take(pa.array(posts)).to_pylist())]
 
-    def _exact(self, rows, term, multi, k):
+    def _ranks(self, rows, term, multi):
         posts, lengths = self._posts(rows)
-        keys = self.keys.take(pa.array(posts)).dictionary_encode()
+        keys = _chunk(pc.dictionary_encode(self.keys.take(pa.array(posts)), null_encoding="encode"))
         code, term = keys.indices.to_numpy().astype(np.int64), np.repeat(term, lengths)
         n = self.place_start[posts + 1] - self.place_start[posts]
         place = self.places[np.repeat(self.place_start[posts], n) + _within(n)]
-        ranks = kernels.group_ranks(np.repeat(code, n), place, np.repeat(term, n), np.full(len(keys.dictionary), multi))
+        return keys.dictionary, kernels.group_ranks(np.repeat(code, n), place, np.repeat(term, n), np.full(len(keys.dictionary), multi))
+
+    def _exact(self, rows, term, multi, k):
+        keys, ranks = self._ranks(rows, term, multi)
         rounded = np.round(ranks, DIGITS)
         top = np.arange(len(ranks)) if len(ranks) <= k else np.flatnonzero(rounded >= np.partition(rounded, -k)[-k] - SLACK)
-        return [(-round(float(ranks[i]), DIGITS), keys.dictionary[int(i)].as_py(), float(ranks[i])) for i in top]
+        return [(-round(float(ranks[i]), DIGITS), keys[int(i)].as_py(), float(ranks[i])) for i in top]
 
 
 def _chunk(column):
@@ -121,7 +174,11 @@ def _within(lengths):
 
 
 def best_of_shards(k, query_type, key_type):
-    """Streams over rows sorted by (shard, role): the postings of a shard, then the queries that ask it."""
+    """Streams over rows sorted by (shard, role): the postings of a shard, then the queries that ask it.
+
+    Without `k` all documents that share a term with a query are returned.
+    """
+    names = ["query_id", "key", "ts_score"]
 
     def run(batches):
         at, held, shard = None, [], None
@@ -138,6 +195,12 @@ def best_of_shards(k, query_type, key_type):
                     held.append(part.select(["block", "term", "top", "posts"]))
                 elif held:
                     shard = shard or Shard(pa.Table.from_batches(held))
+                    if k is None:
+                        for query, terms in zip(part.column("query_id"), part.column("terms").to_pylist()):
+                            for keys, ranks in shard.all(terms):
+                                yield pa.RecordBatch.from_arrays([pa.repeat(query, len(keys)), keys.cast(key_type), pa.array(ranks)], names)
+                        start = end
+                        continue
                     out = [
                         (query, key, rank)
                         for query, terms in zip(part.column("query_id").to_pylist(), part.column("terms").to_pylist())
@@ -145,7 +208,7 @@ def best_of_shards(k, query_type, key_type):
                     ]
                     columns = zip(*out) if out else [()] * 3
                     arrays = [pa.array(c, t) for c, t in zip(columns, (query_type, key_type, pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["query_id", "key", "ts_score"])
+                    yield pa.RecordBatch.from_arrays(arrays, names)
                 start = end
 
     return run
