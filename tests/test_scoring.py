@@ -90,6 +90,23 @@ def test_text_ranks_have_no_cut(spark, tmp_path, more):
     assert {k[0] for k in got if k[1] == 600} == {qid for qid, query in ASKED if {"a", "b", "c"} & set((query or "").split())}
 
 
+def test_pairs_of_a_full_rank_are_not_listed(monkeypatch):
+    """A long text ranks 1 after its nearest pairs; another one beside it and its rank stay as they are."""
+    steps = []
+
+    class Weights(np.ndarray):
+        def __getitem__(self, gaps):
+            steps.append(np.size(gaps))
+            return np.asarray(self)[gaps]
+
+    monkeypatch.setattr(kernels, "_NEAR_LOG", kernels._NEAR_LOG.view(Weights))
+    short = "a b x x a".split()
+    pos, term = np.concatenate([np.arange(3000), [0, 1, 4]]), np.concatenate([np.arange(3000) % 2, [0, 1, 0]])
+    ranks = kernels.group_ranks(np.repeat([0, 1], [3000, 3]), pos, term, np.array([True, True]))
+    assert ranks[0] == 1.0 and ranks[1] == pytest.approx(brute_rank(short, ["a", "b"]), abs=1e-12)
+    assert sum(steps) < 2 * 3003
+
+
 def test_all_texts_of_a_shard_in_pieces(monkeypatch):
     rows = [{"block": b, "term": t, "top": 2, "posts": [{"key": b, "positions": [i, i + 7]}]} for b in range(40) for i, t in enumerate(("one", "two"))]
     monkeypatch.setattr(block_max, "PLACES_AT_ONCE", 10)
