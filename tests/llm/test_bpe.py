@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from unitloom.llm.bpe import decode, encode, read_ranks
+from unitloom.llm.bpe import decode, encode, packed, read_ranks, unpacked
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,11 @@ def test_ids_equal_the_tokenizer_library(spark, ranks, prose, block_chars):
 
 def test_no_rows(spark, ranks):
     assert result(spark, ranks, []) == []
+
+
+@pytest.mark.parametrize("numbers, width", [([], 4), ([0], 4), (range(70_000), 4), ([1 << 23, 5], 4), ([1 << 24, 0], 8), ([7, 1 << 40], 8)])
+def test_numbers_are_no_wider_than_they_need(numbers, width):
+    for given in (list(numbers), np.array(list(numbers), np.int64)):
+        out = unpacked(packed(given))
+        assert out.tolist() == list(numbers)
+        assert out.dtype.itemsize == width

@@ -73,18 +73,21 @@ class Splitter:
 
 def packed(numbers):
     """Unsigned integers as compressed byte planes."""
-    numbers = np.asarray(numbers, np.uint64)
+    numbers = np.asarray(numbers)
+    numbers = numbers.astype("<u4" if numbers.dtype.itemsize <= 4 else "<u8", copy=False)
     width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
-    planes = numbers.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize)[:, :width].T)
     return np.array([len(numbers), width], "<i8").tobytes() + zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpacked(data):
+    """Signed integers of 32 bits if they hold the numbers, else of 64."""
     n, width = np.frombuffer(data[:16], "<i8")
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[16:]), np.uint8).reshape(width, n)
-    out = np.zeros((n, 8), np.uint8)
+    wide = 4 if width < 4 else 8
+    out = np.zeros((n, wide), np.uint8)
     out[:, :width] = planes.T
-    return out.view(np.uint64).ravel().astype(np.int64)
+    return out.view(f"<i{wide}").ravel()
 
 
 def framed(*parts):
@@ -126,7 +129,8 @@ def _positions(spec, digits, block_chars):
     """Blocks of texts: words by digit (place = digit), then positions (place = digits)."""
 
     def emit(block, docs, counts, seq, words):
-        seq = np.concatenate(seq) if seq else np.zeros(0, np.int64)
+        held, seq = seq, np.concatenate(seq) if seq else np.zeros(0, np.int32)
+        held.clear()
         times = np.bincount(seq, minlength=len(words))
         raw = [word.encode() for word in words]
         digit = np.array([zlib.crc32(r) % digits for r in raw], np.int64)
@@ -138,7 +142,7 @@ def _positions(spec, digits, block_chars):
             own = order[digit[order] == d]
             if len(own):
                 yield block, d, d, joined([raw[i] for i in own]), None
-        number = np.zeros(len(words), np.int64)
+        number = np.zeros(len(words), np.int32)
         number[order] = np.arange(len(words))
         yield block, block % digits, digits, framed(packed(counts), packed(digit[frequent]), packed(number[seq])), docs
 
@@ -153,7 +157,7 @@ def _positions(spec, digits, block_chars):
                 text = text.as_py() or ""
                 pieces = split(text)
                 number = words.setdefault
-                seq.append(np.fromiter((number(p, len(words)) for p in pieces), np.int64, len(pieces)))
+                seq.append(np.fromiter((number(p, len(words)) for p in pieces), np.int32, len(pieces)))
                 docs.append(doc)
                 counts.append(len(pieces))
                 chars += len(text) + 64
@@ -218,7 +222,7 @@ def _reassemble(digits):
                     sizes[place] = len(parts[0])
                     continue
                 head, digit, tail = parts
-                tail = _entry(digit, sizes)[tail]
+                tail = _entry(digit, sizes).astype(np.int32)[tail]
                 length = np.concatenate(lengths or [head[:0]])
                 flat = np.concatenate(ids or [head[:0]]).astype("<u4")
                 start = np.cumsum(length) - length
@@ -280,8 +284,8 @@ def decode(tokens: DataFrame, ranks: dict) -> DataFrame:
             for data in batch.column("ids"):
                 ids = np.frombuffer(data.as_py() or b"", "<u4")
                 parts = []
-                for i in range(0, len(ids), 1 << 20):
-                    some = ids[i : i + (1 << 20)]
+                for i in range(0, len(ids), 1 << 17):
+                    some = ids[i : i + (1 << 17)]
                     n = length[some]
                     parts.append(raw[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
                 out.append(b"".join(parts))
