@@ -7,7 +7,7 @@ from unitloom.functions.texts import role, strip
 from unitloom.operators.extract import docs
 from unitloom.operators.extract.common import (
     ANONYMOUS, BRACES, BRACKETS, GAP, ID, MARK, PARENS, SPACE, TO_MARK, _col, all_matches,
-    compiled, distinct_calls, first_match, last_line_like, let, marker, newlines, number_lines,
+    compiled, distinct_calls, first_match, last_line_like, let, marker, newlines,
     pieces_in, placed, unmark,
 )
 
@@ -93,10 +93,10 @@ def _inside(inner, outer) -> Column:
 
 def _strip_types(marked) -> Column:
     """Interfaces and type aliases go; the marks of their line ends stay."""
-    parts = all_matches(marked, rf"{_TYPE_ONLY}|[\p{{L}}\p{{N}}_$]++|[^\p{{L}}\p{{N}}_$]++")
-    ends = lambda t: F.array_join(all_matches(t, rf"\n{MARK}"), "")
-    blanked = F.transform(parts, lambda t: F.when(t.rlike(r"\A(?:interface|type)[\s\x01\x04-\x07]"), ends(t)).otherwise(t))
-    return F.array_join(blanked, "")
+    alone = rf"(?<![\p{{L}}\p{{N}}_$]){_TYPE_ONLY}"
+    ends = lambda t: F.coalesce(F.array_join(all_matches(t, rf"\n{MARK}"), ""), F.lit(""))
+    between = F.split(_col(marked), compiled(alone))
+    return F.array_join(F.zip_with(between, all_matches(marked, alone), lambda b, t: F.concat(b, ends(t))), "")
 
 
 def _by_position(units) -> Column:
@@ -122,7 +122,6 @@ def extract_scripts(df: DataFrame) -> DataFrame:
     plain = F.col("language") == "javascript"
     df = df.withColumns({"js_marked": mark_script(F.when(plain, mine)), "ts_marked": mark_typed(F.when(~plain, mine))})
     df = df.withColumn("js_marked", F.when(plain, F.col("js_marked")).otherwise(_strip_types("ts_marked"))).drop("ts_marked")
-    df = df.withColumn("js_raw", number_lines(mine))
 
     def spans(pattern):
         return _spans("js_marked", *pattern)
@@ -141,9 +140,9 @@ def extract_scripts(df: DataFrame) -> DataFrame:
                     lambda b: strip(first_match(b, rf"\A{_METHOD_NAME}(\#?+{ID}|{BRACKETS})", 1)),
                 ),
             ),
-            "js_not_blank": last_line_like("js_raw", docs.NOT_BLANK),
-            "js_opening": last_line_like("js_raw", docs.JSDOC_OPEN),
-            "js_other": last_line_like("js_raw", docs.SLASH_OTHER),
+            "js_not_blank": last_line_like(mine, docs.NOT_BLANK),
+            "js_opening": last_line_like(mine, docs.JSDOC_OPEN),
+            "js_other": last_line_like(mine, docs.SLASH_OTHER),
         }
     )
 
@@ -169,7 +168,7 @@ def extract_scripts(df: DataFrame) -> DataFrame:
     context = F.struct("lines", "js_classes", "js_not_blank", "js_opening", "js_other")
     units = let(context, lambda c: F.transform(_by_position("js_units"), lambda u: unit(u, c)))
     return df.withColumn("script", units).drop(
-        "js_marked", "js_raw", "js_classes", "js_units",
+        "js_marked", "js_classes", "js_units",
         "js_not_blank", "js_opening", "js_other",
     )
 
@@ -218,7 +217,7 @@ def impl_type(marked) -> Column:
 def extract_rust(df: DataFrame) -> DataFrame:
     """Adds `rust`: `fn` items; a function inside another is part of it, not a unit."""
     mine = F.when(F.col("language") == "rust", F.col("text"))
-    df = df.withColumns({"rs_marked": mark_rust(mine), "rs_other": last_line_like(number_lines(mine), docs.RUST_OTHER)})
+    df = df.withColumns({"rs_marked": mark_rust(mine), "rs_other": last_line_like(mine, docs.RUST_OTHER)})
     df = df.withColumns(
         {
             "rs_impls": _named(_spans("rs_marked", *IMPL_ITEM), impl_type),

@@ -123,28 +123,20 @@ def placed(captures, pattern: str) -> Column:
     return F.transform(captures, place)
 
 
-def last_line_like(numbered, start_line: str) -> Column:
-    """Per line, the number of the nearest line at or above matching `start_line` (0: none).
+def last_line_like(text, wanted) -> Column:
+    """Per line of `text`, the number of the nearest line at or above for which `wanted` holds (0: none)."""
 
-    `start_line` is a pattern for the text of one numbered line.
-    """
-    segment = rf"(?md)^\d++\t(?:{start_line})$(?:\n(?!\d++\t(?:{start_line})$)[^\n]*+)*+"
-
-    def owners(found):
-        return F.flatten(
-            F.transform(
-                found,
-                lambda s: F.array_repeat(
-                    F.regexp_extract(s, r"^(\d+)", 1).cast("int"), (newlines(s) + 1).cast("int")
-                ),
-            )
-        )
+    def owners(lines):
+        found = F.filter(F.transform(lines, lambda l, i: F.when(wanted(l), i + 1)), lambda n: n.isNotNull())
+        return let(F.struct(found.alias("found"), (F.size(lines) + 1).alias("end")), fill)
 
-    def fill(owned):
-        ahead = newlines(numbered) + 1 - F.size(owned)
-        return F.concat(F.array_repeat(F.lit(0), ahead.cast("int")), owned)
+    def fill(f):
+        found, end = f["found"], f["end"]
+        following = F.slice(F.concat(found, F.array(end)), F.lit(2), F.size(found))
+        owned = F.flatten(F.zip_with(found, following, lambda n, after: F.array_repeat(n, after - n)))
+        return F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get(found, F.lit(0)), end) - 1), owned)
 
-    return let(owners(all_matches(numbered, segment)), fill)
+    return let(F.split(_col(text), "\n"), owners)
 
 
 def at(array, index) -> Column:

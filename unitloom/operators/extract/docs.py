@@ -6,11 +6,30 @@ from unitloom.functions.texts import strip
 from unitloom.operators.extract.common import _col, at, let
 
 RUST_DOC = r"[ \t]*+//[/!][^\n]*+"
-# Lines that end a walk upwards.
-RUST_OTHER = r"(?![ \t\x0b\f\r]*+(?:#\[|//[/!]|$))[^\n]*+"
-SLASH_OTHER = r"(?![ \t\x0b\f\r]*+(?://|$))[^\n]*+"
-NOT_BLANK = r"(?![ \t\x0b\f\r]*+$)[^\n]*+"
-JSDOC_OPEN = r"(?=[^\n]*?/\*\*)[^\n]*+"
+_BLANKS = " \t\x0b\f\r"
+
+
+def _unless(*starts):
+    """Test of a line: neither blank nor, behind blanks, one of `starts`. Such lines end a walk upwards."""
+
+    def wanted(line):
+        text = F.ltrim(line, F.lit(_BLANKS))
+        found = text != ""
+        for start in starts:
+            found = found & ~text.startswith(start)
+        return found
+
+    return wanted
+
+
+RUST_OTHER = _unless("#[", "///", "//!")
+SLASH_OTHER = _unless("//")
+NOT_BLANK = _unless()
+
+
+def JSDOC_OPEN(line):
+    return line.contains("/**")
+
 
 _DOCSTRING = (
     r"^(?:[ \t]*+(?:#[^\n]*+)?\n)*+[ \t]*+[rRuU]?("
@@ -82,15 +101,14 @@ def js_doc(lines, not_blank, opening, other, start) -> Column:
     closed = strip(at(lines, last)).endswith("*/")
     block = F.array_join(F.slice(lines, first, last - first + 1), "\n")
     inner = F.regexp_replace(F.regexp_replace(block, r"\A/\*\*?", ""), r"\*/\s*$", "")
-    rows = F.transform(
-        F.split(inner, "\n"),
-        lambda l: F.regexp_replace(F.regexp_replace(l, r"^\s*\*\s?", ""), r"\s+$", ""),
-    )
+    # All lines at once; a last line separator other than \n stays, as `$` leaves it.
+    rows = F.regexp_replace(inner, r"(?<=\A|\n)[ \t\x0b\f\r]*+\*[ \t\x0b\f\r]?+", "")
+    rows = F.regexp_replace(rows, r"[ \t\x0b\f\r]++(?=[\u0085\u2028\u2029]?+(?:\n|\z))", "")
     above = F.coalesce(at(other, start - 1), F.lit(0))
     slashes = F.filter(_between(lines, above, start), lambda l: strip(l).startswith("//"))
     run = F.array_join(F.transform(slashes, lambda l: strip(F.substring(strip(l), 3, F.length(l)))), "\n")
     return (
         F.when(last == 0, F.lit(""))
-        .when((first > 0) & closed, strip(F.array_join(rows, "\n")))
+        .when((first > 0) & closed, strip(rows))
         .otherwise(run)
     )

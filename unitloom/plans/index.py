@@ -18,7 +18,7 @@ def found_units(files: DataFrame, languages: list | None = None) -> DataFrame:
     Narrow from scan to rows. `seq` is the document order over all files.
     """
     small_batches(files.sparkSession)
-    df = files.withColumn("text", F.regexp_replace("text", r"\r\n", "\n"))
+    df = files.withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n")))
     df = with_inline_scripts(df)
     df = df.withColumn("lines", file_source.source_lines("shown"))
     df = extract_all(df, languages)

@@ -64,7 +64,9 @@ def decode(source) -> Column:
 def source_lines(text) -> Column:
     """Lines of a file; the line break at the very end starts no further line."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
+    whole = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    plain = F.split(whole, "\n")
+    return F.when(text.contains("\r"), F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")).otherwise(plain)
 
 
 def line_rows(files: DataFrame) -> DataFrame:
