@@ -21,6 +21,8 @@ BANDS, ROWS = 32, 6
 MEMBERS_PER_TASK = 256
 EXTRA_LEADERS = 4
 TILE_SHINGLES = 400_000
+# Sets of a task that wait for their batch.
+SETS_BYTES = 2 << 20
 
 
 class Shingles:
@@ -121,7 +123,7 @@ def _set_rows(width):
                 for k in range(bounds[i] - bounds[0], bounds[i + 1] - bounds[0]):
                     held.append((lead[k], salt[k], role[k], batch.column("doc_id")[i].as_py(), found.tobytes()))
                     held_bytes += found.nbytes
-                    if held_bytes > 8 << 20:
+                    if held_bytes > SETS_BYTES:
                         yield _roles_batch(held)
                         held, held_bytes = [], 0
             if held:
@@ -234,7 +236,7 @@ def _tile_sets(width):
                 for k in range(bounds[i] - bounds[0], bounds[i + 1] - bounds[0]):
                     held.append((band[k], prow[k], mrow[k], comp[k], pivot[k], doc, data))
                     size += len(data)
-                    if size > 8 << 20:
+                    if size > SETS_BYTES:
                         yield flush()
                         held, size = [], 0
             if held:
