@@ -1,5 +1,7 @@
 """Extraction over source files built from the documents: every file holds a whole text."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.derived import cte, scratch, sql, table
@@ -113,13 +115,23 @@ def files(spark, sf_dir, kind):
     template, suffix, margin = FILES[kind]
     doc = spread(table(spark, sf_dir, "documents"))
     clean = ESCAPES[kind][0](trimmed("text"))
-    text = F.lit(template)
-    inserts = {
-        "{T}": F.replace(clean, F.lit("\n"), F.lit("\n" + margin)), "{id}": F.col("doc_id").cast("string"),
-        "{source}": F.col("source"), "{lang}": F.col("lang"),
+    doc = doc.select("doc_id", "source", "lang", F.replace(clean, F.lit("\n"), F.lit("\n" + margin)).alias("t"))
+    inserts = {"{id}": F.col("doc_id").cast("string"), "{source}": F.col("source"), "{lang}": F.col("lang")}
+
+    def filled(value, marks):
+        """Marks that stand in an inserted value are replaced too, in this order."""
+        for mark in marks:
+            value = F.replace(value, F.lit(mark), inserts[mark])
+        return value
+
+    values = {
+        "{T}": F.when(F.col("t").contains("{"), filled(F.col("t"), inserts)).otherwise(F.col("t")),
+        "{id}": inserts["{id}"], "{source}": filled(F.col("source"), ["{lang}"]), "{lang}": F.col("lang"),
     }
-    for mark, value in inserts.items():
-        text = F.replace(text, F.lit(mark), value)
+    pieces = re.split(r"(\{T\}|\{id\}|\{source\}|\{lang\})", template)
+    # A NULL makes the file NULL, whether the template shows that column or not.
+    unused = [F.left(values[mark], F.lit(0)) for mark in values if mark not in pieces]
+    text = F.concat(*[values.get(p, F.lit(p)) for p in pieces if p], *unused)
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/d"), "doc_id", F.lit(suffix))
     return doc.select("doc_id", path.alias("path"), text.alias("text"))
 

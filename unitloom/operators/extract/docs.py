@@ -59,7 +59,10 @@ def clean_docstring(text) -> Column:
 
         return let(F.coalesce(F.array_min(indents), F.lit(0)), cut)
 
-    return F.regexp_replace(let(F.split(_col(text), "\n"), unindent), r"\A\n+|\n+\z", "")
+    def trim(t):
+        return F.when(t.startswith("\n") | t.endswith("\n"), F.regexp_replace(t, r"\A\n+|\n+\z", "")).otherwise(t)
+
+    return let(let(F.split(_col(text), "\n"), unindent), trim)
 
 
 def python_doc(body) -> Column:
@@ -102,7 +105,7 @@ def js_doc(lines, not_blank, opening, other, start) -> Column:
     block = F.array_join(F.slice(lines, first, last - first + 1), "\n")
     inner = F.regexp_replace(F.regexp_replace(block, r"\A/\*\*?", ""), r"\*/\s*$", "")
     # All lines at once; a last line separator other than \n stays, as `$` leaves it.
-    rows = F.regexp_replace(inner, r"(?<=\A|\n)[ \t\x0b\f\r]*+\*[ \t\x0b\f\r]?+", "")
+    rows = F.regexp_replace(inner, r"(?md)^[ \t\x0b\f\r]*+\*[ \t\x0b\f\r]?+", "")
     rows = F.regexp_replace(rows, r"[ \t\x0b\f\r]++(?=[\u0085\u2028\u2029]?+(?:\n|\z))", "")
     above = F.coalesce(at(other, start - 1), F.lit(0))
     slashes = F.filter(_between(lines, above, start), lambda l: strip(l).startswith("//"))
