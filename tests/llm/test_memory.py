@@ -1,11 +1,14 @@
 """Memory of the kernels on texts: bounded by a chunk, not by an Arrow batch."""
 
 import tracemalloc
+from unittest import mock
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from unitloom.llm import shared
+import corpus_pipeline
+from unitloom.llm import bpe, shared
 from unitloom.llm.minhash import Shingles, _set_rows
 
 
@@ -55,3 +58,26 @@ def test_batches_are_bounded_in_bytes(spark):
     finally:
         for name, value in zip(names, before):
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def test_blocks_of_the_tokenize_stage_need_little_memory(spark, monkeypatch):
+    used = []
+
+    def noted(docs, ranks, pattern, block_chars=bpe.BLOCK_CHARS):
+        used.append(block_chars)
+        return bpe.encode(docs, ranks, pattern, block_chars)
+
+    monkeypatch.setattr(corpus_pipeline, "encode", noted)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert corpus_pipeline.tokenize(spark, docs, "").first().text == "a b"
+    texts = pa.array(_texts(4_000))
+    batches = pa.Table.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], ["doc_id", "text"]).to_batches(500)
+    cut = bpe._positions(bpe.splitter_spec(public_tokenizers.PATTERN), 12, used[0])
+    assert sum(len(t.as_py()) for t in texts) > 10 << 20
+    assert _peak(lambda: [None for _ in bpe_task(cut, batches)]) < 60
+
+
+def bpe_task(cut, batches):
+    """As a task runs it."""
+    with mock.patch("pyspark.TaskContext.get", lambda: mock.Mock(partitionId=lambda: 0)):
+        yield from cut(batches)

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_CHARS = 12_000_000
+# Bytes of ids that leave a task at once.
+IDS_BYTES = 2 << 20
 # Words that occur this often in a block are numbered by frequency, so their numbers compress well.
 FREQUENT = 3
 CODEPOINTS = 0x110000
@@ -238,7 +240,7 @@ def _reassemble(digits):
                     parts.append((doc, flat[at].tobytes()))
                     held += len(parts[-1][1])
                     first = end
-                    if held > 8 << 20 or k == len(docs) - 1:
+                    if held > IDS_BYTES or k == len(docs) - 1:
                         a, b = zip(*parts)
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["doc_id", "ids"])
                         parts, held = [], 0
