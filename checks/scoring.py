@@ -221,9 +221,13 @@ vector_ctes("v_documents", "documents", "doc_id", "text", dim=384)
 @check("udf_1_sql_embedding", sql("SELECT k AS doc_id, bucket, round(w, 6) AS w FROM v_documents", "v_documents"))
 def udf_1(spark, sf_dir):
     embedding.register_sql(spark)
-    df = table(spark, sf_dir, "documents").select("doc_id", "text", lexical.tokens("text").alias("words"))
-    calls = ["embed_text(text)", "embed_text(text, 'feature-hashing')", "embed_words(words)", "embed_words(words, 'feature-hashing')"]
-    by_call = F.expr(f"CASE doc_id % 4 WHEN 0 THEN {calls[0]} WHEN 1 THEN {calls[1]} WHEN 2 THEN {calls[2]} ELSE {calls[3]} END")
+    # Spark runs the functions of all branches for every row: a call gets the texts of its own rows only.
+    call = F.expr("CASE WHEN doc_id % 4 IN (0, 1, 2) THEN doc_id % 4 ELSE 3 END").alias("call")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", call)
+    df = df.select("doc_id", "call", *[F.when(F.col("call") == i, F.col("text")).alias(f"text_{i}") for i in (0, 1)],
+                   *[F.when(F.col("call") == i, lexical.tokens("text")).alias(f"words_{i}") for i in (2, 3)])
+    calls = ["embed_text(text_0)", "embed_text(text_1, 'feature-hashing')", "embed_words(words_2)", "embed_words(words_3, 'feature-hashing')"]
+    by_call = F.expr(f"CASE call WHEN 0 THEN {calls[0]} WHEN 1 THEN {calls[1]} WHEN 2 THEN {calls[2]} ELSE {calls[3]} END")
     return _elements(df.select("doc_id", by_call.alias("v")), "doc_id", "v")
 
 
