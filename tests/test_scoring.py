@@ -356,3 +356,31 @@ def test_sql_embedding_takes_few_rows_at_a_time(spark):
         want = embed_literal(text, DIM) if text else None
         assert r.plain == want and r.t == (want if model else None)
         assert r.w == (None if model is None else want or [0.0] * DIM)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SQUARE_TERMS": 1}, {"PAIRS_AT_ONCE": 7, "TERM_PAIRS_AT_ONCE": 5}, {"PAIRS_AT_ONCE": 7, "SQUARE_TERMS": 1, "TERM_PAIRS_AT_ONCE": 5}])
+def test_ranks_of_many_queries_list_pairs_once(monkeypatch, limits):
+    """The ranks of all queries are those of each alone, near pairs are listed once for all of them."""
+    for name, value in limits.items():
+        monkeypatch.setattr(kernels, name, value)
+    rnd = random.Random(3)
+    texts_of = [rnd.choices("abcdefghijkl", k=n) for n in (1, 2, 5, 60, 400, 250)]
+    queries = [set(rnd.sample("abcdefghijklz", k)) for k in (1, 1, 2, 3, 5, 9, 13)] + [{"y"}]
+    rows = {}
+    for key, words in enumerate(texts_of):
+        for p, w in enumerate(words):
+            rows.setdefault((key // 2, w), {}).setdefault(key, []).append(p * 3)
+    table = pa.Table.from_pylist([{"block": b, "term": t, "top": 1, "posts": [{"key": k, "positions": p} for k, p in posts.items()]} for (b, t), posts in rows.items()])
+    shard, steps = block_max.Shard(table), []
+    want = {(n, k): r for n, q in enumerate(queries) for keys, ranks in [shard._ranks(*shard._asked(q))] for k, r in zip(keys.to_pylist(), ranks)}
+
+    class Weights(np.ndarray):
+        def __getitem__(self, gaps):
+            steps.append(np.size(gaps))
+            return np.asarray(self)[gaps]
+
+    monkeypatch.setattr(kernels, "_NEAR_LOG", kernels._NEAR_LOG.view(Weights))
+    got = {(n, k): r for query, keys, ranks in shard.ranks(queries) for n, k, r in zip(query.tolist(), keys.to_pylist(), ranks)}
+    assert got == pytest.approx(want, rel=1e-12, abs=0) and len({n for n, _ in got}) == 7
+    once = sum(1 for words in texts_of for i in range(len(words)) for j in range(i + 1, min(len(words), i + 34)) if words[i] != words[j])
+    assert sum(steps) == once

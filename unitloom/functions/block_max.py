@@ -16,6 +16,8 @@ DIGITS = 9
 SLACK = 1e-9
 # Places that are scored at a time where all documents count.
 PLACES_AT_ONCE = 500_000
+# Queries whose ranks come from one listing of pairs, and rows that leave at a time.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 256, 65_536
 NEAREST_LOG = float(kernels._NEAR_LOG[1:].min())
 
 
@@ -119,7 +121,15 @@ class Shard:
 
     def all(self, terms):
         """(keys, ranks) of all documents that hold one of the distinct `terms`, some blocks at a time."""
-        rows, term, multi = self._asked(terms)
+        for _, keys, ranks in self.ranks([terms]):
+            yield keys, ranks
+
+    def ranks(self, queries):
+        """(numbers of queries, keys, ranks) for all documents that share a term with lists of terms, some blocks at a time."""
+        queries = [set(terms) for terms in queries]
+        rows, term, _ = self._asked(known := sorted(set().union(*queries) & self.of_term.keys()))
+        member = np.array([[t in q for q in queries] for t in known], np.float64).reshape(len(known), len(queries))
+        multi = np.array([len(q) > 1 for q in queries], bool)
         order = np.argsort(self.block[rows], kind="stable")
         rows, term = rows[order], term[order]
         ends = np.append(np.flatnonzero(np.diff(self.block[rows])) + 1, len(rows))
@@ -128,7 +138,9 @@ class Shard:
         for end, after in zip(ends.tolist(), [*ends[1:].tolist(), None]):
             if after is None or places[after - 1] - done > PLACES_AT_ONCE:
                 if end > start:
-                    yield self._ranks(rows[start:end], term[start:end], multi)
+                    keys, key, place, of_place = self._places(rows[start:end], term[start:end])
+                    key, query, ranks = kernels.ranks_of_queries(key, place, of_place, member, multi)
+                    yield query, keys.take(pa.array(key)), ranks
                     start, done = end, places[end - 1]
 
     def _asked(self, terms):
@@ -150,13 +162,18 @@ class Shard:
         posts, _ = self._posts(rows)
         return [(-round(kernels.NO_PAIR, DIGITS), key, kernels.NO_PAIR) for key in set(self.keys.take(pa.array(posts)).to_pylist())]
 
-    def _ranks(self, rows, term, multi):
+    def _places(self, rows, term):
+        """Distinct keys of the rows, and number of the key, position and term of every place."""
         posts, lengths = self._posts(rows)
         keys = _chunk(pc.dictionary_encode(self.keys.take(pa.array(posts)), null_encoding="encode"))
         code, term = keys.indices.to_numpy().astype(np.int64), np.repeat(term, lengths)
         n = self.place_start[posts + 1] - self.place_start[posts]
         place = self.places[np.repeat(self.place_start[posts], n) + _within(n)]
-        return keys.dictionary, kernels.group_ranks(np.repeat(code, n), place, np.repeat(term, n), np.full(len(keys.dictionary), multi))
+        return keys.dictionary, np.repeat(code, n), place, np.repeat(term, n)
+
+    def _ranks(self, rows, term, multi):
+        keys, key, place, term = self._places(rows, term)
+        return keys, kernels.group_ranks(key, place, term, np.full(len(keys), multi))
 
     def _exact(self, rows, term, multi, k):
         keys, ranks = self._ranks(rows, term, multi)
@@ -196,9 +213,12 @@ def best_of_shards(k, query_type, key_type):
                 elif held:
                     shard = shard or Shard(pa.Table.from_batches(held))
                     if k is None:
-                        for query, terms in zip(part.column("query_id"), part.column("terms").to_pylist()):
-                            for keys, ranks in shard.all(terms):
-                                yield pa.RecordBatch.from_arrays([pa.repeat(query, len(keys)), keys.cast(key_type), pa.array(ranks)], names)
+                        for first in range(0, part.num_rows, QUERIES_AT_ONCE):
+                            some = part.slice(first, QUERIES_AT_ONCE)
+                            for query, keys, ranks in shard.ranks(some.column("terms").to_pylist()):
+                                found = [some.column("query_id").take(pa.array(query)), keys.cast(key_type), pa.array(ranks)]
+                                for at in range(0, len(query), ROWS_AT_ONCE):
+                                    yield pa.RecordBatch.from_arrays([c.slice(at, ROWS_AT_ONCE) for c in found], names)
                         start = end
                         continue
                     out = [
