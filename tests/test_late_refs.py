@@ -1,6 +1,7 @@
 """Chunks and refs that arrive in any order end as one load of all files."""
 
 import json
+import random
 
 import pytest
 
@@ -60,3 +61,24 @@ def test_refs_may_come_before_with_or_after_their_chunk(spark, tmp_path, run):
 
 def test_nothing_arrives(run):
     assert run() == {}
+
+
+def test_texts_stay_in_their_files(tmp_path, run):
+    """The state keeps ids and refs, whatever the texts weigh; a file may have any name."""
+    box, rnd = tmp_path / "in", random.Random(1)
+    content = "".join(rnd.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=3_000_000))
+    put(box, "chunks", "part {1} [a]%20*.json", [chunk(0, content), chunk(1, "other")])
+    assert len(run()) == 2
+    put(box, "refs", "part-1.json", [ref(0, "Late")])
+    after = run()
+    assert after["p0.py::m.C.f0"][0] == content and "mro: Late" in after["p0.py::m.C.f0"][2] and "mro" not in after["p1.py::m.C.f1"][2]
+    assert sum(f.stat().st_size for f in (tmp_path / "c").rglob("*") if f.is_file()) < len(content) // 4
+
+
+def test_a_removed_unit_stays_away(spark, tmp_path, run):
+    put(tmp_path / "in", "chunks", "part-1.json", [chunk(0, "a"), chunk(1, "b")])
+    run()
+    kept = spark.createDataFrame([("p1.py::m.C.f1",)], "id string")
+    CodeTables(spark, str(tmp_path / "t"), 4).prune_missing(kept)
+    put(tmp_path / "in", "refs", "part-1.json", [ref(0, "Late")])
+    assert list(run()) == ["p1.py::m.C.f1"]

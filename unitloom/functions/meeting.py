@@ -18,11 +18,12 @@ def with_rows(batches):
 
 
 class Meeting(StatefulProcessor):
-    """Keeps the last chunk and the last refs of a unit; a chunk leaves with what is known of its refs.
+    """Keeps the last refs of a unit, and that its chunk has come; texts of chunks stay in their files and the table.
 
-    A chunk leaves when it arrives, and again whenever refs of it arrive later. Of the rows of one
-    micro-batch the one latest by `place` counts, and a later micro-batch counts over an earlier one. What
-    is kept is dropped `hold_ms` after it was last written.
+    A unit leaves when its chunk arrives, with what is known of its refs, and again whenever refs of it arrive later. Of the rows of
+    one micro-batch the one latest by `place` counts, and a later micro-batch counts over an earlier one. What
+    is kept is dropped `hold_ms` after it was last written. Out: id, the file of the chunk that arrives now or NULL, the
+    number of its rows in this micro-batch, and the refs.
     """
 
     def __init__(self, hold_ms):
@@ -30,20 +31,22 @@ class Meeting(StatefulProcessor):
 
     def init(self, handle):
         self.kept = {
-            CHUNK: handle.getValueState("chunk", "body string", self.hold_ms),
+            CHUNK: handle.getValueState("came", "body string", self.hold_ms),
             REFS: handle.getValueState("refs", "body string", self.hold_ms),
         }
 
     def handleInputRows(self, key, rows, timerValues):
-        last = {}
+        last, times = {}, 0
         for row in rows:
+            times += row.kind == CHUNK
             if row.kind not in last or last[row.kind][0] < row.place:
                 last[row.kind] = (row.place, row.body)
         for kind, (_, body) in last.items():
-            self.kept[kind].update((body,))
-        chunk, refs = (self.kept[kind].get() for kind in (CHUNK, REFS))
-        if chunk is not None:
-            yield Row(id=key[0], chunk=chunk[0], refs=None if refs is None else refs[0])
+            self.kept[kind].update((body if kind == REFS else "",))
+        came, refs = (self.kept[kind].get() for kind in (CHUNK, REFS))
+        if came is not None:
+            file = last[CHUNK][1] if CHUNK in last else None
+            yield Row(id=key[0], file=file, times=times, refs=None if refs is None else refs[0])
 
     def close(self):
         pass
