@@ -43,9 +43,10 @@ class Meeting(StatefulProcessor):
                 last[row.kind] = (row.place, row.body)
         for kind, (_, body) in last.items():
             self.kept[kind].update((body if kind == REFS else "",))
-        came, refs = (self.kept[kind].get() for kind in (CHUNK, REFS))
-        if came is not None:
+        # The store is asked only for what did not come just now: a question takes most of the time of a unit.
+        if CHUNK in last or self.kept[CHUNK].get() is not None:
             file = last[CHUNK][1] if CHUNK in last else None
+            refs = (last[REFS][1],) if REFS in last else self.kept[REFS].get()
             yield Row(id=key[0], file=file, times=times, refs=None if refs is None else refs[0])
 
     def close(self):
